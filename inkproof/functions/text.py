@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from inkproof.functions.numbers import fixed_text, round_exact
 
 # --- fixed values: these decide which texts count as equal -------------------
-BLANK_CLASS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+BLANKS = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 ARTEFACT_PATTERN = r"\^?\{\}?\[?\]?"
-CURRENCY_PATTERN = "[$€£¥]"
+ARTEFACT_MARK = "{"  # every artefact holds one
+CURRENCY_SIGNS = "$€£¥"
 THOUSANDS_PATTERN = r",(\p{Nd}{3})"
 FIRST_NUMBER_PATTERN = r"[\p{Nd},]+\.?\p{Nd}*"
 PREVIEW_LENGTH = 500
@@ -63,15 +67,39 @@ DEFAULT_MIME_TYPE = "application/octet-stream"
 # -----------------------------------------------------------------------------
 
 
+# Only runs that are not already one space are matched; the leading ranges let
+# printable characters fail on a single comparison.
+_RUN_OF_BLANKS = rf"[[^ -~]&&[{BLANKS}]][[^!-~]&&[{BLANKS}]]*+| [[^!-~]&&[{BLANKS}]]++"
+
+
 def normalize(text: Column) -> Column:
     """Canonical form used on both sides of every match; null becomes ''.
 
     Blanks are folded first, which turns trimming into ``trim`` and leaves the
-    second fold with single spaces only.
+    second fold with single spaces only.  Each later pass is skipped by a plain
+    substring test when it has nothing to do.
     """
-    folded = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BLANK_CLASS, " "))
-    cleaned = F.regexp_replace(F.regexp_replace(folded, ARTEFACT_PATTERN, ""), " {2,}", " ")
-    return F.regexp_replace(F.regexp_replace(cleaned, CURRENCY_PATTERN, ""), THOUSANDS_PATTERN, "$1")
+    folded = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _RUN_OF_BLANKS, " "))
+    cleaned = _where_contained(
+        folded,
+        ARTEFACT_MARK,
+        lambda t: F.regexp_replace(F.regexp_replace(t, ARTEFACT_PATTERN, ""), " {2,}", " "),
+    )
+    for sign in CURRENCY_SIGNS:
+        cleaned = F.replace(cleaned, F.lit(sign), F.lit(""))
+    return _where_contained(
+        cleaned, ",", lambda t: F.regexp_replace(t, THOUSANDS_PATTERN, "$1")
+    )
+
+
+def _where_contained(text: Column, mark: str, change) -> Column:
+    return F.get(
+        F.transform(
+            F.array(text),
+            lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t),
+        ),
+        F.lit(0),
+    )
 
 
 def normalize_amount(amount: Column) -> Column:

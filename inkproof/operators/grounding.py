@@ -101,8 +101,18 @@ def within_length_band(a: Column, b: Column, threshold: float) -> Column:
     return best_possible >= F.lit(threshold - _BAND_SLACK) * (F.length(a) + F.length(b))
 
 
-def _probe(value_text: Column) -> Column:
-    return F.struct(value_text.alias("value"), normalize(value_text).alias("norm"))
+def _probe(value: Column, is_amount: bool = False) -> Column:
+    """struct<value, norm>; the text of an amount is already in normal form."""
+    text = field_text(value, is_amount)
+    if is_amount:
+        return F.get(
+            F.transform(
+                F.array(text),
+                lambda t: F.struct(t.alias("value"), F.coalesce(t, F.lit("")).alias("norm")),
+            ),
+            F.lit(0),
+        )
+    return F.struct(text.alias("value"), normalize(text).alias("norm"))
 
 
 def _with_search(docs: DataFrame, text: str, threshold: float, prune: bool) -> DataFrame:
@@ -177,7 +187,7 @@ def _verdict(probe: Column, best: Column, threshold: float) -> Column:
 
     def finish(state: Column) -> Column:
         n = F.size(probe["words"])
-        settled = probe["exact"] | (n == 0)
+        settled = n == 0
         return F.struct(
             probe["value"].alias("value"),
             (settled | (state["hits"] == n)).alias("found"),
@@ -187,7 +197,15 @@ def _verdict(probe: Column, best: Column, threshold: float) -> Column:
             .alias("raw"),
         )
 
-    return F.aggregate(probe["words"], start, add, finish)
+    exact = F.struct(
+        probe["value"].alias("value"), F.lit(True).alias("found"), F.lit(1.0).alias("raw")
+    )
+    return F.when(probe["exact"], exact).otherwise(F.aggregate(probe["words"], start, add, finish))
+
+
+def _rounded(raw: Column) -> Column:
+    # most confidences are 0 or 1, which need no arithmetic
+    return F.when((raw == 1.0) | (raw == 0.0), raw).otherwise(round_exact(raw))
 
 
 def _comparison(name: Column, verdict: Column) -> Column:
@@ -195,7 +213,7 @@ def _comparison(name: Column, verdict: Column) -> Column:
         name.alias("field"),
         verdict["value"].alias("extracted"),
         verdict["found"].alias("found_in_ocr"),
-        round_exact(verdict["raw"]).alias("confidence"),
+        _rounded(verdict["raw"]).alias("confidence"),
         F.when(verdict["value"].isNull(), NOTE_NULL)
         .when(verdict["raw"] == 1.0, NOTE_EXACT)
         .when(verdict["found"], NOTE_FUZZY)
@@ -212,7 +230,7 @@ def _items_comparison(n_items: Column, scores: Column, threshold: float) -> Colu
             F.lit(ITEMS_FIELD).alias("field"),
             F.concat(n_items.cast("string"), F.lit(" items")).alias("extracted"),
             (m > threshold).alias("found_in_ocr"),
-            round_exact(m).alias("confidence"),
+            _rounded(m).alias("confidence"),
             F.concat(F.lit("average across "), n_items.cast("string"), F.lit(" items")).alias("note"),
         ),
     )
@@ -233,7 +251,7 @@ def ground(
     Returns ``keys``, ``comparisons`` and ``item_scores``.  ``prune=False`` sends
     every text word to the matcher; results are the same, it exists for tests.
     """
-    scalar = [_probe(field_text(F.col(f.value), f.is_amount)) for f in fields]
+    scalar = [_probe(F.col(f.value), f.is_amount) for f in fields]
     probes = F.array(*scalar)
     n_scalar = len(scalar)
     if items is not None:
@@ -244,8 +262,8 @@ def ground(
             F.transform(
                 records,
                 lambda item: F.array(
-                    _probe(field_text(item[items.description])),
-                    _probe(field_text(item[items.total], is_amount=True)),
+                    _probe(item[items.description]),
+                    _probe(item[items.total], is_amount=True),
                 ),
             )
         )
@@ -267,7 +285,7 @@ def ground(
         F.zip_with(names, F.slice("_verdicts", 1, n_scalar), _comparison).alias("_scalars"),
         F.transform(
             F.slice("_verdicts", n_scalar + 1, F.greatest(F.size("_verdicts"), F.lit(1))),
-            lambda v: round_exact(v["raw"]),
+            lambda v: _rounded(v["raw"]),
         ).alias("_item_parts"),
     )
     item_scores = F.transform(
@@ -318,7 +336,8 @@ def find_values(
     )
     searched = _with_search(prepared, text, threshold, prune=True)
     verdicts = F.transform("probes", lambda p: _verdict(p, F.col("best"), threshold))
-    return searched.select(*keys, F.posexplode(verdicts).alias("position", "v")).select(
+    found = searched.select(*keys, F.posexplode_outer(verdicts).alias("position", "v"))
+    return found.where(F.col("position").isNotNull()).select(
         *keys,
         F.col("position"),
         F.col("v.value").alias("value"),
@@ -327,14 +346,18 @@ def find_values(
     )
 
 
+# The outer generators below keep Spark from deriving a size filter, which would
+# evaluate the whole array a second time.
+
+
 def field_scores(grounded: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per document and field."""
-    return grounded.select(*keys, F.inline("comparisons"))
+    return grounded.select(*keys, F.inline_outer("comparisons"))
 
 
 def line_item_scores(grounded: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per document and line item."""
-    return grounded.select(*keys, F.inline("item_scores"))
+    return grounded.select(*keys, F.inline_outer("item_scores")).where(F.col("item").isNotNull())
 
 
 def _weight_of(field: Column, weights: Mapping[str, float]) -> Column:
@@ -367,19 +390,25 @@ def confidence_summary(
     table = DEFAULT_WEIGHTS if weights is None else weights
 
     def add(state: Column, c: Column) -> Column:
-        weight = _weight_of(c["field"], table)
         return F.struct(
-            (state["scored"] + c["confidence"] * weight).alias("scored"),
-            (state["weight"] + weight).alias("weight"),
+            (state["scored"] + c["confidence"] * c["weight"]).alias("scored"),
+            (state["weight"] + c["weight"]).alias("weight"),
         )
 
-    start = F.struct(F.lit(0.0).alias("scored"), F.lit(0.0).alias("weight"))
-    overall = F.aggregate(
+    weighted = F.transform(
         comparisons,
+        lambda c: F.struct(
+            c["confidence"].alias("confidence"), _weight_of(c["field"], table).alias("weight")
+        ),
+    )
+    start = F.struct(F.lit(0.0).alias("scored"), F.lit(0.0).alias("weight"))
+    mean = F.aggregate(
+        weighted,
         start,
         add,
-        lambda s: F.when(s["weight"] > 0, round_exact(s["scored"] / F.nullif(s["weight"], F.lit(0.0)))).otherwise(0.0),
+        lambda s: F.when(s["weight"] > 0, F.try_divide(s["scored"], s["weight"])).otherwise(0.0),
     )
+    overall = F.get(F.transform(F.array(mean), _rounded), F.lit(0))
 
     def count(condition) -> Column:
         return F.size(F.filter(comparisons, lambda c: condition(c["confidence"]))).cast("bigint")

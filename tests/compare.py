@@ -39,14 +39,18 @@ def _rows(names, rows):
     return Counter(tuple(_value(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, sf_dir: str, query, sql: str) -> list[str]:
+def compare(spark, con, sf_dir: str, query, sql: str, clock: list | None = None) -> list[str]:
     """Differences between the two results; empty when they are the same."""
+    clock = [] if clock is None else clock
+    clock.append(time.time())
     frame = query(spark, sf_dir)
     got_names = frame.columns
     got = _rows(got_names, frame.collect())
+    clock.append(time.time())
     cursor = con.execute(sql)
     want_names = [d[0] for d in cursor.description]
     want = _rows(want_names, cursor.fetchall())
+    clock.append(time.time())
     problems = []
     if sorted(got_names) != sorted(want_names):
         problems.append(f"columns {sorted(got_names)} != {sorted(want_names)}")
@@ -78,12 +82,14 @@ def main() -> None:
             n = queries[name](spark, sf_dir).count()
             print(f"{name:28s} rows only: {n}  {time.time() - started:.1f}s", flush=True)
             continue
+        clock = []
         try:
-            problems = compare(spark, con, sf_dir, queries[name], sqls[name])
+            problems = compare(spark, con, sf_dir, queries[name], sqls[name], clock)
         except Exception as error:  # keep going, report at the end of the line
             problems = [f"{type(error).__name__}: {str(error)[:1500]}"]
         verdict = "ok" if not problems else "DIFFERENT " + "; ".join(problems)
-        print(f"{name:28s} {verdict}  {time.time() - started:.1f}s", flush=True)
+        parts = " ".join(f"{b - a:.1f}s" for a, b in zip(clock, clock[1:]))
+        print(f"{name:28s} {verdict}  spark/duckdb {parts}", flush=True)
 
 
 if __name__ == "__main__":
