@@ -435,18 +435,19 @@ def confidence_report(
 
 
 def report_struct(comparisons: Column, weights: Mapping[str, float] | None = None) -> Column:
-    summary = confidence_summary(comparisons, weights)
-    return F.struct(
-        summary["overall_confidence"].alias("overall_confidence"),
-        F.lit(METHOD).alias("method"),
-        F.map_from_entries(F.transform(comparisons, lambda c: F.struct(c["field"], c))).alias("fields"),
-        F.struct(
-            *[
-                summary[name].alias(name)
-                for name in ("total_fields", "high_confidence", "medium_confidence", "low_confidence")
-            ]
-        ).alias("summary"),
-    )
+    fields = F.map_from_entries(F.transform(comparisons, lambda c: F.struct(c["field"], c)))
+    counts = ("total_fields", "high_confidence", "medium_confidence", "low_confidence")
+
+    def packed(summary: Column) -> Column:
+        return F.struct(
+            summary["overall_confidence"].alias("overall_confidence"),
+            F.lit(METHOD).alias("method"),
+            fields.alias("fields"),
+            F.struct(*[summary[name].alias(name) for name in counts]).alias("summary"),
+        )
+
+    # one element, so that the summary is computed once
+    return F.get(F.transform(F.array(confidence_summary(comparisons, weights)), packed), F.lit(0))
 
 
 def text_similarity(pairs: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:

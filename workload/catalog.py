@@ -1,37 +1,562 @@
-"""The registered queries: each takes a session and a table folder and gives a frame."""
+"""The registered queries: each takes a session and a table folder and gives a frame.
+
+Results are flat rows of scalars, so that they can be compared with SQL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkproof.operators import grounding
+from inkproof.functions import text
+from inkproof.functions.checks import amount_check, date_check
+from inkproof.functions.ratio import gestalt_ratio as ratio_of
+from inkproof.operators import grounding, pages, quality, reporting, requests, responses
+from inkproof.plans.document_flow import document_results as flow
+from inkproof.sources import files as file_source
+from inkproof.sources import results as result_store
 from workload import frames
 
+MODEL = "model-1"
 CUSTOM_WEIGHTS = {"document_number": 3.0, "total_amount": 1.0, "supplier_name": 0.0}
+QUERIES = {}
+
+
+def _query(run):
+    QUERIES[run.__name__] = run
+    return run
+
+
+def _grounded(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return grounding.ground(frames.invoices(spark, sf), **options)
+
+
+# -- text and files -------------------------------------------------------------
+
+
+@_query
+def normalize_text(spark, sf):
+    docs = frames.table(spark, sf, "documents")
+    return docs.select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+
+
+@_query
+def normalize_amount(spark, sf):
+    lines = frames.table(spark, sf, "lineitem").select(
+        F.lit("line").alias("source"),
+        F.col("l_orderkey").alias("key"),
+        text.normalize_amount(F.col("l_extendedprice") * F.col("l_discount")).alias("normalized"),
+    )
+    kind = F.pmod("o_orderkey", F.lit(50))
+    printed = (
+        F.when(kind == 0, "n/a")
+        .when(kind == 1, "")
+        .otherwise(F.concat(F.lit("USD -"), frames.with_separator(F.col("o_totalprice"))))
+    )
+    orders = frames.table(spark, sf, "orders").select(
+        F.lit("order").alias("source"),
+        F.col("o_orderkey").alias("key"),
+        text.normalize_amount_text(printed).alias("normalized"),
+    )
+    return lines.unionByName(orders)
+
+
+@_query
+def text_preview(spark, sf):
+    return pages.text_summary(frames.table(spark, sf, "documents"), "text")
+
+
+@_query
+def scan_files(spark, sf):
+    found = file_source.scan_files(spark, sf, glob="*.parquet")
+    return file_source.file_info(found).select("name", "extension", "size_bytes", "size_mb", "is_pdf")
+
+
+@_query
+def file_info(spark, sf):
+    return file_source.file_info(frames.page_files(spark, sf), "page_id")
+
+
+@_query
+def mime_type(spark, sf):
+    found = frames.page_files(spark, sf)
+    return found.select("page_id", text.mime_type(text.file_name(F.col("path"))).alias("mime_type"))
+
+
+def _encoded(spark, sf):
+    return file_source.with_encoding(frames.page_files(spark, sf))
+
+
+@_query
+def data_uri(spark, sf):
+    return _encoded(spark, sf).select("page_id", file_source.encoded_uri().alias("data_uri"))
+
+
+@_query
+def route_mode(spark, sf):
+    modes = F.array(F.lit("hybrid"), F.lit("text_only"), F.lit("vision_only"), F.lit(None))
+    mode = F.element_at(modes, F.pmod("page_id", F.lit(4)).cast("int") + 1)
+    direct = F.pmod("page_id", F.lit(2)) == 0
+    return file_source.file_info(frames.page_files(spark, sf), "page_id").select(
+        "page_id", requests.route(mode, F.col("is_pdf"), direct).alias("route")
+    )
+
+
+# -- pages ----------------------------------------------------------------------
+
+
+@_query
+def page_concat(spark, sf):
+    turns = frames.table(spark, sf, "conversations")
+    return pages.assemble_pages(turns, key="conv_id", page_no="turn", text="text")
+
+
+@_query
+def page_totals(spark, sf):
+    return pages.page_totals(frames.table(spark, sf, "conversations"), key="conv_id", text="text")
+
+
+@_query
+def parse_ocr_response(spark, sf):
+    lines = F.transform(
+        F.split("text", "\n"), lambda line: F.struct(F.when(line != "", line).alias("markdown"))
+    )
+    recorded = frames.table(spark, sf, "documents").select(
+        "doc_id", F.to_json(F.struct(lines.alias("pages"))).alias("body")
+    )
+    return pages.parse_ocr_response(recorded)
+
+
+# -- requests and responses -------------------------------------------------------
+
+
+@_query
+def ocr_request(spark, sf):
+    return requests.ocr_requests(_encoded(spark, sf), model=MODEL, keys=["page_id"])
+
+
+def _routed_invoices(spark, sf) -> DataFrame:
+    mode = F.element_at(
+        F.array(F.lit("text"), F.lit("hybrid"), F.lit("direct_pdf")), F.pmod("v", F.lit(3)) + 1
+    )
+    encoded = text.base64_text(F.encode("ocr_text", "UTF-8"))
+    return (
+        frames.invoices(spark, sf)
+        .withColumn("mode", mode)
+        .withColumn(
+            "image_uri", F.when(F.col("mode") == "hybrid", text.data_uri(F.lit("image/png"), encoded))
+        )
+        .withColumn(
+            "file_uri",
+            F.when(
+                F.col("mode") == "direct_pdf",
+                text.data_uri(F.lit(requests.PDF_MIME_TYPE), encoded),
+            ),
+        )
+        .withColumn("filename", F.concat("document_number", F.lit(".pdf")))
+        .withColumn("instructions", F.when(F.pmod("doc_id", F.lit(5)) == 0, "Totals only."))
+    )
+
+
+@_query
+def extract_request(spark, sf):
+    sent = requests.extraction_requests(_routed_invoices(spark, sf), model=MODEL)
+    return sent.select(
+        "doc_id", "mode", "model", "instructions", "schema_name", "strict", "temperature",
+        F.to_json("content").alias("content"),
+    )
+
+
+def _record() -> Column:
+    return F.struct(
+        "document_type", "document_number", "document_date", "supplier", "customer",
+        "total_amount", "line_items",
+    )
+
+
+@_query
+def judge_request(spark, sf):
+    return requests.judge_requests(_routed_invoices(spark, sf), _record())
+
+
+def _answered(spark, sf) -> DataFrame:
+    return frames.bodies(frames.invoices(spark, sf))
+
+
+@_query
+def response_attach(spark, sf):
+    sent = frames.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    recorded = _answered(spark, sf).where(F.pmod("doc_id", F.lit(11)) != 0)
+    return requests.attach_responses(
+        sent, recorded.select("doc_id", "response_id", "output_tokens")
+    )
+
+
+def _first_line_client():
+    def call(request: str) -> str:
+        lines = request.split("\n")
+        if lines[2] == "":
+            raise ValueError("supplier line is blank")
+        return lines[0]
+
+    return call
+
+
+@_query
+def model_apply(spark, sf):
+    sent = frames.invoices(spark, sf).select("doc_id", F.col("ocr_head").alias("request"))
+    return requests.apply_model(sent, _first_line_client)
+
+
+@_query
+def response_parse(spark, sf):
+    recorded = _answered(spark, sf)
+    parsed = responses.parse_records(
+        recorded, kept=["response_id", "input_tokens", "output_tokens"]
+    )
+    meta = responses.response_metadata(
+        F.lit(MODEL), F.col("response_id"), F.lit("hybrid"),
+        F.col("input_tokens"), F.col("output_tokens"),
+    )
+    record = responses.with_default_currency(F.col("record"))
+    return parsed.select("doc_id", record.alias("r"), meta.alias("m"), "parse_error").select(
+        "doc_id",
+        F.col("r").isNotNull().alias("has_record"),
+        F.col("r.document_number").alias("document_number"),
+        F.col("r.document_date").alias("document_date"),
+        F.col("r.supplier.name").alias("supplier_name"),
+        F.col("r.customer.name").alias("customer_name"),
+        F.col("r.total_amount.amount").alias("amount"),
+        F.col("r.total_amount.currency").alias("currency"),
+        F.size("r.line_items").cast("bigint").alias("n_items"),
+        F.get("r.line_items", F.lit(0))["total"].alias("first_total"),
+        F.col("m.model").alias("model"),
+        F.col("m.response_id").alias("response_id"),
+        F.col("m.mode").alias("mode"),
+        F.col("m.usage.input_tokens").alias("input_tokens"),
+        F.col("m.usage.output_tokens").alias("output_tokens"),
+        "parse_error",
+    )
+
+
+@_query
+def schema_conformance(spark, sf):
+    checked = responses.check_conformance(_answered(spark, sf))
+    listed = [F.array_join(c, ",").alias(c) for c in ("missing_keys", "extra_keys", "wrong_types")]
+    return checked.select("doc_id", "well_formed", *listed, "conforms")
+
+
+RECEIPT = T.StructType(
+    [
+        T.StructField("store_name", T.StringType()),
+        T.StructField("store_address", T.StringType()),
+        T.StructField("date", T.StringType()),
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("subtotal", T.DoubleType()),
+        T.StructField("tax", T.DoubleType()),
+        T.StructField("total", T.DoubleType()),
+        T.StructField("payment_method", T.StringType()),
+    ]
+)
 
 
-def _grounded(spark: SparkSession, sf: str) -> DataFrame:
-    return grounding.ground(frames.invoices(spark, sf))
+@_query
+def custom_schema(spark, sf):
+    recorded = frames.receipts(frames.invoices(spark, sf))
+    parsed = responses.parse_records(recorded, RECEIPT)
+    return parsed.select(
+        "doc_id",
+        F.lit(responses.schema_name("Receipt")).alias("schema_name"),
+        F.col("record.store_name").alias("store_name"),
+        F.col("record.store_address").alias("store_address"),
+        F.col("record.date").alias("date"),
+        F.size("record.items").cast("bigint").alias("n_items"),
+        F.get("record.items", F.lit(0)).alias("first_item"),
+        F.col("record.total").alias("total"),
+        "parse_error",
+    )
 
 
-def field_scores(spark: SparkSession, sf: str) -> DataFrame:
+# -- grounding --------------------------------------------------------------------
+
+
+@_query
+def text_similarity(spark, sf):
+    pairs = frames.text_pairs(frames.invoices(spark, sf))
+    return grounding.text_similarity(pairs, "a", "b").select("doc_id", "kind", "similarity")
+
+
+@_query
+def gestalt_ratio(spark, sf):
+    pairs = frames.text_pairs(frames.invoices(spark, sf))
+    return pairs.select("doc_id", "kind", ratio_of(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@_query
+def find_exact(spark, sf):
+    docs = frames.table(spark, sf, "documents")
+    last_line = F.element_at(F.split("text", "\n"), -1)
+    values = F.array(
+        F.struct(F.lit("last line").alias("kind"), last_line.alias("value")),
+        F.struct(F.lit("origin").alias("kind"), F.concat_ws(" ", "lang", "source").alias("value")),
+    )
+    normal = docs.select("doc_id", text.normalize(F.col("text")).alias("t"), values.alias("vs"))
+    checked = F.transform(
+        "vs",
+        lambda v: F.struct(
+            v["kind"].alias("kind"),
+            grounding.found_exactly(v["value"], text.normalize(v["value"]), F.col("t")).alias("found"),
+        ),
+    )
+    return normal.select("doc_id", F.inline(checked))
+
+
+def _raw_finds(spark, sf, threshold: float) -> DataFrame:
+    names = ["document_number", "document_date", "supplier_name", "customer_name"]
+    docs = frames.invoices(spark, sf).withColumn("values", F.array(*names))
+    found = grounding.find_values(
+        docs, "values", keys=["doc_id"], text="ocr_text", threshold=threshold
+    )
+    field = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1)
+    return found.select("doc_id", field.alias("field"), "found", "confidence")
+
+
+@_query
+def find_fuzzy(spark, sf):
+    return _raw_finds(spark, sf, grounding.DEFAULT_THRESHOLD)
+
+
+@_query
+def find_fuzzy_t07(spark, sf):
+    return _raw_finds(spark, sf, grounding.LENIENT_THRESHOLD)
+
+
+@_query
+def find_fuzzy_documents(spark, sf):
+    first_line = F.element_at(F.split("text", "\n"), 1)
+    docs = frames.table(spark, sf, "documents").select(
+        "doc_id", "text", F.array(F.translate(first_line, "e", "c")).alias("values")
+    )
+    return grounding.find_values(docs, "values", keys=["doc_id"], text="text").select(
+        "doc_id", "found", "confidence"
+    )
+
+
+@_query
+def field_scores(spark, sf):
     return grounding.field_scores(_grounded(spark, sf))
 
 
-def line_item_scores(spark: SparkSession, sf: str) -> DataFrame:
+@_query
+def line_item_scores(spark, sf):
     return grounding.line_item_scores(_grounded(spark, sf))
 
 
-def doc_confidence(spark: SparkSession, sf: str) -> DataFrame:
+@_query
+def doc_confidence(spark, sf):
     return grounding.doc_confidence(_grounded(spark, sf))
 
 
-def doc_confidence_weighted(spark: SparkSession, sf: str) -> DataFrame:
+@_query
+def doc_confidence_weighted(spark, sf):
     return grounding.doc_confidence(_grounded(spark, sf), weights=CUSTOM_WEIGHTS)
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (field_scores, line_item_scores, doc_confidence, doc_confidence_weighted)
-}
+@_query
+def confidence_report(spark, sf):
+    report = grounding.confidence_report(_grounded(spark, sf))
+    return report.select(
+        "doc_id", "overall_confidence", "method",
+        F.col("fields")["supplier_name"]["note"].alias("supplier_note"),
+        F.col("fields")["total_amount"]["confidence"].alias("total_confidence"),
+        F.col("fields")["line_items"]["extracted"].alias("items_extracted"),
+        F.col("summary.total_fields").alias("total_fields"),
+        F.col("summary.low_confidence").alias("low_confidence"),
+    )
+
+
+# -- validation and quality ---------------------------------------------------------
+
+
+@_query
+def validate_date(spark, sf):
+    day = F.col("o_orderdate")
+    dates = F.array(
+        F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy"),
+        F.lit("2024-99-99"), F.lit(""), F.lit(None), F.date_format(day, "yyyy-M-d"),
+    )
+    given = F.element_at(dates, F.pmod("o_orderkey", F.lit(6)).cast("int") + 1)
+    orders = frames.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), date_check(given).alias("c")
+    )
+    return orders.select("doc_id", "c.valid", "c.message")
+
+
+def _signed_total() -> Column:
+    key = F.col("o_orderkey")
+    return (
+        F.when(F.pmod(key, F.lit(97)) == 0, float("nan"))
+        .when(F.pmod(key, F.lit(89)) == 0, None)
+        .when(F.pmod(key, F.lit(8)) == 7, -F.col("o_totalprice"))
+        .otherwise(F.col("o_totalprice") * 100)
+    )
+
+
+@_query
+def validate_amount(spark, sf):
+    orders = frames.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), amount_check(_signed_total()).alias("c")
+    )
+    return orders.select("doc_id", "c.valid", "c.message")
+
+
+@_query
+def validation_score(spark, sf):
+    key, total = F.col("o_orderkey"), _signed_total()
+    date = F.when(F.pmod(key, F.lit(3)) == 0, "n/a").otherwise(F.lit(None).cast("string"))
+    orders = frames.table(spark, sf, "orders").select(
+        key.alias("doc_id"),
+        date.alias("document_date"),
+        F.when(total.isNotNull(), F.struct(total.alias("amount"))).alias("total_amount"),
+    )
+    return quality.validate(orders)
+
+
+@_query
+def judge_scores(spark, sf):
+    return frames.judge_rows(spark, sf).select(
+        "doc_id", "metric", "score", "error",
+        quality.judge_result(F.col("score")).alias("result"),
+        quality.judge_band(F.col("score"), F.col("error")).alias("band"),
+    )
+
+
+def _judged(spark, sf) -> DataFrame:
+    return quality.judge_by_document(frames.judge_rows(spark, sf))
+
+
+@_query
+def overall_quality(spark, sf):
+    kind = F.pmod("doc_id", F.lit(3))
+    validation = F.when(kind == 0, 1.0).when(kind == 1, 0.5).otherwise(0.0)
+    metrics = requests.JUDGE_METRICS
+    score = quality.overall_quality(
+        validation, [F.col(m) for m in metrics], [F.col(f"{m}_error") for m in metrics]
+    )
+    return _judged(spark, sf).select("doc_id", *metrics, score.alias("overall_score"))
+
+
+@_query
+def diagnose(spark, sf):
+    matches = F.array(*[F.lit(x) for x in (1.0, 0.85, 0.0, 0.97, 0.4)])
+    fuzzy = F.element_at(matches, F.pmod(F.floor(F.col("doc_id") / 5), F.lit(5)).cast("int") + 1)
+    found = quality.diagnosis(fuzzy, *[F.col(m) for m in requests.JUDGE_METRICS])
+    return _judged(spark, sf).select("doc_id", found.alias("d")).select("doc_id", "d.*")
+
+
+# -- reports ------------------------------------------------------------------------
+
+
+@_query
+def mode_compare(spark, sf):
+    return reporting.compare_modes(frames.mode_runs(spark, sf))
+
+
+@_query
+def token_usage(spark, sf):
+    return reporting.token_usage(frames.mode_runs(spark, sf))
+
+
+@_query
+def judge_token_usage(spark, sf):
+    return reporting.judge_token_usage(frames.judge_rows(spark, sf))
+
+
+@_query
+def field_quality(spark, sf):
+    return reporting.field_quality(grounding.field_scores(_grounded(spark, sf)))
+
+
+_REPORTED = ["doc_id", "document_type", "document_number", "document_date", "total_amount", "line_items"]
+
+
+@_query
+def report(spark, sf):
+    grounded = _grounded(spark, sf, keys=_REPORTED)
+    return reporting.result_rows(grounding.doc_confidence(grounded, keys=_REPORTED))
+
+
+@_query
+def line_item_listing(spark, sf):
+    return reporting.list_items(frames.invoices(spark, sf))
+
+
+@_query
+def score_bands(spark, sf):
+    summary = grounding.confidence_summary(F.col("comparisons"))
+    scored = _grounded(spark, sf).withColumn("s", summary)
+    fields = scored.select("doc_id", "s.overall_confidence", F.inline_outer("comparisons"))
+    return fields.select(
+        "doc_id",
+        "field",
+        quality.field_band(F.col("confidence")).alias("field_band"),
+        quality.overall_band(F.col("overall_confidence")).alias("overall_band"),
+    )
+
+
+@_query
+def export_json(spark, sf):
+    docs = frames.invoices(spark, sf)
+    return result_store.result_json(
+        docs.select(
+            "doc_id", "document_type", "document_number", "document_date", "supplier",
+            "total_amount", "line_items",
+        ),
+        "doc_id",
+    )
+
+
+# -- everything together --------------------------------------------------------------
+
+
+def _flow(spark, sf) -> DataFrame:
+    docs = frames.invoices(spark, sf)
+    suffix = F.when(F.pmod("v", F.lit(2)) == 1, ".pdf").otherwise(".png")
+    found = docs.select(
+        "doc_id",
+        F.concat(F.lit("in/"), F.col("document_number"), suffix).alias("path"),
+        F.octet_length("ocr_text").cast("bigint").alias("size_bytes"),
+    )
+    page = [F.struct(F.col(c).alias("markdown")) for c in ("ocr_head", "ocr_body")]
+    ocr = docs.select("doc_id", F.to_json(F.struct(F.array(*page).alias("pages"))).alias("body"))
+    answers = frames.bodies(docs).withColumn("model", F.lit(MODEL))
+    score = F.pmod(F.col("doc_id"), F.lit(5)) + 1
+    metrics = F.explode(F.array(*[F.lit(m) for m in requests.JUDGE_METRICS]))
+    judge = docs.select("doc_id", metrics.alias("metric")).withColumn(
+        "error",
+        F.when((F.pmod("doc_id", F.lit(7)) == 0) & (F.col("metric") == "relevance"), "timed out"),
+    )
+    judge = judge.withColumn("score", F.when(F.col("error").isNull(), score.cast("double")))
+    return flow(found, ocr, answers, judge, use_direct_pdf=True)
+
+
+@_query
+def document_results(spark, sf):
+    return _flow(spark, sf).select(
+        "doc_id",
+        "mode",
+        F.col("file_info.name").alias("name"),
+        F.col("file_info.size_mb").alias("size_mb"),
+        F.col("ocr_result.pages_processed").alias("pages_processed"),
+        F.col("ocr_result.text_length").alias("text_length"),
+        F.col("extraction.document_number").alias("document_number"),
+        F.col("extraction._metadata.mode").alias("recorded_mode"),
+        F.col("confidence.overall_confidence").alias("overall_confidence"),
+        F.col("confidence.summary.total_fields").alias("total_fields"),
+        F.col("confidence.summary.high_confidence").alias("high_confidence"),
+        F.col("evaluation.validation_metrics.passed_checks").alias("passed_checks"),
+        F.col("evaluation.validation_metrics.total_checks").alias("total_checks"),
+        F.col("evaluation.overall_score").alias("overall_score"),
+        F.col("error").isNotNull().alias("has_error"),
+    )

@@ -177,3 +177,154 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         body.alias("ocr_body"),
         F.concat(head, F.lit("\n"), body).alias("ocr_text"),
     )
+
+
+def bodies(docs: DataFrame) -> DataFrame:
+    """Recorded extraction responses of the invoices: ``doc_id``, ``body`` and token columns.
+
+    By ``doc_id % 6``: good; extra keys; missing keys; wrong types; cut off; no supplier.
+    """
+    kind = F.pmod("doc_id", F.lit(6))
+
+    def quoted(x: Column) -> Column:
+        return F.when(x.isNull(), "null").otherwise(F.concat(F.lit('"'), x, F.lit('"')))
+
+    def item(i: Column) -> Column:
+        return F.concat(
+            F.lit('{"description":"'), i["description"], F.lit('","quantity":'), money(i["quantity"]),
+            F.when(kind == 2, "").otherwise(F.concat(F.lit(',"unit_price":'), money(i["unit_price"]))),
+            F.lit(',"total":'), money(i["total"]),
+            F.when(kind == 1, ',"sku":1}').otherwise("}"),
+        )
+
+    def party(x: Column) -> Column:
+        named = F.concat(F.lit('{"name":'), quoted(x), F.lit(',"address":null,"tax_id":null}'))
+        return F.when(x.isNull(), "null").otherwise(named)
+
+    body = F.concat(
+        F.when(kind == 1, '{"note":"x",').otherwise("{"),
+        F.lit('"document_type":"invoice","document_number":'), quoted(F.col("document_number")),
+        F.when(kind == 2, "")
+        .when(kind == 3, ',"document_date":20240101')
+        .otherwise(F.concat(F.lit(',"document_date":'), quoted(F.col("document_date")))),
+        F.lit(',"supplier":'), F.when(kind == 5, "null").otherwise(party(F.col("supplier_name"))),
+        F.lit(',"customer":'), party(F.col("customer_name")),
+        F.lit(',"total_amount":{"amount":'),
+        F.when(kind == 3, '"n/a"').otherwise(money(F.col("amount"))),
+        F.lit(',"currency":"USD"},"line_items":['),
+        F.array_join(F.transform("line_items", item), ","),
+        F.lit("]}"),
+    )
+    cut = F.when(kind == 4, F.left(body, F.length(body) - 5)).otherwise(body)
+    return docs.select(
+        "doc_id",
+        cut.alias("body"),
+        F.concat(F.lit("resp_"), F.col("doc_id").cast("string")).alias("response_id"),
+        F.floor(F.length("ocr_text") / 4).cast("bigint").alias("input_tokens"),
+        (F.pmod("doc_id", F.lit(200)) + 50).alias("output_tokens"),
+    )
+
+
+def receipts(docs: DataFrame) -> DataFrame:
+    """The same invoices as receipts: ``doc_id``, ``body``."""
+    names = F.transform("line_items", lambda i: F.concat(F.lit('"'), i["description"], F.lit('"')))
+    body = F.concat(
+        F.lit('{"store_name":"'), F.coalesce("supplier_name", F.lit("")),
+        F.lit('","date":"'), F.coalesce("document_date", F.lit("")),
+        F.lit('","items":['), F.array_join(names, ","),
+        F.lit('],"subtotal":'), money(F.col("amount")), F.lit(',"tax":0.0,"total":'),
+        money(F.col("amount")), F.lit(',"payment_method":null}'),
+    )
+    return docs.select("doc_id", body.alias("body"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as files: ``page_id``, ``path``, ``size_bytes``, ``content``."""
+    suffix = F.element_at(
+        F.array(*[F.lit(s) for s in (".pdf", ".PNG", ".jpg", ".jpeg", ".tar.gz", ".xyz", "")]),
+        F.pmod("page_id", F.lit(7)).cast("int") + 1,
+    )
+    content = F.encode("html", "UTF-8")
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.concat(F.lit("in/v1.2/p"), F.col("page_id").cast("string"), suffix).alias("path"),
+        F.octet_length("html").cast("bigint").alias("size_bytes"),
+        content.alias("content"),
+    )
+
+
+def text_pairs(docs: DataFrame) -> DataFrame:
+    """Pairs of texts from the same invoice: ``doc_id``, ``kind``, ``a``, ``b``."""
+    items = F.col("line_items")
+
+    def pair(kind: str, a: Column, b: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+    return docs.select(
+        "doc_id",
+        F.inline(
+            F.array(
+                pair("customer", F.col("customer_name"), F.col("ocr_customer")),
+                pair("supplier", F.col("supplier_name"), F.col("ocr_supplier")),
+                pair(
+                    "items",
+                    F.get(items, F.lit(0))["description"],
+                    F.get(items, F.size(items) - 1)["description"],
+                ),
+            )
+        ),
+    )
+
+
+def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long judge table of the documents: scores from the labels, an error without a label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    joined = docs.join(labels, "doc_id", "left")
+    prompt = F.floor(F.col("n_chars") / 4).cast("bigint")
+
+    def row(metric: str, score: Column, known: Column) -> Column:
+        return F.struct(
+            F.lit(metric).alias("metric"),
+            F.when(known, score.cast("double")).alias("score"),
+            F.when(~known, "no label").alias("error"),
+        )
+
+    labelled = F.col("quality").isNotNull()
+    return joined.select(
+        "doc_id",
+        prompt.alias("prompt_tokens"),
+        (F.pmod("doc_id", F.lit(50)) + 10).alias("completion_tokens"),
+        F.inline(
+            F.array(
+                row("groundedness", 1 + 4 * F.col("quality"), labelled),
+                row("relevance", 5 - 4 * F.col("toxic"), labelled),
+                row("coherence", 1 + F.pmod("doc_id", F.lit(5)), F.lit(True)),
+            )
+        ),
+    ).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def mode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two extractions per document, one per mode; text mode records no mode name."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    tokens = F.floor(F.col("n_chars") / 4).cast("bigint")
+
+    def run(mode: Column, extra: int, modulus: int) -> Column:
+        return F.struct(
+            mode.alias("mode"),
+            (tokens + extra).alias("input_tokens"),
+            (F.pmod("doc_id", F.lit(modulus)) / 100).alias("overall_confidence"),
+        )
+
+    return docs.select(
+        "doc_id",
+        F.concat(F.lit("model-"), F.col("lang")).alias("model"),
+        (F.pmod("doc_id", F.lit(200)) + 50).alias("output_tokens"),
+        F.inline(
+            F.array(
+                run(F.lit("hybrid_ocr_vision"), 1000, 101),
+                run(F.lit(None).cast("string"), 0, 97),
+            )
+        ),
+    )
