@@ -180,12 +180,12 @@ NOTE = (
 )
 
 
-def comparisons(t: float = 0.8) -> str:
+def comparisons(t: float = 0.8, before: str = "", values: str = "all_values") -> str:
     """CTE ``comparison(doc_id, field, extracted, found_in_ocr, confidence, note)`` and before it
     ``item_score(doc_id, item, description_confidence, total_confidence, confidence)``."""
     return f"""
-{INVOICES}, {INVOICE_TEXTS}, {SCALAR_VALUES}, {ITEM_VALUES}, {ALL_VALUES},
-{grounded('texts', 'all_values', t)},
+{INVOICES}, {INVOICE_TEXTS}, {SCALAR_VALUES}, {ITEM_VALUES}, {ALL_VALUES},{before}
+{grounded('texts', values, t)},
 item_part as (
   select doc_id, item, max(case when field='description' then {round3('raw')} end) description_confidence,
          max(case when field='total' then {round3('raw')} end) total_confidence
@@ -239,11 +239,416 @@ DEFAULT_WEIGHTS = {
 CUSTOM_WEIGHTS = {"document_number": 3.0, "total_amount": 1.0, "supplier_name": 0.0}
 
 
+
+# -- small pieces ---------------------------------------------------------------
+
+DOT1 = "{:.1f}"
+AMOUNT2 = "{:.2f}"
+
+PAGE_FILES = """
+page_file as (
+  select page_id, html, concat('p', cast(page_id as varchar),
+           ['.pdf','.PNG','.jpg','.jpeg','.tar.gz','.xyz',''][cast(page_id % 7 as int) + 1]) name,
+         strlen(html)::bigint size_bytes from pages),
+typed as (
+  select *, case page_id % 7 when 0 then 'pdf' when 1 then 'png' when 2 then 'jpg' when 3 then 'jpeg'
+                             when 4 then 'gz' when 5 then 'xyz' else '' end extension,
+         case page_id % 7 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'image/jpeg'
+              when 3 then 'image/jpeg' when 4 then 'application/x-tar'
+              else 'application/octet-stream' end mime_type,
+         page_id % 7 = 0 is_pdf
+  from page_file),
+sent as (
+  select *, concat('data:', mime_type, ';base64,', to_base64(encode(html))) uri,
+         case when is_pdf then 'document_url' else 'image_url' end document_type
+  from typed)
+"""
+
+ROUTED = """
+routed as (
+  select *, ['text','hybrid','direct_pdf'][cast(v % 3 as int) + 1] mode,
+         to_base64(encode(ocr_text)) encoded,
+         case when doc_id % 5 = 0 then 'Totals only.' end custom
+  from invoices)
+"""
+
+PARTY_JSON = (
+    "case when {0} is null then 'null' else "
+    "concat('{{\"name\":\"', {0}, '\",\"address\":null,\"tax_id\":null}}') end"
+)
+
+
+def party(name: str) -> str:
+    return PARTY_JSON.format(name)
+
+
+RECORD_JSON = f"""
+item_json as (
+  select doc_id, string_agg(concat('{{"description":"', description, '","quantity":', cast(quantity as varchar),
+           ',"unit_price":', cast(unit_price as varchar), ',"total":', cast(total as varchar), '}}'),
+           ',' order by item) item_list
+  from items group by doc_id),
+record as (
+  select i.*, concat('[', coalesce(item_list, ''), ']') items_json,
+         case when document_date is null then 'null' else concat('"', document_date, '"') end date_json
+  from invoices i left join item_json using (doc_id))
+"""
+
+BODIES = f"""
+body_item as (
+  select doc_id, string_agg(concat('{{"description":"', description, '","quantity":', {money('quantity')},
+           case when doc_id % 6 = 2 then '' else concat(',"unit_price":', {money('unit_price')}) end,
+           ',"total":', {money('total')}, case when doc_id % 6 = 1 then ',"sku":1}}' else '}}' end),
+           ',' order by item) item_list
+  from items group by doc_id),
+whole as (
+  select i.*, concat(case when doc_id % 6 = 1 then '{{"note":"x",' else '{{' end,
+       '"document_type":"invoice","document_number":"', document_number, '"',
+       case when doc_id % 6 = 2 then '' when doc_id % 6 = 3 then ',"document_date":20240101'
+            when document_date is null then ',"document_date":null'
+            else concat(',"document_date":"', document_date, '"') end,
+       ',"supplier":', case when doc_id % 6 = 5 then 'null' else {party('supplier_name')} end,
+       ',"customer":', {party('customer_name')},
+       ',"total_amount":{{"amount":', case when doc_id % 6 = 3 then '"n/a"' else {money('amount')} end,
+       ',"currency":"USD"}},"line_items":[', coalesce(item_list, ''), ']}}') full_body
+  from invoices i left join body_item using (doc_id)),
+answer as (
+  select *, case when doc_id % 6 = 4 then left(full_body, length(full_body) - 5) else full_body end body,
+         concat('resp_', cast(doc_id as varchar)) response_id,
+         (length(ocr_text) // 4)::bigint input_tokens, doc_id % 200 + 50 output_tokens
+  from whole),
+-- only whole bodies reach the JSON functions
+valid as (select *, json_valid(body) ok, case when json_valid(body) then body end j from answer),
+parsed as (
+  select *, json_extract_string(j, '$.document_number') p_number,
+         json_extract_string(j, '$.document_date') p_date,
+         json_extract_string(j, '$.supplier.name') p_supplier,
+         json_extract_string(j, '$.customer.name') p_customer,
+         try_cast(json_extract_string(j, '$.total_amount.amount') as double) p_amount,
+         json_extract_string(j, '$.total_amount.currency') p_currency,
+         json_array_length(j, '$.line_items')::bigint p_items,
+         cast(json_extract_string(j, '$.line_items[0].total') as double) p_first_total,
+         not ok or json_type(j, '$.total_amount.amount') = 'VARCHAR' broken
+  from valid)
+"""
+
+JUDGE_ROWS = """
+judged_doc as (
+  select d.doc_id, n_chars, quality, toxic from documents d left join labels l on l.doc_id = d.doc_id),
+judge as (
+  select doc_id, 'groundedness' metric, cast(1 + 4*quality as double) score,
+         case when quality is null then 'no label' end error, n_chars from judged_doc
+  union all
+  select doc_id, 'relevance', cast(5 - 4*toxic as double), case when quality is null then 'no label' end, n_chars
+  from judged_doc
+  union all
+  select doc_id, 'coherence', cast(1 + doc_id % 5 as double), null, n_chars from judged_doc),
+per_doc as (
+  select doc_id, cast(1 + 4*quality as double) groundedness, cast(5 - 4*toxic as double) relevance,
+         cast(1 + doc_id % 5 as double) coherence, quality is not null labelled from judged_doc)
+"""
+
+PAIRS = """
+pairs as (
+  select doc_id, 'customer' kind, customer_name a, ocr_customer b from invoices
+  union all select doc_id, 'supplier', supplier_name, ocr_supplier from invoices
+  union all
+  select i.doc_id, 'items', f.description, l.description
+  from invoices i left join items f on f.doc_id = i.doc_id and f.item = 1
+       left join items l on l.doc_id = i.doc_id and l.item = i.n_items)
+"""
+
+MODE_RUNS = """
+runs as (
+  select doc_id, concat('model-', lang) model, 'hybrid' mode, n_chars // 4 + 1000 input_tokens,
+         doc_id % 200 + 50 output_tokens, (doc_id % 101) / 100 overall_confidence from documents
+  union all
+  select doc_id, concat('model-', lang), 'text_only', n_chars // 4, doc_id % 200 + 50, (doc_id % 97) / 100
+  from documents)
+"""
+
+SIGNED_TOTAL = """
+signed as (
+  select o_orderkey doc_id, case when o_orderkey % 97 = 0 then 'nan'::double when o_orderkey % 89 = 0 then null
+         when o_orderkey % 8 = 7 then -o_totalprice else o_totalprice * 100 end total from orders)
+"""
+
+FIND_NAMES = "('document_number','document_date','supplier_name','customer_name')"
+
+def flow() -> str:
+    """The full flow: records as parsed from the answers, grounded in the invoice texts."""
+    before = f"""
+{BODIES},
+flow_values as (
+  select doc_id, 0 item, 'document_number' field, p_number value from parsed where ok
+  union all select doc_id, 0, 'document_date', p_date from parsed where ok
+  union all select doc_id, 0, 'supplier_name', p_supplier from parsed where ok
+  union all select doc_id, 0, 'customer_name', p_customer from parsed where ok
+  union all select doc_id, 0, 'total_amount', case when p_amount is not null then format('{AMOUNT2}', p_amount) end
+    from parsed where ok
+  union all select i.doc_id, i.item, i.field, i.value from item_values i join parsed using (doc_id) where ok),
+"""
+    return f"""with recursive {comparisons(before=before, values='flow_values')},
+confident as ({confidence_of(DEFAULT_WEIGHTS)}),
+routed as (
+  select *, case when v % 2 = 1 then 'direct_pdf' else 'hybrid' end mode,
+         concat(document_number, case when v % 2 = 1 then '.pdf' else '.png' end) name,
+         doc_id % 7 = 0 late, (doc_id % 5 + 1)::double score,
+         (p_date is null or p_date = '' or regexp_full_match(p_date, '\\d{{4}}-\\d{{2}}-\\d{{2}}'))::bigint date_ok,
+         (p_amount is null or p_amount >= 0)::bigint amount_ok
+  from parsed),
+rated_flow as (
+  select *, (date_ok + amount_ok) / 2 validation from routed)
+select r.doc_id, mode, name, {round3('strlen(ocr_text) / 1048576.0::double')} size_mb,
+  case when mode='hybrid' then 2::bigint end pages_processed,
+  case when mode='hybrid' then (length(ocr_text) + 1)::bigint end text_length,
+  p_number document_number,
+  case when ok then case mode when 'hybrid' then 'hybrid_ocr_vision' else mode end end recorded_mode,
+  case when mode='hybrid' then overall_confidence end overall_confidence,
+  case when mode='hybrid' then total_fields end total_fields,
+  case when mode='hybrid' then high_confidence end high_confidence,
+  case when ok then date_ok + amount_ok end passed_checks,
+  case when ok then 2::bigint end total_checks,
+  case when ok then
+    case when late then (score/5*0.25::double + score/5*0.25::double + validation*0.15::double) / (0.25::double+0.25::double+0.15::double)
+         else (score/5*0.25::double + score/5*0.25::double + score/5*0.25::double + validation*0.15::double)
+              / (0.25::double+0.25::double+0.25::double+0.15::double) end end overall_score,
+  broken has_error
+from rated_flow r left join confident using (doc_id)
+"""
+
+
 def queries() -> dict[str, str]:
+    """SQL text by query name."""
     ground = comparisons()
-    return {
-        "field_scores": f"with recursive {ground} select * from comparison",
-        "line_item_scores": f"with recursive {ground} select doc_id, item::int item, description_confidence, total_confidence, confidence from item_score",
-        "doc_confidence": f"with recursive {ground} {confidence_of(DEFAULT_WEIGHTS)}",
-        "doc_confidence_weighted": f"with recursive {ground} {confidence_of(CUSTOM_WEIGHTS)}",
-    }
+    sql = {}
+
+    sql["normalize_text"] = f"select doc_id, {norm('text')} normalized from documents"
+    number = r"regexp_extract(replace(t, ',', ''), '[\p{Nd},]+\.?\p{Nd}*')"
+    sql["normalize_amount"] = f"""
+select 'line' source, l_orderkey "key", format('{AMOUNT2}', l_extendedprice * l_discount) normalized from lineitem
+union all
+select 'order', o_orderkey, case when {number} <> '' then format('{AMOUNT2}', cast({number} as double)) else {norm('t')} end
+from (select o_orderkey, case when o_orderkey % 50 = 0 then 'n/a' when o_orderkey % 50 = 1 then ''
+             else concat('USD -', {sep('o_totalprice')}) end t from orders)"""
+    sql["text_preview"] = """
+select doc_id, length(text)::bigint text_length,
+       case when length(text) > 500 then substr(text, 1, 500) || '...' else text end text_preview from documents"""
+    sql["file_info"] = f"""with {PAGE_FILES}
+select page_id, 'in/v1.2/' || name path, name, extension, size_bytes,
+       {round3('size_bytes / 1048576.0::double')} size_mb, is_pdf from typed"""
+    sql["mime_type"] = f"with {PAGE_FILES} select page_id, mime_type from typed"
+    sql["data_uri"] = f"with {PAGE_FILES} select page_id, uri data_uri from sent"
+    sql["route_mode"] = f"""with {PAGE_FILES}
+select page_id, case when is_pdf and page_id % 2 = 0 then 'direct_pdf'
+                     when page_id % 4 = 0 then 'hybrid' else 'text' end route from typed"""
+
+    sql["page_concat"] = """
+select conv_id, count(*)::bigint pages_processed, string_agg(text, chr(10) || chr(10) order by turn) full_text,
+       length(string_agg(text, chr(10) || chr(10) order by turn))::bigint text_length
+from conversations group by conv_id"""
+    sql["page_totals"] = """
+select conv_id, count(*)::bigint pages_processed,
+       length(string_agg(text, chr(10) || chr(10)))::bigint text_length from conversations group by conv_id"""
+    sql["parse_ocr_response"] = """
+select doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::bigint pages_processed,
+       replace(text, chr(10), chr(10) || chr(10)) full_text,
+       length(replace(text, chr(10), chr(10) || chr(10)))::bigint text_length from documents"""
+
+    sql["ocr_request"] = f"""with {PAGE_FILES}
+select page_id, 'model-1' model, document_type, uri document_url, false include_image_base64,
+       concat('{{"model":"model-1","document":{{"type":"', document_type, '","', document_type, '":"', uri,
+              '"}},"include_image_base64":false}}') payload from sent"""
+    sql["extract_request"] = f"""with {INVOICES}, {ROUTED},
+doc_part as (
+  select *, concat('{{"type":"input_text","text":',
+      to_json(concat('Text of the document:', chr(10), ocr_text, chr(10), 'End of the text.')), '}}') text_part from routed)
+select doc_id, mode, 'model-1' model,
+       coalesce(custom, case mode when 'hybrid' then 'Fill the schema from the image; the text only helps reading it.'
+          when 'direct_pdf' then 'Fill the schema from the attached file; leave out what is not stated.'
+          else 'Fill the schema from the document text; leave out what is not stated.' end) instructions,
+       'document_extraction' schema_name, true strict, 0 temperature,
+       case mode when 'text' then concat('[', text_part, ']')
+         when 'hybrid' then concat('[{{"type":"input_image","image_url":"data:image/png;base64,', encoded, '"}},', text_part, ']')
+         else concat('[{{"type":"input_file","filename":"', document_number,
+            '.pdf","file_data":"data:application/pdf;base64,', encoded,
+            '"}},{{"type":"input_text","text":"Fill the schema from the file."}}]') end content
+from doc_part"""
+    record = f"""concat('{{"document_type":"invoice","document_number":"', document_number, '","document_date":', date_json,
+      ',"supplier":', {party('supplier_name')}, ',"customer":', {party('customer_name')},
+      ',"total_amount":{{"amount":', cast(amount as varchar), ',"currency":"USD"}},"line_items":', items_json, '}}')"""
+    sql["judge_request"] = f"""with {INVOICES}, {RECORD_JSON}
+select doc_id, metric, 'Fill the schema from the document.' query,
+       case when metric = 'coherence' then null
+            when v % 3 = 2 then '(the file was read by the model itself)' else ocr_text end context,
+       {record} response
+from record, (values ('groundedness'), ('relevance'), ('coherence')) m(metric)"""
+    sql["export_json"] = f"""with {INVOICES}, {RECORD_JSON}
+select doc_id, concat('{{"document_type":"invoice","document_number":"', document_number, '","document_date":', date_json,
+      ',"supplier":', {party('supplier_name')}, ',"total_amount":{{"amount":', cast(amount as varchar),
+      ',"currency":"USD"}},"line_items":', items_json, '}}') result from record"""
+    sql["response_attach"] = f"""with {INVOICES}
+select o_orderkey doc_id, case when i.doc_id is not null then concat('resp_', cast(i.doc_id as varchar)) end response_id,
+       i.doc_id % 200 + 50 output_tokens
+from orders left join (select doc_id from invoices where doc_id % 11 <> 0) i on i.doc_id = o_orderkey"""
+    sql["model_apply"] = f"""with {INVOICES}
+select doc_id, case when ocr_supplier <> '' then '# INVOICE ' || document_number end response,
+       case when ocr_supplier = '' then 'ValueError: supplier line is blank' end error from invoices"""
+    sql["response_parse"] = f"""with {INVOICES}, {BODIES}
+select doc_id, ok has_record, p_number document_number, p_date document_date, p_supplier supplier_name,
+       p_customer customer_name, p_amount amount, p_currency currency,
+       case when ok then p_items end n_items, p_first_total first_total,
+       'model-1' model, response_id, 'hybrid_ocr_vision' mode, input_tokens, output_tokens,
+       case when broken then body end parse_error from parsed"""
+    declared = "['document_type','document_number','document_date','supplier','customer','total_amount','line_items']"
+    sql["schema_conformance"] = f"""with {INVOICES}, {BODIES},
+members as (
+  select doc_id, '' prefix, json_keys(j) present, {declared} declared from parsed where ok
+  union all
+  select doc_id, p || '.', json_keys(j, '$.' || p), ['name','address','tax_id']
+  from parsed, (values ('supplier'), ('customer')) n(p) where ok and json_type(j, '$.' || p) = 'OBJECT'
+  union all
+  select doc_id, 'total_amount.', json_keys(j, '$.total_amount'), ['amount','currency'] from parsed where ok
+  union all
+  select doc_id, 'line_items[].', json_keys(unnest(json_extract(j, '$.line_items[*]'))),
+         ['description','quantity','unit_price','total'] from parsed where ok),
+problem as (
+  select doc_id, 'missing' kind, prefix || unnest([k for k in declared if not list_contains(present, k)]) path from members
+  union all
+  select doc_id, 'extra', prefix || unnest([k for k in present if not list_contains(declared, k)]) from members
+  union all
+  select doc_id, 'type', 'document_date' from parsed where ok and json_type(j, '$.document_date') not in ('VARCHAR','NULL')
+  union all
+  select doc_id, 'type', 'total_amount.amount' from parsed where ok and json_type(j, '$.total_amount.amount') = 'VARCHAR'),
+listed as (
+  select doc_id, coalesce(string_agg(distinct path, ',' order by path) filter (kind='missing'), '') missing_keys,
+         coalesce(string_agg(distinct path, ',' order by path) filter (kind='extra'), '') extra_keys,
+         coalesce(string_agg(distinct path, ',' order by path) filter (kind='type'), '') wrong_types
+  from problem group by doc_id)
+select doc_id, ok well_formed, coalesce(missing_keys, '') missing_keys, coalesce(extra_keys, '') extra_keys,
+       coalesce(wrong_types, '') wrong_types, ok and listed.doc_id is null conforms
+from parsed left join listed using (doc_id)"""
+    sql["custom_schema"] = f"""with {INVOICES}
+select i.doc_id, 'receipt' schema_name, coalesce(supplier_name, '') store_name, cast(null as varchar) store_address,
+       coalesce(document_date, '') date, n_items::bigint n_items, f.description first_item, amount total,
+       cast(null as varchar) parse_error
+from invoices i left join items f on f.doc_id = i.doc_id and f.item = 1"""
+
+    sql["text_similarity"] = f"""with recursive {INVOICES}, {PAIRS},
+sides as (select *, {norm('a')} na, {norm('b')} nb from pairs),
+known as (
+  select *, case when coalesce(a,'') = '' and coalesce(b,'') = '' then 1.0
+                 when coalesce(a,'') = '' or coalesce(b,'') = '' then 0.0
+                 when na = nb then 1.0 when contains(na, nb) or contains(nb, na) then 0.95 end::double fixed
+  from sides),
+open as (select na a, nb b from known where fixed is null),
+{ratio_of('open')}
+select doc_id, kind, coalesce(fixed, ratio) similarity
+from known left join rated on fixed is null and rated.a = na and rated.b = nb"""
+    sql["gestalt_ratio"] = f"""with recursive {INVOICES}, {PAIRS},
+open as (select a, b from pairs where a <> '' and b <> ''),
+{ratio_of('open')}
+select doc_id, kind, case when p.a is null or p.b is null then null when p.a = '' and p.b = '' then 1.0
+                          when p.a = '' or p.b = '' then 0.0 else ratio end ratio
+from pairs p left join rated r on r.a = p.a and r.b = p.b"""
+    sql["find_exact"] = f"""
+with vals as (
+  select doc_id, text, 'last line' kind, string_split(text, chr(10))[-1] value from documents
+  union all select doc_id, text, 'origin', concat_ws(' ', lang, source) from documents)
+select doc_id, kind, value is null or value = '' or contains({norm('text')}, {norm('value')}) found from vals"""
+    for name, t in (("find_fuzzy", 0.8), ("find_fuzzy_t07", 0.7)):
+        sql[name] = f"""with recursive {INVOICES}, {INVOICE_TEXTS}, {SCALAR_VALUES},
+named_values as (select * from scalar_values where field in {FIND_NAMES}),
+{grounded('texts', 'named_values', t)}
+select doc_id, field, found, raw confidence from scored"""
+    sql["field_scores"] = f"with recursive {ground} select * from comparison"
+    sql["line_item_scores"] = f"""with recursive {ground}
+select doc_id, item::int item, description_confidence, total_confidence, confidence from item_score"""
+    sql["doc_confidence"] = f"with recursive {ground} {confidence_of(DEFAULT_WEIGHTS)}"
+    sql["doc_confidence_weighted"] = f"with recursive {ground} {confidence_of(CUSTOM_WEIGHTS)}"
+    sql["confidence_report"] = f"""with recursive {ground}, confident as ({confidence_of(DEFAULT_WEIGHTS)})
+select doc_id, overall_confidence, 'ocr_extraction_comparison' "method",
+       max(case when field='supplier_name' then note end) supplier_note,
+       max(case when field='total_amount' then confidence end) total_confidence,
+       max(case when field='line_items' then extracted end) items_extracted, total_fields, low_confidence
+from confident join comparison using (doc_id) group by all"""
+    sql["field_quality"] = f"""with recursive {ground}
+select field, count(*)::bigint documents,
+       cast(sum(cast(confidence as decimal(10,3))) as double) / count(*) mean_confidence,
+       count(*) filter (not found_in_ocr)::bigint not_found,
+       count(*) filter (confidence >= 0.9)::bigint high_confidence,
+       count(*) filter (confidence >= 0.5 and confidence < 0.9)::bigint medium_confidence,
+       count(*) filter (confidence < 0.5)::bigint low_confidence
+from comparison group by field"""
+
+    sql["validate_date"] = """
+with given as (
+  select o_orderkey doc_id, case o_orderkey % 6 when 0 then strftime(o_orderdate, '%Y-%m-%d')
+         when 1 then strftime(o_orderdate, '%d/%m/%Y') when 2 then '2024-99-99' when 3 then '' when 4 then null
+         else strftime(o_orderdate, '%Y-%-m-%-d') end d from orders)
+select doc_id, coalesce(d = '' or regexp_full_match(d, '\\d{4}-\\d{2}-\\d{2}'), true) valid,
+       case when coalesce(d, '') = '' then 'No date provided (optional)'
+            when regexp_full_match(d, '\\d{4}-\\d{2}-\\d{2}') then 'Valid format'
+            else 'Invalid format: ' || d end message from given""".replace("\\\\", "\\")
+    sql["validate_amount"] = f"""with {SIGNED_TOTAL}
+select doc_id, total is null or (total >= 0 and not isnan(total)) valid,
+       case when total is null then 'No amount provided (optional)'
+            when total >= 0 and not isnan(total) then 'Valid amount: ' || cast(total as varchar)
+            else 'Negative amount: ' || cast(total as varchar) end message from signed"""
+    sql["validation_score"] = f"""with {SIGNED_TOTAL},
+checked as (
+  select doc_id, case when doc_id % 3 = 0 then 0 else 1 end + case when total >= 0 and not isnan(total) then 1 else 0 end passed,
+         case when total is null then 1 else 2 end total_checks from signed)
+select doc_id, total_checks::bigint total_checks, passed::bigint passed_checks,
+       (total_checks - passed)::bigint failed_checks, passed / total_checks validation_score from checked"""
+    sql["judge_scores"] = f"""with {JUDGE_ROWS}
+select doc_id, metric, score, error, case when score >= 3 then 'pass' when score is not null then 'fail' end result,
+       case when error is not null then 'error' when score >= 4 then 'ok' else 'check' end band from judge"""
+    third = "(case doc_id % 3 when 0 then 1.0 when 1 then 0.5 else 0.0 end)::double"
+    sql["overall_quality"] = f"""with {JUDGE_ROWS}
+select doc_id, groundedness, relevance, coherence,
+       case when labelled then (groundedness/5*0.25::double + relevance/5*0.25::double + coherence/5*0.25::double + {third}*0.15::double)
+              / (0.25::double + 0.25::double + 0.25::double + 0.15::double)
+            else (coherence/5*0.25::double + {third}*0.15::double) / (0.25::double + 0.15::double) end overall_score
+from per_doc"""
+    sql["diagnose"] = f"""with {JUDGE_ROWS},
+matched as (select *, [1.0, 0.85, 0.0, 0.97, 0.4][cast(doc_id // 5 % 5 as int) + 1] f from per_doc),
+found as (
+  select doc_id, case
+    when f = 1 and groundedness = 5 and relevance = 5 and coherence = 5 then 'perfect'
+    when f >= 0.7 and f < 1 and groundedness = 5 and relevance = 5 and coherence = 5 then 'minor OCR issue'
+    when f = 0 and groundedness = 5 and relevance = 5 and coherence = 5 then 'reformatted'
+    when f = 1 and groundedness = 5 and relevance <= 2 and coherence = 5 then 'wrong field'
+    when f = 1 and groundedness = 5 and relevance = 5 and coherence <= 2 then 'bad JSON'
+    when f = 0 and groundedness <= 2 then 'hallucination' else 'unclassified' end diagnosis from matched)
+select doc_id, diagnosis, case diagnosis when 'perfect' then 'trust the result' when 'minor OCR issue' then 'acceptable'
+   when 'reformatted' then 'acceptable' when 'wrong field' then 'review schema or instructions'
+   when 'bad JSON' then 'check schema' when 'hallucination' then 'reject' else 'inspect' end action from found"""
+
+    sql["mode_compare"] = f"""with {MODE_RUNS}
+select doc_id, max(input_tokens) filter (mode='hybrid') hybrid_tokens,
+       max(overall_confidence) filter (mode='hybrid') hybrid_confidence,
+       max(input_tokens) filter (mode='text_only') text_only_tokens,
+       max(overall_confidence) filter (mode='text_only') text_only_confidence from runs group by doc_id"""
+    sql["token_usage"] = f"""with {MODE_RUNS}
+select model, mode, count(*)::bigint extractions, sum(input_tokens)::bigint input_tokens,
+       sum(output_tokens)::bigint output_tokens, sum(input_tokens)::bigint / count(*) mean_input_tokens
+from runs group by model, mode"""
+    sql["judge_token_usage"] = f"""with {JUDGE_ROWS}
+select metric, sum(n_chars // 4)::bigint prompt_tokens, sum(doc_id % 50 + 10)::bigint completion_tokens,
+       sum(n_chars // 4 + doc_id % 50 + 10)::bigint total_tokens from judge group by metric"""
+    sql["report"] = f"""with recursive {ground}, confident as ({confidence_of(DEFAULT_WEIGHTS)})
+select doc_id, 'invoice' document_type, document_number, coalesce(document_date, 'N/A') document_date, amount,
+       'USD' currency, overall_confidence, format('{DOT1}%', overall_confidence * 100::double) confidence_text,
+       high_confidence, medium_confidence, low_confidence, n_items::bigint n_items
+from confident join invoices using (doc_id)"""
+    sql["line_item_listing"] = f"""with {INVOICES}
+select doc_id, item::int item, substr(description, 1, 40) || '...' description, total from items"""
+    sql["score_bands"] = f"""with recursive {ground}, confident as ({confidence_of(DEFAULT_WEIGHTS)})
+select doc_id, field,
+       case when confidence >= 0.9 then 'high' when confidence >= 0.5 then 'medium' else 'low' end field_band,
+       case when overall_confidence >= 0.9 then 'excellent' when overall_confidence >= 0.8 then 'good'
+            when overall_confidence >= 0.7 then 'fair' else 'poor' end overall_band
+from comparison join confident using (doc_id)"""
+    sql["document_results"] = flow()
+    return sql
