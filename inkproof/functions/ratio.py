@@ -15,12 +15,15 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MEMO_ENTRIES = 1 << 17
+_LETTER_BUCKETS = 64  # letters sharing a bucket only loosen the bound
+_BLOCK_WORDS = 1 << 15  # text words looked at together, which bounds the memory
 
 
 def gestalt_ratio(a: Column, b: Column) -> Column:
@@ -37,38 +40,65 @@ def gestalt_ratio(a: Column, b: Column) -> Column:
     return F.arrow_udf(ratio_batches, T.DoubleType())(a, b)
 
 
-def best_ratios(values: Column, candidates: Column, threshold: float) -> Column:
-    """Best ratio per value word against that word's own candidate list.
+def best_ratios(
+    values: Column, text_words: Column, threshold: float, prune: bool = True
+) -> Column:
+    """Best ratio of each value word against the words of its own row's text.
 
-    Scores below the threshold never count, so they may come back as 0.0.
+    Scores below the threshold never count, so they may come back as 0.0.  Two
+    lossless bounds keep the matcher away from hopeless words: one from the
+    lengths, one from the letters both sides share.  ``prune=False`` compares
+    every pair, for tests.
 
     Declared non-deterministic, which it is not, as a barrier: otherwise any
     filter on a score is pushed below it, with the whole scoring inlined.
     """
+    buckets, block = _LETTER_BUCKETS, _BLOCK_WORDS
 
     def best_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ratio = lru_cache(_MEMO_ENTRIES)(lambda x, y: SequenceMatcher(None, x, y).ratio())
-        letters = lru_cache(_MEMO_ENTRIES)(frozenset)
-
-        def best(word: str, options: list[str]) -> float:
-            top, mine = 0.0, letters(word)
-            for other in options:
-                theirs = letters(other)
-                # only letters that both sides have can match
-                shared = min(sum(c in theirs for c in word), sum(c in mine for c in other))
-                bound = 2.0 * shared / (len(word) + len(other))
-                if bound >= threshold and bound > top:
-                    top = max(top, ratio(word, other))
+
+        def letter_counts(words, lengths):
+            letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32) % buckets
+            slots = np.repeat(np.arange(len(words)), lengths) * buckets + letters
+            counts = np.bincount(slots, minlength=len(words) * buckets)
+            return counts.reshape(-1, buckets).astype(np.int32)
+
+        def best_of(words, others):
+            if not prune:
+                return [max((ratio(w, o) for o in others), default=0.0) for w in words]
+            top = [0.0] * len(words)
+            sizes = np.array([len(w) for w in words])
+            mine = letter_counts(words, sizes)
+            others = sorted(others, key=len)
+            for start in range(0, len(others), block):
+                part = others[start : start + block]
+                lengths = np.array([len(o) for o in part])
+                theirs = letter_counts(part, lengths)
+                for i, word in enumerate(words):
+                    low, high = 0, len(part)
+                    if threshold > 0:  # 2 * min / (a + b) must be able to reach it
+                        low = np.searchsorted(
+                            lengths, sizes[i] * threshold / (2 - threshold) - 1e-6
+                        )
+                        high = np.searchsorted(
+                            lengths, sizes[i] * (2 - threshold) / threshold + 1e-6, "right"
+                        )
+                    shared = np.minimum(theirs[low:high], mine[i]).sum(axis=1)
+                    bounds = 2.0 * shared / (lengths[low:high] + sizes[i])
+                    hopeful = np.flatnonzero((bounds >= threshold) & (bounds > top[i]))
+                    for j in hopeful[np.argsort(-bounds[hopeful], kind="stable")]:
+                        if bounds[j] <= top[i]:
+                            break
+                        top[i] = max(top[i], ratio(word, part[low + j]))
             return top
 
-        for words, options in batches:
+        for values_batch, words_batch in batches:
+            rows = zip(values_batch.to_pylist(), words_batch.to_pylist())
             yield pa.array(
-                [
-                    [best(w, o) for w, o in zip(ws, os)]
-                    for ws, os in zip(words.to_pylist(), options.to_pylist())
-                ],
+                [best_of(values, words) if values else [] for values, words in rows],
                 pa.list_(pa.float64()),
             )
 
     best_udf = F.arrow_udf(best_batches, T.ArrayType(T.DoubleType())).asNondeterministic()
-    return best_udf(values, candidates)
+    return best_udf(values, text_words)

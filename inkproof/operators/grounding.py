@@ -7,7 +7,7 @@ unresolved reach the Arrow function:
 
 1. null and empty values, and values contained in the text, are settled;
 2. words of the remaining values that occur in the text are settled (ratio 1);
-3. for the rest, only text words within the lossless length band are kept.
+3. for the rest, words of the text that cannot reach the threshold are skipped.
 
 ``ground`` leaves two array columns, ``comparisons`` (one entry per field) and
 ``item_scores`` (one per line item); the functions below unpack or fold them.
@@ -48,9 +48,6 @@ HIGH_CONFIDENCE = 0.9
 MEDIUM_CONFIDENCE = 0.5
 # -----------------------------------------------------------------------------
 
-# Widens the floating-point length band so that rounding can never lose a pair.
-_BAND_SLACK = 1e-9
-
 
 @dataclass(frozen=True)
 class Field:
@@ -93,14 +90,6 @@ def found_exactly(value_text: Column, normalized_value: Column, normalized_text:
     )
 
 
-def within_length_band(a: Column, b: Column, threshold: float) -> Column:
-    """True unless the lengths alone keep the ratio of ``a`` and ``b`` under the threshold."""
-    if threshold <= 0:
-        return F.lit(True)
-    best_possible = F.lit(2.0) * F.least(F.length(a), F.length(b))
-    return best_possible >= F.lit(threshold - _BAND_SLACK) * (F.length(a) + F.length(b))
-
-
 def _probe(value: Column, is_amount: bool = False) -> Column:
     """struct<value, norm>; the text of an amount is already in normal form."""
     text = field_text(value, is_amount)
@@ -154,22 +143,10 @@ def _with_search(docs: DataFrame, text: str, threshold: float, prune: bool) -> D
             F.array().cast("array<string>")
         ),
     ).drop(text)
-    unresolved = worded.withColumn("_open", F.array_except("_wanted", "_text_words")).drop("_wanted")
-
-    def options(word: Column) -> Column:
-        if not prune:
-            return F.col("_text_words")
-        return F.filter("_text_words", lambda other: within_length_band(word, other, threshold))
-
-    candidates = unresolved.withColumn("_options", F.transform("_open", options)).drop("_text_words")
-    # Reading _options twice keeps it in a projection of its own: nested lambdas
-    # that the optimizer inlines into an Arrow function's arguments cannot run.
-    found = F.when(
-        F.size("_options") > 0,
-        ratio.best_ratios(F.col("_open"), F.col("_options"), threshold),
-    )
-    return candidates.withColumn("best", F.map_from_arrays(F.col("_open"), found)).drop(
-        "_open", "_options"
+    unresolved = worded.withColumn("_open", F.array_except("_wanted", "_text_words"))
+    best = ratio.best_ratios(F.col("_open"), F.col("_text_words"), threshold, prune)
+    return unresolved.withColumn("best", F.map_from_arrays(F.col("_open"), best)).drop(
+        "_wanted", "_text_words", "_open"
     )
 
 
@@ -248,8 +225,8 @@ def ground(
 ) -> DataFrame:
     """Ground every field of every record in the text of the same row.
 
-    Returns ``keys``, ``comparisons`` and ``item_scores``.  ``prune=False`` sends
-    every text word to the matcher; results are the same, it exists for tests.
+    Returns ``keys``, ``comparisons`` and ``item_scores``.  ``prune=False`` compares
+    every pair of words; results are the same, it exists for tests.
     """
     scalar = [_probe(F.col(f.value), f.is_amount) for f in fields]
     probes = F.array(*scalar)
@@ -326,6 +303,7 @@ def find_values(
     keys: Sequence[str],
     text: str,
     threshold: float = DEFAULT_THRESHOLD,
+    prune: bool = True,
 ) -> DataFrame:
     """Look up an array of values per row: ``keys``, ``position``, ``value``, ``found``, ``confidence``.
 
@@ -334,7 +312,7 @@ def find_values(
     prepared = docs.select(
         *keys, F.col(text), F.transform(values, lambda v: _probe(v)).alias("probes")
     )
-    searched = _with_search(prepared, text, threshold, prune=True)
+    searched = _with_search(prepared, text, threshold, prune)
     verdicts = F.transform("probes", lambda p: _verdict(p, F.col("best"), threshold))
     found = searched.select(*keys, F.posexplode_outer(verdicts).alias("position", "v"))
     return found.where(F.col("position").isNotNull()).select(
