@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 _MEMO_ENTRIES = 1 << 17
 _LETTER_BUCKETS = 64  # letters sharing a bucket only loosen the bound
+_FEW_PAIRS = 512  # below this the arrays cost more than they save
 _BLOCK_WORDS = 1 << 15  # text words looked at together, which bounds the memory
 
 
@@ -53,7 +54,7 @@ def best_ratios(
     Declared non-deterministic, which it is not, as a barrier: otherwise any
     filter on a score is pushed below it, with the whole scoring inlined.
     """
-    buckets, block = _LETTER_BUCKETS, _BLOCK_WORDS
+    buckets, block, few, memo = _LETTER_BUCKETS, _BLOCK_WORDS, _FEW_PAIRS, _MEMO_ENTRIES
 
     def best_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ratio = lru_cache(_MEMO_ENTRIES)(lambda x, y: SequenceMatcher(None, x, y).ratio())
@@ -64,9 +65,31 @@ def best_ratios(
             counts = np.bincount(slots, minlength=len(words) * buckets)
             return counts.reshape(-1, buckets).astype(np.int32)
 
+        @lru_cache(memo)
+        def letter_mask(word):
+            mask = 0
+            for letter in word:
+                mask |= 1 << ord(letter) % buckets
+            return mask
+
+        def best_of_few(word, others):
+            top, mine = 0.0, letter_mask(word)
+            for other in others:
+                theirs = letter_mask(other)
+                shared = min(
+                    len(word) - (mine & ~theirs).bit_count(),
+                    len(other) - (theirs & ~mine).bit_count(),
+                )
+                bound = 2.0 * shared / (len(word) + len(other))
+                if bound >= threshold and bound > top:
+                    top = max(top, ratio(word, other))
+            return top
+
         def best_of(words, others):
             if not prune:
                 return [max((ratio(w, o) for o in others), default=0.0) for w in words]
+            if len(words) * len(others) <= few:
+                return [best_of_few(w, others) for w in words]
             top = [0.0] * len(words)
             sizes = np.array([len(w) for w in words])
             mine = letter_counts(words, sizes)

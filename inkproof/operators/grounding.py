@@ -6,9 +6,12 @@ scores.  Work is narrowed step by step, so that only the words that are truly
 unresolved reach the Arrow function:
 
 1. null and empty values, and values contained in the text, are settled;
-2. words of the remaining values that occur in the text are settled (ratio 1);
+2. words of the missed values that occur in the text are settled (ratio 1);
 3. for the rest, words of the text that cannot reach the threshold are skipped.
 
+The verdict depends on the value alone, so each distinct missed value of a row is
+judged once and looked up wherever it occurs; a row without misses costs nothing more.
+
 ``ground`` leaves two array columns, ``comparisons`` (one entry per field) and
 ``item_scores`` (one per line item); the functions below unpack or fold them.
 """
@@ -90,68 +93,33 @@ def found_exactly(value_text: Column, normalized_value: Column, normalized_text:
     )
 
 
-def _probe(value: Column, is_amount: bool = False) -> Column:
-    """struct<value, norm>; the text of an amount is already in normal form."""
-    text = field_text(value, is_amount)
-    if is_amount:
-        return F.get(
-            F.transform(
-                F.array(text),
-                lambda t: F.struct(t.alias("value"), F.coalesce(t, F.lit("")).alias("norm")),
-            ),
-            F.lit(0),
-        )
-    return F.struct(text.alias("value"), normalize(text).alias("norm"))
+def _missed(value: Column, normalized_value: Column, normalized_text: Column) -> Column:
+    return ~F.coalesce(found_exactly(value, normalized_value, normalized_text), F.lit(True))
 
 
-def _with_search(docs: DataFrame, text: str, threshold: float, prune: bool) -> DataFrame:
-    """``probes`` (array<struct<value, norm>>) -> ``probes`` with ``exact`` and ``words``,
-    plus ``best``: a map from each unresolved word to its best ratio in the text."""
-    passed = [c for c in docs.columns if c not in ("probes", text)]
-    searched = docs.withColumn(text, normalize(F.col(text))).select(
-        *passed,
-        text,
-        F.transform(
-            "probes",
-            lambda p: F.struct(
-                p["value"].alias("value"),
-                found_exactly(p["value"], p["norm"], F.col(text)).alias("exact"),
-                p["norm"].alias("norm"),
-            ),
-        ).alias("probes"),
-    )
-    split = searched.withColumn(
-        "probes",
-        F.transform(
-            "probes",
-            lambda p: F.struct(
-                p["value"].alias("value"),
-                p["exact"].alias("exact"),
-                F.when(~p["exact"], words(p["norm"]))
-                .otherwise(F.array().cast("array<string>"))
-                .alias("words"),
-            ),
-        ),
-    )
-    wanted = split.withColumn(
-        "_wanted", F.array_distinct(F.flatten(F.transform("probes", lambda p: p["words"])))
-    )
+def _judge_missed(docs: DataFrame, text: str, threshold: float, prune: bool) -> DataFrame:
+    """Replace ``text`` (normalised) and ``_missed`` (values not contained in it) by
+    ``_verdicts``: map from each missed value to struct<found, raw, confidence>."""
+    passed = [c for c in docs.columns if c not in (text, "_missed")]
+    none = F.array().cast("array<string>")
+    split = docs.withColumn("_words", F.transform("_missed", lambda v: words(normalize(v))))
     # the text is split only for rows that still look for something
-    worded = wanted.withColumn(
-        "_text_words",
-        F.when(F.size("_wanted") > 0, F.array_distinct(words(F.col(text)))).otherwise(
-            F.array().cast("array<string>")
-        ),
-    ).drop(text)
-    unresolved = worded.withColumn("_open", F.array_except("_wanted", "_text_words"))
+    text_words = F.when(F.size("_missed") > 0, F.array_distinct(words(F.col(text)))).otherwise(none)
+    worded = split.select(*passed, "_missed", "_words", text_words.alias("_text_words"))
+    unresolved = worded.withColumn(
+        "_open", F.array_except(F.array_distinct(F.flatten("_words")), F.col("_text_words"))
+    )
     best = ratio.best_ratios(F.col("_open"), F.col("_text_words"), threshold, prune)
-    return unresolved.withColumn("best", F.map_from_arrays(F.col("_open"), best)).drop(
-        "_wanted", "_text_words", "_open"
+    searched = unresolved.withColumn("_best", F.map_from_arrays(F.col("_open"), best))
+    judged = F.transform("_words", lambda ws: _verdict(ws, F.col("_best"), threshold))
+    return searched.select(
+        *passed,
+        F.when(F.size("_missed") > 0, F.map_from_arrays(F.col("_missed"), judged)).alias("_verdicts"),
     )
 
 
-def _verdict(probe: Column, best: Column, threshold: float) -> Column:
-    """struct<value, found, raw> of one probe; ``raw`` is the unrounded confidence."""
+def _verdict(value_words: Column, best: Column, threshold: float) -> Column:
+    """struct<found, raw, confidence> of one missed value; only ``confidence`` is rounded."""
     start = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("total"))
 
     def add(state: Column, word: Column) -> Column:
@@ -163,21 +131,24 @@ def _verdict(probe: Column, best: Column, threshold: float) -> Column:
         )
 
     def finish(state: Column) -> Column:
-        n = F.size(probe["words"])
-        settled = n == 0
+        n = F.size(value_words)
         return F.struct(
-            probe["value"].alias("value"),
-            (settled | (state["hits"] == n)).alias("found"),
-            F.when(settled, 1.0)
+            (state["hits"] == n).alias("found"),
+            F.when(n == 0, 1.0)
             .when(state["hits"] == 0, 0.0)
-            .otherwise(state["total"] / n)
+            .otherwise(F.try_divide(state["total"], n))
             .alias("raw"),
         )
 
-    exact = F.struct(
-        probe["value"].alias("value"), F.lit(True).alias("found"), F.lit(1.0).alias("raw")
-    )
-    return F.when(probe["exact"], exact).otherwise(F.aggregate(probe["words"], start, add, finish))
+    def rounded(verdict: Column) -> Column:
+        return F.struct(
+            verdict["found"].alias("found"),
+            verdict["raw"].alias("raw"),
+            _rounded(verdict["raw"]).alias("confidence"),
+        )
+
+    folded = F.aggregate(value_words, start, add, finish)
+    return F.get(F.transform(F.array(folded), rounded), F.lit(0))
 
 
 def _rounded(raw: Column) -> Column:
@@ -185,31 +156,33 @@ def _rounded(raw: Column) -> Column:
     return F.when((raw == 1.0) | (raw == 0.0), raw).otherwise(round_exact(raw))
 
 
-def _comparison(name: Column, verdict: Column) -> Column:
+def _confidence(verdict: Column) -> Column:
+    return F.coalesce(verdict["confidence"], F.lit(1.0))
+
+
+def _comparison(name: str, value: Column, verdict: Column) -> Column:
+    raw, found = F.coalesce(verdict["raw"], F.lit(1.0)), F.coalesce(verdict["found"], F.lit(True))
     return F.struct(
-        name.alias("field"),
-        verdict["value"].alias("extracted"),
-        verdict["found"].alias("found_in_ocr"),
-        _rounded(verdict["raw"]).alias("confidence"),
-        F.when(verdict["value"].isNull(), NOTE_NULL)
-        .when(verdict["raw"] == 1.0, NOTE_EXACT)
-        .when(verdict["found"], NOTE_FUZZY)
+        F.lit(name).alias("field"),
+        value.alias("extracted"),
+        found.alias("found_in_ocr"),
+        _confidence(verdict).alias("confidence"),
+        F.when(value.isNull(), NOTE_NULL)
+        .when(raw == 1.0, NOTE_EXACT)
+        .when(found, NOTE_FUZZY)
         .otherwise(NOTE_MISSING)
         .alias("note"),
     )
 
 
-def _items_comparison(n_items: Column, scores: Column, threshold: float) -> Column:
-    mean = F.aggregate(scores, F.lit(0.0), lambda total, s: total + s["confidence"]) / F.size(scores)
-    return F.transform(
-        F.array(mean),
-        lambda m: F.struct(
-            F.lit(ITEMS_FIELD).alias("field"),
-            F.concat(n_items.cast("string"), F.lit(" items")).alias("extracted"),
-            (m > threshold).alias("found_in_ocr"),
-            _rounded(m).alias("confidence"),
-            F.concat(F.lit("average across "), n_items.cast("string"), F.lit(" items")).alias("note"),
-        ),
+def _items_comparison(mean: Column, n_items: Column, threshold: float) -> Column:
+    count = n_items.cast("string")
+    return F.struct(
+        F.lit(ITEMS_FIELD).alias("field"),
+        F.concat(count, F.lit(" items")).alias("extracted"),
+        (mean > threshold).alias("found_in_ocr"),
+        _rounded(mean).alias("confidence"),
+        F.concat(F.lit("average across "), count, F.lit(" items")).alias("note"),
     )
 
 
@@ -228,71 +201,75 @@ def ground(
     Returns ``keys``, ``comparisons`` and ``item_scores``.  ``prune=False`` compares
     every pair of words; results are the same, it exists for tests.
     """
-    scalar = [_probe(F.col(f.value), f.is_amount) for f in fields]
-    probes = F.array(*scalar)
-    n_scalar = len(scalar)
-    if items is not None:
+    none = F.array().cast("array<string>")
+    values = [f"_value_{i}" for i in range(len(fields))]
+    if items is None:
+        n_items, descriptions, totals = F.lit(0), none, none
+    else:
+        n_items = F.coalesce(F.size(items.column), F.lit(0))
         records = F.filter(
             F.coalesce(F.col(items.column), F.array()), lambda item: item.isNotNull()
         )
-        item_probes = F.flatten(
-            F.transform(
-                records,
-                lambda item: F.array(
-                    _probe(item[items.description]),
-                    _probe(item[items.total], is_amount=True),
-                ),
-            )
-        )
-        probes = F.concat(probes, item_probes)
-        n_items = F.coalesce(F.size(items.column), F.lit(0))
-    else:
-        n_items = F.lit(0)
-    prepared = docs.select(*keys, F.col(text), n_items.alias("_n_items"), probes.alias("probes"))
-    searched = _with_search(prepared, text, threshold, prune)
-    judged = searched.select(
+        descriptions = records[items.description].cast("array<string>")
+        totals = F.transform(records[items.total], lambda t: field_text(t, is_amount=True))
+    prepared = docs.select(
         *keys,
-        "_n_items",
-        F.transform("probes", lambda p: _verdict(p, F.col("best"), threshold)).alias("_verdicts"),
+        normalize(F.col(text)).alias("_text"),
+        *[field_text(F.col(f.value), f.is_amount).alias(v) for f, v in zip(fields, values)],
+        n_items.alias("_n_items"),
+        descriptions.alias("_descriptions"),
+        totals.alias("_totals"),
     )
-    names = F.array(*[F.lit(f.name) for f in fields])
-    scored = judged.select(
-        *keys,
-        "_n_items",
-        F.zip_with(names, F.slice("_verdicts", 1, n_scalar), _comparison).alias("_scalars"),
-        F.transform(
-            F.slice("_verdicts", n_scalar + 1, F.greatest(F.size("_verdicts"), F.lit(1))),
-            lambda v: _rounded(v["raw"]),
-        ).alias("_item_parts"),
+    source = F.col("_text")
+    missed_fields = [
+        # the text of an amount is already in normal form
+        F.when(_missed(F.col(v), F.col(v) if f.is_amount else normalize(F.col(v)), source), F.col(v))
+        for f, v in zip(fields, values)
+    ]
+    missed = F.concat(
+        F.array_compact(F.array(*missed_fields)) if missed_fields else none,
+        F.filter("_descriptions", lambda d: _missed(d, normalize(d), source)),
+        F.filter("_totals", lambda t: _missed(t, t, source)),
     )
-    item_scores = F.transform(
-        F.sequence(F.lit(1), F.floor(F.size("_item_parts") / 2).cast("int"), F.lit(1)),
-        lambda i: F.struct(
-            i.alias("item"),
-            F.element_at("_item_parts", i * 2 - 1).alias("description_confidence"),
-            F.element_at("_item_parts", i * 2).alias("total_confidence"),
-            (
-                (F.element_at("_item_parts", i * 2 - 1) + F.element_at("_item_parts", i * 2)) / 2
-            ).alias("confidence"),
-        ),
+    sought = prepared.withColumn("_missed", F.array_distinct(missed))
+    judged = _judge_missed(sought, "_text", threshold, prune)
+    verdicts = F.col("_verdicts")
+    item_means = F.zip_with(
+        "_descriptions",
+        "_totals",
+        lambda d, t: (_confidence(verdicts[d]) + _confidence(verdicts[t])) / 2,
     )
-    itemised = scored.select(
-        *keys,
-        "_n_items",
-        "_scalars",
-        F.when(F.size("_item_parts") > 0, item_scores).alias("item_scores"),
+    n_records = F.size("_descriptions")
+    mean = (
+        F.when(n_records == 0, None)
+        .when(verdicts.isNull(), 1.0)
+        .otherwise(F.try_divide(F.aggregate(item_means, F.lit(0.0), lambda a, x: a + x), n_records))
+    )
+    averaged = judged.withColumn("_mean", mean)
+    scalars = F.array(
+        *[_comparison(f.name, F.col(v), verdicts[F.col(v)]) for f, v in zip(fields, values)]
     )
-    return itemised.select(
+    with_items = F.concat(
+        scalars, F.array(_items_comparison(F.col("_mean"), F.col("_n_items"), threshold))
+    )
+    scored = F.transform(
+        F.arrays_zip(F.col("_descriptions").alias("d"), F.col("_totals").alias("t")),
+        lambda parts, i: _item_score(i + 1, verdicts[parts["d"]], verdicts[parts["t"]]),
+    )
+    return averaged.select(
         *keys,
-        F.when(
-            F.col("item_scores").isNotNull(),
-            F.concat(
-                "_scalars", _items_comparison(F.col("_n_items"), F.col("item_scores"), threshold)
-            ),
-        )
-        .otherwise(F.col("_scalars"))
-        .alias("comparisons"),
-        "item_scores",
+        F.when(F.col("_mean").isNull(), scalars).otherwise(with_items).alias("comparisons"),
+        F.when(n_records > 0, scored).alias("item_scores"),
+    )
+
+
+def _item_score(item: Column, description: Column, total: Column) -> Column:
+    parts = _confidence(description), _confidence(total)
+    return F.struct(
+        item.alias("item"),
+        parts[0].alias("description_confidence"),
+        parts[1].alias("total_confidence"),
+        ((parts[0] + parts[1]) / 2).alias("confidence"),
     )
 
 
@@ -309,18 +286,18 @@ def find_values(
 
     The confidence is not rounded here.
     """
-    prepared = docs.select(
-        *keys, F.col(text), F.transform(values, lambda v: _probe(v)).alias("probes")
-    )
-    searched = _with_search(prepared, text, threshold, prune)
-    verdicts = F.transform("probes", lambda p: _verdict(p, F.col("best"), threshold))
-    found = searched.select(*keys, F.posexplode_outer(verdicts).alias("position", "v"))
-    return found.where(F.col("position").isNotNull()).select(
+    prepared = docs.select(*keys, F.col(values).alias("_values"), normalize(F.col(text)).alias("_text"))
+    missed = F.filter("_values", lambda v: _missed(v, normalize(v), F.col("_text")))
+    sought = prepared.withColumn("_missed", F.array_distinct(missed))
+    judged = _judge_missed(sought, "_text", threshold, prune)
+    listed = judged.select(*keys, "_verdicts", F.posexplode_outer("_values").alias("position", "value"))
+    verdict = F.col("_verdicts")[F.col("value")]
+    return listed.where(F.col("position").isNotNull()).select(
         *keys,
-        F.col("position"),
-        F.col("v.value").alias("value"),
-        F.col("v.found").alias("found"),
-        F.col("v.raw").alias("confidence"),
+        "position",
+        "value",
+        F.coalesce(verdict["found"], F.lit(True)).alias("found"),
+        F.coalesce(verdict["raw"], F.lit(1.0)).alias("confidence"),
     )
 
 

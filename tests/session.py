@@ -15,6 +15,8 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        # scoring is bound by the CPU: keep small shuffle partitions apart
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64kb")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -37,7 +37,7 @@ def _grounded(spark: SparkSession, sf: str, **options) -> DataFrame:
 
 @_query
 def normalize_text(spark, sf):
-    docs = frames.table(spark, sf, "documents")
+    docs = frames.documents(spark, sf)
     return docs.select("doc_id", text.normalize(F.col("text")).alias("normalized"))
 
 
@@ -295,7 +295,7 @@ def gestalt_ratio(spark, sf):
 
 @_query
 def find_exact(spark, sf):
-    docs = frames.table(spark, sf, "documents")
+    docs = frames.documents(spark, sf)
     last_line = F.element_at(F.split("text", "\n"), -1)
     values = F.array(
         F.struct(F.lit("last line").alias("kind"), last_line.alias("value")),
@@ -335,7 +335,7 @@ def find_fuzzy_t07(spark, sf):
 @_query
 def find_fuzzy_documents(spark, sf):
     first_line = F.element_at(F.split("text", "\n"), 1)
-    docs = frames.table(spark, sf, "documents").select(
+    docs = frames.documents(spark, sf).select(
         "doc_id", "text", F.array(F.translate(first_line, "e", "c")).alias("values")
     )
     return grounding.find_values(docs, "values", keys=["doc_id"], text="text").select(

@@ -28,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores if they come in fewer files than there are cores.
+
+    Text work is bound by the CPU, and one small file is one task; a large table
+    has many files and is not shuffled.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+
+
 def money(x: Column) -> Column:
     return x.cast("decimal(18,2)").cast("string")
 
