@@ -63,6 +63,24 @@ def fixed_text(x: Column, digits: int = 2) -> Column:
     )
 
 
+def compensated_sum(values: Column) -> Column:
+    """Sum of an array of doubles in its order, carrying the rounding error of each step.
+
+    The recorded results were summed this way; a plain sum can differ in the last
+    digit, which decides comparisons with a threshold.
+    """
+
+    def add(state: Column, x: Column) -> Column:
+        total = state["total"] + x
+        lost = F.when(
+            F.abs(state["total"]) >= F.abs(x), (state["total"] - total) + x
+        ).otherwise((x - total) + state["total"])
+        return F.struct(total.alias("total"), (state["lost"] + lost).alias("lost"))
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("lost"))
+    return F.aggregate(values, start, add, lambda s: s["total"] + s["lost"])
+
+
 def percent_text(x: Column, digits: int = 1) -> Column:
     """``0.87`` -> ``87.0%``."""
     return F.concat(fixed_text(x * F.lit(100.0), digits), F.lit("%"))

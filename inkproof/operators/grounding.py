@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.functions import ratio
-from inkproof.functions.numbers import round_exact
+from inkproof.functions.numbers import compensated_sum, round_exact
 from inkproof.functions.text import normalize, normalize_amount, words
 
 # --- fixed values ------------------------------------------------------------
@@ -243,7 +243,7 @@ def ground(
     mean = (
         F.when(n_records == 0, None)
         .when(verdicts.isNull(), 1.0)
-        .otherwise(F.try_divide(F.aggregate(item_means, F.lit(0.0), lambda a, x: a + x), n_records))
+        .otherwise(F.try_divide(compensated_sum(item_means), n_records))
     )
     averaged = judged.withColumn("_mean", mean)
     scalars = F.array(

@@ -28,6 +28,17 @@ def sep(x: str) -> str:
     )
 
 
+def compensated(values: str) -> str:
+    """Sum of a list of doubles in order, with the rounding error of each step carried along."""
+    lost = (
+        "case when abs(p.hi) >= abs(q.hi) then (p.hi - (p.hi + q.hi)) + q.hi "
+        "else (q.hi - (p.hi + q.hi)) + p.hi end"
+    )
+    pairs = f"list_transform({values}, lambda x: {{'hi': x, 'lo': 0::double}})"
+    step = f"lambda p, q: {{'hi': p.hi + q.hi, 'lo': p.lo + {lost}}}"
+    return f"(list_transform([list_reduce({pairs}, {step})], lambda s: s.hi + s.lo)[1])"
+
+
 INVOICES = f"""
 sized as (
   select l_orderkey, cast(ceil(count(*) / 200.0) as bigint) sheets
@@ -194,7 +205,7 @@ item_score as (
   select *, (description_confidence + total_confidence) / 2 confidence from item_part),
 item_mean as (
   select doc_id, count(*) n,
-         list_reduce(list(confidence order by item), lambda p, q: p + q) / count(*) mean
+         {compensated('list(confidence order by item)')} / count(*) mean
   from item_score group by doc_id),
 comparison as (
   select doc_id, field, value extracted, found found_in_ocr, {round3('raw')} confidence, {NOTE} note
@@ -409,10 +420,10 @@ select r.doc_id, mode, name, {round3('strlen(ocr_text) / 1048576.0::double')} si
   case when mode='hybrid' then high_confidence end high_confidence,
   case when ok then date_ok + amount_ok end passed_checks,
   case when ok then 2::bigint end total_checks,
-  case when ok then
-    case when late then (score/5*0.25::double + score/5*0.25::double + validation*0.15::double) / (0.25::double+0.25::double+0.15::double)
-         else (score/5*0.25::double + score/5*0.25::double + score/5*0.25::double + validation*0.15::double)
-              / (0.25::double+0.25::double+0.25::double+0.15::double) end end overall_score,
+  case when ok then case when late then {compensated('[score/5*0.25::double, score/5*0.25::double, validation*0.15::double]')}
+         / {compensated('[0.25::double, 0.25::double, 0.15::double]')}
+    else {compensated('[score/5*0.25::double, score/5*0.25::double, score/5*0.25::double, validation*0.15::double]')}
+         / {compensated('[0.25::double, 0.25::double, 0.25::double, 0.15::double]')} end end overall_score,
   broken has_error
 from rated_flow r left join confident using (doc_id)
 """
@@ -607,9 +618,11 @@ select doc_id, metric, score, error, case when score >= 3 then 'pass' when score
     third = "(case doc_id % 3 when 0 then 1.0 when 1 then 0.5 else 0.0 end)::double"
     sql["overall_quality"] = f"""with {JUDGE_ROWS}
 select doc_id, groundedness, relevance, coherence,
-       case when labelled then (groundedness/5*0.25::double + relevance/5*0.25::double + coherence/5*0.25::double + {third}*0.15::double)
-              / (0.25::double + 0.25::double + 0.25::double + 0.15::double)
-            else (coherence/5*0.25::double + {third}*0.15::double) / (0.25::double + 0.15::double) end overall_score
+       case when labelled then
+           {compensated(f'[groundedness/5*0.25::double, relevance/5*0.25::double, coherence/5*0.25::double, {third}*0.15::double]')}
+           / {compensated('[0.25::double, 0.25::double, 0.25::double, 0.15::double]')}
+         else {compensated(f'[coherence/5*0.25::double, {third}*0.15::double]')} / {compensated('[0.25::double, 0.15::double]')}
+       end overall_score
 from per_doc"""
     sql["diagnose"] = f"""with {JUDGE_ROWS},
 matched as (select *, [1.0, 0.85, 0.0, 0.97, 0.4][cast(doc_id // 5 % 5 as int) + 1] f from per_doc),
