@@ -533,7 +533,7 @@ def _flow(spark, sf) -> DataFrame:
     answers = frames.bodies(docs).withColumn("model", F.lit(MODEL))
     score = F.pmod(F.col("doc_id"), F.lit(5)) + 1
     metrics = F.explode(F.array(*[F.lit(m) for m in requests.JUDGE_METRICS]))
-    judge = docs.select("doc_id", metrics.alias("metric")).withColumn(
+    judge = frames.document_keys(spark, sf).select("doc_id", metrics.alias("metric")).withColumn(
         "error",
         F.when((F.pmod("doc_id", F.lit(7)) == 0) & (F.col("metric") == "relevance"), "timed out"),
     )

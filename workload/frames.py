@@ -95,6 +95,11 @@ def _sheets(spark: SparkSession, sf_dir: str, oversized: DataFrame) -> DataFrame
     return numbered.withColumn("doc_id", F.col("o_orderkey") + F.col("sheet") * SHEET_STRIDE)
 
 
+def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id`` of the invoices, without building them."""
+    return _sheets(spark, sf_dir, _oversized(spark, sf_dir)).select("doc_id")
+
+
 def _printed_line(v: Column, line: Column) -> Column:
     name, price = line["p_name"], money(line["l_extendedprice"])
     name = (
