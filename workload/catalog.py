@@ -193,20 +193,20 @@ def response_attach(spark, sf):
     )
 
 
-def _first_line_client():
-    def call(request: str) -> str:
-        lines = request.split("\n")
-        if lines[2] == "":
-            raise ValueError("supplier line is blank")
-        return lines[0]
-
-    return call
-
-
 @_query
 def model_apply(spark, sf):
+    # defined in here, so that it travels to the workers with the query
+    def first_line_client():
+        def call(request: str) -> str:
+            lines = request.split("\n")
+            if lines[2] == "":
+                raise ValueError("supplier line is blank")
+            return lines[0]
+
+        return call
+
     sent = frames.invoices(spark, sf).select("doc_id", F.col("ocr_head").alias("request"))
-    return requests.apply_model(sent, _first_line_client)
+    return requests.apply_model(sent, first_line_client)
 
 
 @_query
