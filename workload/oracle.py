@@ -579,6 +579,11 @@ select doc_id, kind, value is null or value = '' or contains({norm('text')}, {no
 named_values as (select * from scalar_values where field in {FIND_NAMES}),
 {grounded('texts', 'named_values', t)}
 select doc_id, field, found, raw confidence from scored"""
+    sql["find_fuzzy_documents"] = f"""with recursive texts as (select doc_id, text txt from documents),
+line_values as (
+  select doc_id, 0 item, 'line' field, replace(string_split(text, chr(10))[1], 'e', 'c') value from documents),
+{grounded('texts', 'line_values')}
+select doc_id, found, raw confidence from scored"""
     sql["field_scores"] = f"with recursive {ground} select * from comparison"
     sql["line_item_scores"] = f"""with recursive {ground}
 select doc_id, item::int item, description_confidence, total_confidence, confidence from item_score"""
