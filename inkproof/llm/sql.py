@@ -1,5 +1,117 @@
-"""DuckDB SQL that gives the same rows as the registered queries of this subpackage."""
+"""DuckDB SQL that gives the same rows as the registered queries of this subpackage.
+
+op2 compares the full shingle sets of every pair that shares a shingle, op6 every pair of vectors, op10
+every window with every document: the plain form of what the operators find by their own methods.
+op3, op8 (tokenizers) and op9 (a learned model) have none; tests/llm holds them against plain Python.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from inkproof.llm.chat import CONTROL, END, SAYS, TURN
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _base32(hexadecimal: str) -> str:
+    """Five hexadecimal digits are four letters."""
+    number = f"('0x' || substr({hexadecimal}, 5 * g + 1, 5))::int"
+    letters = " || ".join(f"substr('{_BASE32}', 1 + (({number} >> {shift}) & 31), 1)" for shift in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(8), lambda g: {letters}), '')"
+
+
+def _escaped(text: str) -> str:
+    out = f"replace(coalesce({text}, ''), '\\', '\\\\')"
+    for control in CONTROL:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+def _lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+OP1 = f"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as h from p),
+f as (select *, min(page_id) over (partition by h) as first from d)
+select page_id, payload_bytes::bigint as payload_bytes, {_base32('h')} as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from f
+"""
+
+_SHINGLES = f"""
+w as (select doc_id, list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'),
+  lambda x: x <> '') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+  else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as shingles
+  from w)
+"""
+
+OP2 = f"""
+with recursive {_SHINGLES},
+e as (select doc_id, unnest(shingles) as shingle from s),
+n as (select doc_id, len(shingles) as n from s),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as shared
+  from e a join e b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * shared >= 75 * (x.n + y.n - shared)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as other from documents
+  union select reach.doc_id, ways.b from reach join ways on ways.a = reach.other)
+select n.doc_id, n.n::bigint as n_shingles, min(other) as component_id, n.doc_id = min(other) as kept
+from n join reach on reach.doc_id = n.doc_id group by 1, 2
+"""
+
+OP4 = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, {_escaped('text')})) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, {_escaped('text')}), '')) as loss_sha256,
+  sum({len(TURN) + len(SAYS) + len(END)} + length({_escaped('role')}) + length({_escaped('text')}))::bigint as formatted_chars
+from t group by conv_id
+"""
+
+OP6 = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id < b.vec_id
+  and list_cosine_similarity(a.e, b.e) >= 0.95),
+ways as (select a, b from links union all select b, a from links),
+reach as (select vec_id, vec_id as other from embeddings
+  union select reach.vec_id, ways.b from reach join ways on ways.a = reach.other),
+many as (select a, count(*) as n from ways group by 1)
+select r.vec_id, coalesce(any_value(m.n), 0) as n_links, min(r.other) as component_id, r.vec_id = min(r.other) as kept
+from reach r left join many m on m.a = r.vec_id group by r.vec_id
+"""
+
+OP10 = f"""
+with dw as (select doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
+iw as (select item_id, regexp_extract_all({_lower("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words
+  from benchmark where text is not null and item_id is not null),
+win as (select distinct item_id, least(10, len(words)) as size,
+  array_to_string(words[i:i + least(10, len(words)) - 1], ' ') as w
+  from (select item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) as i from iw where len(words) > 0)),
+place as (select doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') as w from
+  (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as i
+   from dw cross join (select distinct size from win) where len(words) >= size)),
+hit as (select doc_id, i, place.size, item_id from place join win on place.w = win.w and place.size = win.size),
+items as (select doc_id, count(distinct item_id) as n_items,
+  array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from hit group by 1),
+many as (select doc_id, count(distinct word) as n_hit
+  from (select doc_id, unnest(range(i, i + size)) as word from hit) group by 1)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from dw left join items using (doc_id) left join many using (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_warc": OP1,
+    "op2_minhash": OP2,
+    "op4_chat": OP4,
+    "op6_multi_index": OP6,
+    "op10_decontaminate": OP10,
+}
