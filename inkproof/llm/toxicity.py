@@ -1,15 +1,18 @@
 """Toxic passages as maximum-scoring segments.
 
-* **Tokens** (A-Z lower-cased runs of letters, digits and non-ASCII characters) are hashed into
-  ``2**bits`` buckets, so the model has a fixed size whatever the vocabulary.
-* **Log-odds** of toxic against clean documents have an informative Dirichlet prior: the bucket's
-  share of all training tokens.  A bucket whose log-odds are below ``min_log_odds`` or not
-  ``min_z`` standard errors from zero is neutral; neutral tokens cost ``gap_cost``.
+* **Tokens** (A-Z lower-cased runs of letters, digits and non-ASCII characters) and their first 3, 4, 5
+  and 6 bytes are counted in ``2**bits`` hashed buckets, so the model has a fixed size whatever the vocabulary.
+* **Log-odds** of toxic against clean documents have Dirichlet priors along the prefixes: the toxic share
+  of a prefix is the prior, worth ``prior_tokens`` observations, of the next longer one, and the last one of the
+  token.  So inflected and unseen forms of a word inherit its stem's odds, and a word that merely
+  happens to stand in toxic documents is pulled to its stem's.  Tokens whose log-odds are below
+  ``min_log_odds`` are neutral and cost ``gap_cost``.
 * **Segments**: one scan in linear time finds all maximal-scoring segments of a document, so
   every toxic passage is found on its own and long clean text around it doesn't dilute it.
 * **Extreme values**: the best segment of ``n`` clean tokens exceeds ``s`` with probability
-  ``1 - exp(-K n exp(-lambda s))``.  ``lambda`` solves the Karlin-Altschul equation over the clean
-  tokens, ``K`` is fitted to the clean documents.  Segments of an expected count of at most
+  ``1 - exp(-K n exp(-lambda s))``.  ``lambda`` solves the Karlin-Altschul equation over the scores of clean
+  tokens (where toxic ones imply a larger share of a score by their odds, that share counts), ``K`` is
+  fitted to the clean documents.  Segments of an expected count of at most
   ``max_expected`` are significant; a document's evidence is minus the log of the expected count of
   its best segment, and a logistic curve over it gives the score.
 
@@ -29,6 +32,7 @@ import math
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,18 +41,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkproof.llm.shared import binary_text, with_own
+from inkproof.llm.shared import binary_text, stored, with_own
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes of the prefixes that a token's odds are based on.
+_PREFIXES = (3, 4, 5, 6)
 #: Distinct tokens a task remembers before it starts anew; changes its speed only.
 _REMEMBERED = 300_000
 #: Evidence is binned so finely when the curve is fitted.
 _BINS_PER_UNIT = 8
+#: Token scores up to 25 in steps of a quarter.
+_SCORE_BINS = 101
 
 
 class Model(NamedTuple):
     bits: int
-    weight: np.ndarray | None  # score of each bucket; None without a model
+    counts: np.ndarray | None  # tokens of (clean, toxic) documents in each bucket; None without a model
+    totals: tuple[float, float]
+    prior_tokens: float
+    min_log_odds: float
     gap_cost: float
     decay: float  # lambda
     scale: float  # K
@@ -67,18 +78,34 @@ def tokens(text: bytes) -> list[bytes]:
     return _TOKEN.findall(text.lower())
 
 
+def buckets(token: bytes, bits: int) -> list[int]:
+    """The buckets of a token's prefixes, shortest first, and of the token itself; repeated where it is short."""
+    mask = (1 << bits) - 1
+    return [*[zlib.crc32(token[:n]) & mask for n in _PREFIXES], zlib.crc32(b" " + token) & mask]
+
+
+def log_odds(model: Model, token: bytes) -> float:
+    clean_total, toxic_total = model.totals
+    share = toxic_total / (clean_total + toxic_total)
+    for bucket in buckets(token, model.bits):
+        clean, toxic = model.counts[:, bucket].tolist()
+        share = (toxic + model.prior_tokens * share) / (clean + toxic + model.prior_tokens)
+    return math.log(share / (1 - share)) - math.log(toxic_total / clean_total)
+
+
 class Weights:
-    """Token → score, remembering what it has hashed."""
+    """Token → score, remembering what it has worked out."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
     def of(self, document: list[bytes]) -> list[float]:
-        known, mask, weight = self.known, (1 << self.model.bits) - 1, self.model.weight
+        known, model = self.known, self.model
         if len(known) > _REMEMBERED:
             known.clear()
         for token in set(document).difference(known):
-            known[token] = float(weight[zlib.crc32(token) & mask])
+            odds = log_odds(model, token)
+            known[token] = odds if odds >= model.min_log_odds else -model.gap_cost
         return [known[t] for t in document]
 
 
@@ -116,34 +143,57 @@ def score_of(model: Model, value: float) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * value + model.offset))))
 
 
-def _buckets(labelled: DataFrame, bits: int) -> DataFrame:
-    """(bucket, toxic tokens, clean tokens) over the training documents; partial counts per task."""
-    mask = (1 << bits) - 1
+def _counted(train: DataFrame, bits: int) -> np.ndarray:
+    """Tokens of (clean, toxic) training documents in each bucket; partial counts per task, at most 2**bits rows in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((2, mask + 1), np.int64)
-        known: dict[bytes, int] = {}
+        found = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"].to_pylist()):
-                many = tokens(text.as_py())
-                if len(known) > _REMEMBERED:
-                    known.clear()
-                for token in set(many).difference(known):
-                    known[token] = zlib.crc32(token) & mask
-                np.add.at(found[toxic], np.fromiter(map(known.__getitem__, many), np.int64, len(many)), 1)
+                for token, many in Counter(tokens(text.as_py())).items():
+                    for bucket in buckets(token, bits):
+                        found[toxic, bucket] += many
         used = np.flatnonzero(found.any(axis=0))
         for at in range(0, len(used), 10_000):
             part = used[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(found[1][part]), pa.array(found[0][part])], ["bucket", "toxic", "clean"]
-            )
+            columns = [pa.array(part), pa.array(found[0][part]), pa.array(found[1][part])]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "clean", "toxic"])
+
+    each = train.mapInArrow(count, "bucket bigint, clean bigint, toxic bigint")
+    table = each.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    out = np.zeros((2, 1 << bits), np.float32)
+    out[:, table["bucket"].to_numpy()] = np.stack([table["clean"].to_numpy(), table["toxic"].to_numpy()])
+    return out
 
-    counted = labelled.mapInArrow(count, "bucket bigint, toxic bigint, clean bigint")
-    return counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
+def _histogram(train: DataFrame, shipped) -> np.ndarray:
+    """Tokens of (clean, toxic) training documents by score, in steps of a quarter; the first are the neutral ones."""
 
-def _decay(score: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of sum(share * exp(decay * score)) = 1."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(pickle.loads(shipped.value))
+        found = np.zeros((2, _SCORE_BINS), np.int64)
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"].to_pylist()):
+                scores = np.array(weights.of(tokens(text.as_py())), np.float64)
+                place = np.clip(np.ceil(scores * 4), 0, _SCORE_BINS - 1).astype(int)
+                found[toxic] += np.bincount(place, minlength=_SCORE_BINS)
+        columns = [pa.array(np.arange(_SCORE_BINS)), pa.array(found[0]), pa.array(found[1])]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "clean", "toxic"])
+
+    each = train.mapInArrow(count, "place bigint, clean bigint, toxic bigint")
+    table = each.groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    out = np.zeros((2, _SCORE_BINS))
+    out[:, table["place"].to_numpy()] = np.stack([table["clean"].to_numpy(), table["toxic"].to_numpy()])
+    return out
+
+
+def _decay(histogram: np.ndarray, gap_cost: float) -> float:
+    """The positive root of sum(share * exp(decay * score)) = 1 over the scores of clean tokens."""
+    score = np.arange(_SCORE_BINS) / 4
+    clean, toxic = histogram[0] / histogram[0].sum(), histogram[1] / histogram[1].sum()
+    share = np.maximum(clean, toxic * np.exp(-score))
+    share[0] = 1 - share[1:].sum()
+    score[0] = -gap_cost
     low, high = 0.0, 1.0
     value = lambda x: float((share * np.exp(np.minimum(x * score, 700))).sum())
     while value(high) < 1 and high < 64:
@@ -186,9 +236,8 @@ def fit(
     fold: Column | None = None,
     train_docs: int = 20_000,
     bits: int = 20,
-    prior_tokens: float = 5_000.0,
-    min_z: float = 4.0,
-    min_log_odds: float = 2.5,
+    prior_tokens: float = 20.0,
+    min_log_odds: float = 3.0,
     gap_cost: float = 0.15,
     max_expected: float = 0.01,
 ) -> Model:
@@ -196,29 +245,23 @@ def fit(
     sample, many = training_sample(labels, F.lit(True) if fold is None else fold, train_docs)
     share = many.get(1, 0) / max(1, sum(many.values()))
     prior = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    untrained = Model(bits, None, gap_cost, 1.0, 1.0, 0.0, prior, max_expected)
+    fixed = (prior_tokens, min_log_odds, gap_cost)
+    untrained = Model(bits, None, (0, 0), *fixed, 1.0, 1.0, 0.0, prior, max_expected)
     if not (many.get(0) and many.get(1)):
         return untrained
-    # at most train_docs rows of two numbers: a bounded broadcast
+    # at most train_docs rows of two numbers: a bounded broadcast; the sample is stored, as it is read three times
     train = docs.select("doc_id", binary_text().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = _buckets(train, bits).toArrow()
-    bucket, toxic, clean = (counts[c].to_numpy().astype(np.float64) for c in ("bucket", "toxic", "clean"))
-    if not toxic.sum() or not clean.sum():
-        return untrained
-    alpha = prior_tokens * (toxic + clean) / (toxic + clean).sum()
-    odds = lambda y: np.log((y + alpha) / (y.sum() + prior_tokens - y - alpha))
-    delta = odds(toxic) - odds(clean)
-    z = delta / np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
-    strong = (np.abs(z) >= min_z) & (delta >= min_log_odds)
-    scores = np.where(strong, delta, -gap_cost)
-    weight = np.full(1 << bits, -gap_cost)
-    weight[bucket.astype(np.int64)] = scores
-    if not strong.any():
+    train = stored(train, "toxic-sample")
+    counts = _counted(train, bits)
+    # every token is counted once per prefix and once itself
+    totals = tuple((counts.sum(axis=1, dtype=np.float64) / (len(_PREFIXES) + 1)).tolist())
+    if not all(totals):
         return untrained
-    shares = (clean + alpha) / (clean + alpha).sum()
-    model = untrained._replace(weight=weight, decay=_decay(scores, shares))
-    best = train.select(
-        "toxic", *[_scored(F.col("text"), _shipped(train, model)).getField(c).alias(c) for c in ("n_tokens", "best")]
+    model = untrained._replace(counts=counts, totals=totals)
+    shipped = _shipped(train, model)
+    model = model._replace(decay=_decay(_histogram(train, shipped), gap_cost))
+    best = train.withColumn("scored", _scored(F.col("text"), shipped)).select(
+        "toxic", "scored.n_tokens", "scored.best"
     )
     # clean documents: K = documents / sum(n exp(-lambda s))
     null = F.col("n_tokens") * F.exp(-F.lit(model.decay) * F.col("best"))
@@ -270,7 +313,7 @@ def judge(model: Model, weights: Weights, text: bytes) -> dict:
     """Tokens, best segment, score and significant passages of a text."""
     document = tokens(text)
     many = len(document)
-    if model.weight is None or not many:
+    if model.counts is None or not many:
         return {"n_tokens": many, "best": 0.0, "score": score_of(model, 0.0), "passages": []}
     scores = weights.of(document)
     segments = maximal_segments(scores) if max(scores) > 0 else []
