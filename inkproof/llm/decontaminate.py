@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkproof.llm.shared import binary_text
+from inkproof.llm.shared import binary_text, fresh
 
 #: UTF-8 form of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -263,14 +263,15 @@ def decontaminate(
     A document of whose words more than ``max_coverage`` are hit goes; from the others the hit spans
     are cut out, and ``n_chars`` is counted anew.  Documents without a hit stay as they are.
     """
-    marked = with_overlap(docs, items, window, block_words)
-    kept = marked.where(F.col("overlap.n_hit") <= F.col("overlap.n_words") * F.lit(max_coverage))
-    return cut_spans(kept).drop("overlap").select(docs.columns)
+    found = fresh(docs, "found")
+    marked = docs.withColumn(found, overlap(binary_text(), automata(items, window, block_words)))
+    few = F.col(found)["n_hit"] <= F.col(found)["n_words"] * F.lit(max_coverage)
+    return cut_spans(marked.where(few), found).select(docs.columns)
 
 
-def cut_spans(marked: DataFrame) -> DataFrame:
-    """Cut the spans of ``overlap`` out of ``text``."""
-    spans = F.col("overlap.spans")
+def cut_spans(marked: DataFrame, found: str = "overlap") -> DataFrame:
+    """Cut the spans of the column ``found`` out of ``text``."""
+    spans = F.col(found)["spans"]
     pieces = F.transform(
         spans,
         lambda s, n: F.substring(

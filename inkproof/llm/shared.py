@@ -39,10 +39,12 @@ def binary_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
-def with_own(frame: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns, replacing those of the same name (in any case, as Spark resolves names)."""
-    taken = {c.lower() for c in columns}
-    return frame.select(*[frame[c] for c in frame.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have (in any case, as Spark resolves names)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def key_exchange(name: str) -> Column:

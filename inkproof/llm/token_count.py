@@ -62,10 +62,10 @@ class PieceCounter:
         if len(self.pieces) > _REMEMBERED:
             self.pieces.clear()
         self.learn(set().union(*[f for f, _ in rows]))
-        lengths = [len(f) for f, _ in rows]
+        lengths = np.array([len(f) for f, _ in rows], np.int64)
         get = self.pieces.__getitem__
-        each = np.fromiter((get(t) for f, _ in rows for t in f), np.int64, sum(lengths))
-        each *= np.fromiter((n for f, _ in rows for n in f.values()), np.int64, sum(lengths))
+        each = np.fromiter((get(t) for f, _ in rows for t in f), np.int64, lengths.sum())
+        each *= np.fromiter((n for f, _ in rows for n in f.values()), np.int64, lengths.sum())
         total = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum(lengths)
         return (total[ends] - total[ends - lengths] + [s for _, s in rows]).tolist()

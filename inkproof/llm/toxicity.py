@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkproof.llm.shared import binary_text, stored, with_own
+from inkproof.llm.shared import binary_text, fresh, stored
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of the prefixes that a token's odds are based on.
@@ -343,10 +343,11 @@ def _scored(text: Column, shipped) -> Column:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Documents with ``toxicity`` (n_tokens, best, score, passages in code points), replacing a column of that name."""
-    return with_own(docs, toxicity=_scored(binary_text(), _shipped(docs, model)))
+    return docs.withColumn("toxicity", _scored(binary_text(), _shipped(docs, model)))
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their columns as they were."""
-    kept = score(docs.withColumn("__text", F.col("text")), model).where(F.col("toxicity.score") < threshold)
-    return kept.select(docs.columns)
+    found = fresh(docs, "found")
+    judged = docs.withColumn(found, _scored(binary_text(), _shipped(docs, model)))
+    return judged.where(F.col(found)["score"] < threshold).select(docs.columns)
