@@ -2,7 +2,7 @@
 
 1. Texts whose word sequences are equal are one class (its representative is the smallest id), so
    thousands of copies cost one row from here on.
-2. Each class gets its set of hashed word shingles and a MinHash signature, stored once.  A band of a
+2. Each class has a MinHash signature of its set of hashed word shingles, stored once.  A band of a
    signature is a bucket; classes that share one are candidates.
 3. In every bucket each class meets the bucket's smallest class: linear in the bucket.  What is linked
    by then needs no further comparison inside its component.
@@ -11,7 +11,9 @@
    unless they survive.
 5. A pair is compared in batches of signature rows.  After each batch the posterior of its
    similarity (uniform prior) is bounded: if it reaches the threshold with a probability below
-   ``miss`` the pair is dropped.  Survivors are verified exactly on their full shingle sets.
+   ``miss`` the pair is dropped.  Survivors are verified exactly on their full shingle sets
+   (of 64-bit hashes), which are made only for the documents that occur in them; up to ``broadcast_ids`` of
+   these are sent to the scan of the texts, more are joined with it.
 
 A pair of exactly the threshold 0.75 is missed by all of 40 bands of 5 rows with probability 2e-5.
 
@@ -26,8 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkproof.llm.graph import components
-from inkproof.llm.shared import binary_text, cut, key_exchange, stored
+from inkproof.llm.shared import binary_text, cut, fresh, key_exchange, stored
 
 
 def words(text: bytes) -> list[bytes]:
@@ -122,28 +124,53 @@ def _binary(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-_SKETCH = "struct<n:bigint,hashes:binary,sig:binary>"
+_SKETCH = "struct<key:string,n:bigint,sig:binary>"
 
 
 def _sketch(text: Column, size: int, rows: int) -> Column:
+    """A digest of the word sequence (null without words), the size of the shingle set and its signature."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[int, bytes]] = {}
         for batch in batches:
-            many, hashes, signs = [], [], []
+            keys, many, signs = [], [], []
             for at in range(0, len(batch), 64):
                 for value in batch[at : at + 64].to_pylist():
-                    found = shingles(value, size)
-                    many.append(len(found))
-                    hashes.append(found.tobytes())
-                    signs.append(signature(found, rows).tobytes() if len(found) else b"")
-            yield pa.StructArray.from_arrays(
-                [pa.array(many, pa.int64()), pa.array(hashes, pa.binary()), pa.array(signs, pa.binary())],
-                ["n", "hashes", "sig"],
-            )
+                    key = digest(value)
+                    if key not in known:
+                        found = shingles(value, size)
+                        known[key] = len(found), signature(found, rows).tobytes() if len(found) else b""
+                    keys.append(key)
+                    many.append(known[key][0])
+                    signs.append(known[key][1])
+                if len(known) > 5_000:
+                    known.clear()
+            columns = [pa.array(keys, pa.string()), pa.array(many, pa.int64()), pa.array(signs, pa.binary())]
+            yield pa.StructArray.from_arrays(columns, ["key", "n", "sig"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, _SKETCH)(text)
 
 
+def _hashes(text: Column, size: int) -> Column:
+    """The shingle set of each text as an array."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [shingles(v, size) for at in range(0, len(batch), 64) for v in batch[at : at + 64].to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.LargeListArray.from_arrays(ends, flat).cast(pa.list_(pa.int64()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<bigint>")(text)
+
+
+def digest(text: bytes) -> str | None:
+    joined = b" ".join(words(text))
+    return hashlib.blake2b(joined, digest_size=16).hexdigest() if joined else None
+
+
 def word_key(text: Column) -> Column:
     """A digest of the word sequence of a text, null if it has no words."""
 
@@ -151,9 +178,7 @@ def word_key(text: Column) -> Column:
         for batch in batches:
             out = []
             for at in range(0, len(batch), 64):
-                for value in batch[at : at + 64].to_pylist():
-                    joined = b" ".join(words(value))
-                    out.append(hashlib.blake2b(joined, digest_size=16).hexdigest() if joined else None)
+                out += map(digest, batch[at : at + 64].to_pylist())
             yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -189,45 +214,28 @@ def _matrix(signs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(signs), "<u4").reshape(len(signs), -1) if signs else np.empty((0, 0), np.uint32)
 
 
-def shared_count(left: np.ndarray, right: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(left) > len(right):
-        left, right = right, left
-    if not len(left):
-        return 0
-    place = np.searchsorted(right, left)
-    place[place == len(right)] = 0
-    return int((right[place] == left).sum())
-
-
-def _intersection(left: Column, right: Column) -> Column:
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            out = []
-            for at in range(0, len(a), 64):
-                for x, y in zip(a[at : at + 64].to_pylist(), b[at : at + 64].to_pylist()):
-                    out.append(shared_count(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")))
-            yield pa.array(out, pa.int64())
-
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "bigint")(left, right)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, broadcast_ids: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
-    # sets whose sizes alone forbid it need not be read
-    with_sets = pairs.join(one, "a").join(two, "b")
+    # pairs whose sizes alone forbid it need no sets
+    one, two = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     possible = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    shared = with_sets.where(possible).withColumn("shared", _intersection(F.col("h_a"), F.col("h_b")))
-    return shared.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
-
-
-def _bayes(pairs: DataFrame, sets: DataFrame, limits: tuple) -> DataFrame:
+    pairs = stored(pairs.join(one, "a").join(two, "b").where(possible), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    involved = stored(nodes.select("id", "key").join(ids, "id", "left_semi"), "involved")
+    few = F.broadcast(involved) if involved.count() <= broadcast_ids else involved
+    own = texts.join(few, (F.col("doc_id") == F.col("id")) & (F.col("word_key") == F.col("key")))
+    # rows that repeat an id and a text have one set
+    sets = own.select("id", _hashes(F.col("text"), size).alias("hashes")).groupBy("id").agg(F.any_value("hashes").alias("hashes"))
+    sets = stored(sets, "sets")
+    one, two = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
+    return both.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
+
+
+def _bayes(pairs: DataFrame, nodes: DataFrame, limits: tuple) -> DataFrame:
     """The pairs (a, b) that the batches leave."""
-    one = sets.select(F.col("id").alias("a"), F.col("sig").alias("s_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("sig").alias("s_b"))
+    one = nodes.select(F.col("id").alias("a"), F.col("sig").alias("s_a"))
+    two = nodes.select(F.col("id").alias("b"), F.col("sig").alias("s_b"))
     return pairs.join(one, "a").join(two, "b").where(_pruned(F.col("s_a"), F.col("s_b"), limits)).select("a", "b")
 
 
@@ -273,16 +281,22 @@ def near_duplicates(
     batch: int = 40,
     miss: float = 1e-6,
     block: int = 512,
+    broadcast_ids: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text), one row per row."""
     limits = fewest_matches(bands * rows, batch, percent / 100, miss)
     keyed = docs.select("doc_id", word_key(binary_text()).alias("key"))
-    texts = docs.select("doc_id", binary_text().alias("text"), word_key(binary_text()).alias("key"))
-    classes = texts.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.any_value("text").alias("text"))
-    sketch = _sketch(F.col("text"), size, bands * rows)
-    sets = stored(classes.select("key", "id", sketch.alias("s")).select("key", "id", "s.*"), "sets")
-    found = _class_components(sets.where("id is not null"), percent, bands, rows, limits, block)
-    labelled = sets.select("key", "id", "n").join(found, "id", "left")
+    sketch = _sketch(binary_text(), size, bands * rows)
+    sketched = docs.select("doc_id", sketch.alias("s")).select("doc_id", "s.*").where("key is not null")
+    classes = sketched.groupBy("key").agg(
+        F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")
+    )
+    classes = stored(classes, "classes")
+    nodes = classes.where("id is not null")
+    texts = docs.select("doc_id", binary_text().alias("text"), word_key(binary_text()).alias("word_key"))
+    verify = partial(_verified, nodes=nodes, texts=texts, size=size, percent=percent, broadcast_ids=broadcast_ids)
+    found = _class_components(nodes, verify, bands, rows, limits, block)
+    labelled = classes.select("key", "id", "n").join(found, "id", "left")
     labelled = labelled.select(key_exchange("key").alias("k"), "n", F.coalesce("component", "id").alias("component"))
     out = keyed.join(labelled, key_exchange("key") == F.col("k"), "left")
     component = F.coalesce("component", "doc_id")
@@ -294,16 +308,16 @@ def near_duplicates(
     )
 
 
-def _class_components(sets: DataFrame, percent: int, bands: int, rows: int, limits: tuple, block: int) -> DataFrame:
+def _class_components(nodes: DataFrame, verify: Callable, bands: int, rows: int, limits: tuple, block: int) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
-    placed = sets.select("id", F.explode(_bands(F.col("sig"), bands, rows)).alias("bucket"))
+    placed = nodes.select("id", F.explode(_bands(F.col("sig"), bands, rows)).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     shared = shared.select((F.col("bucket").bitwiseXOR(F.lit(1))).alias("other"), "pivot")
     met = placed.join(shared, F.col("bucket").bitwiseXOR(F.lit(1)) == F.col("other"))
     members = stored(met.select("bucket", "id", "pivot"), "members")
 
     first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_verified(_bayes(first, sets, limits), sets, percent), "links")
+    links = stored(verify(_bayes(first, nodes, limits)), "links")
     grouped = members.join(components(links), "id", "left")
     grouped = cut(grouped.select("bucket", "id", F.coalesce("component", "id").alias("component")))
 
@@ -312,12 +326,14 @@ def _class_components(sets: DataFrame, percent: int, bands: int, rows: int, limi
     )
     open_ones = open_ones.where("low < high").select((F.col("bucket").bitwiseXOR(F.lit(1))).alias("other"), "many")
     rest = grouped.join(open_ones, F.col("bucket").bitwiseXOR(F.lit(1)) == F.col("other"))
-    rest = rest.join(sets.select("id", "sig"), "id").select("bucket", "id", "component", "sig", "many")
-    more = _verified(_across(rest, limits, block), sets, percent)
+    rest = rest.join(nodes.select("id", "sig"), "id").select("bucket", "id", "component", "sig", "many")
+    more = verify(_across(rest, limits, block))
     return components(links.unionAll(more))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id; rows that repeat its id and text stay."""
-    judged = near_duplicates(docs, **options).where("kept or doc_id is null or n_shingles = 0").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(judged.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    judged = near_duplicates(docs, **options).where("kept or doc_id is null or n_shingles = 0")
+    own = fresh(docs, "own")
+    judged = judged.select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
