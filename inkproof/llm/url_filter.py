@@ -67,10 +67,17 @@ def letters(url: Column, order: int) -> Column:
 
 
 def _grams(url: Column, order: int) -> Column:
-    """All grams of ``order`` letters and the one after them; places are looked up in an array, so in linear time."""
-    each = F.split(letters(url, order), "")
-    gram = lambda n: F.concat(*[F.get(each, n + k) for k in range(order + 1)])
-    return F.transform(F.sequence(F.lit(0), F.char_length(letters(url, order)) - order - 1), gram)
+    """All grams of ``order`` letters and the one after them.
+
+    The letters are split once and bound by a one-element transform; places are looked up in that array, so the
+    work is linear in the URL.
+    """
+
+    def grams(each: Column) -> Column:
+        gram = lambda n: F.concat(*[F.get(each, n + k) for k in range(order + 1)])
+        return F.transform(F.sequence(F.lit(0), F.size(each) - order - 1), gram)
+
+    return F.get(F.transform(F.array(F.split(letters(url, order), "")), grams), F.lit(0))
 
 
 def _bounded(frame: DataFrame, width: int) -> DataFrame:
@@ -122,10 +129,11 @@ def train(decided: DataFrame, order: int = 2) -> DataFrame:
 
 def score(urls: DataFrame, model: DataFrame, order: int = 2) -> DataFrame:
     """Distinct (page_id, url) with ``copies`` and ``score``: micro-nats per letter in favour of accepting."""
-    once = urls.groupBy("page_id", "url").agg(F.count("*").alias("copies"))
-    each = once.select("page_id", "url", "copies", F.explode(_grams(F.col("url"), order)).alias("gram"))
-    joined = each.join(_bounded(model, order + 1), "gram")
-    total = joined.groupBy("page_id", "url", "copies").agg(F.sum("score").alias("total"), F.count("*").alias("many"))
+    each = urls.select("page_id", "url", F.posexplode(_grams(F.col("url"), order)).alias("place", "gram"))
+    # rows that repeat an id and a URL double the sum and the number alike
+    total = each.join(_bounded(model, order + 1), "gram").groupBy("page_id", "url").agg(
+        F.sum("score").alias("total"), F.count("*").alias("many"), F.count_if(F.col("place") == 0).alias("copies")
+    )
     return total.select("page_id", "url", "copies", F.expr("total div many").alias("score"))
 
 
