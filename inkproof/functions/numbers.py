@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 _SPLITTER = 134217729.0  # 2**27 + 1
 # Up to here x * scale keeps at least one fraction bit.
 _EXACT_LIMIT = 2.0**51
+# A whole number from here on.
+_WHOLE = 2.0**53
+# Larger doubles are split into two digits of this base.
+_DIGIT = 2.0**60
+_LARGEST = 2.0**115
 
 
 def _half_even(x: Column, scale: int) -> Column:
@@ -34,30 +39,46 @@ def _half_even(x: Column, scale: int) -> Column:
 
 
 def _outside(x: Column, scale: int) -> Column:
-    return F.isnan(x) | (F.abs(x) >= _EXACT_LIMIT / scale)
+    return F.abs(x) >= _EXACT_LIMIT / scale
+
+
+def _exact_decimal(x: Column, digits: int) -> Column:
+    """A non-negative double below 2**115, rounded to ``digits`` decimals, as an exact decimal.
+
+    The whole part is split off first.  It has an even number of units, so the tie rule looks at
+    the rest alone.
+    """
+    rest = F.when(x < _WHOLE, x - F.floor(x).cast("double")).otherwise(F.lit(0.0))
+    units = _half_even(rest, 10**digits).cast("decimal(6,0)") * F.lit(Decimal(1).scaleb(-digits))
+    high = F.floor(x / F.lit(_DIGIT))
+    low = F.floor(x - high.cast("double") * F.lit(_DIGIT))
+    whole = high.cast("decimal(19,0)") * F.lit(Decimal(2**60)) + low.cast("decimal(19,0)")
+    return whole.cast(f"decimal({37 - digits},0)") + units
 
 
 def round_exact(x: Column, digits: int = 3) -> Column:
     """Round a double to ``digits`` decimals, correctly rounded, ties to even."""
     scale = 10**digits
     rounded = _half_even(x, scale).cast("double") / F.lit(float(scale))
-    return F.when(_outside(x, scale), x).otherwise(rounded)
+    large = _exact_decimal(F.abs(x), digits).cast("double") * F.signum(x)
+    # from 2**53 on a double is whole
+    return (
+        F.when(F.isnan(x) | (F.abs(x) >= _WHOLE), x).when(_outside(x, scale), large).otherwise(rounded)
+    )
 
 
 def fixed_text(x: Column, digits: int = 2) -> Column:
-    """Text with a fixed number of decimals and no thousands separator.
-
-    Magnitudes of 2**51 / 10**digits and above fall back to ``format_number``.
-    """
+    """Text with a fixed number of decimals and no thousands separator; null from 2**115 (4e34) on."""
     scale = 10**digits
     units = _half_even(F.abs(x), scale).cast("decimal(18,0)")
-    text = (units * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+    small = (units * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+    large = F.when(F.abs(x) < _LARGEST, _exact_decimal(F.abs(x), digits).cast("string"))
+    text = F.when(_outside(x, scale), large).otherwise(small)
     negative = (x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-")))
     return (
         F.when(F.isnan(x), F.lit("nan"))
         .when(x == float("inf"), F.lit("inf"))
         .when(x == float("-inf"), F.lit("-inf"))
-        .when(_outside(x, scale), F.call_function("format_number", x, F.lit("0." + "0" * digits)))
         .when(negative, F.concat(F.lit("-"), text))
         .otherwise(text)
     )

@@ -41,13 +41,14 @@ def gestalt_ratio(a: Column, b: Column) -> Column:
     return F.arrow_udf(ratio_batches, T.DoubleType())(a, b)
 
 
-def best_ratios(
+def judge_values(
     values: Column, text_words: Column, threshold: float, prune: bool = True
 ) -> Column:
-    """Best ratio of each value word against the words of its own row's text.
+    """Verdict struct<found, raw> of each value (its words) against the words of its own row's text.
 
-    Scores below the threshold never count, so they may come back as 0.0.  Two
-    lossless bounds keep the matcher away from hopeless words: one from the
+    The result has the places of ``values``: null for null, so nothing has to be looked up
+    by key afterwards.  A word that occurs in the text counts 1, any other its best ratio if that reaches
+    the threshold.  Two lossless bounds keep the matcher away from hopeless words: one from the
     lengths, one from the letters both sides share.  ``prune=False`` compares
     every pair, for tests.
 
@@ -55,8 +56,9 @@ def best_ratios(
     filter on a score is pushed below it, with the whole scoring inlined.
     """
     buckets, block, few, memo = _LETTER_BUCKETS, _BLOCK_WORDS, _FEW_PAIRS, _MEMO_ENTRIES
+    verdict_type = pa.list_(pa.struct([("found", pa.bool_()), ("raw", pa.float64())]))
 
-    def best_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def judge_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ratio = lru_cache(_MEMO_ENTRIES)(lambda x, y: SequenceMatcher(None, x, y).ratio())
 
         def letter_counts(words, lengths):
@@ -116,12 +118,28 @@ def best_ratios(
                         top[i] = max(top[i], ratio(word, part[low + j]))
             return top
 
+        def verdict(value, best):
+            if not value:
+                return {"found": True, "raw": 1.0}
+            hits, total = 0, 0.0
+            for word in value:
+                score = best.get(word, 1.0)
+                if score >= threshold:
+                    hits += 1
+                    total += score
+            return {"found": hits == len(value), "raw": total / len(value) if hits else 0.0}
+
+        def judged(values, others):
+            if values is None:
+                return None
+            known = set(others)
+            unresolved = list(dict.fromkeys(w for v in values if v is not None for w in v if w not in known))
+            best = dict(zip(unresolved, best_of(unresolved, others))) if unresolved else {}
+            return [None if v is None else verdict(v, best) for v in values]
+
         for values_batch, words_batch in batches:
             rows = zip(values_batch.to_pylist(), words_batch.to_pylist())
-            yield pa.array(
-                [best_of(values, words) if values else [] for values, words in rows],
-                pa.list_(pa.float64()),
-            )
+            yield pa.array([judged(values, others) for values, others in rows], verdict_type)
 
-    best_udf = F.arrow_udf(best_batches, T.ArrayType(T.DoubleType())).asNondeterministic()
-    return best_udf(values, text_words)
+    judge_udf = F.arrow_udf(judge_batches, "array<struct<found:boolean,raw:double>>").asNondeterministic()
+    return judge_udf(values, text_words)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,52 +22,17 @@ FIRST_NUMBER_PATTERN = r"[\p{Nd},]+\.?\p{Nd}*"
 PREVIEW_LENGTH = 500
 PREVIEW_SUFFIX = "..."
 
-MIME_TYPES = {
-    "bmp": "image/bmp",
-    "css": "text/css",
-    "csv": "text/csv",
-    "doc": "application/msword",
-    "eml": "message/rfc822",
-    "gif": "image/gif",
-    "heic": "image/heic",
-    "htm": "text/html",
-    "html": "text/html",
-    "ico": "image/vnd.microsoft.icon",
-    "jpe": "image/jpeg",
-    "jpeg": "image/jpeg",
-    "jpg": "image/jpeg",
-    "js": "text/javascript",
-    "json": "application/json",
-    "md": "text/markdown",
-    "pdf": "application/pdf",
-    "png": "image/png",
-    "ppt": "application/vnd.ms-powerpoint",
-    "ps": "application/postscript",
-    "rtf": "text/rtf",
-    "svg": "image/svg+xml",
-    "tar": "application/x-tar",
-    "tif": "image/tiff",
-    "tiff": "image/tiff",
-    "txt": "text/plain",
-    "webp": "image/webp",
-    "xls": "application/vnd.ms-excel",
-    "xml": "text/xml",
-    "zip": "application/zip",
-}
-# suffixes that name an encoding; the type is the one of the inner name
-ENCODING_SUFFIXES = ["gz", "Z", "bz2", "xz", "br"]
-# short suffixes that stand for a tar or svg inside an encoding
-COMPOUND_SUFFIXES = {
-    "svgz": "svg",
-    "tgz": "tar",
-    "taz": "tar",
-    "tz": "tar",
-    "tbz2": "tar",
-    "txz": "tar",
-}
 DEFAULT_MIME_TYPE = "application/octet-stream"
 # -----------------------------------------------------------------------------
 
+# the standard library's built-in tables, without the files of the system it runs on
+_TABLES = mimetypes.MimeTypes(filenames=())
+MIME_TYPES = {suffix[1:]: kind for suffix, kind in _TABLES.types_map[True].items()}
+# suffixes that name an encoding; the type is the one of the inner name
+ENCODING_SUFFIXES = [suffix[1:] for suffix in _TABLES.encodings_map]
+# short suffixes that stand for a type inside an encoding: tgz is tar inside gz
+COMPOUND_SUFFIXES = {short[1:]: long.split(".")[1] for short, long in _TABLES.suffix_map.items()}
+
 
 # Only runs that are not already one space are matched; the leading ranges let
 # printable characters fail on a single comparison.

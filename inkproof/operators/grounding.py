@@ -9,8 +9,9 @@ unresolved reach the Arrow function:
 2. words of the missed values that occur in the text are settled (ratio 1);
 3. for the rest, words of the text that cannot reach the threshold are skipped.
 
-The verdict depends on the value alone, so each distinct missed value of a row is
-judged once and looked up wherever it occurs; a row without misses costs nothing more.
+The values of a row stand in one array, and every step keeps their places (null where a
+value is settled), so a verdict is found by its place and the work is linear in the row; a row
+without misses costs nothing more.
 
 ``ground`` leaves two array columns, ``comparisons`` (one entry per field) and
 ``item_scores`` (one per line item); the functions below unpack or fold them.
@@ -23,10 +24,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkproof.functions import ratio
-from inkproof.functions.numbers import compensated_sum, round_exact
-from inkproof.functions.text import normalize, normalize_amount, words
+from inkproof.functions.numbers import compensated_sum, float_text, round_exact
+from inkproof.functions.text import normalize, normalize_amount, normalize_amount_text, words
 
 # --- fixed values ------------------------------------------------------------
 DEFAULT_THRESHOLD = 0.8
@@ -51,6 +53,8 @@ HIGH_CONFIDENCE = 0.9
 MEDIUM_CONFIDENCE = 0.5
 # -----------------------------------------------------------------------------
 
+_VERDICT = "struct<found:boolean,raw:double,confidence:double>"
+
 
 @dataclass(frozen=True)
 class Field:
@@ -80,12 +84,24 @@ DEFAULT_FIELDS = (
 DEFAULT_ITEMS = Items()
 
 
-def field_text(value: Column, is_amount: bool = False) -> Column:
-    """Text under which a value is looked up; null stays null."""
-    text = normalize_amount(value) if is_amount else value.cast("string")
+def field_text(value: Column, is_amount: bool = False, kind: T.DataType | None = None) -> Column:
+    """Text under which a value of type ``kind`` is looked up; null stays null.
+
+    Amounts given as text are read as text, never cast; doubles have their shortest plain form.
+    """
+    if is_amount:
+        text = normalize_amount_text(value) if isinstance(kind, T.StringType) else normalize_amount(value)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = float_text(value.cast("double"))
+    else:
+        text = value.cast("string")
     return F.when(value.isNotNull(), text)
 
 
+def _kind(docs: DataFrame, value: str) -> T.DataType:
+    return docs.select(F.col(value)).schema[0].dataType
+
+
 def found_exactly(value_text: Column, normalized_value: Column, normalized_text: Column) -> Column:
     """Null, empty and contained values need no further search."""
     return (
@@ -97,58 +113,29 @@ def _missed(value: Column, normalized_value: Column, normalized_text: Column) ->
     return ~F.coalesce(found_exactly(value, normalized_value, normalized_text), F.lit(True))
 
 
-def _judge_missed(docs: DataFrame, text: str, threshold: float, prune: bool) -> DataFrame:
-    """Replace ``text`` (normalised) and ``_missed`` (values not contained in it) by
-    ``_verdicts``: map from each missed value to struct<found, raw, confidence>."""
-    passed = [c for c in docs.columns if c not in (text, "_missed")]
-    none = F.array().cast("array<string>")
-    split = docs.withColumn("_words", F.transform("_missed", lambda v: words(normalize(v))))
-    # the text is split only for rows that still look for something
-    text_words = F.when(F.size("_missed") > 0, F.array_distinct(words(F.col(text)))).otherwise(none)
-    worded = split.select(*passed, "_missed", "_words", text_words.alias("_text_words"))
-    unresolved = worded.withColumn(
-        "_open", F.array_except(F.array_distinct(F.flatten("_words")), F.col("_text_words"))
-    )
-    best = ratio.best_ratios(F.col("_open"), F.col("_text_words"), threshold, prune)
-    searched = unresolved.withColumn("_best", F.map_from_arrays(F.col("_open"), best))
-    judged = F.transform("_words", lambda ws: _verdict(ws, F.col("_best"), threshold))
-    return searched.select(
+def _judged(docs: DataFrame, text: str, threshold: float, prune: bool) -> DataFrame:
+    """Replace ``text`` (normalised) and ``_sought`` (array of values, null where settled) by
+    ``_verdicts``: struct<found, raw, confidence> in the places of ``_sought``, null where settled;
+    the whole is null for a row without misses."""
+    passed = [c for c in docs.columns if c not in (text, "_sought")]
+    missing = F.exists("_sought", lambda v: v.isNotNull())
+    split = F.transform("_sought", lambda v: F.when(v.isNotNull(), words(normalize(v))))
+    # only rows that still look for something are split
+    worded = docs.select(
         *passed,
-        F.when(F.size("_missed") > 0, F.map_from_arrays(F.col("_missed"), judged)).alias("_verdicts"),
+        F.when(missing, split).alias("_words"),
+        F.when(missing, F.array_distinct(words(F.col(text)))).alias("_text_words"),
     )
-
-
-def _verdict(value_words: Column, best: Column, threshold: float) -> Column:
-    """struct<found, raw, confidence> of one missed value; only ``confidence`` is rounded."""
-    start = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("total"))
-
-    def add(state: Column, word: Column) -> Column:
-        score = F.coalesce(best[word], F.lit(1.0))
-        hit = score >= threshold
-        return F.struct(
-            (state["hits"] + F.when(hit, 1).otherwise(0)).alias("hits"),
-            (state["total"] + F.when(hit, score).otherwise(0.0)).alias("total"),
-        )
-
-    def finish(state: Column) -> Column:
-        n = F.size(value_words)
-        return F.struct(
-            (state["hits"] == n).alias("found"),
-            F.when(n == 0, 1.0)
-            .when(state["hits"] == 0, 0.0)
-            .otherwise(F.try_divide(state["total"], n))
-            .alias("raw"),
-        )
-
-    def rounded(verdict: Column) -> Column:
-        return F.struct(
-            verdict["found"].alias("found"),
-            verdict["raw"].alias("raw"),
-            _rounded(verdict["raw"]).alias("confidence"),
-        )
-
-    folded = F.aggregate(value_words, start, add, finish)
-    return F.get(F.transform(F.array(folded), rounded), F.lit(0))
+    found = ratio.judge_values(F.col("_words"), F.col("_text_words"), threshold, prune)
+    judged = worded.select(*passed, found.alias("_found"))
+    verdicts = F.transform(
+        "_found",
+        lambda v: F.when(
+            v.isNotNull(),
+            F.struct(v["found"].alias("found"), v["raw"].alias("raw"), _rounded(v["raw"]).alias("confidence")),
+        ),
+    )
+    return judged.select(*passed, verdicts.alias("_verdicts"))
 
 
 def _rounded(raw: Column) -> Column:
@@ -211,35 +198,38 @@ def ground(
             F.coalesce(F.col(items.column), F.array()), lambda item: item.isNotNull()
         )
         descriptions = records[items.description].cast("array<string>")
-        totals = F.transform(records[items.total], lambda t: field_text(t, is_amount=True))
+        total_kind = _kind(docs, f"{items.column}.{items.total}").elementType
+        totals = F.transform(records[items.total], lambda t: field_text(t, True, total_kind))
     prepared = docs.select(
         *keys,
         normalize(F.col(text)).alias("_text"),
-        *[field_text(F.col(f.value), f.is_amount).alias(v) for f, v in zip(fields, values)],
+        *[
+            field_text(F.col(f.value), f.is_amount, _kind(docs, f.value)).alias(v)
+            for f, v in zip(fields, values)
+        ],
         n_items.alias("_n_items"),
         descriptions.alias("_descriptions"),
         totals.alias("_totals"),
     )
     source = F.col("_text")
-    missed_fields = [
+    sought_fields = [
         # the text of an amount is already in normal form
         F.when(_missed(F.col(v), F.col(v) if f.is_amount else normalize(F.col(v)), source), F.col(v))
         for f, v in zip(fields, values)
     ]
-    missed = F.concat(
-        F.array_compact(F.array(*missed_fields)) if missed_fields else none,
-        F.filter("_descriptions", lambda d: _missed(d, normalize(d), source)),
-        F.filter("_totals", lambda t: _missed(t, t, source)),
+    sought = F.concat(
+        F.array(*sought_fields) if sought_fields else none,
+        F.transform("_descriptions", lambda d: F.when(_missed(d, normalize(d), source), d)),
+        F.transform("_totals", lambda t: F.when(_missed(t, t, source), t)),
     )
-    sought = prepared.withColumn("_missed", F.array_distinct(missed))
-    judged = _judge_missed(sought, "_text", threshold, prune)
+    judged = _judged(prepared.withColumn("_sought", sought), "_text", threshold, prune)
     verdicts = F.col("_verdicts")
-    item_means = F.zip_with(
-        "_descriptions",
-        "_totals",
-        lambda d, t: (_confidence(verdicts[d]) + _confidence(verdicts[t])) / 2,
+    n_records, n_fields = F.size("_descriptions"), F.lit(len(fields))
+    item_pairs = F.arrays_zip(
+        F.slice("_verdicts", n_fields + 1, n_records).alias("d"),
+        F.slice("_verdicts", n_fields + n_records + 1, n_records).alias("t"),
     )
-    n_records = F.size("_descriptions")
+    item_means = F.transform(item_pairs, lambda p: (_confidence(p["d"]) + _confidence(p["t"])) / 2)
     mean = (
         F.when(n_records == 0, None)
         .when(verdicts.isNull(), 1.0)
@@ -247,15 +237,19 @@ def ground(
     )
     averaged = judged.withColumn("_mean", mean)
     scalars = F.array(
-        *[_comparison(f.name, F.col(v), verdicts[F.col(v)]) for f, v in zip(fields, values)]
+        *[
+            _comparison(f.name, F.col(v), F.get(verdicts, F.lit(i)))
+            for i, (f, v) in enumerate(zip(fields, values))
+        ]
     )
     with_items = F.concat(
         scalars, F.array(_items_comparison(F.col("_mean"), F.col("_n_items"), threshold))
     )
-    scored = F.transform(
-        F.arrays_zip(F.col("_descriptions").alias("d"), F.col("_totals").alias("t")),
-        lambda parts, i: _item_score(i + 1, verdicts[parts["d"]], verdicts[parts["t"]]),
-    )
+    settled = F.lit(None).cast(_VERDICT)
+    scored = F.when(
+        verdicts.isNull(),
+        F.transform("_descriptions", lambda d, i: _item_score(i + 1, settled, settled)),
+    ).otherwise(F.transform(item_pairs, lambda p, i: _item_score(i + 1, p["d"], p["t"])))
     return averaged.select(
         *keys,
         F.when(F.col("_mean").isNull(), scalars).otherwise(with_items).alias("comparisons"),
@@ -287,15 +281,17 @@ def find_values(
     The confidence is not rounded here.
     """
     prepared = docs.select(*keys, F.col(values).alias("_values"), normalize(F.col(text)).alias("_text"))
-    missed = F.filter("_values", lambda v: _missed(v, normalize(v), F.col("_text")))
-    sought = prepared.withColumn("_missed", F.array_distinct(missed))
-    judged = _judge_missed(sought, "_text", threshold, prune)
-    listed = judged.select(*keys, "_verdicts", F.posexplode_outer("_values").alias("position", "value"))
-    verdict = F.col("_verdicts")[F.col("value")]
+    sought = F.transform("_values", lambda v: F.when(_missed(v, normalize(v), F.col("_text")), v))
+    judged = _judged(prepared.withColumn("_sought", sought), "_text", threshold, prune)
+    placed = F.transform(
+        "_values", lambda v, i: F.struct(v.alias("value"), F.get("_verdicts", i).alias("verdict"))
+    )
+    listed = judged.select(*keys, F.posexplode_outer(placed).alias("position", "placed"))
+    verdict = F.col("placed.verdict")
     return listed.where(F.col("position").isNotNull()).select(
         *keys,
         "position",
-        "value",
+        F.col("placed.value").alias("value"),
         F.coalesce(verdict["found"], F.lit(True)).alias("found"),
         F.coalesce(verdict["raw"], F.lit(1.0)).alias("confidence"),
     )

@@ -6,6 +6,7 @@ Instructions and wrappings are parameters, the defaults below are only a start.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkproof.functions.text import data_uri
+from inkproof.operators.record import DEFAULT_RECORD
 
 # --- fixed values ------------------------------------------------------------
 MODE_TEXT = "text"
@@ -97,14 +99,15 @@ def extraction_requests(
     file_uri: str = "file_uri",
     filename: str = "filename",
     instructions: str = "instructions",
-    schema_json: str = "{}",
+    schema: T.StructType = DEFAULT_RECORD,
     schema_name: str = DEFAULT_SCHEMA_NAME,
     prompts: Prompts = DEFAULT_PROMPTS,
 ) -> DataFrame:
     """One request per document; the parts and their order depend on its mode.
 
     text: optional image, then the text; hybrid: image, then the text;
-    direct_pdf: the file, then the task.  ``instructions`` may be null per row.
+    direct_pdf: the file, then the task.  ``instructions`` may be null per row.  ``payload`` is the
+    whole request as JSON.
     """
 
     def part(kind: str, **content: Column) -> Column:
@@ -129,7 +132,8 @@ def extraction_requests(
         .when(F.col(mode) == MODE_DIRECT_PDF, prompts.direct_pdf)
         .otherwise(prompts.text)
     )
-    return docs.select(
+    schema_json = strict_schema(schema)
+    rows = docs.select(
         *keys,
         F.col(mode).alias("mode"),
         F.lit(model).alias("model"),
@@ -141,6 +145,49 @@ def extraction_requests(
         F.lit(0).alias("temperature"),
     )
 
+    def quoted(value: Column) -> Column:
+        listed = F.to_json(F.array(value))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    payload = [
+        F.lit('{"model":'), quoted(F.col("model")), F.lit(',"instructions":'), quoted(F.col("instructions")),
+        F.lit(',"input":[{"role":"user","content":'), F.to_json("content"),
+        F.lit('}],"text":{"format":{"type":"json_schema","name":'), quoted(F.col("schema_name")),
+        F.lit(f',"schema":{schema_json},"strict":true}}}},"temperature":0}}'),
+    ]
+    return rows.withColumn("payload", F.concat(*payload))
+
+
+_JSON_TYPES = [
+    (T.StringType, "string"),
+    (T.BooleanType, "boolean"),
+    (T.IntegralType, "integer"),
+    (T.FractionalType, "number"),
+]
+
+
+def strict_schema(schema: T.DataType) -> str:
+    """The JSON schema of a record type in strict form: every key required, no other allowed, null only where declared."""
+    return json.dumps(_schema_of(schema), separators=(",", ":"), ensure_ascii=False)
+
+
+def _schema_of(kind: T.DataType, nullable: bool = False) -> dict:
+    if nullable:
+        return {"anyOf": [_schema_of(kind), {"type": "null"}]}
+    if isinstance(kind, T.StructType):
+        return {
+            "type": "object",
+            "properties": {f.name: _schema_of(f.dataType, f.nullable) for f in kind.fields},
+            "required": kind.names,
+            "additionalProperties": False,
+        }
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": _schema_of(kind.elementType, kind.containsNull)}
+    for spark_type, name in _JSON_TYPES:
+        if isinstance(kind, spark_type):
+            return {"type": name}
+    raise TypeError(f"JSON has no {kind.simpleString()}")
+
 
 def judge_requests(
     docs: DataFrame,

@@ -163,3 +163,77 @@ def test_ratio_is_ordered(spark):
     edge = [("", "", 1.0), (None, "", 1.0), ("", "a", 0.0), ("$", "a", 0.95), ("a b", "A  B", 1.0)]
     frame = spark.createDataFrame(edge, "a string, b string, want double")
     assert all(r.similarity == r.want for r in grounding.text_similarity(frame, "a", "b").collect())
+
+
+def _long_row(spark, n):
+    """One document of ``n`` items, none of which its two words hold."""
+    item = lambda i: F.struct(
+        F.concat(F.lit("zzz"), i.cast("string")).alias("description"), (i * 1.5).cast("double").alias("total")
+    )
+    return spark.range(1).select(
+        F.col("id").alias("doc_id"),
+        F.lit("aa bb").alias("ocr_text"),
+        F.transform(F.sequence(F.lit(1), F.lit(n)), item).alias("line_items"),
+    )
+
+
+def test_long_rows_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        started = time.perf_counter()
+        rows = grounding.ground(_long_row(spark, n), fields=()).select(F.size("item_scores").alias("n")).collect()
+        assert rows[0].n == n
+        return time.perf_counter() - started
+
+    seconds(100)
+    few, many = (min(seconds(n) for _ in range(2)) for n in (8_000, 16_000))
+    assert many <= 2.5 * few + 0.5
+
+
+def test_words_just_below_and_above_the_array_path(spark):
+    """Both ways of bounding word pairs (512 of them or fewer, and more) give the same."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdeé01") for _ in range(r.randint(2, 8)))
+    rows = []
+    for i in range(60):
+        text = [word() for _ in range(r.choice([30, 31, 32, 33, 34]))]
+        value = [r.choice(text)[:-1] + r.choice("xyz") for _ in range(r.choice([15, 16, 17]))]
+        rows.append((i, " ".join(value), " ".join(text)))
+    got = _finds(spark, rows, threshold=0.8)
+    for i, value, text in rows:
+        found, confidence = plain_find(value, text, 0.8)
+        assert got[i][0] == found and abs(got[i][1] - confidence) < 1e-12
+
+
+def test_amounts_as_text_and_plain_doubles(spark):
+    rows = [
+        (1, "1,234.50", 12345678.5, "Total 1234.50 and 12345678.5"),
+        (2, "USD -5", 1e7, "5.00 10000000.0"),
+        (3, "n/a", 0.5, "N/A 0.5"),
+        (4, "", None, "x"),
+        (5, None, 1.5e16, "1.5e+16"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id int, amount string, size double, ocr_text string")
+    fields = [grounding.Field("amount", "amount", is_amount=True), grounding.Field("size", "size")]
+    scored = grounding.field_scores(grounding.ground(frame, fields=fields, items=None)).collect()
+    got = {(r.doc_id, r.field): (r.extracted, r.found_in_ocr) for r in scored}
+    assert got[1, "amount"] == ("1234.50", True) and got[1, "size"] == ("12345678.5", True)
+    assert got[2, "amount"] == ("5.00", True) and got[2, "size"] == ("10000000.0", True)
+    assert got[3, "amount"] == ("n/a", True) and got[5, "size"] == ("1.5e+16", True)
+    assert got[5, "amount"] == (None, True) and got[4, "size"] == (None, True)
+
+
+def test_an_order_of_many_lines_is_one_invoice(spark, small, tmp_path):
+    for name in ("orders", "customer", "part", "supplier"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    one = lines.limit(1).drop("l_linenumber").crossJoin(spark.range(1, 451).select(F.col("id").alias("l_linenumber")))
+    one.select(lines.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    built = frames.invoices(spark, str(tmp_path)).where(F.size("line_items") > 0)
+    docs = built.collect()
+    assert [len(d.line_items) for d in docs] == [450]
+    text = docs[0].ocr_text
+    assert text.count("\n| ") == 450 and text.count("# INVOICE") == 1
+    scored = grounding.ground(built).select(F.size("item_scores").alias("n")).collect()
+    assert [s.n for s in scored] == [450]

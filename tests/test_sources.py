@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkproof.operators import quality, requests, responses
 from inkproof.sources import files, results
@@ -63,12 +64,110 @@ def test_golden_quality(spark):
 
 
 def test_diagnosis(spark):
-    rows = [(1.0, 5.0, 5.0, 5.0, "perfect"), (0.9, 5.0, 5.0, 5.0, "minor OCR issue"), (0.0, 5.0, 5.0, 5.0, "reformatted"),
-            (1.0, 5.0, 1.0, 5.0, "wrong field"), (1.0, 5.0, 5.0, 2.0, "bad JSON"), (0.0, 2.0, None, None, "hallucination"),
-            (0.87, 2.0, 5.0, 4.0, "unclassified")]
+    rows = [(1.0, 5.0, 5.0, 5.0, "consistent"), (0.9, 5.0, 5.0, 5.0, "noisy_text"), (0.0, 5.0, 5.0, 5.0, "restated"),
+            (1.0, 5.0, 1.0, 5.0, "misplaced"), (1.0, 5.0, 5.0, 2.0, "inconsistent"), (0.0, 2.0, None, None, "unsupported"),
+            (0.87, 2.0, 5.0, 4.0, "undecided")]
     frame = spark.createDataFrame(rows, "f double, g double, r double, c double, want string")
-    found = quality.diagnosis(*[F.col(c) for c in "fgrc"])["diagnosis"]
+    found = quality.diagnosis(*[F.col(c) for c in "fgrc"])
     assert all(r.got == r.want for r in frame.select("want", found.alias("got")).collect())
+    own = quality.diagnosis(*[F.col(c) for c in "fgrc"], verdicts=list("abcdefg"))
+    assert [r.got for r in frame.select(own.alias("got")).collect()] == list("abcdefg")
+
+
+GOOD = (
+    '{"document_type":"a","document_number":null,"document_date":null,"supplier":null,'
+    '"customer":{"name":"x","address":null,"tax_id":null},"total_amount":{"amount":1,"currency":"USD"},"line_items":%s}'
+)
+
+
+def test_conformance_of_items_and_nulls(spark):
+    item = '[{"description":"d","quantity":%s,"unit_price":null,"total":1.5}]'
+    bodies = [
+        (GOOD % "[]", []), (GOOD % item % "2", []), (GOOD % item % '"many"', ["line_items[].quantity"]),
+        (GOOD % "[1,2]", ["line_items[]"]), (GOOD % "[null]", ["line_items[]"]), (GOOD % '["x"]', ["line_items[]"]),
+        (GOOD % "null", ["line_items"]), (GOOD % '{"a":1}', ["line_items"]),
+        ((GOOD % "[]").replace('"a"', "null", 1), ["document_type"]),
+        ((GOOD % "[]").replace('"name":"x"', '"name":null'), ["customer.name"]),
+        ((GOOD % "[]").replace('"amount":1', '"amount":null'), ["total_amount.amount"]),
+    ]
+    frame = spark.createDataFrame([(n, b) for n, (b, _) in enumerate(bodies)], "doc_id int, body string")
+    checked = {r.doc_id: r for r in responses.check_conformance(frame).collect()}
+    parsed = {r.doc_id: r for r in responses.parse_records(frame).collect()}
+    for n, (body, wrong) in enumerate(bodies):
+        assert checked[n].wrong_types == wrong and checked[n].conforms == (not wrong), body
+        if parsed[n].parse_error is not None:
+            assert not checked[n].conforms
+    with pytest.raises(TypeError):
+        responses.check_conformance(frame, T.StructType([T.StructField("d", T.DateType())]))
+
+
+def test_strict_schema():
+    schema = T.StructType(
+        [
+            T.StructField("a", T.StringType(), False),
+            T.StructField("b", T.ArrayType(T.LongType(), containsNull=False)),
+            T.StructField("c", T.StructType([T.StructField("d", T.BooleanType(), False)]), False),
+        ]
+    )
+    assert json.loads(requests.strict_schema(schema)) == {
+        "type": "object",
+        "properties": {
+            "a": {"type": "string"},
+            "b": {"anyOf": [{"type": "array", "items": {"type": "integer"}}, {"type": "null"}]},
+            "c": {
+                "type": "object", "properties": {"d": {"type": "boolean"}}, "required": ["d"], "additionalProperties": False,
+            },
+        },
+        "required": ["a", "b", "c"],
+        "additionalProperties": False,
+    }
+    with pytest.raises(TypeError):
+        requests.strict_schema(T.StructType([T.StructField("d", T.BinaryType())]))
+
+
+def test_results_of_judge_services(spark, tmp_path):
+    """Members under the metric's name and members under their own are read alike, and written results come back."""
+    service = {"groundedness": 2.0, "groundedness_reason": "why", "groundedness_result": "fail", "groundedness_threshold": 3,
+               "groundedness_prompt_tokens": 7, "groundedness_model": "m", "other": [1]}
+    one = {"doc_id": 1, "evaluation": {"ai_metrics": {"groundedness": service, "relevance": {"error": "late"}}, "overall_score": 0.5,
+           "validation_metrics": {"validations": {"total_amount": {"valid": True, "message": "m", "value": 500.0}}}}}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/a.json").write_text(json.dumps(one, indent=1))
+    read = results.scan_results(spark, str(tmp_path / "one"), multi_line=True)
+    row = read.first().evaluation
+    got = row.ai_metrics["groundedness"]
+    assert (got.score, got.reason, got.result, got.threshold, got.prompt_tokens, got.model) == (2.0, "why", "fail", 3.0, 7, "m")
+    assert row.ai_metrics["relevance"].score is None and row.ai_metrics["relevance"].error == "late"
+    assert row.validation_metrics.validations["total_amount"].value == "500.0"
+    results.write_results(read, str(tmp_path / "again"))
+    assert results.scan_results(spark, str(tmp_path / "again")).first().evaluation == row
+
+
+def test_flow_without_text_answers_or_judges(spark):
+    from inkproof.plans.document_flow import document_results
+
+    files = spark.createDataFrame([(n, f"in/{n}.png", 1) for n in range(1, 6)], "doc_id int, path string, size_bytes long")
+    ocr = spark.createDataFrame(
+        [(1, '{"pages":[{"markdown":"a x 1.00"}]}'), (2, '{"pages":[{"mark'), (4, '{"pages":[]}'), (5, "{}")], "doc_id int, body string"
+    )
+    answers = spark.createDataFrame(
+        [(n, GOOD % "[]", "m", "r", 1, 1) for n in (1, 2, 3)] + [(4, "{", "m", "r", 1, 1)],
+        "doc_id int, body string, model string, response_id string, input_tokens long, output_tokens long",
+    )
+    judge = spark.createDataFrame([(1, "relevance", 5.0, None)], "doc_id int, metric string, score double, error string")
+    got = {r.doc_id: r for r in document_results(files, ocr, answers, judge).collect()}
+    assert [got[n].error for n in range(1, 6)] == [
+        None, "ocr_unreadable", "ocr_missing", "answer_unreadable", "ocr_unreadable,answer_missing"]
+    assert got[1].confidence.overall_confidence > 0 and got[1].evaluation.overall_score > 0
+    for n in (2, 3, 4, 5):
+        assert got[n].confidence is None and got[n].evaluation is None
+    assert got[2].ocr_result is None and got[4].ocr_result.pages_processed == 0
+    # a record type of one's own: the default fields it hasn't got are compared as null
+    own = T.StructType([T.StructField("document_number", T.StringType()), T.StructField("note", T.StringType())])
+    row = {r.doc_id: r for r in document_results(files, ocr, answers, schema=own).collect()}[1]
+    assert row.confidence.summary.total_fields == 5
+    assert [row.confidence.fields[f].note for f in ("total_amount", "supplier_name")] == ["Field is null"] * 2
+    assert row.extraction.note is None and row.evaluation is None
 
 
 def test_malformed_bodies_never_fail(spark):

@@ -67,12 +67,6 @@ def text_preview(spark, sf):
     return pages.text_summary(frames.table(spark, sf, "documents"), "text")
 
 
-@_query
-def scan_files(spark, sf):
-    found = file_source.scan_files(spark, sf, glob="*.parquet")
-    return file_source.file_info(found).select("name", "extension", "size_bytes", "size_mb", "is_pdf")
-
-
 @_query
 def file_info(spark, sf):
     return file_source.file_info(frames.page_files(spark, sf), "page_id")
@@ -122,8 +116,14 @@ def parse_ocr_response(spark, sf):
     lines = F.transform(
         F.split("text", "\n"), lambda line: F.struct(F.when(line != "", line).alias("markdown"))
     )
+    body = F.to_json(F.struct(lines.alias("pages")))
+    kind = F.pmod("doc_id", F.lit(17))
     recorded = frames.table(spark, sf, "documents").select(
-        "doc_id", F.to_json(F.struct(lines.alias("pages"))).alias("body")
+        "doc_id",
+        F.when(kind == 0, F.left(body, F.length(body) - 1))
+        .when(kind == 1, "{}")
+        .when(kind != 2, body)
+        .alias("body"),
     )
     return pages.parse_ocr_response(recorded)
 
@@ -164,7 +164,7 @@ def extract_request(spark, sf):
     sent = requests.extraction_requests(_routed_invoices(spark, sf), model=MODEL)
     return sent.select(
         "doc_id", "mode", "model", "instructions", "schema_name", "strict", "temperature",
-        F.to_json("content").alias("content"),
+        F.to_json("content").alias("content"), "schema_json", "payload",
     )
 
 
@@ -186,31 +186,39 @@ def _answered(spark, sf) -> DataFrame:
 
 @_query
 def response_attach(spark, sf):
-    sent = frames.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    recorded = _answered(spark, sf).where(F.pmod("doc_id", F.lit(11)) != 0)
-    return requests.attach_responses(
-        sent, recorded.select("doc_id", "response_id", "output_tokens")
+    sent = frames.document_keys(spark, sf)
+    recorded = sent.where(F.pmod("doc_id", F.lit(11)) != 0).select(
+        "doc_id",
+        F.concat(F.lit("resp_"), F.col("doc_id").cast("string")).alias("response_id"),
+        (F.pmod("doc_id", F.lit(200)) + 50).alias("output_tokens"),
     )
+    return requests.attach_responses(sent, recorded)
 
 
 @_query
 def model_apply(spark, sf):
     # defined in here, so that it travels to the workers with the query
-    def first_line_client():
+    def digest_client():
+        import hashlib
+
         def call(request: str) -> str:
-            lines = request.split("\n")
-            if lines[2] == "":
+            if request.split("\n")[2] == "":
                 raise ValueError("supplier line is blank")
-            return lines[0]
+            return hashlib.sha256(request.encode()).hexdigest()
 
         return call
 
-    sent = frames.invoices(spark, sf).select("doc_id", F.col("ocr_head").alias("request"))
-    return requests.apply_model(sent, first_line_client)
+    sent = frames.invoices(spark, sf).select("doc_id", F.col("ocr_text").alias("request"))
+    return requests.apply_model(sent, digest_client)
+
+
+def _item_number() -> Column:
+    return (F.col("position") + 1).alias("item")
 
 
 @_query
 def response_parse(spark, sf):
+    """Every field of every record, a row per item (one without items)."""
     recorded = _answered(spark, sf)
     parsed = responses.parse_records(
         recorded, kept=["response_id", "input_tokens", "output_tokens"]
@@ -220,9 +228,13 @@ def response_parse(spark, sf):
         F.col("input_tokens"), F.col("output_tokens"),
     )
     record = responses.with_default_currency(F.col("record"))
-    return parsed.select("doc_id", record.alias("r"), meta.alias("m"), "parse_error").select(
+    listed = parsed.select("doc_id", record.alias("r"), meta.alias("m"), "parse_error").select(
+        "*", F.posexplode_outer("r.line_items").alias("position", "i")
+    )
+    return listed.select(
         "doc_id",
         F.col("r").isNotNull().alias("has_record"),
+        F.col("r.document_type").alias("document_type"),
         F.col("r.document_number").alias("document_number"),
         F.col("r.document_date").alias("document_date"),
         F.col("r.supplier.name").alias("supplier_name"),
@@ -230,7 +242,11 @@ def response_parse(spark, sf):
         F.col("r.total_amount.amount").alias("amount"),
         F.col("r.total_amount.currency").alias("currency"),
         F.size("r.line_items").cast("bigint").alias("n_items"),
-        F.get("r.line_items", F.lit(0))["total"].alias("first_total"),
+        _item_number(),
+        F.col("i.description").alias("description"),
+        F.col("i.quantity").alias("quantity"),
+        F.col("i.unit_price").alias("unit_price"),
+        F.col("i.total").alias("total"),
         F.col("m.model").alias("model"),
         F.col("m.response_id").alias("response_id"),
         F.col("m.mode").alias("mode"),
@@ -263,17 +279,18 @@ RECEIPT = T.StructType(
 
 @_query
 def custom_schema(spark, sf):
+    """Every field of every receipt, a row per item (one without items)."""
     recorded = frames.receipts(frames.invoices(spark, sf))
-    parsed = responses.parse_records(recorded, RECEIPT)
+    parsed = responses.parse_records(recorded, RECEIPT).select(
+        "*", F.posexplode_outer("record.items").alias("position", "name")
+    )
     return parsed.select(
         "doc_id",
         F.lit(responses.schema_name("Receipt")).alias("schema_name"),
-        F.col("record.store_name").alias("store_name"),
-        F.col("record.store_address").alias("store_address"),
-        F.col("record.date").alias("date"),
+        *[F.col(f"record.{f}").alias(f) for f in RECEIPT.names if f != "items"],
         F.size("record.items").cast("bigint").alias("n_items"),
-        F.get("record.items", F.lit(0)).alias("first_item"),
-        F.col("record.total").alias("total"),
+        _item_number(),
+        "name",
         "parse_error",
     )
 
@@ -284,13 +301,13 @@ def custom_schema(spark, sf):
 @_query
 def text_similarity(spark, sf):
     pairs = frames.text_pairs(frames.invoices(spark, sf))
-    return grounding.text_similarity(pairs, "a", "b").select("doc_id", "kind", "similarity")
+    return grounding.text_similarity(pairs, "a", "b").select("doc_id", "kind", "place", "similarity")
 
 
 @_query
 def gestalt_ratio(spark, sf):
     pairs = frames.text_pairs(frames.invoices(spark, sf))
-    return pairs.select("doc_id", "kind", ratio_of(F.col("a"), F.col("b")).alias("ratio"))
+    return pairs.select("doc_id", "kind", "place", ratio_of(F.col("a"), F.col("b")).alias("ratio"))
 
 
 @_query
@@ -365,15 +382,34 @@ def doc_confidence_weighted(spark, sf):
 
 @_query
 def confidence_report(spark, sf):
+    """The whole report, a row per field."""
     report = grounding.confidence_report(_grounded(spark, sf))
-    return report.select(
-        "doc_id", "overall_confidence", "method",
-        F.col("fields")["supplier_name"]["note"].alias("supplier_note"),
-        F.col("fields")["total_amount"]["confidence"].alias("total_confidence"),
-        F.col("fields")["line_items"]["extracted"].alias("items_extracted"),
-        F.col("summary.total_fields").alias("total_fields"),
-        F.col("summary.low_confidence").alias("low_confidence"),
+    each = report.select("doc_id", "overall_confidence", "method", "summary", F.explode("fields").alias("name", "f"))
+    return each.select("doc_id", "overall_confidence", "method", "name", "f.*", "summary.*")
+
+
+@_query
+def field_scores_text(spark, sf):
+    """Amounts given as text, and a plain double above ten million."""
+    kind, total = F.pmod("o_orderkey", F.lit(5)), F.col("o_totalprice")
+    amount = (
+        F.when(kind == 0, frames.with_separator(total))
+        .when(kind == 1, F.concat(F.lit("USD -"), frames.money(total)))
+        .when(kind == 2, "n/a")
+        .when(kind == 3, "")
     )
+    size = (F.col("o_orderkey") + 20_000_000).cast("double")
+    docs = frames.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        amount.alias("amount"),
+        size.alias("size"),
+        F.concat(
+            F.lit("size "), (F.col("o_orderkey") + 20_000_000).cast("string"), F.lit(".0 total "),
+            F.when(kind == 1, F.floor(total).cast("string")).otherwise(frames.money(total)),
+        ).alias("ocr_text"),
+    )
+    fields = [grounding.Field("amount", "amount", is_amount=True), grounding.Field("size", "size")]
+    return grounding.field_scores(grounding.ground(docs, fields=fields, items=None))
 
 
 # -- validation and quality ---------------------------------------------------------
@@ -414,7 +450,12 @@ def validate_amount(spark, sf):
 @_query
 def validation_score(spark, sf):
     key, total = F.col("o_orderkey"), _signed_total()
-    date = F.when(F.pmod(key, F.lit(3)) == 0, "n/a").otherwise(F.lit(None).cast("string"))
+    kind, day = F.pmod(key, F.lit(4)), F.col("o_orderdate")
+    date = (
+        F.when(kind == 0, "n/a")
+        .when(kind == 1, F.date_format(day, "yyyy-MM-dd"))
+        .when(kind == 2, F.date_format(day, "dd/MM/yyyy"))
+    )
     orders = frames.table(spark, sf, "orders").select(
         key.alias("doc_id"),
         date.alias("document_date"),
@@ -426,7 +467,7 @@ def validation_score(spark, sf):
 @_query
 def judge_scores(spark, sf):
     return frames.judge_rows(spark, sf).select(
-        "doc_id", "metric", "score", "error",
+        "doc_id", "metric", "score", "error", "reason", "threshold", "model", "total_tokens",
         quality.judge_result(F.col("score")).alias("result"),
         quality.judge_band(F.col("score"), F.col("error")).alias("band"),
     )
@@ -452,7 +493,7 @@ def diagnose(spark, sf):
     matches = F.array(*[F.lit(x) for x in (1.0, 0.85, 0.0, 0.97, 0.4)])
     fuzzy = F.element_at(matches, F.pmod(F.floor(F.col("doc_id") / 5), F.lit(5)).cast("int") + 1)
     found = quality.diagnosis(fuzzy, *[F.col(m) for m in requests.JUDGE_METRICS])
-    return _judged(spark, sf).select("doc_id", found.alias("d")).select("doc_id", "d.*")
+    return _judged(spark, sf).select("doc_id", found.alias("diagnosis"))
 
 
 # -- reports ------------------------------------------------------------------------
@@ -510,7 +551,7 @@ def export_json(spark, sf):
     docs = frames.invoices(spark, sf)
     return result_store.result_json(
         docs.select(
-            "doc_id", "document_type", "document_number", "document_date", "supplier",
+            "doc_id", "document_type", "document_number", "document_date", "supplier", "customer",
             "total_amount", "line_items",
         ),
         "doc_id",
@@ -520,29 +561,49 @@ def export_json(spark, sf):
 # -- everything together --------------------------------------------------------------
 
 
-def _flow(spark, sf) -> DataFrame:
-    docs = frames.invoices(spark, sf)
-    suffix = F.when(F.pmod("v", F.lit(2)) == 1, ".pdf").otherwise(".png")
-    found = docs.select(
+def _flow(spark, sf, answers=frames.bodies, **options) -> DataFrame:
+    """The flow over all invoices; some have no text, an unreadable one, no answer, or no judge row."""
+    docs, key = frames.invoices(spark, sf), F.col("doc_id")
+    orders = frames.table(spark, sf, "orders").withColumn("doc_id", F.col("o_orderkey"))
+    suffix = F.when(F.pmod(key, F.lit(2)) == 1, ".pdf").otherwise(".png")
+    found = orders.select(
         "doc_id",
-        F.concat(F.lit("in/"), F.col("document_number"), suffix).alias("path"),
-        F.octet_length("ocr_text").cast("bigint").alias("size_bytes"),
+        F.concat(F.lit("in/INV-"), F.lpad(key.cast("string"), 8, "0"), suffix).alias("path"),
+        F.floor(F.col("o_totalprice") * 10).alias("size_bytes"),
     )
     page = [F.struct(F.col(c).alias("markdown")) for c in ("ocr_head", "ocr_body")]
-    ocr = docs.select("doc_id", F.to_json(F.struct(F.array(*page).alias("pages"))).alias("body"))
-    answers = frames.bodies(docs).withColumn("model", F.lit(MODEL))
-    score = F.pmod(F.col("doc_id"), F.lit(5)) + 1
+    body = F.to_json(F.struct(F.array(*page).alias("pages")))
+    cut = F.when(F.pmod(key, F.lit(17)) == 1, F.left(body, F.length(body) - 1)).otherwise(body)
+    ocr = docs.where(F.pmod(key, F.lit(13)) != 0).select("doc_id", cut.alias("body"))
+    answered = answers(docs.where(F.pmod(key, F.lit(19)) != 2)).withColumn("model", F.lit(MODEL))
     metrics = F.explode(F.array(*[F.lit(m) for m in requests.JUDGE_METRICS]))
-    judge = frames.document_keys(spark, sf).select("doc_id", metrics.alias("metric")).withColumn(
-        "error",
-        F.when((F.pmod("doc_id", F.lit(7)) == 0) & (F.col("metric") == "relevance"), "timed out"),
+    judged = orders.where(F.pmod(key, F.lit(23)) != 3).select("doc_id", metrics.alias("metric"))
+    late = (F.pmod(key, F.lit(7)) == 0) & (F.col("metric") == "relevance")
+    judge = judged.select(
+        "doc_id",
+        "metric",
+        F.when(~late, (F.pmod(key, F.lit(5)) + 1).cast("double")).alias("score"),
+        F.when(late, "timed out").alias("error"),
+        F.concat(F.lit("why "), F.col("metric")).alias("reason"),
     )
-    judge = judge.withColumn("score", F.when(F.col("error").isNull(), score.cast("double")))
-    return flow(found, ocr, answers, judge, use_direct_pdf=True)
+    return flow(found, ocr, answered, judge, use_direct_pdf=True, **options)
+
+
+def _field_columns(names: list[str]) -> list[Column]:
+    fields = F.col("confidence.fields")
+    return [
+        F.try_element_at(fields, F.lit(n))[part].alias(f"{n}_{part}") for n in names for part in ("confidence", "note")
+    ]
 
 
 @_query
 def document_results(spark, sf):
+    fields = [f.name for f in grounding.DEFAULT_FIELDS] + [grounding.ITEMS_FIELD]
+    metrics = [
+        F.try_element_at(F.col("evaluation.ai_metrics"), F.lit(m))[part].alias(f"{m}_{part}")
+        for m in requests.JUDGE_METRICS
+        for part in ("score", "error", "result", "reason")
+    ]
     return _flow(spark, sf).select(
         "doc_id",
         "mode",
@@ -550,13 +611,49 @@ def document_results(spark, sf):
         F.col("file_info.size_mb").alias("size_mb"),
         F.col("ocr_result.pages_processed").alias("pages_processed"),
         F.col("ocr_result.text_length").alias("text_length"),
+        F.col("ocr_result.full_text").alias("full_text"),
         F.col("extraction.document_number").alias("document_number"),
         F.col("extraction._metadata.mode").alias("recorded_mode"),
         F.col("confidence.overall_confidence").alias("overall_confidence"),
         F.col("confidence.summary.total_fields").alias("total_fields"),
         F.col("confidence.summary.high_confidence").alias("high_confidence"),
+        *_field_columns(fields),
+        *metrics,
+        F.try_element_at(F.col("evaluation.validation_metrics.validations"), F.lit("document_date"))["value"].alias("checked_date"),
         F.col("evaluation.validation_metrics.passed_checks").alias("passed_checks"),
         F.col("evaluation.validation_metrics.total_checks").alias("total_checks"),
         F.col("evaluation.overall_score").alias("overall_score"),
-        F.col("error").isNotNull().alias("has_error"),
+        "error",
+    )
+
+
+RECEIPT_FIELDS = [
+    grounding.Field("store_name", "store_name"),
+    grounding.Field("date", "date"),
+    grounding.Field("total", "total", is_amount=True),
+    grounding.Field("cashier", "cashier.name"),
+]
+
+
+def _receipt_answers(docs: DataFrame) -> DataFrame:
+    none = F.lit(None)
+    return frames.receipts(docs).select(
+        "doc_id", "body", none.cast("string").alias("response_id"),
+        none.cast("bigint").alias("input_tokens"), none.cast("bigint").alias("output_tokens"),
+    )
+
+
+@_query
+def custom_flow(spark, sf):
+    """The flow with records of a type and fields of the caller's own."""
+    names = [f.name for f in RECEIPT_FIELDS]
+    results = _flow(spark, sf, _receipt_answers, schema=RECEIPT, fields=RECEIPT_FIELDS)
+    return results.select(
+        "doc_id",
+        F.col("extraction.store_name").alias("store_name"),
+        F.col("extraction.total").alias("total"),
+        F.col("confidence.overall_confidence").alias("overall_confidence"),
+        *_field_columns(names),
+        F.col("evaluation.validation_metrics.total_checks").alias("total_checks"),
+        "error",
     )

@@ -10,11 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# An order with more lines than this becomes several sheets, each a document of
-# its own, so one huge order is never gathered into a single row.
-LINES_PER_SHEET = 200
-SHEET_STRIDE = 1_000_000_000_000  # doc_id = order key + sheet * stride; divisible by 8
-
 _NOISE = """
 0 clean                       1 supplier line blank
 2 customer 'm' -> 'rn', line prices '0' -> 'O'
@@ -29,14 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over the cores if they come in fewer files than there are cores.
-
-    Text work is bound by the CPU, and one small file is one task; a large table
-    has many files and is not shuffled.
-    """
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+    return table(spark, sf_dir, "documents")
 
 
 def money(x: Column) -> Column:
@@ -51,53 +39,29 @@ def with_separator(x: Column) -> Column:
     ).otherwise(money(x))
 
 
-def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of more than one sheet; counted with partial aggregation."""
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > LINES_PER_SHEET).select(
-        F.col("l_orderkey").alias("large_key"), F.ceil(F.col("n") / LINES_PER_SHEET).alias("sheets")
-    )
-
-
-def _lines(spark: SparkSession, sf_dir: str, oversized: DataFrame) -> DataFrame:
-    """One row per sheet with its lines in a fixed order."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with its lines in a fixed order."""
     item = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    sheet = F.pmod(
-        F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber"),
-        F.coalesce("sheets", F.lit(1)),
-    )
     # columns that decide the order come first, so sorting the structs sorts the lines
     line = F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
         "p_name", "p_retailprice", "s_name",
     )
     return (
-        item.join(oversized, F.col("l_orderkey") == F.col("large_key"), "left")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        item.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy((F.col("l_orderkey") + sheet * SHEET_STRIDE).alias("doc_id"))
+        .groupBy(F.col("l_orderkey").alias("doc_id"))
         .agg(F.array_sort(F.collect_list(line)).alias("lines"))
     )
 
 
-def _sheets(spark: SparkSession, sf_dir: str, oversized: DataFrame) -> DataFrame:
-    """Orders keyed by document, so that joining the lines needs no second shuffle of them."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"
-    )
-    numbered = orders.join(oversized, F.col("o_orderkey") == F.col("large_key"), "left").withColumn(
-        "sheet", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("sheets", F.lit(1)) - 1))
-    )
-    return numbered.withColumn("doc_id", F.col("o_orderkey") + F.col("sheet") * SHEET_STRIDE)
-
-
 def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` of the invoices, without building them."""
-    return _sheets(spark, sf_dir, _oversized(spark, sf_dir)).select("doc_id")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
 
 
 def _printed_line(v: Column, line: Column) -> Column:
@@ -120,15 +84,15 @@ def _printed_line(v: Column, line: Column) -> Column:
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the record columns, the printed parts, and the whole ``ocr_text``."""
-    oversized = _oversized(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"
+    )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     v, total = F.col("v"), F.col("o_totalprice")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     number = F.concat(F.lit("INV-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
     record = (
-        _sheets(spark, sf_dir, oversized)
-        .join(_lines(spark, sf_dir, oversized), "doc_id", "left")
-        .where(F.col("sheets").isNull() | F.col("lines").isNotNull())
+        orders.join(_lines(spark, sf_dir), "doc_id", "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("v", F.pmod("o_orderkey", F.lit(8)).cast("int"))
         .withColumn("lines", F.coalesce("lines", F.array()))
@@ -198,16 +162,18 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bodies(docs: DataFrame) -> DataFrame:
     """Recorded extraction responses of the invoices: ``doc_id``, ``body`` and token columns.
 
-    By ``doc_id % 6``: good; extra keys; missing keys; wrong types; cut off; no supplier.
+    By ``doc_id % 12``: 0 and 11 good; 1 extra keys; 2 missing keys; 3 wrong types; 4 cut off; 5 no supplier;
+    items that are 6 numbers, 7 null, 8 text; 9 a null type; 10 quantities that are words.
     """
-    kind = F.pmod("doc_id", F.lit(6))
+    kind = F.pmod("doc_id", F.lit(12))
 
     def quoted(x: Column) -> Column:
         return F.when(x.isNull(), "null").otherwise(F.concat(F.lit('"'), x, F.lit('"')))
 
     def item(i: Column) -> Column:
         return F.concat(
-            F.lit('{"description":"'), i["description"], F.lit('","quantity":'), money(i["quantity"]),
+            F.lit('{"description":"'), i["description"], F.lit('","quantity":'),
+            F.when(kind == 10, '"many"').otherwise(money(i["quantity"])),
             F.when(kind == 2, "").otherwise(F.concat(F.lit(',"unit_price":'), money(i["unit_price"]))),
             F.lit(',"total":'), money(i["total"]),
             F.when(kind == 1, ',"sku":1}').otherwise("}"),
@@ -219,7 +185,8 @@ def bodies(docs: DataFrame) -> DataFrame:
 
     body = F.concat(
         F.when(kind == 1, '{"note":"x",').otherwise("{"),
-        F.lit('"document_type":"invoice","document_number":'), quoted(F.col("document_number")),
+        F.lit('"document_type":'), F.when(kind == 9, "null").otherwise('"invoice"'),
+        F.lit(',"document_number":'), quoted(F.col("document_number")),
         F.when(kind == 2, "")
         .when(kind == 3, ',"document_date":20240101')
         .otherwise(F.concat(F.lit(',"document_date":'), quoted(F.col("document_date")))),
@@ -228,7 +195,8 @@ def bodies(docs: DataFrame) -> DataFrame:
         F.lit(',"total_amount":{"amount":'),
         F.when(kind == 3, '"n/a"').otherwise(money(F.col("amount"))),
         F.lit(',"currency":"USD"},"line_items":['),
-        F.array_join(F.transform("line_items", item), ","),
+        F.when(kind == 6, "1,2").when(kind == 7, "null").when(kind == 8, '"x"')
+        .otherwise(F.array_join(F.transform("line_items", item), ",")),
         F.lit("]}"),
     )
     cut = F.when(kind == 4, F.left(body, F.length(body) - 5)).otherwise(body)
@@ -257,8 +225,8 @@ def receipts(docs: DataFrame) -> DataFrame:
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as files: ``page_id``, ``path``, ``size_bytes``, ``content``."""
     suffix = F.element_at(
-        F.array(*[F.lit(s) for s in (".pdf", ".PNG", ".jpg", ".jpeg", ".tar.gz", ".xyz", "")]),
-        F.pmod("page_id", F.lit(7)).cast("int") + 1,
+        F.array(*[F.lit(s) for s in (".pdf", ".PNG", ".jpg", ".jpeg", ".tar.gz", ".xyz", "", ".mp4", ".wav", ".py")]),
+        F.pmod("page_id", F.lit(10)).cast("int") + 1,
     )
     content = F.encode("html", "UTF-8")
     return table(spark, sf_dir, "pages").select(
@@ -270,26 +238,21 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pairs(docs: DataFrame) -> DataFrame:
-    """Pairs of texts from the same invoice: ``doc_id``, ``kind``, ``a``, ``b``."""
-    items = F.col("line_items")
+    """Pairs of texts from the same invoice: ``doc_id``, ``kind``, ``place``, ``a``, ``b``; of the items every neighbours."""
+    names = F.col("line_items.description")
 
-    def pair(kind: str, a: Column, b: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    def pair(kind: str, a: Column, b: Column, place: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"), a.alias("a"), b.alias("b"))
 
-    return docs.select(
-        "doc_id",
-        F.inline(
-            F.array(
-                pair("customer", F.col("customer_name"), F.col("ocr_customer")),
-                pair("supplier", F.col("supplier_name"), F.col("ocr_supplier")),
-                pair(
-                    "items",
-                    F.get(items, F.lit(0))["description"],
-                    F.get(items, F.size(items) - 1)["description"],
-                ),
-            )
-        ),
+    neighbours = F.transform(
+        F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))),
+        lambda name, i: pair("items", name, F.get(names, i + 1), i + 1),
     )
+    parties = F.array(
+        pair("customer", F.col("customer_name"), F.col("ocr_customer"), F.lit(0)),
+        pair("supplier", F.col("supplier_name"), F.col("ocr_supplier"), F.lit(0)),
+    )
+    return docs.select("doc_id", F.inline(F.concat(parties, neighbours)))
 
 
 def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,6 +267,7 @@ def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(metric).alias("metric"),
             F.when(known, score.cast("double")).alias("score"),
             F.when(~known, "no label").alias("error"),
+            F.when(known, f"why {metric}").alias("reason"),
         )
 
     labelled = F.col("quality").isNotNull()
@@ -318,7 +282,13 @@ def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 row("coherence", 1 + F.pmod("doc_id", F.lit(5)), F.lit(True)),
             )
         ),
-    ).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+    ).withColumns(
+        {
+            "total_tokens": F.col("prompt_tokens") + F.col("completion_tokens"),
+            "threshold": F.lit(3.0),
+            "model": F.concat(F.lit("judge-"), F.col("metric")),
+        }
+    )
 
 
 def mode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

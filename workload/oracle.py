@@ -40,16 +40,11 @@ def compensated(values: str) -> str:
 
 
 INVOICES = f"""
-sized as (
-  select l_orderkey, cast(ceil(count(*) / 200.0) as bigint) sheets
-  from lineitem group by l_orderkey having count(*) > 200),
 line as (
-  select l.l_orderkey, (l_partkey*31 + l_suppkey*17 + l_linenumber) % coalesce(sheets, 1) sheet,
-         l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, p_name, p_retailprice, s_name
-  from lineitem l left join sized using (l_orderkey)
-       join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey),
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, p_name, p_retailprice, s_name
+  from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey),
 numbered as (
-  select *, row_number() over (partition by l_orderkey, sheet
+  select *, row_number() over (partition by l_orderkey
               order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) rn,
          l_orderkey % 8 v
   from line),
@@ -61,11 +56,11 @@ printed as (
             when v=3 then {sep('l_extendedprice')} else {money('l_extendedprice')} end, ' |') printed_line
   from numbered),
 sheet as (
-  select l_orderkey, sheet, count(*) n_items, string_agg(printed_line, chr(10) order by rn) printed_lines,
+  select l_orderkey, count(*) n_items, string_agg(printed_line, chr(10) order by rn) printed_lines,
          min(case when rn=1 then s_name end) supplier_name
-  from printed group by l_orderkey, sheet),
+  from printed group by l_orderkey),
 raw as (
-  select o_orderkey + coalesce(sheet,0)*1000000000000 doc_id, o_orderkey % 8 v, o_orderdate, o_totalprice,
+  select o_orderkey doc_id, o_orderkey % 8 v, o_orderdate, o_totalprice,
          coalesce(n_items,0) n_items, printed_lines, supplier_name, c_name customer_name,
          concat('INV-', lpad(cast(o_orderkey as varchar), 8, '0')) document_number,
          strftime(o_orderdate, '%Y-%m-%d') d
@@ -87,7 +82,7 @@ heads as (
   from parts),
 invoices as (select *, concat(ocr_head, chr(10), ocr_body) ocr_text from heads),
 items as (
-  select l_orderkey + sheet*1000000000000 doc_id, rn item, p_name description, l_quantity quantity,
+  select l_orderkey doc_id, rn item, p_name description, l_quantity quantity,
          p_retailprice unit_price, l_extendedprice total
   from numbered)
 """
@@ -259,15 +254,15 @@ AMOUNT2 = "{:.2f}"
 PAGE_FILES = """
 page_file as (
   select page_id, html, concat('p', cast(page_id as varchar),
-           ['.pdf','.PNG','.jpg','.jpeg','.tar.gz','.xyz',''][cast(page_id % 7 as int) + 1]) name,
+           ['.pdf','.PNG','.jpg','.jpeg','.tar.gz','.xyz','','.mp4','.wav','.py'][cast(page_id % 10 as int) + 1]) name,
          strlen(html)::bigint size_bytes from pages),
 typed as (
-  select *, case page_id % 7 when 0 then 'pdf' when 1 then 'png' when 2 then 'jpg' when 3 then 'jpeg'
-                             when 4 then 'gz' when 5 then 'xyz' else '' end extension,
-         case page_id % 7 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'image/jpeg'
+  select *, case page_id % 10 when 0 then 'pdf' when 1 then 'png' when 2 then 'jpg' when 3 then 'jpeg'
+                             when 4 then 'gz' when 5 then 'xyz' when 6 then '' when 7 then 'mp4' when 8 then 'wav' else 'py' end extension,
+         case page_id % 10 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'image/jpeg'
               when 3 then 'image/jpeg' when 4 then 'application/x-tar'
-              else 'application/octet-stream' end mime_type,
-         page_id % 7 = 0 is_pdf
+              when 7 then 'video/mp4' when 8 then 'audio/x-wav' when 9 then 'text/x-python' else 'application/octet-stream' end mime_type,
+         page_id % 10 = 0 is_pdf
   from page_file),
 sent as (
   select *, concat('data:', mime_type, ';base64,', to_base64(encode(html))) uri,
@@ -307,39 +302,48 @@ record as (
 
 BODIES = f"""
 body_item as (
-  select doc_id, string_agg(concat('{{"description":"', description, '","quantity":', {money('quantity')},
-           case when doc_id % 6 = 2 then '' else concat(',"unit_price":', {money('unit_price')}) end,
-           ',"total":', {money('total')}, case when doc_id % 6 = 1 then ',"sku":1}}' else '}}' end),
+  select doc_id, string_agg(concat('{{"description":"', description, '","quantity":',
+           case when doc_id % 12 = 10 then '"many"' else {money('quantity')} end,
+           case when doc_id % 12 = 2 then '' else concat(',"unit_price":', {money('unit_price')}) end,
+           ',"total":', {money('total')}, case when doc_id % 12 = 1 then ',"sku":1}}' else '}}' end),
            ',' order by item) item_list
   from items group by doc_id),
 whole as (
-  select i.*, concat(case when doc_id % 6 = 1 then '{{"note":"x",' else '{{' end,
-       '"document_type":"invoice","document_number":"', document_number, '"',
-       case when doc_id % 6 = 2 then '' when doc_id % 6 = 3 then ',"document_date":20240101'
+  select i.*, doc_id % 12 k, concat(case when doc_id % 12 = 1 then '{{"note":"x",' else '{{' end,
+       '"document_type":', case when doc_id % 12 = 9 then 'null' else '"invoice"' end,
+       ',"document_number":"', document_number, '"',
+       case when doc_id % 12 = 2 then '' when doc_id % 12 = 3 then ',"document_date":20240101'
             when document_date is null then ',"document_date":null'
             else concat(',"document_date":"', document_date, '"') end,
-       ',"supplier":', case when doc_id % 6 = 5 then 'null' else {party('supplier_name')} end,
+       ',"supplier":', case when doc_id % 12 = 5 then 'null' else {party('supplier_name')} end,
        ',"customer":', {party('customer_name')},
-       ',"total_amount":{{"amount":', case when doc_id % 6 = 3 then '"n/a"' else {money('amount')} end,
-       ',"currency":"USD"}},"line_items":[', coalesce(item_list, ''), ']}}') full_body
+       ',"total_amount":{{"amount":', case when doc_id % 12 = 3 then '"n/a"' else {money('amount')} end,
+       ',"currency":"USD"}},"line_items":[',
+       case doc_id % 12 when 6 then '1,2' when 7 then 'null' when 8 then '"x"' else coalesce(item_list, '') end, ']}}') full_body
   from invoices i left join body_item using (doc_id)),
 answer as (
-  select *, case when doc_id % 6 = 4 then left(full_body, length(full_body) - 5) else full_body end body,
+  select *, case when k = 4 then left(full_body, length(full_body) - 5) else full_body end body,
          concat('resp_', cast(doc_id as varchar)) response_id,
          (length(ocr_text) // 4)::bigint input_tokens, doc_id % 200 + 50 output_tokens
   from whole),
 -- only whole bodies reach the JSON functions
 valid as (select *, json_valid(body) ok, case when json_valid(body) then body end j from answer),
+-- items as the answers give them; items of a wrong type are none
+answer_items as (
+  select doc_id, item, description, case when doc_id % 12 <> 10 then quantity end quantity,
+         case when doc_id % 12 <> 2 then unit_price end unit_price, total
+  from items where doc_id % 12 not in (4, 6, 7, 8)
+  union all select doc_id, 1, null, null, null, null from invoices where doc_id % 12 = 7),
 parsed as (
-  select *, json_extract_string(j, '$.document_number') p_number,
+  select *, json_extract_string(j, '$.document_type') p_type,
+         json_extract_string(j, '$.document_number') p_number,
          json_extract_string(j, '$.document_date') p_date,
          json_extract_string(j, '$.supplier.name') p_supplier,
          json_extract_string(j, '$.customer.name') p_customer,
          try_cast(json_extract_string(j, '$.total_amount.amount') as double) p_amount,
          json_extract_string(j, '$.total_amount.currency') p_currency,
-         json_array_length(j, '$.line_items')::bigint p_items,
-         cast(json_extract_string(j, '$.line_items[0].total') as double) p_first_total,
-         not ok or json_type(j, '$.total_amount.amount') = 'VARCHAR' broken
+         case when k not in (6, 8) then json_array_length(j, '$.line_items')::bigint end p_items,
+         not ok or k in (3, 6, 8) or (k = 10 and n_items > 0) broken
   from valid)
 """
 
@@ -348,12 +352,14 @@ judged_doc as (
   select d.doc_id, n_chars, quality, toxic from documents d left join labels l on l.doc_id = d.doc_id),
 judge as (
   select doc_id, 'groundedness' metric, cast(1 + 4*quality as double) score,
-         case when quality is null then 'no label' end error, n_chars from judged_doc
+         case when quality is null then 'no label' end error, n_chars,
+         case when quality is not null then 'why groundedness' end reason from judged_doc
   union all
-  select doc_id, 'relevance', cast(5 - 4*toxic as double), case when quality is null then 'no label' end, n_chars
+  select doc_id, 'relevance', cast(5 - 4*toxic as double), case when quality is null then 'no label' end, n_chars,
+         case when quality is not null then 'why relevance' end
   from judged_doc
   union all
-  select doc_id, 'coherence', cast(1 + doc_id % 5 as double), null, n_chars from judged_doc),
+  select doc_id, 'coherence', cast(1 + doc_id % 5 as double), null, n_chars, 'why coherence' from judged_doc),
 per_doc as (
   select doc_id, cast(1 + 4*quality as double) groundedness, cast(5 - 4*toxic as double) relevance,
          cast(1 + doc_id % 5 as double) coherence, quality is not null labelled from judged_doc)
@@ -361,12 +367,11 @@ per_doc as (
 
 PAIRS = """
 pairs as (
-  select doc_id, 'customer' kind, customer_name a, ocr_customer b from invoices
-  union all select doc_id, 'supplier', supplier_name, ocr_supplier from invoices
+  select doc_id, 'customer' kind, 0 place, customer_name a, ocr_customer b from invoices
+  union all select doc_id, 'supplier', 0, supplier_name, ocr_supplier from invoices
   union all
-  select i.doc_id, 'items', f.description, l.description
-  from invoices i left join items f on f.doc_id = i.doc_id and f.item = 1
-       left join items l on l.doc_id = i.doc_id and l.item = i.n_items)
+  select f.doc_id, 'items', f.item, f.description, l.description
+  from items f join items l on l.doc_id = f.doc_id and l.item = f.item + 1)
 """
 
 MODE_RUNS = """
@@ -386,16 +391,68 @@ signed as (
 
 FIND_NAMES = "('document_number','document_date','supplier_name','customer_name')"
 
+def _schema(kind, nullable=True):
+    """Strict JSON schema text of a type given as 'string', 'number', {name: (type, nullable)} or [item type]."""
+    if isinstance(kind, dict):
+        members = ",".join(f'"{n}":{_schema(*t)}' for n, t in kind.items())
+        names = ",".join(f'"{n}"' for n in kind)
+        text = f'{{"type":"object","properties":{{{members}}},"required":[{names}],"additionalProperties":false}}'
+    elif isinstance(kind, list):
+        text = f'{{"type":"array","items":{_schema(kind[0], False)}}}'
+    else:
+        text = f'{{"type":"{kind}"}}'
+    return f'{{"anyOf":[{text},{{"type":"null"}}]}}' if nullable else text
+
+
+_PARTY = {"name": ("string", False), "address": ("string",), "tax_id": ("string",)}
+_MONEY = {"amount": ("number", False), "currency": ("string", False)}
+_ITEM = {"description": ("string", False), "quantity": ("number",), "unit_price": ("number",), "total": ("number",)}
+RECORD_SCHEMA = _schema(
+    {
+        "document_type": ("string", False), "document_number": ("string",), "document_date": ("string",),
+        "supplier": (_PARTY,), "customer": (_PARTY,), "total_amount": (_MONEY,), "line_items": ([_ITEM], False),
+    },
+    False,
+)
+
+RESULT_FIELDS = ["document_number", "document_date", "supplier_name", "customer_name", "total_amount", "line_items"]
+
+
+def field_columns(names: list[str]) -> str:
+    """Confidence and note of each field, one row per document, from ``comparison``."""
+    return ", ".join(
+        f"max(case when field='{n}' then {part} end) {n}_{part}" for n in names for part in ("confidence", "note")
+    )
+
+
+def flow_state(answered: str) -> str:
+    """CTE ``state``: what each document has, and the errors that follow; ``answered`` gives doc_id, ok, misfit."""
+    return f"""
+state as (
+  select i.doc_id, i.doc_id % 2 = 1 direct, i.doc_id % 2 = 0 and i.doc_id % 13 <> 0 and i.doc_id % 17 <> 1 readable,
+         a.doc_id is not null and i.doc_id % 19 <> 2 answered,
+         coalesce(ok, false) and i.doc_id % 19 <> 2 ok, coalesce(misfit, false) and i.doc_id % 19 <> 2 misfit,
+         i.doc_id % 23 <> 3 judged
+  from invoices i left join {answered} a using (doc_id)),
+stated as (
+  select *, nullif(concat_ws(',', case when not direct and doc_id % 13 = 0 then 'ocr_missing' end,
+       case when not direct and doc_id % 13 <> 0 and doc_id % 17 = 1 then 'ocr_unreadable' end,
+       case when not answered then 'answer_missing' end,
+       case when answered and not ok then 'answer_unreadable' end, case when misfit then 'answer_misfit' end), '') error
+  from state)"""
+
+
 def flow() -> str:
     """The full flow: records as the answers hold them, grounded in the invoice texts."""
     before = f"""
 parsed as (
-  select *, doc_id % 6 <> 4 ok, doc_id % 6 in (3, 4) broken,
-         case when doc_id % 6 <> 4 then document_number end p_number,
-         case doc_id % 6 when 2 then null when 3 then '20240101' else document_date end p_date,
-         case when doc_id % 6 <> 5 then supplier_name end p_supplier,
+  select *, doc_id % 12 k, doc_id % 12 <> 4 ok,
+         doc_id % 12 in (3, 6, 8) or (doc_id % 12 = 10 and n_items > 0) misfit,
+         case when doc_id % 12 <> 4 then document_number end p_number,
+         case doc_id % 12 when 2 then null when 3 then '20240101' else document_date end p_date,
+         case when doc_id % 12 <> 5 then supplier_name end p_supplier,
          customer_name p_customer,
-         case when doc_id % 6 <> 3 then amount end p_amount
+         case when doc_id % 12 <> 3 then amount end p_amount
   from invoices),
 flow_values as (
   select doc_id, 0 item, 'document_number' field, p_number value from parsed where ok
@@ -404,35 +461,75 @@ flow_values as (
   union all select doc_id, 0, 'customer_name', p_customer from parsed where ok
   union all select doc_id, 0, 'total_amount', case when p_amount is not null then format('{AMOUNT2}', p_amount) end
     from parsed where ok
-  union all select doc_id, item, field, value from item_values where doc_id % 6 <> 4),
+  union all select doc_id, item, field, value from item_values where doc_id % 12 not in (4, 6, 7, 8)),
 """
+    metrics = ", ".join(
+        f"case when shown then {score} end {m}_score, case when shown then {error} end {m}_error, "
+        f"case when shown then case when {score} >= 3 then 'pass' when {score} is not null then 'fail' end end {m}_result, "
+        f"case when shown then 'why {m}' end {m}_reason"
+        for m, score, error in (
+            ("groundedness", "score", "null::varchar"),
+            ("relevance", "case when not late then score end", "case when late then 'timed out' end"),
+            ("coherence", "score", "null::varchar"),
+        )
+    )
+    names = ", ".join(f"case when scored then {n}_{p} end {n}_{p}" for n in RESULT_FIELDS for p in ("confidence", "note"))
     return f"""with recursive {comparisons(before=before, values='flow_values')},
 confident as ({confidence_of(DEFAULT_WEIGHTS)}),
-routed as (
-  select *, case when v % 2 = 1 then 'direct_pdf' else 'hybrid' end mode,
-         concat(document_number, case when v % 2 = 1 then '.pdf' else '.png' end) name,
-         doc_id % 7 = 0 late, (doc_id % 5 + 1)::double score,
+of_field as (select doc_id, {field_columns(RESULT_FIELDS)} from comparison group by doc_id),
+{flow_state('parsed')},
+rated_flow as (
+  select p.doc_id, p.document_number, p.p_number, p.p_date, p.ocr_text, o_totalprice, direct, readable, stated.ok, stated.error,
+         case when direct then 'direct_pdf' else 'hybrid' end mode, readable and stated.ok scored,
+         judged and stated.ok shown, doc_id % 7 = 0 late, (doc_id % 5 + 1)::double score,
          (p_date is null or p_date = '' or regexp_full_match(p_date, '\\d{{4}}-\\d{{2}}-\\d{{2}}'))::bigint date_ok,
          (p_amount is null or p_amount >= 0)::bigint amount_ok
-  from parsed),
-rated_flow as (
-  select *, (date_ok + amount_ok) / 2 validation from routed)
-select r.doc_id, mode, name, {round3('strlen(ocr_text) / 1048576.0::double')} size_mb,
-  case when mode='hybrid' then 2::bigint end pages_processed,
-  case when mode='hybrid' then (length(ocr_text) + 1)::bigint end text_length,
-  p_number document_number,
+  from parsed p join stated using (doc_id)),
+valued as (select *, (date_ok + amount_ok) / 2 validation from rated_flow)
+select r.doc_id, mode, concat(document_number, case when direct then '.pdf' else '.png' end) name,
+  {round3('floor(o_totalprice * 10) / 1048576.0::double')} size_mb,
+  case when readable then 2::bigint end pages_processed,
+  case when readable then (length(ocr_text) + 1)::bigint end text_length,
+  case when readable then concat(ocr_head_text, chr(10), chr(10), ocr_body_text) end full_text,
+  case when ok then p_number end document_number,
   case when ok then case mode when 'hybrid' then 'hybrid_ocr_vision' else mode end end recorded_mode,
-  case when mode='hybrid' then overall_confidence end overall_confidence,
-  case when mode='hybrid' then total_fields end total_fields,
-  case when mode='hybrid' then high_confidence end high_confidence,
-  case when ok then date_ok + amount_ok end passed_checks,
-  case when ok then 2::bigint end total_checks,
-  case when ok then case when late then {compensated('[score/5*0.25::double, score/5*0.25::double, validation*0.15::double]')}
+  case when scored then overall_confidence end overall_confidence,
+  case when scored then total_fields end total_fields,
+  case when scored then high_confidence end high_confidence,
+  {names}, {metrics},
+  case when shown then p_date end checked_date,
+  case when shown then date_ok + amount_ok end passed_checks,
+  case when shown then 2::bigint end total_checks,
+  case when shown then case when late then {compensated('[score/5*0.25::double, score/5*0.25::double, validation*0.15::double]')}
          / {compensated('[0.25::double, 0.25::double, 0.15::double]')}
     else {compensated('[score/5*0.25::double, score/5*0.25::double, score/5*0.25::double, validation*0.15::double]')}
          / {compensated('[0.25::double, 0.25::double, 0.25::double, 0.15::double]')} end end overall_score,
-  broken has_error
-from rated_flow r left join confident using (doc_id)
+  error
+from valued r left join confident using (doc_id) left join of_field using (doc_id)
+  join (select doc_id, ocr_head ocr_head_text, ocr_body ocr_body_text from invoices) using (doc_id)
+"""
+
+
+def custom_flow() -> str:
+    """Receipts through the flow: own fields, one of which the record hasn't got."""
+    names = ["store_name", "date", "total", "cashier"]
+    before = f"""
+receipt_values as (
+  select doc_id, 0 item, 'store_name' field, coalesce(supplier_name, '') value from invoices
+  union all select doc_id, 0, 'date', coalesce(document_date, '') from invoices
+  union all select doc_id, 0, 'total', format('{AMOUNT2}', amount) from invoices
+  union all select doc_id, 0, 'cashier', null from invoices),
+"""
+    shown = ", ".join(f"case when readable and ok then {n}_{p} end {n}_{p}" for n in names for p in ("confidence", "note"))
+    scored = " + ".join(f"{n}_confidence*1.0::double" for n in names)
+    return f"""with recursive {comparisons(before=before, values='receipt_values')},
+of_field as (select doc_id, {field_columns(names)} from comparison group by doc_id),
+read_receipt as (select doc_id, true ok, false misfit from invoices),
+{flow_state('read_receipt')}
+select doc_id, case when ok then coalesce(supplier_name, '') end store_name, case when ok then amount end total,
+  case when readable and ok then {round3(f'({scored}) / 4.0::double')} end overall_confidence,
+  {shown}, case when judged and ok then 1::bigint end total_checks, error
+from stated join invoices using (doc_id) left join of_field using (doc_id)
 """
 
 
@@ -469,9 +566,13 @@ from conversations group by conv_id"""
 select conv_id, count(*)::bigint pages_processed,
        length(string_agg(text, chr(10) || chr(10)))::bigint text_length from conversations group by conv_id"""
     sql["parse_ocr_response"] = """
-select doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::bigint pages_processed,
-       replace(text, chr(10), chr(10) || chr(10)) full_text,
-       length(replace(text, chr(10), chr(10) || chr(10)))::bigint text_length from documents"""
+select doc_id, case when fine then (length(text) - length(replace(text, chr(10), '')) + 1)::bigint end pages_processed,
+       case when fine then replace(text, chr(10), chr(10) || chr(10)) end full_text,
+       case when fine then length(replace(text, chr(10), chr(10) || chr(10)))::bigint end text_length,
+       case when doc_id % 17 = 1 then '{}' when doc_id % 17 = 0 then
+         concat('{"pages":[', array_to_string(list_transform(string_split(text, chr(10)),
+           lambda l: case when l = '' then '{}' else concat('{"markdown":', to_json(l), '}') end), ','), ']') end ocr_error
+from (select *, doc_id % 17 not in (0, 1, 2) fine from documents)"""
 
     sql["ocr_request"] = f"""with {PAGE_FILES}
 select page_id, 'model-1' model, document_type, uri document_url, false include_image_base64,
@@ -480,18 +581,22 @@ select page_id, 'model-1' model, document_type, uri document_url, false include_
     sql["extract_request"] = f"""with {INVOICES}, {ROUTED},
 doc_part as (
   select *, concat('{{"type":"input_text","text":',
-      to_json(concat('Text of the document:', chr(10), ocr_text, chr(10), 'End of the text.')), '}}') text_part from routed)
+      to_json(concat('Text of the document:', chr(10), ocr_text, chr(10), 'End of the text.')), '}}') text_part from routed),
+sent_doc as (
 select doc_id, mode, 'model-1' model,
        coalesce(custom, case mode when 'hybrid' then 'Fill the schema from the image; the text only helps reading it.'
           when 'direct_pdf' then 'Fill the schema from the attached file; leave out what is not stated.'
           else 'Fill the schema from the document text; leave out what is not stated.' end) instructions,
-       'document_extraction' schema_name, true strict, 0 temperature,
+       'document_extraction' schema_name, true strict, 0 temperature, '{RECORD_SCHEMA}' schema_json,
        case mode when 'text' then concat('[', text_part, ']')
          when 'hybrid' then concat('[{{"type":"input_image","image_url":"data:image/png;base64,', encoded, '"}},', text_part, ']')
          else concat('[{{"type":"input_file","filename":"', document_number,
             '.pdf","file_data":"data:application/pdf;base64,', encoded,
             '"}},{{"type":"input_text","text":"Fill the schema from the file."}}]') end content
-from doc_part"""
+from doc_part)
+select *, concat('{{"model":"model-1","instructions":', to_json(instructions), ',"input":[{{"role":"user","content":', content,
+  '}}],"text":{{"format":{{"type":"json_schema","name":"document_extraction","schema":', schema_json,
+  ',"strict":true}}}},"temperature":0}}') payload from sent_doc"""
     record = f"""concat('{{"document_type":"invoice","document_number":"', document_number, '","document_date":', date_json,
       ',"supplier":', {party('supplier_name')}, ',"customer":', {party('customer_name')},
       ',"total_amount":{{"amount":', cast(amount as varchar), ',"currency":"USD"}},"line_items":', items_json, '}}')"""
@@ -503,23 +608,35 @@ select doc_id, metric, 'Fill the schema from the document.' query,
 from record, (values ('groundedness'), ('relevance'), ('coherence')) m(metric)"""
     sql["export_json"] = f"""with {INVOICES}, {RECORD_JSON}
 select doc_id, concat('{{"document_type":"invoice","document_number":"', document_number, '","document_date":', date_json,
-      ',"supplier":', {party('supplier_name')}, ',"total_amount":{{"amount":', cast(amount as varchar),
+      ',"supplier":', {party('supplier_name')}, ',"customer":', {party('customer_name')},
+      ',"total_amount":{{"amount":', cast(amount as varchar),
       ',"currency":"USD"}},"line_items":', items_json, '}}') result from record"""
-    sql["response_attach"] = f"""with {INVOICES}
-select o_orderkey doc_id, case when i.doc_id is not null then concat('resp_', cast(i.doc_id as varchar)) end response_id,
-       i.doc_id % 200 + 50 output_tokens
-from orders left join (select doc_id from invoices where doc_id % 11 <> 0) i on i.doc_id = o_orderkey"""
+    sql["response_attach"] = """
+select o_orderkey doc_id, case when o_orderkey % 11 <> 0 then concat('resp_', cast(o_orderkey as varchar)) end response_id,
+       case when o_orderkey % 11 <> 0 then o_orderkey % 200 + 50 end output_tokens from orders"""
     sql["model_apply"] = f"""with {INVOICES}
-select doc_id, case when ocr_supplier <> '' then '# INVOICE ' || document_number end response,
+select doc_id, case when ocr_supplier <> '' then sha256(ocr_text) end response,
        case when ocr_supplier = '' then 'ValueError: supplier line is blank' end error from invoices"""
     sql["response_parse"] = f"""with {INVOICES}, {BODIES}
-select doc_id, ok has_record, p_number document_number, p_date document_date, p_supplier supplier_name,
+select p.doc_id, ok has_record, p_type document_type, p_number document_number, p_date document_date, p_supplier supplier_name,
        p_customer customer_name, p_amount amount, p_currency currency,
-       case when ok then p_items end n_items, p_first_total first_total,
+       case when ok then p_items end n_items, a.item::int item, a.description, a.quantity, a.unit_price, a.total,
        'model-1' model, response_id, 'hybrid_ocr_vision' mode, input_tokens, output_tokens,
-       case when broken then body end parse_error from parsed"""
+       case when broken then body end parse_error
+from parsed p left join answer_items a on a.doc_id = p.doc_id and ok"""
     declared = "['document_type','document_number','document_date','supplier','customer','total_amount','line_items']"
+    # type of every declared path: pattern of the JSON type, and whether null is allowed
+    rules = """
+('document_type','VARCHAR',false),('document_number','VARCHAR',true),('document_date','VARCHAR',true),
+('supplier','OBJECT',true),('supplier.name','VARCHAR',false),('supplier.address','VARCHAR',true),('supplier.tax_id','VARCHAR',true),
+('customer','OBJECT',true),('customer.name','VARCHAR',false),('customer.address','VARCHAR',true),('customer.tax_id','VARCHAR',true),
+('total_amount','OBJECT',true),('total_amount.amount','DOUBLE|.*BIGINT',false),('total_amount.currency','VARCHAR',false),
+('line_items','ARRAY',false)"""
+    item_rules = """
+('','OBJECT',false),('.description','VARCHAR',false),('.quantity','DOUBLE|.*BIGINT',true),
+('.unit_price','DOUBLE|.*BIGINT',true),('.total','DOUBLE|.*BIGINT',true)"""
     sql["schema_conformance"] = f"""with {INVOICES}, {BODIES},
+item_value as (select doc_id, unnest(json_extract(j, '$.line_items[*]')) v from parsed where ok),
 members as (
   select doc_id, '' prefix, json_keys(j) present, {declared} declared from parsed where ok
   union all
@@ -528,16 +645,20 @@ members as (
   union all
   select doc_id, 'total_amount.', json_keys(j, '$.total_amount'), ['amount','currency'] from parsed where ok
   union all
-  select doc_id, 'line_items[].', json_keys(unnest(json_extract(j, '$.line_items[*]'))),
-         ['description','quantity','unit_price','total'] from parsed where ok),
+  select doc_id, 'line_items[].', json_keys(v), ['description','quantity','unit_price','total']
+  from item_value where json_type(v) = 'OBJECT'),
+typed_value as (
+  select doc_id, path, fits, nullable, json_type(j, '$.' || path) t from parsed, (values {rules}) r(path, fits, nullable) where ok
+  union all
+  select doc_id, 'line_items[]' || path, fits, nullable, json_type(v, '$' || path)
+  from item_value, (values {item_rules}) r(path, fits, nullable)),
 problem as (
   select doc_id, 'missing' kind, prefix || unnest([k for k in declared if not list_contains(present, k)]) path from members
   union all
   select doc_id, 'extra', prefix || unnest([k for k in present if not list_contains(declared, k)]) from members
   union all
-  select doc_id, 'type', 'document_date' from parsed where ok and json_type(j, '$.document_date') not in ('VARCHAR','NULL')
-  union all
-  select doc_id, 'type', 'total_amount.amount' from parsed where ok and json_type(j, '$.total_amount.amount') = 'VARCHAR'),
+  select doc_id, 'type', path from typed_value
+  where t is not null and case when t = 'NULL' then not nullable else not regexp_full_match(t, fits) end),
 listed as (
   select doc_id, coalesce(string_agg(distinct path, ',' order by path) filter (kind='missing'), '') missing_keys,
          coalesce(string_agg(distinct path, ',' order by path) filter (kind='extra'), '') extra_keys,
@@ -548,9 +669,9 @@ select doc_id, ok well_formed, coalesce(missing_keys, '') missing_keys, coalesce
 from parsed left join listed using (doc_id)"""
     sql["custom_schema"] = f"""with {INVOICES}
 select i.doc_id, 'receipt' schema_name, coalesce(supplier_name, '') store_name, cast(null as varchar) store_address,
-       coalesce(document_date, '') date, n_items::bigint n_items, f.description first_item, amount total,
-       cast(null as varchar) parse_error
-from invoices i left join items f on f.doc_id = i.doc_id and f.item = 1"""
+       coalesce(document_date, '') date, amount subtotal, 0.0::double tax, amount total, cast(null as varchar) payment_method,
+       n_items::bigint n_items, f.item::int item, f.description "name", cast(null as varchar) parse_error
+from invoices i left join items f on f.doc_id = i.doc_id"""
 
     sql["text_similarity"] = f"""with recursive {INVOICES}, {PAIRS},
 sides as (select *, {norm('a')} na, {norm('b')} nb from pairs),
@@ -561,12 +682,12 @@ known as (
   from sides),
 open as (select na a, nb b from known where fixed is null),
 {ratio_of('open')}
-select doc_id, kind, coalesce(fixed, ratio) similarity
+select doc_id, kind, place, coalesce(fixed, ratio) similarity
 from known left join rated on fixed is null and rated.a = na and rated.b = nb"""
     sql["gestalt_ratio"] = f"""with recursive {INVOICES}, {PAIRS},
 open as (select a, b from pairs where a <> '' and b <> ''),
 {ratio_of('open')}
-select doc_id, kind, case when p.a is null or p.b is null then null when p.a = '' and p.b = '' then 1.0
+select doc_id, kind, place, case when p.a is null or p.b is null then null when p.a = '' and p.b = '' then 1.0
                           when p.a = '' or p.b = '' then 0.0 else ratio end ratio
 from pairs p left join rated r on r.a = p.a and r.b = p.b"""
     sql["find_exact"] = f"""
@@ -590,11 +711,19 @@ select doc_id, item::int item, description_confidence, total_confidence, confide
     sql["doc_confidence"] = f"with recursive {ground} {confidence_of(DEFAULT_WEIGHTS)}"
     sql["doc_confidence_weighted"] = f"with recursive {ground} {confidence_of(CUSTOM_WEIGHTS)}"
     sql["confidence_report"] = f"""with recursive {ground}, confident as ({confidence_of(DEFAULT_WEIGHTS)})
-select doc_id, overall_confidence, 'ocr_extraction_comparison' "method",
-       max(case when field='supplier_name' then note end) supplier_note,
-       max(case when field='total_amount' then confidence end) total_confidence,
-       max(case when field='line_items' then extracted end) items_extracted, total_fields, low_confidence
-from confident join comparison using (doc_id) group by all"""
+select doc_id, overall_confidence, 'ocr_extraction_comparison' "method", field "name", field, extracted, found_in_ocr, confidence,
+       note, total_fields, high_confidence, medium_confidence, low_confidence
+from confident join comparison using (doc_id)"""
+    sql["field_scores_text"] = f"""with recursive priced as (select o_orderkey k, o_totalprice p from orders),
+texts as (
+  select k doc_id, concat('size ', cast(k + 20000000 as varchar), '.0 total ',
+         case when k % 5 = 1 then cast(cast(floor(p) as bigint) as varchar) else {money('p')} end) txt from priced),
+amount_values as (
+  select k doc_id, 0 item, 'amount' field, case k % 5 when 0 then {money('p')} when 1 then {money('p')}
+         when 2 then 'n/a' when 3 then '' end value from priced
+  union all select k, 0, 'size', concat(cast(k + 20000000 as varchar), '.0') from priced),
+{grounded('texts', 'amount_values')}
+select doc_id, field, value extracted, found found_in_ocr, {round3('raw')} confidence, {NOTE} note from scored"""
     sql["field_quality"] = f"""with recursive {ground}
 select field, count(*)::bigint documents,
        cast(sum(cast(confidence as decimal(10,3))) as double) / count(*) mean_confidence,
@@ -620,12 +749,13 @@ select doc_id, total is null or (total >= 0 and not isnan(total)) valid,
             else 'Negative amount: ' || cast(total as varchar) end message from signed"""
     sql["validation_score"] = f"""with {SIGNED_TOTAL},
 checked as (
-  select doc_id, case when doc_id % 3 = 0 then 0 else 1 end + case when total >= 0 and not isnan(total) then 1 else 0 end passed,
+  select doc_id, case when doc_id % 4 in (0, 2) then 0 else 1 end + case when total >= 0 and not isnan(total) then 1 else 0 end passed,
          case when total is null then 1 else 2 end total_checks from signed)
 select doc_id, total_checks::bigint total_checks, passed::bigint passed_checks,
        (total_checks - passed)::bigint failed_checks, passed / total_checks validation_score from checked"""
     sql["judge_scores"] = f"""with {JUDGE_ROWS}
-select doc_id, metric, score, error, case when score >= 3 then 'pass' when score is not null then 'fail' end result,
+select doc_id, metric, score, error, reason, 3.0::double threshold, 'judge-' || metric model,
+       n_chars // 4 + doc_id % 50 + 10 total_tokens, case when score >= 3 then 'pass' when score is not null then 'fail' end result,
        case when error is not null then 'error' when score >= 4 then 'ok' else 'check' end band from judge"""
     third = "(case doc_id % 3 when 0 then 1.0 when 1 then 0.5 else 0.0 end)::double"
     sql["overall_quality"] = f"""with {JUDGE_ROWS}
@@ -637,18 +767,14 @@ select doc_id, groundedness, relevance, coherence,
        end overall_score
 from per_doc"""
     sql["diagnose"] = f"""with {JUDGE_ROWS},
-matched as (select *, [1.0, 0.85, 0.0, 0.97, 0.4][cast(doc_id // 5 % 5 as int) + 1] f from per_doc),
-found as (
-  select doc_id, case
-    when f = 1 and groundedness = 5 and relevance = 5 and coherence = 5 then 'perfect'
-    when f >= 0.7 and f < 1 and groundedness = 5 and relevance = 5 and coherence = 5 then 'minor OCR issue'
-    when f = 0 and groundedness = 5 and relevance = 5 and coherence = 5 then 'reformatted'
-    when f = 1 and groundedness = 5 and relevance <= 2 and coherence = 5 then 'wrong field'
-    when f = 1 and groundedness = 5 and relevance = 5 and coherence <= 2 then 'bad JSON'
-    when f = 0 and groundedness <= 2 then 'hallucination' else 'unclassified' end diagnosis from matched)
-select doc_id, diagnosis, case diagnosis when 'perfect' then 'trust the result' when 'minor OCR issue' then 'acceptable'
-   when 'reformatted' then 'acceptable' when 'wrong field' then 'review schema or instructions'
-   when 'bad JSON' then 'check schema' when 'hallucination' then 'reject' else 'inspect' end action from found"""
+matched as (select *, [1.0, 0.85, 0.0, 0.97, 0.4][cast(doc_id // 5 % 5 as int) + 1] f from per_doc)
+select doc_id, case
+    when f = 1 and groundedness = 5 and relevance = 5 and coherence = 5 then 'consistent'
+    when f >= 0.7 and f < 1 and groundedness = 5 and relevance = 5 and coherence = 5 then 'noisy_text'
+    when f = 0 and groundedness = 5 and relevance = 5 and coherence = 5 then 'restated'
+    when f = 1 and groundedness = 5 and relevance <= 2 and coherence = 5 then 'misplaced'
+    when f = 1 and groundedness = 5 and relevance = 5 and coherence <= 2 then 'inconsistent'
+    when f = 0 and groundedness <= 2 then 'unsupported' else 'undecided' end diagnosis from matched"""
 
     sql["mode_compare"] = f"""with {MODE_RUNS}
 select doc_id, max(input_tokens) filter (mode='hybrid') hybrid_tokens,
@@ -676,4 +802,5 @@ select doc_id, field,
             when overall_confidence >= 0.7 then 'fair' else 'poor' end overall_band
 from comparison join confident using (doc_id)"""
     sql["document_results"] = flow()
+    sql["custom_flow"] = custom_flow()
     return sql
