@@ -6,9 +6,9 @@
    signature is a bucket; classes that share one are candidates.
 3. In every bucket each class meets the bucket's smallest class: linear in the bucket.  What is linked
    by then needs no further comparison inside its component.
-4. Classes of a bucket that are still in different components meet each other, in square blocks of at
-   most ``block`` members, one task row each: no bucket is gathered whole and no pairs leave a block
-   unless they survive.
+4. Classes of a bucket that are still in different components meet each other, in square blocks of about
+   ``block`` members, one group each: no bucket is gathered whole.  Pairs are compared and verified inside the
+   block until their components are joined, and only the joining links leave it.
 5. A pair is compared in batches of signature rows.  After each batch the posterior of its
    similarity (uniform prior) is bounded: if it reaches the threshold with a probability below
    ``miss`` the pair is dropped.  Survivors are verified exactly on their full shingle sets
@@ -70,20 +70,20 @@ def shingles(text: bytes, size: int = 5) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _permutations(rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and addends of the hash functions, from fixed digests."""
-    raw = b"".join(hashlib.sha256(b"row %d" % n).digest()[:16] for n in range(rows))
-    pairs = np.frombuffer(raw, "<u8").reshape(rows, 2)
-    return pairs[:, 0] | np.uint64(1), pairs[:, 1].copy()
+    """Odd multipliers and addends of the permutations of 32-bit numbers, from fixed digests."""
+    raw = b"".join(hashlib.sha256(b"row %d" % n).digest()[:8] for n in range(rows))
+    pairs = np.frombuffer(raw, "<u4").reshape(rows, 2)
+    return (pairs[:, 0] | np.uint32(1))[:, None], pairs[:, 1].copy()[:, None]
 
 
 def signature(hashes: np.ndarray, rows: int) -> np.ndarray:
-    """The smallest 32-bit value of each hash function over a set."""
+    """The smallest value of a set under each permutation; in parts that stay in the processor's cache."""
     a, b = _permutations(rows)
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     out = np.full(rows, 0xFFFFFFFF, np.uint32)
-    step = max(1, 1_000_000 // rows)
-    for at in range(0, len(hashes), step):
-        part = hashes[at : at + step]
-        values = ((part[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(folded), 256):
+        values = folded[None, at : at + 256] * a
+        values += b
         np.minimum(out, values.min(axis=1), out=out)
     return out
 
@@ -152,18 +152,26 @@ def _sketch(text: Column, size: int, rows: int) -> Column:
     return F.arrow_udf(run, _SKETCH)(text)
 
 
-def _hashes(text: Column, size: int) -> Column:
-    """The shingle set of each text as an array."""
+_SET = "struct<key:string,hashes:array<bigint>>"
+
+
+def _keyed_set(text: Column, size: int) -> Column:
+    """The digest of the word sequence and the shingle set of each text."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = [shingles(v, size) for at in range(0, len(batch), 64) for v in batch[at : at + 64].to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)])
+            keys, sets = [], []
+            for at in range(0, len(batch), 64):
+                for value in batch[at : at + 64].to_pylist():
+                    keys.append(digest(value))
+                    sets.append(shingles(value, size))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.LargeListArray.from_arrays(ends, flat).cast(pa.list_(pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.ListArray.from_arrays(ends, flat)], ["key", "hashes"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<bigint>")(text)
+    # declared non-deterministic, which it is not: else a filter on it is pushed below the join that narrows the rows
+    return F.arrow_udf(run, _SET).asNondeterministic()(text)
 
 
 def digest(text: bytes) -> str | None:
@@ -214,19 +222,23 @@ def _matrix(signs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(signs), "<u4").reshape(len(signs), -1) if signs else np.empty((0, 0), np.uint32)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, broadcast_ids: int) -> DataFrame:
+def _sets_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, broadcast_ids: int) -> DataFrame:
+    """(id, hashes) of the classes of ``ids`` (id), stored."""
+    involved = stored(nodes.select("id", "key").join(ids.distinct(), "id", "left_semi"), "involved")
+    few = F.broadcast(involved) if involved.count() <= broadcast_ids else involved
+    own = texts.join(few, F.col("doc_id") == F.col("id")).withColumn("own", _keyed_set(F.col("text"), size))
+    # rows that repeat an id and a text have one set; another text of the id isn't the class's
+    sets = own.where("own.key = key").groupBy("id").agg(F.any_value("own.hashes").alias("hashes"))
+    return stored(sets, "sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     # pairs whose sizes alone forbid it need no sets
     one, two = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     possible = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = stored(pairs.join(one, "a").join(two, "b").where(possible), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    involved = stored(nodes.select("id", "key").join(ids, "id", "left_semi"), "involved")
-    few = F.broadcast(involved) if involved.count() <= broadcast_ids else involved
-    own = texts.join(few, (F.col("doc_id") == F.col("id")) & (F.col("word_key") == F.col("key")))
-    # rows that repeat an id and a text have one set
-    sets = own.select("id", _hashes(F.col("text"), size).alias("hashes")).groupBy("id").agg(F.any_value("hashes").alias("hashes"))
-    sets = stored(sets, "sets")
+    sets = sets_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
     one, two = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
     return both.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
@@ -239,8 +251,61 @@ def _bayes(pairs: DataFrame, nodes: DataFrame, limits: tuple) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(_pruned(F.col("s_a"), F.col("s_b"), limits)).select("a", "b")
 
 
-def _across(members: DataFrame, limits: tuple, block: int) -> DataFrame:
-    """Surviving pairs of members of a bucket (bucket, id, component, sig, many) in different components."""
+class Components:
+    """Union-find over the components that meet in a square."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, n: int) -> int:
+        while n in self.parent:
+            n = self.parent[n]
+        return n
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+
+def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    few, many = (left, right) if len(left) <= len(right) else (right, left)
+    if 100 * len(few) < percent * len(many):
+        return False
+    place = np.searchsorted(many, few)
+    place[place == len(many)] = 0
+    shared = int((many[place] == few).sum())
+    return 100 * shared >= percent * (len(few) + len(many) - shared)
+
+
+def square_links(
+    ids: np.ndarray, group: np.ndarray, signs: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, limits: tuple, percent: int
+) -> list[tuple[int, int]]:
+    """Verified links between rows ``left`` and ``right`` that join different components, as few as join them.
+
+    Every pair of different components is compared until a link joins them; no link, no join.
+    """
+    known, out = Components(), []
+    roots = group.copy()
+    for one in left:
+        others = right[roots[right] != roots[one]]
+        if not len(others):
+            continue
+        kept = others[survivors(np.broadcast_to(signs[one], (len(others), signs.shape[1])), signs[others], limits)]
+        if not len(kept):
+            continue
+        nearest = np.argsort(-(signs[kept] == signs[one]).sum(axis=1), kind="stable")
+        for other in kept[nearest]:
+            if known.root(group[one]) != known.root(group[other]) and similar(sets[one], sets[other], percent):
+                out.append((int(ids[one]), int(ids[other])))
+                known.join(int(group[one]), int(group[other]))
+                roots = np.array([known.root(int(g)) for g in group])
+    return out
+
+
+def _across(members: DataFrame, limits: tuple, block: int, percent: int) -> DataFrame:
+    """Links between members of a bucket (bucket, id, component, sig, hashes, many) in different components."""
     blocks = F.ceil(F.col("many") / block).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     # a member goes to the squares of its row and its column; a bucket of one block has one square
@@ -251,24 +316,17 @@ def _across(members: DataFrame, limits: tuple, block: int) -> DataFrame:
     dealt = members.withColumn("mine", mine).withColumn("square", F.explode(squares))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, group = table["id"].to_numpy(), table["component"].to_numpy()
-        signs = _matrix(table["sig"].to_pylist())
+        hashes = table["hashes"].combine_chunks()
+        ends, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy().view(np.uint64)
+        sets = [flat[a:b] for a, b in zip(ends, ends[1:])]
         place = table["mine"].to_numpy()
         row, column = table["row"][0].as_py(), table["column"][0].as_py()
         left, right = np.flatnonzero(place == row), np.flatnonzero(place == column)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for one in left:
-            others = right[group[right] != group[one]]
-            if row == column:
-                others = others[ids[others] > ids[one]]
-            if len(others):
-                kept = others[survivors(np.broadcast_to(signs[one], (len(others), signs.shape[1])), signs[others], limits)]
-                found.append((np.full(len(kept), ids[one]), ids[kept]))
-        x = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-        y = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-        return pa.table({"a": np.minimum(x, y).astype(np.int64), "b": np.maximum(x, y).astype(np.int64)})
-
-    flat = dealt.select("bucket", "square.row", "square.column", "mine", "id", "component", "sig")
+        ids, group = table["id"].to_numpy(), table["component"].to_numpy()
+        found = square_links(ids, group, _matrix(table["sig"].to_pylist()), sets, left, right, limits, percent)
+        return pa.table({c: pa.array([f[n] for f in found], pa.int64()) for n, c in enumerate("ab")})
+
+    flat = dealt.select("bucket", "square.row", "square.column", "mine", "id", "component", "sig", "hashes")
     return flat.groupBy("bucket", "row", "column").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -293,9 +351,9 @@ def near_duplicates(
     )
     classes = stored(classes, "classes")
     nodes = classes.where("id is not null")
-    texts = docs.select("doc_id", binary_text().alias("text"), word_key(binary_text()).alias("word_key"))
-    verify = partial(_verified, nodes=nodes, texts=texts, size=size, percent=percent, broadcast_ids=broadcast_ids)
-    found = _class_components(nodes, verify, bands, rows, limits, block)
+    texts = docs.select("doc_id", binary_text().alias("text"))
+    sets_of = partial(_sets_of, nodes=nodes, texts=texts, size=size, broadcast_ids=broadcast_ids)
+    found = _class_components(nodes, sets_of, percent, bands, rows, limits, block)
     labelled = classes.select("key", "id", "n").join(found, "id", "left")
     labelled = labelled.select(key_exchange("key").alias("k"), "n", F.coalesce("component", "id").alias("component"))
     out = keyed.join(labelled, key_exchange("key") == F.col("k"), "left")
@@ -308,7 +366,9 @@ def near_duplicates(
     )
 
 
-def _class_components(nodes: DataFrame, verify: Callable, bands: int, rows: int, limits: tuple, block: int) -> DataFrame:
+def _class_components(
+    nodes: DataFrame, sets_of: Callable, percent: int, bands: int, rows: int, limits: tuple, block: int
+) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
     placed = nodes.select("id", F.explode(_bands(F.col("sig"), bands, rows)).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
@@ -317,7 +377,7 @@ def _class_components(nodes: DataFrame, verify: Callable, bands: int, rows: int,
     members = stored(met.select("bucket", "id", "pivot"), "members")
 
     first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verify(_bayes(first, nodes, limits)), "links")
+    links = stored(_verified(_bayes(first, nodes, limits), nodes, sets_of, percent), "links")
     grouped = members.join(components(links), "id", "left")
     grouped = cut(grouped.select("bucket", "id", F.coalesce("component", "id").alias("component")))
 
@@ -326,8 +386,9 @@ def _class_components(nodes: DataFrame, verify: Callable, bands: int, rows: int,
     )
     open_ones = open_ones.where("low < high").select((F.col("bucket").bitwiseXOR(F.lit(1))).alias("other"), "many")
     rest = grouped.join(open_ones, F.col("bucket").bitwiseXOR(F.lit(1)) == F.col("other"))
-    rest = rest.join(nodes.select("id", "sig"), "id").select("bucket", "id", "component", "sig", "many")
-    more = verify(_across(rest, limits, block))
+    rest = stored(rest.select("bucket", "id", "component", "many"), "open-buckets")
+    full = nodes.select("id", "sig").join(sets_of(rest.select("id")), "id")
+    more = _across(rest.join(full, "id"), limits, block, percent)
     return components(links.unionAll(more))
 
 

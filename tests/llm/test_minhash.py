@@ -93,21 +93,34 @@ def test_against_plain_sets(spark):
     assert minhash.keep_one(frame).columns == frame.columns
 
 
-def test_squares_find_what_pivots_miss(spark):
-    """Members of one bucket in different components meet, whatever the block size."""
+def test_squares_join_what_is_similar(spark):
+    """Members of one bucket in different components meet, whatever the block size; only joining links come out."""
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**32, 200, dtype=np.uint32)
-    rows = []
-    for n in range(40):
-        sign = base.copy()
-        if n % 2:
-            sign[rng.choice(200, 150, False)] = rng.integers(0, 2**32, 150)
-        rows.append((1, n, n, bytearray(sign.tobytes()), 40))
-    frame = spark.createDataFrame(rows, "bucket long, id long, component long, sig binary, many long")
+    rows, sets = [], {}
+    for n in range(60):
+        base = np.random.default_rng(n % 3).integers(0, 2**63, 200).astype(np.uint64)
+        extra = rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)
+        sets[n] = np.unique(np.concatenate([base, extra]))
+        sign = minhash.signature(sets[n], 200)
+        rows.append((1, n, n if n < 50 else 0, bytearray(sign.tobytes()), sets[n].view(np.int64).tolist(), 60))
+    schema = "bucket long, id long, component long, sig binary, hashes array<long>, many long"
+    frame = spark.createDataFrame(rows, schema)
+    links = [(a, b) for a, b in combinations(range(60), 2) if minhash.similar(sets[a], sets[b], 75)]
+    given = [(n, 0) for n in range(50, 60)]
     limits = minhash.fewest_matches(200, 40, 0.75, 1e-6)
-    want = set(combinations(range(0, 40, 2), 2))
     for block in (4, 512):
-        assert {(r.a, r.b) for r in minhash._across(frame, limits, block).collect()} == want
+        got = [(r.a, r.b) for r in minhash._across(frame, limits, block, 75).collect()]
+        assert {tuple(sorted(p)) for p in got} <= set(links)
+        assert roots(range(60), got + given) == roots(range(60), links + given)
+        assert block == 4 or len(got) < 60
+
+
+def test_similar():
+    rng = random.Random(5)
+    for _ in range(2000):
+        a, b = ({rng.randrange(12) for _ in range(rng.randint(1, 12))} for _ in range(2))
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        assert minhash.similar(x, y, 75) == (100 * len(a & b) >= 75 * len(a | b))
 
 
 def test_empty(spark):
