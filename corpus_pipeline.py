@@ -19,30 +19,35 @@ from pyspark.sql import functions as F
 
 from inkproof.llm import bpe, decontaminate, minhash, pii, toxicity
 from inkproof.llm.queries import held_out
-from inkproof.llm.shared import stored
+from inkproof.llm.shared import small_batches, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject_toxic(docs.select(COLUMNS), toxicity.fit(docs, labels, ~held_out()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.keep_one(docs.select(COLUMNS))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs.select(COLUMNS), items)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.redact(docs.select(COLUMNS))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     where = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = docs.select(*COLUMNS, bpe.encode_ids(F.col("text"), *where).alias("ids"))
     back = coded.select("*", bpe.decode_ids(F.col("ids"), *where).alias("decoded"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: The letters of the bytes start here: no white space, nothing that a normaliser would touch.
 _FIRST_LETTER = 0x100
 #: Distinct pre-tokens a task remembers before it starts anew; changes its speed only.
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -191,6 +191,8 @@ def redacted(text: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with ``text`` redacted and ``n_chars`` counted anew; other columns as they are."""
+    """Documents with ``text`` redacted and ``n_chars``, where there is one, counted anew; other columns as they are."""
     done = docs.withColumn("text", redacted(F.col("text")))
-    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+    if "n_chars" not in docs.columns:
+        return done
+    return done.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkproof.llm import bpe, chat, decontaminate, minhash, multi_index, pii, token_count, toxicity, url_filter, warc
-from inkproof.llm.shared import binary_text
+from inkproof.llm.shared import binary_text, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,6 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder if "://" in folder else f"file://{folder}"
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts travel to Python in batches of at most so many rows, unless the session has a setting of its own.
+
+    Rows here are whole documents, so the default of 10,000 would hold tens of megabytes on either side of
+    every Python worker, and more where long texts meet.
+    """
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, str(rows))
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint in the shared folder."""
     context = frame.sparkSession.sparkContext

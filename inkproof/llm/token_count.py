@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Distinct pre-tokens a task remembers before it starts anew; changes its speed only.
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 class PieceCounter:

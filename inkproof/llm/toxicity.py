@@ -47,7 +47,7 @@ _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of the prefixes that a token's odds are based on.
 _PREFIXES = (3, 4, 5, 6)
 #: Distinct tokens a task remembers before it starts anew; changes its speed only.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 #: Evidence is binned so finely when the curve is fitted.
 _BINS_PER_UNIT = 8
 #: Token scores up to 25 in steps of a quarter.
