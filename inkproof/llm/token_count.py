@@ -24,7 +24,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Distinct pre-tokens a task remembers before it starts anew; changes its speed only.
-_REMEMBERED = 100_000
+_REMEMBERED = 300_000
+
+
+def _letters() -> dict[int, int]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+_LETTERS = _letters()
 
 
 class PieceCounter:
@@ -51,11 +61,9 @@ class PieceCounter:
 
     def learn(self, tokens: set[str]) -> None:
         """Count the pieces of the pre-tokens that have none yet."""
-        new = [t for t in tokens if t not in self.pieces]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.pieces.update(zip(part, map(len, encoded)))
+        merge, pieces = self.tokenizer.model.tokenize, self.pieces
+        for token in tokens.difference(pieces):
+            pieces[token] = len(merge(token.encode().decode("latin-1").translate(_LETTERS)))
 
     def counts(self, texts: list[str]) -> list[int]:
         rows = [self.frequencies(t) for t in texts]
