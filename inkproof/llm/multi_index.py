@@ -10,6 +10,8 @@
 * **Verification.** A visitor is compared with all residents of a cell in double precision.  A cell is cut
   into squares of at most ``block`` visitors and residents, one task row each, so no cell is gathered
   whole.  A square returns counts and a spanning forest of its links, never its pairs.
+* **Counts.** A link that only one of its two vectors finds counts for both: a square counts it for the
+  visitor, and for the resident unless that visits the visitor's own cell, where it is the visitor.
 
 Vectors that are null, zero, hold null or non-finite components, or differ from the commonest length of
 the sample link with nothing; so do rows without an id.  Rows that repeat an id are one vector if
@@ -112,7 +114,7 @@ def fit(vectors: DataFrame, least: float, codes: int = 32, sample: int = 20_000,
 
 
 def _visits(vectors: DataFrame, index: Index) -> DataFrame:
-    """(vec_id, vector, cell, place) of each cell a vector visits; it resides in the one of place 0."""
+    """(vec_id, vector, cell, place, home, visited) of each cell a vector visits; it resides in ``home``, that of place 0, whose row has all cells visited."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,18 +124,21 @@ def _visits(vectors: DataFrame, index: Index) -> DataFrame:
                 cells = traverse(index, matrix, index.visits)
                 raw = [row.tobytes() for row in matrix]
                 many = cells.shape[1]
+                all_cells = [row.tobytes() for row in cells.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(part["vec_id"].to_numpy(), many)),
                         pa.array([r for r in raw for _ in range(many)], pa.binary()),
                         pa.array(cells.ravel().astype(np.int32)),
                         pa.array(np.tile(np.arange(many, dtype=np.int32), part.num_rows)),
+                        pa.array(np.repeat(cells[:, 0], many).astype(np.int32)),
+                        pa.array([r if n == 0 else None for r in all_cells for n in range(many)], pa.binary()),
                     ],
-                    ["vec_id", "vector", "cell", "place"],
+                    ["vec_id", "vector", "cell", "place", "home", "visited"],
                 )
 
     fitting = vectors.where(F.size("embedding") == index.size)
-    return fitting.mapInArrow(visit, "vec_id bigint, vector binary, cell int, place int")
+    return fitting.mapInArrow(visit, "vec_id bigint, vector binary, cell int, place int, home int, visited binary")
 
 
 def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -170,6 +175,8 @@ def _squares(visits: DataFrame, block: int) -> DataFrame:
         F.lit(False).alias("resident"),
         "vec_id",
         "vector",
+        "home",
+        F.lit(None).cast("binary").alias("visited"),
     )
     resident = dealt.where("place = 0").select(
         "cell",
@@ -178,12 +185,25 @@ def _squares(visits: DataFrame, block: int) -> DataFrame:
         F.lit(True).alias("resident"),
         "vec_id",
         "vector",
+        "home",
+        "visited",
     )
     return visitor.unionAll(resident)
 
 
+def visits_home(homes: np.ndarray, visited: list[bytes]) -> np.ndarray:
+    """Whether each resident (column) visits the home of each visitor (row)."""
+    cells, place = np.unique(homes, return_inverse=True)
+    each = np.frombuffer(b"".join(visited), np.int32)
+    who = np.repeat(np.arange(len(visited)), [len(v) // 4 for v in visited])
+    known = np.isin(each, cells)
+    there = np.zeros((len(cells), len(visited)), bool)
+    there[np.searchsorted(cells, each[known]), who[known]] = True
+    return there[place]
+
+
 def links(vectors: DataFrame, index: Index, least: float, block: int = 2048) -> DataFrame:
-    """(a, b, many): a vector and how many others it found (b null), or a link of a forest (many null)."""
+    """(a, b, many): a vector and how many links of a square count for it (b null), or a link of a forest (many null)."""
 
     def compare(table: pa.Table) -> pa.Table:
         resident = table["resident"].to_numpy()
@@ -192,10 +212,14 @@ def links(vectors: DataFrame, index: Index, least: float, block: int = 2048) ->
         visitors, there = np.flatnonzero(~resident), np.flatnonzero(resident)
         linked = matrix[visitors] @ matrix[there].T >= least
         linked &= ids[visitors][:, None] != ids[there][None, :]
-        many = linked.sum(1)
+        # a resident that visits the visitor's home counts the link there
+        visited = table["visited"].take(there).to_pylist()
+        unseen = linked & ~visits_home(table["home"].to_numpy()[visitors], visited)
+        each = np.concatenate([visitors, there])
+        many = np.concatenate([linked.sum(1), unseen.sum(0)])
         found = np.flatnonzero(many)
         forest = spanning_forest(linked)
-        a = [*ids[visitors[found]].tolist(), *[int(ids[visitors[i]]) for i, _ in forest]]
+        a = [*ids[each[found]].tolist(), *[int(ids[visitors[i]]) for i, _ in forest]]
         b = [*[None] * len(found), *[int(ids[there[j]]) for _, j in forest]]
         n = [*many[found].tolist(), *[None] * len(forest)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "many": pa.array(n, pa.int64())})

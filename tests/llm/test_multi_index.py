@@ -76,3 +76,22 @@ def test_groups_nulls_and_blocks(spark):
                 assert (r.n_links, r.component_id) == (0, r.vec_id)
     assert M.near_duplicates(frame.limit(0)).collect() == []
     assert M.near_duplicates(frame.where("vec_id >= 900 and vec_id <> 904")).where("n_links > 0").count() == 0
+
+
+def test_links_found_one_way_count_for_both(spark):
+    """Each vector visits one cell or two; what either of a pair finds is a link of both."""
+    rng = np.random.default_rng(4)
+    base = M.unit(rng.standard_normal((300, 16)))
+    noise = M.unit(rng.standard_normal(base.shape))
+    matrix = M.unit(np.concatenate([base, base + 0.3 * noise, np.repeat(base[:1], 30, 0)]))
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    linked = brute(matrix)
+    np.fill_diagonal(linked, False)
+    for visits, block in ((1, 2048), (2, 2048), (2, 7)):
+        index = M.Index(M.codebook(matrix[:, :8], 8), M.codebook(matrix[:, 8:], 8), visits)
+        cells = M.traverse(index, matrix, visits)
+        visited = (cells[:, :, None] == cells[:, 0]).any(1)  # row visits the home of column
+        want = (linked & (visited | visited.T)).sum(1)
+        got = M.links(frame, index, 0.95, block).where("b is null").groupBy("a").agg(F.sum("many").alias("n")).collect()
+        assert {r.a: r.n for r in got} == {n: w for n, w in enumerate(want.tolist()) if w}
+        assert visits == 1 or (want != (linked & visited).sum(1)).any()
