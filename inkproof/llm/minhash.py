@@ -51,7 +51,7 @@ def shingles(text: bytes, size: int = 5) -> np.ndarray:
     many = words(text)
     if not many:
         return np.empty(0, np.uint64)
-    if len(many) <= size:
+    if len(many) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(many))], np.uint64)
     digest = xxhash.xxh3_64_intdigest
     known: dict[bytes, int] = {}

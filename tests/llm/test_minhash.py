@@ -129,3 +129,11 @@ def test_empty(spark):
 
 def test_cut_keeps_rows(spark):
     assert cut(spark.range(5)).count() == 5
+
+
+def test_five_words_are_a_shingle_like_any_other(spark):
+    rows = [(n, " ".join(["a"] * many)) for n, many in enumerate((5, 6, 9, 4))]
+    assert minhash.shingles(b"a a a a a").tolist() == minhash.shingles(b"a a a a a a a").tolist()
+    assert set(minhash.shingles(b"a b c d e")) < set(minhash.shingles(b"a b c d e f"))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (1, 3)}
