@@ -7,7 +7,8 @@
 3. In every bucket each class meets the bucket's smallest class: linear in the bucket.  What is linked
    by then needs no further comparison inside its component.
 4. Classes of a bucket that are still in different components meet each other, in square blocks of about
-   ``block`` members, one group each: no bucket is gathered whole.  Pairs are compared and verified inside the
+   ``block`` members (fewer where more than about ``square_shingles`` shingles would meet in a block), one
+   group each: no bucket is gathered whole.  Pairs are compared and verified inside the
    block until their components are joined, and only the joining links leave it.
 5. A pair is compared in batches of signature rows.  After each batch the posterior of its
    similarity (uniform prior) is bounded: if it reaches the threshold with a probability below
@@ -340,6 +341,7 @@ def near_duplicates(
     miss: float = 1e-6,
     block: int = 512,
     broadcast_ids: int = 1_000_000,
+    square_shingles: int = 16_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text), one row per row."""
     limits = fewest_matches(bands * rows, batch, percent / 100, miss)
@@ -353,7 +355,7 @@ def near_duplicates(
     nodes = classes.where("id is not null")
     texts = docs.select("doc_id", binary_text().alias("text"))
     sets_of = partial(_sets_of, nodes=nodes, texts=texts, size=size, broadcast_ids=broadcast_ids)
-    found = _class_components(nodes, sets_of, percent, bands, rows, limits, block)
+    found = _class_components(nodes, sets_of, percent, bands, rows, limits, block, square_shingles)
     labelled = classes.select("key", "id", "n").join(found, "id", "left")
     labelled = labelled.select(key_exchange("key").alias("k"), "n", F.coalesce("component", "id").alias("component"))
     out = keyed.join(labelled, key_exchange("key") == F.col("k"), "left")
@@ -366,27 +368,36 @@ def near_duplicates(
     )
 
 
+def _open_buckets(grouped: DataFrame, block: int, square_shingles: int) -> DataFrame:
+    """(bucket, id, component, many) of the buckets (bucket, id, n, component) that hold several components.
+
+    ``many`` is the number of members, or so much larger that a block holds about ``square_shingles`` shingles.
+    """
+    blocks = F.least(F.ceil(F.sum("n") / square_shingles), F.count("*"))
+    open_ones = grouped.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.greatest(F.count("*"), blocks * block).alias("many")
+    )
+    open_ones = open_ones.where("low < high").select((F.col("bucket").bitwiseXOR(F.lit(1))).alias("other"), "many")
+    rest = grouped.join(open_ones, F.col("bucket").bitwiseXOR(F.lit(1)) == F.col("other"))
+    return rest.select("bucket", "id", "component", "many")
+
+
 def _class_components(
-    nodes: DataFrame, sets_of: Callable, percent: int, bands: int, rows: int, limits: tuple, block: int
+    nodes: DataFrame, sets_of: Callable, percent: int, bands: int, rows: int, limits: tuple, block: int, square_shingles: int
 ) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
-    placed = nodes.select("id", F.explode(_bands(F.col("sig"), bands, rows)).alias("bucket"))
+    placed = nodes.select("id", "n", F.explode(_bands(F.col("sig"), bands, rows)).alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     shared = shared.select((F.col("bucket").bitwiseXOR(F.lit(1))).alias("other"), "pivot")
     met = placed.join(shared, F.col("bucket").bitwiseXOR(F.lit(1)) == F.col("other"))
-    members = stored(met.select("bucket", "id", "pivot"), "members")
+    members = stored(met.select("bucket", "id", "n", "pivot"), "members")
 
     first = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(_verified(_bayes(first, nodes, limits), nodes, sets_of, percent), "links")
     grouped = members.join(components(links), "id", "left")
-    grouped = cut(grouped.select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    grouped = cut(grouped.select("bucket", "id", "n", F.coalesce("component", "id").alias("component")))
 
-    open_ones = grouped.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")
-    )
-    open_ones = open_ones.where("low < high").select((F.col("bucket").bitwiseXOR(F.lit(1))).alias("other"), "many")
-    rest = grouped.join(open_ones, F.col("bucket").bitwiseXOR(F.lit(1)) == F.col("other"))
-    rest = stored(rest.select("bucket", "id", "component", "many"), "open-buckets")
+    rest = stored(_open_buckets(grouped, block, square_shingles), "open-buckets")
     full = nodes.select("id", "sig").join(sets_of(rest.select("id")), "id")
     more = _across(rest.join(full, "id"), limits, block, percent)
     return components(links.unionAll(more))

@@ -137,3 +137,13 @@ def test_five_words_are_a_shingle_like_any_other(spark):
     assert set(minhash.shingles(b"a b c d e")) < set(minhash.shingles(b"a b c d e f"))
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (1, 3)}
+
+
+def test_large_sets_are_cut_into_more_blocks(spark):
+    rows = [(1, n, 1000, n % 3) for n in range(40)] + [(2, n, 3, n % 3) for n in range(40)] + [(3, n, 10**9, 0) for n in range(2)]
+    frame = spark.createDataFrame([*rows, (4, 1, 10**9, 1), (4, 2, 10**9, 2)], "bucket long, id long, n long, component long")
+    got = {(r.bucket, -(-r.many // 512)) for r in minhash._open_buckets(frame, 512, 4000).collect()}
+    assert got == {(1, 10), (2, 1), (4, 2)}
+    frame = spark.createDataFrame([r for r in corpus() if r[0] is not None], "doc_id long, text string")
+    whole = sorted(minhash.near_duplicates(frame).collect())
+    assert sorted(minhash.near_duplicates(frame, square_shingles=100).collect()) == whole
