@@ -127,7 +127,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif span := _account(text, end):
             found.add(("account", *span))
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.group().split(".")):
+        # without their zeros: int() refuses more than 4,300 digits
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (p.lstrip("0") for p in m.group().split("."))):
             found.add(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")

@@ -82,3 +82,11 @@ def test_redaction(spark):
     assert got == {(1, "é write [EMAIL] now", 19), (2, None, None), (3, "", 0), (1, "clean", 5)}
     assert pii.redact(frame).columns == frame.columns
     assert frame.limit(0).select(pii.spans(F.col("text"))).collect() == []
+
+
+def test_ip_parts_of_many_zeros(spark):
+    zeros = "0" * 5000
+    texts = [f"at 1.1.1.{zeros} x", f"1.{zeros}255.3.4", f"1.{zeros}256.3.4", "0.00.000.0"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found if s.kind == "ip"] for r in rows.select("doc_id", pii.spans(F.col("text")).alias("found")).collect()}
+    assert got == {0: [("ip", 3, 5009)], 1: [("ip", 0, 5009)], 2: [], 3: [("ip", 0, 10)]}
