@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkproof.llm import bpe, chat, decontaminate, minhash, multi_index, pii, token_count, toxicity, url_filter, warc
+from inkproof.llm import bpe, chat, decontaminate, license_scan, minhash, multi_index, pii, token_count, toxicity, url_filter, warc
 from inkproof.llm.shared import binary_text, small_batches
 
 
@@ -136,6 +136,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", license_scan.license_places(F.col("text")).alias("found"))
+    read = found.select("doc_id", "found.n_words", "found.places", license_scan.base_places(F.col("found.places")).alias("base"))
+    start = F.transform("base", lambda p: p["first_word"])
+    return read.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        license_scan.label_list(F.col("base")).alias("base_labels"),
+        license_scan.label_list(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
+        "places",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
@@ -147,4 +165,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_count": op8_token_count,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op13_license_scan": op13_license_scan,
 }

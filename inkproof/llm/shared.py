@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one of its own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir`` (or the context's own checkpoint folder).
+
+    Where neither is set, a local session is given a temporary folder; on a cluster that would be another disk for
+    each executor, so there it is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='run-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder if "://" in folder else f"file://{folder}"
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='run-')}")
+        folder = context.getCheckpointDir()
+    return folder if ":" in folder else f"file://{folder}"
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
