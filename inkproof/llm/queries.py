@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkproof.llm import bpe, chat, decontaminate, license_scan, minhash, multi_index, pii, token_count, toxicity, url_filter, warc
+from inkproof.llm import bpe, chat, decontaminate, license_scan, minhash, multi_index, pii, ranked_search, token_count, toxicity, url_filter, warc
 from inkproof.llm.shared import binary_text, small_batches
 
 
@@ -136,6 +136,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = docs.select("doc_id", license_scan.license_places(F.col("text")).alias("found"))
@@ -165,5 +169,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_count": op8_token_count,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op12_ranked_search": op12_ranked_search,
     "op13_license_scan": op13_license_scan,
 }

@@ -164,6 +164,27 @@ select k.page_id, host, path, rule, coalesce(decided, case when score >= coalesc
 from known k join judged j on j.page_id is not distinct from k.page_id and j.url is not distinct from k.url, best
 """
 
+_TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+with d as (select row_number() over () as k, doc_id, {_TERMS.format(_lower("coalesce(text, '')"))} as words from documents),
+s as (select count(*) filter (len(words) > 0)::bigint as docs, greatest(coalesce(sum(len(words)), 0), 1)::bigint as total from d),
+e as (select k, doc_id, len(words)::bigint as n, unnest(words) as term from d),
+tf as (select k, doc_id, n, term, count(*)::bigint as tf from e group by all),
+weights as (select term, floor(1000 * ln((2 * min(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, s group by 1),
+q as (select item_id, unnest({_TERMS.format(_lower("coalesce(text, '')"))}) as term
+  from (select distinct item_id, text from benchmark where item_id is not null)),
+times as (select item_id, term, count(*)::bigint as times from q group by all),
+scores as (
+  select item_id, k, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::bigint as score
+  from times join weights using (term) join tf using (term), s group by 1, 2, 3),
+places as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id asc nulls last) as rank, doc_id, score
+  from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from places where rank <= 20
+"""
+
 SQL: dict[str, str] = {
     "op1_warc": OP1,
     "op2_minhash": OP2,
@@ -171,4 +192,5 @@ SQL: dict[str, str] = {
     "op6_multi_index": OP6,
     "op7_url_filter": OP7,
     "op10_decontaminate": OP10,
+    "op12_ranked_search": OP12,
 }

@@ -120,7 +120,7 @@ def test_query_on_whole_documents(spark):
         assert (r.n_words, r.n_base) == (len(words), len(base))
         assert (r.first_word, r.last_word) == ((min(n for _, n in base), max(n for _, n in base)) if base else (None, None))
         assert r.base_labels == ",".join(sorted({label for label, _ in base}))
-        if len(words) < 400:
+        if len(words) < 80:
             near = {n: e for n in L.NOTICES if (e := fewest(words, n.phrase)) <= n.errors}
             assert r.labels == ",".join(sorted({n.label for n in near}))
             assert r.score == max((1 - e / (n.errors + 1) for n, e in near.items()), default=0.0)
