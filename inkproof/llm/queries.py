@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkproof.llm import bpe, chat, decontaminate, license_scan, minhash, multi_index, pii, ranked_search, token_count, toxicity, url_filter, warc
+from inkproof.llm import bpe, chat, conversation_repair, decontaminate, license_scan, minhash, multi_index, pii, ranked_search, token_count, toxicity, url_filter, warc
 from inkproof.llm.shared import binary_text, small_batches
 
 
@@ -136,6 +136,35 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or given to the user, by the crc32 of conv_id:turn."""
+    whole = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    key = F.concat(whole["conv_id"], F.lit(":"), whole["turn"])
+    chosen = turns.select("conv_id", "turn", whole["role"].alias("role"), whole["text"].alias("text"), (F.crc32(key.cast("binary")) % 20).alias("how"))
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("how") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat("how", F.when(F.col("how") == 0, 0).when(F.col("how") == 3, 2).otherwise(1)))
+    return chosen.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    reports, rows = conversation_repair.repair(damaged(turns))
+    line = F.struct("place", "part", F.concat("role", F.lit(":"), "text").alias("line"))
+    lines = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    joined = F.array_join(F.transform("lines", lambda s: s["line"]), "\n")
+    every = turns.select(F.col("conv_id").alias("of")).distinct()
+    for found in (reports, lines.select("conv_id", F.sha2(joined.cast("binary"), 256).alias("sha256"))):
+        every = every.join(found, F.col("of").eqNullSafe(found["conv_id"]), "left").drop(found["conv_id"])
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select(
+        F.col("of").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -169,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_count": op8_token_count,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_ranked_search": op12_ranked_search,
     "op13_license_scan": op13_license_scan,
 }

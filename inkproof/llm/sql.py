@@ -164,6 +164,57 @@ select k.page_id, host, path, rule, coalesce(decided, case when score >= coalesc
 from known k join judged j on j.page_id is not distinct from k.page_id and j.url is not distinct from k.url, best
 """
 
+# crc32 by its table of 256 entries; the repair keeps, per row and state, the cheapest way with the ASCII-least letters
+OP11 = """
+with recursive
+bits as (select list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+how as (select raw.*, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(key, ''), lambda x: ascii(x)::bigint),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 as how from raw, bits),
+damaged as (select dense_rank() over (order by conv_id) as c, conv_id, turn, case when how = 4 then 'user' else role end as role,
+  case when how = 1 then '' when how = 2 then translate(text, '.!?', '') else text end as text, how
+  from (select * from how where how <> 0 union all select * from how where how = 3)),
+placed as (select *, row_number() over (partition by c order by turn nulls first, role, sha256(text)) as i,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as tail from damaged),
+faulty as (select *, substr(role, 1, 1) as r, lag(substr(role, 1, 1)) over (partition by c order by i) as r0,
+  case when tail = '' then 1 when row_number() over (partition by c, role, text order by i) > 1 then 2
+    when right(tail, 1) not in ('.', '!', '?') then 3 else 0 end as fault from placed),
+moves(p, ins, at, added) as (values (0, 0, 0, ''), (0, 1, 2, 'user:\n'), (0, 2, 3, 'user:\nassistant:\n'), (1, 0, 1, ''), (1, 1, 2, 'user:\n'),
+  (1, 2, 3, 'user:\nassistant:\n'), (2, 0, 2, ''), (2, 1, 3, 'assistant:\n'), (2, 2, 2, 'assistant:\nuser:\n'), (3, 0, 3, ''),
+  (3, 1, 2, 'user:\n'), (3, 2, 3, 'user:\nassistant:\n')),
+keeps(at, r, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits as (
+  select p, 'D' as edit, '' as r, p as q, 2 as price, 'D' as letters, '' as added, '' as becomes from moves where ins = 0
+  union all select p, 'K', r, q, 5 * ins, repeat('I', ins) || 'K', added, '' from moves join keeps using (at)
+  union all select p, 'R', '', case when at = 2 then 3 else 2 end, 5 * ins + 1, repeat('I', ins) || 'R', added,
+    case when at = 2 then 'assistant' else 'user' end from moves),
+ways as (
+  select distinct c, 0::bigint as i, 0 as q, 0::bigint as cost, '' as audit, '' as lines from damaged
+  union all
+  select c, i, q, best.cost, best.audit, best.lines from (
+    select w.c, f.i, e.q, arg_min({'cost': w.cost + e.price + case when e.edit <> 'D' and f.fault = 3 then 5 else 0 end,
+        'audit': w.audit || e.letters,
+        'lines': w.lines || e.added || case e.edit when 'D' then '' when 'K' then f.role || ':' || f.text || chr(10) else e.becomes || ':' || f.text || chr(10) end},
+      {'cost': w.cost + e.price + case when e.edit <> 'D' and f.fault = 3 then 5 else 0 end, 'audit': w.audit || e.letters}) as best
+    from ways w join faulty f on f.c = w.c and f.i = w.i + 1
+      join edits e on e.p = w.q and (e.edit = 'D' or f.fault in (0, 3)) and (e.edit <> 'K' or e.r = f.r)
+    group by 1, 2, 3)),
+tails(q, price, letters, added) as (values (0, 0, '', ''), (1, 10, 'II', 'user:\nassistant:\n'), (2, 5, 'I', 'assistant:\n'), (3, 0, '', '')),
+final as (select w.c, arg_min({'cost': w.cost + t.price, 'audit': w.audit || t.letters, 'lines': w.lines || t.added},
+    {'cost': w.cost + t.price, 'audit': w.audit || t.letters}) as best
+  from ways w join tails t using (q) join (select c, max(i) as i from faulty group by 1) n on n.c = w.c and n.i = w.i group by 1),
+counts as (select c, any_value(conv_id) as conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+  count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+  count(*) filter (i > 1 and r0 || r not in ('su', 'ua', 'au')) as illegal from faulty group by 1)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit,
+  sha256(coalesce(left(best.lines, -1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+  left join (counts join final using (c)) f on f.conv_id is not distinct from o.conv_id
+"""
+
 _TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 OP12 = f"""
@@ -192,5 +243,6 @@ SQL: dict[str, str] = {
     "op6_multi_index": OP6,
     "op7_url_filter": OP7,
     "op10_decontaminate": OP10,
+    "op11_conversation_repair": OP11,
     "op12_ranked_search": OP12,
 }
