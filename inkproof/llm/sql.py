@@ -181,15 +181,15 @@ placed as (select *, row_number() over (partition by c order by turn nulls first
 faulty as (select *, substr(role, 1, 1) as r, lag(substr(role, 1, 1)) over (partition by c order by i) as r0,
   case when tail = '' then 1 when row_number() over (partition by c, role, text order by i) > 1 then 2
     when right(tail, 1) not in ('.', '!', '?') then 3 else 0 end as fault from placed),
-moves(p, ins, at, added) as (values (0, 0, 0, ''), (0, 1, 2, 'user:\n'), (0, 2, 3, 'user:\nassistant:\n'), (1, 0, 1, ''), (1, 1, 2, 'user:\n'),
+moves(p, ins, mid, added) as (values (0, 0, 0, ''), (0, 1, 2, 'user:\n'), (0, 2, 3, 'user:\nassistant:\n'), (1, 0, 1, ''), (1, 1, 2, 'user:\n'),
   (1, 2, 3, 'user:\nassistant:\n'), (2, 0, 2, ''), (2, 1, 3, 'assistant:\n'), (2, 2, 2, 'assistant:\nuser:\n'), (3, 0, 3, ''),
   (3, 1, 2, 'user:\n'), (3, 2, 3, 'user:\nassistant:\n')),
-keeps(at, r, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+keeps(mid, r, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
 edits as (
   select p, 'D' as edit, '' as r, p as q, 2 as price, 'D' as letters, '' as added, '' as becomes from moves where ins = 0
-  union all select p, 'K', r, q, 5 * ins, repeat('I', ins) || 'K', added, '' from moves join keeps using (at)
-  union all select p, 'R', '', case when at = 2 then 3 else 2 end, 5 * ins + 1, repeat('I', ins) || 'R', added,
-    case when at = 2 then 'assistant' else 'user' end from moves),
+  union all select p, 'K', r, q, 5 * ins, repeat('I', ins) || 'K', added, '' from moves join keeps using (mid)
+  union all select p, 'R', '', case when mid = 2 then 3 else 2 end, 5 * ins + 1, repeat('I', ins) || 'R', added,
+    case when mid = 2 then 'assistant' else 'user' end from moves),
 ways as (
   select distinct c, 0::bigint as i, 0 as q, 0::bigint as cost, '' as audit, '' as lines from damaged
   union all
