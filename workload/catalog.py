@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from inkproof.functions import text
 from inkproof.functions.checks import amount_check, date_check
 from inkproof.functions.ratio import gestalt_ratio as ratio_of
-from inkproof.operators import grounding, pages, quality, reporting, requests, responses
+from inkproof.operators import grounding, pages, quality, reporting, requests, responses, resume
 from inkproof.plans.document_flow import document_results as flow
 from inkproof.sources import files as file_source
 from inkproof.sources import results as result_store
+from inkproof.sources.shared import shared_folder
 from workload import frames
 
 MODEL = "model-1"
@@ -212,6 +213,34 @@ def model_apply(spark, sf):
     return requests.apply_model(sent, digest_client)
 
 
+@_query
+def model_resume(spark, sf):
+    """Two runs over one store: the second sends what was refused by the first, and nothing else."""
+
+    def client(busy: str):
+        # defined in here, so that it travels to the workers with the query
+        def make():
+            import hashlib
+
+            def call(request: str) -> str:
+                digest = hashlib.sha256(request.encode()).hexdigest()
+                if request.split("\n")[2] == "":
+                    raise ValueError("supplier line is blank")
+                if digest[0] in busy:
+                    raise TimeoutError("service is busy")
+                return f"{'second' if not busy else 'first'} {digest}"
+
+            return call
+
+        return make
+
+    sent = frames.invoices(spark, sf).select("doc_id", F.col("ocr_text").alias("request"))
+    store = resume.ResponseStore(spark, shared_folder(spark, "answers"))
+    resume.apply_resumable(sent, client("0369cf"), store, waves=2, task_requests=20_000)
+    done = resume.apply_resumable(sent, client(""), store, waves=2, task_requests=20_000)
+    return done.select("doc_id", "response", "error", "sends")
+
+
 def _item_number() -> Column:
     return (F.col("position") + 1).alias("item")
 

@@ -617,6 +617,11 @@ select o_orderkey doc_id, case when o_orderkey % 11 <> 0 then concat('resp_', ca
     sql["model_apply"] = f"""with {INVOICES}
 select doc_id, case when ocr_supplier <> '' then sha256(ocr_text) end response,
        case when ocr_supplier = '' then 'ValueError: supplier line is blank' end error from invoices"""
+    sql["model_resume"] = f"""with {INVOICES},
+sent as (select doc_id, ocr_supplier, sha256(ocr_text) d, substr(sha256(ocr_text), 1, 1) in ('0','3','6','9','c','f') busy from invoices)
+select doc_id, case when ocr_supplier <> '' then concat(case when busy then 'second ' else 'first ' end, d) end response,
+       case when ocr_supplier = '' then 'ValueError: supplier line is blank' end error,
+       case when ocr_supplier = '' or busy then 2 else 1 end::bigint sends from sent"""
     sql["response_parse"] = f"""with {INVOICES}, {BODIES}
 select p.doc_id, ok has_record, p_type document_type, p_number document_number, p_date document_date, p_supplier supplier_name,
        p_customer customer_name, p_amount amount, p_currency currency,
