@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from inkproof.functions import text
 from inkproof.functions.checks import amount_check, date_check
 from inkproof.functions.ratio import gestalt_ratio as ratio_of
-from inkproof.operators import grounding, pages, quality, reporting, requests, responses, resume
+from inkproof.operators import grounding, json_schema, pages, quality, reporting, requests, responses, resume
 from inkproof.plans.document_flow import document_results as flow
 from inkproof.sources import files as file_source
 from inkproof.sources import results as result_store
@@ -292,6 +292,60 @@ def schema_conformance(spark, sf):
     return checked.select("doc_id", "well_formed", *listed, "conforms")
 
 
+_TEXT = {"type": "string"}
+_NUMBER = {"type": "number"}
+
+
+def _object(required: list[str] | None = None, **properties) -> dict:
+    required = list(properties) if required is None else required
+    return {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
+
+
+def _or_null(schema: dict) -> dict:
+    return {"anyOf": [schema, {"type": "null"}]}
+
+
+PAYMENT = {
+    **_object(
+        method={"anyOf": [{"$ref": "#/$defs/Card"}, {"$ref": "#/$defs/Transfer"}, {"enum": ["cash"], "type": "string"}]},
+        payer={"$ref": "#/$defs/Side"},
+        payee=_or_null({"$ref": "#/$defs/Side"}),
+        amounts={"type": "array", "items": {"anyOf": [_NUMBER, {"$ref": "#/$defs/Money"}]}},
+    ),
+    "$defs": {
+        "Card": _object(type={"const": "card"}, number=_TEXT),
+        "Transfer": _object(type={"const": "transfer"}, iban=_TEXT),
+        "Side": _object(["name"], name=_TEXT, tax_id=_or_null(_TEXT)),
+        "Money": _object(amount=_NUMBER, currency=_TEXT),
+    },
+}
+NESTED = {
+    **_object(lines=_or_null({"$ref": "#/$defs/Line"}), sum={"$ref": "#/$defs/Sum"}),
+    "$defs": {
+        "Line": _object(description=_TEXT, quantity=_NUMBER, next=_or_null({"$ref": "#/$defs/Line"})),
+        "Sum": {"anyOf": [_NUMBER, {"$ref": "#/$defs/Pair"}]},
+        "Pair": _object(left={"$ref": "#/$defs/Sum"}, right={"$ref": "#/$defs/Sum"}),
+    },
+}
+
+
+def _checked(bodies: DataFrame, schema: dict) -> DataFrame:
+    listed = [F.array_join(kind, ",").alias(kind) for kind in json_schema.KINDS]
+    return json_schema.check_schema(bodies, schema).select("doc_id", "well_formed", *listed, "conforms")
+
+
+@_query
+def schema_union(spark, sf):
+    """Bodies against a schema with shared parts and unions."""
+    return _checked(frames.payments(frames.invoices(spark, sf)), PAYMENT)
+
+
+@_query
+def schema_recursive(spark, sf):
+    """Bodies of any depth against a schema that refers to itself."""
+    return _checked(frames.nested_lines(frames.invoices(spark, sf)), NESTED)
+
+
 RECEIPT = T.StructType(
     [
         T.StructField("store_name", T.StringType()),

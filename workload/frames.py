@@ -222,6 +222,64 @@ def receipts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", body.alias("body"))
 
 
+def payments(docs: DataFrame) -> DataFrame:
+    """How invoices were paid: ``doc_id``, ``body``; a card, a transfer or cash by ``doc_id % 3``.
+
+    By ``doc_id % 10``: 1 a way of no kind, 2 neither card nor transfer, 3 a word that isn't listed; 4 payer without a name;
+    payee that is 5 a number, 6 has a key too many; amounts that are 7 text, 8 of text; 9 cut off.
+    """
+    kind, way = F.pmod("doc_id", F.lit(10)), F.pmod("doc_id", F.lit(3))
+    number = F.col("document_number")
+    method = (
+        F.when(kind == 1, "5").when(kind == 2, '{"type":"card"}').when(kind == 3, '"cheque"')
+        .when(way == 0, F.concat(F.lit('{"type":"card","number":"'), number, F.lit('"}')))
+        .when(way == 1, F.concat(F.lit('{"type":"transfer","iban":"'), number, F.lit('"}')))
+        .otherwise('"cash"')
+    )
+    payer = F.when(kind == 4, '{"tax_id":null}').otherwise(F.concat(F.lit('{"name":"'), F.col("customer_name"), F.lit('","tax_id":null}')))
+    payee = (
+        F.when(kind == 5, "7")
+        .when(kind == 6, '{"name":"x","vat":1}')
+        .otherwise(F.coalesce(F.concat(F.lit('{"name":"'), F.col("supplier_name"), F.lit('"}')), F.lit("null")))
+    )
+    amount = money(F.col("amount"))
+    second = F.when(kind == 7, '"x"').when(kind == 8, '{"amount":"x","currency":"USD"}').otherwise(
+        F.concat(F.lit('{"amount":'), amount, F.lit(',"currency":"USD"}'))
+    )
+    body = F.concat(
+        F.lit('{"method":'), method, F.lit(',"payer":'), payer, F.lit(',"payee":'), payee,
+        F.lit(',"amounts":['), amount, F.lit(","), second, F.lit("]}"),
+    )
+    return docs.select("doc_id", F.when(kind == 9, F.left(body, F.length(body) - 1)).otherwise(body).alias("body"))
+
+
+def nested_lines(docs: DataFrame) -> DataFrame:
+    """Invoices as chains: ``doc_id``, ``body`` with each line inside the one before it, and the total as a sum of sums.
+
+    By ``doc_id % 6``, of the innermost: 1 a quantity that is text, 2 a line without description, 4 a sum that is text; 3 a key
+    too many in every line; 5 cut off.
+    """
+    kind, many = F.pmod("doc_id", F.lit(6)), F.size("line_items")
+    place = F.transform("line_items", lambda i, n: F.struct(i.alias("i"), n.alias("n")))
+
+    def around(inner: Column, p: Column) -> Column:
+        last = p["n"] == many - 1
+        return F.concat(
+            F.when(last & (kind == 2), "{").otherwise(F.concat(F.lit('{"description":"'), p["i"]["description"], F.lit('",'))),
+            F.when(last & (kind == 1), '"quantity":"x"').otherwise(F.concat(F.lit('"quantity":'), money(p["i"]["quantity"]))),
+            F.when(kind == 3, ',"sku":1').otherwise(""),
+            F.lit(',"next":'), inner, F.lit("}"),
+        )
+
+    lines = F.aggregate(F.reverse(place), F.lit("null"), around)
+    start = F.when(kind == 4, '"x"').otherwise("0")
+    total = F.aggregate(
+        "line_items", start, lambda s, i: F.concat(F.lit('{"left":'), s, F.lit(',"right":'), money(i["total"]), F.lit("}"))
+    )
+    body = F.concat(F.lit('{"lines":'), lines, F.lit(',"sum":'), total, F.lit("}"))
+    return docs.select("doc_id", F.when(kind == 5, F.left(body, F.length(body) - 1)).otherwise(body).alias("body"))
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as files: ``page_id``, ``path``, ``size_bytes``, ``content``."""
     suffix = F.element_at(

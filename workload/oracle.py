@@ -672,6 +672,25 @@ listed as (
 select doc_id, ok well_formed, coalesce(missing_keys, '') missing_keys, coalesce(extra_keys, '') extra_keys,
        coalesce(wrong_types, '') wrong_types, ok and listed.doc_id is null conforms
 from parsed left join listed using (doc_id)"""
+    paths = lambda when: {k: "''" for k in ("missing_keys", "extra_keys", "wrong_types", "wrong_values", "no_branch")} | when
+    listed = lambda when: ", ".join(f"{v} {k}" for k, v in paths(when).items())
+    sql["schema_union"] = f"""with kinds as (select o_orderkey doc_id, o_orderkey % 10 k from orders join customer on c_custkey = o_custkey)
+select doc_id, k <> 9 well_formed, k = 0 conforms, {listed({
+        "missing_keys": "case k when 4 then 'payer.name' else '' end",
+        "extra_keys": "case k when 6 then 'payee.vat' else '' end",
+        "wrong_types": "case k when 5 then 'payee' when 8 then 'amounts[].amount' else '' end",
+        "wrong_values": "case k when 3 then 'method' else '' end",
+        "no_branch": "case k when 1 then 'method' when 2 then 'method' when 7 then 'amounts[]' else '' end",
+    })} from kinds"""
+    sql["schema_recursive"] = f"""with {INVOICES},
+kinds as (select doc_id, doc_id % 6 k, n_items::int n, concat('lines', repeat('.next', n_items::int - 1)) last from invoices)
+select doc_id, k <> 5 well_formed, k = 0 or (n = 0 and k in (1, 2, 3)) conforms, {listed({
+        "missing_keys": "case when k = 2 and n > 0 then last || '.description' else '' end",
+        "extra_keys": """case when k = 3 then array_to_string(list_sort(list_transform(range(n),
+          lambda i: concat('lines', repeat('.next', i), '.sku'))), ',') else '' end""",
+        "wrong_types": "case when k = 1 and n > 0 then last || '.quantity' else '' end",
+        "no_branch": "case when k = 4 then 'sum' || repeat('.left', n) else '' end",
+    })} from kinds"""
     sql["custom_schema"] = f"""with {INVOICES}
 select i.doc_id, 'receipt' schema_name, coalesce(supplier_name, '') store_name, cast(null as varchar) store_address,
        coalesce(document_date, '') date, amount subtotal, 0.0::double tax, amount total, cast(null as varchar) payment_method,
