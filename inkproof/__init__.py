@@ -11,6 +11,7 @@ from inkproof.operators.grounding import (
     line_item_scores,
     text_similarity,
 )
+from inkproof.operators.json_schema import check_schema, record_type, strict_form
 from inkproof.operators.pages import assemble_pages, page_totals, parse_ocr_response
 from inkproof.operators.quality import diagnosis, judge_by_document, overall_quality, validate
 from inkproof.operators.requests import (
@@ -22,16 +23,20 @@ from inkproof.operators.requests import (
     ocr_requests,
 )
 from inkproof.operators.responses import check_conformance, parse_records
+from inkproof.operators.resume import ResponseStore, apply_resumable
 from inkproof.plans.document_flow import document_results
 
 __all__ = [
     "Field",
     "Items",
     "Prompts",
+    "ResponseStore",
     "apply_model",
+    "apply_resumable",
     "assemble_pages",
     "attach_responses",
     "check_conformance",
+    "check_schema",
     "confidence_report",
     "diagnosis",
     "doc_confidence",
@@ -48,6 +53,8 @@ __all__ = [
     "page_totals",
     "parse_ocr_response",
     "parse_records",
+    "record_type",
+    "strict_form",
     "text_similarity",
     "validate",
 ]

@@ -471,12 +471,13 @@ def _by_levels(parsed: DataFrame, schema: Schema, keys: Sequence[str]) -> DataFr
         F.lit("").alias("path"),
         F.col("_value").alias("value"),
     )
-    reached, levels = {root}, []
+    reached, levels, compiled = {root}, [], {}
     while reached:
         judged = F.lit(None).cast(_FOUND)
         for number in sorted(reached):
-            found = compiler.found(F.col("value"), schema.nodes[number], F.col("path"), top=True)
-            judged = F.when(F.col("node") == number, found).otherwise(judged)
+            if number not in compiled:
+                compiled[number] = compiler.found(F.col("value"), schema.nodes[number], F.col("path"), top=True)
+            judged = F.when(F.col("node") == number, compiled[number]).otherwise(judged)
         done = level.select("item", "parent", "node", "path", judged.alias("found"))
         done = done.select(
             "item",

@@ -7,7 +7,7 @@ Instructions and wrappings are parameters, the defaults below are only a start.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkproof.functions.text import data_uri
+from inkproof.operators.json_schema import strict_form
 from inkproof.operators.record import DEFAULT_RECORD
 
 # --- fixed values ------------------------------------------------------------
@@ -99,15 +100,15 @@ def extraction_requests(
     file_uri: str = "file_uri",
     filename: str = "filename",
     instructions: str = "instructions",
-    schema: T.StructType = DEFAULT_RECORD,
+    schema: T.StructType | Mapping = DEFAULT_RECORD,
     schema_name: str = DEFAULT_SCHEMA_NAME,
     prompts: Prompts = DEFAULT_PROMPTS,
 ) -> DataFrame:
     """One request per document; the parts and their order depend on its mode.
 
     text: optional image, then the text; hybrid: image, then the text;
-    direct_pdf: the file, then the task.  ``instructions`` may be null per row.  ``payload`` is the
-    whole request as JSON.
+    direct_pdf: the file, then the task.  ``instructions`` may be null per row.  ``schema`` is a record type or a JSON
+    schema, which is sent in its strict form.  ``payload`` is the whole request as JSON.
     """
 
     def part(kind: str, **content: Column) -> Column:
@@ -132,7 +133,8 @@ def extraction_requests(
         .when(F.col(mode) == MODE_DIRECT_PDF, prompts.direct_pdf)
         .otherwise(prompts.text)
     )
-    schema_json = strict_schema(schema)
+    strict = strict_form(schema) if isinstance(schema, Mapping) else None
+    schema_json = json.dumps(strict, separators=(",", ":"), ensure_ascii=False) if strict else strict_schema(schema)
     rows = docs.select(
         *keys,
         F.col(mode).alias("mode"),

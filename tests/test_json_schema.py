@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from inkproof.operators.json_schema import KINDS, Schema, SchemaError, check_schema, record_type, strict_form
 from inkproof.operators.record import DEFAULT_RECORD
-from inkproof.operators.requests import strict_schema
+from inkproof.operators.requests import extraction_requests, strict_schema
 
 
 def is_type(value, kind):
@@ -248,3 +248,13 @@ def test_large_schemas_are_cut_at_their_references(spark):
         value = {"a": value} if n else {"a": 1, "b": "x"}
     assert Schema(schema).stops
     agree(spark, schema, [value, {"a": {"c": 1}}])
+
+
+def test_requests_carry_the_strict_form(spark):
+    from workload.catalog import RECEIPT_SCHEMA
+
+    names = ["mode", "ocr_text", "image_uri", "file_uri", "filename", "instructions"]
+    docs = spark.createDataFrame([(1, "text", "t", None, None, None, None)], "doc_id long, " + ", ".join(f"{n} string" for n in names))
+    (row,) = extraction_requests(docs, model="m", schema=RECEIPT_SCHEMA).collect()
+    assert json.loads(row.schema_json) == strict_form(RECEIPT_SCHEMA)
+    assert json.loads(row.payload)["text"]["format"]["schema"] == strict_form(RECEIPT_SCHEMA)

@@ -36,3 +36,17 @@ def test_no_cross_joins_and_no_python_rows(spark, small):
 def test_page_totals_never_collect_text(spark, small):
     plan = _plan(catalog.page_totals(spark, small))
     assert "collect_list" not in plan and "partial_sum" in plan
+
+
+def test_bucketed_inputs_are_not_shuffled(spark, small):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        frame = catalog.bucketed_results(spark, small)
+        plan = _plan(frame)
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 3
+        spark.conf.set(setting, before)
+        assert sorted(map(str, frame.collect())) == sorted(map(str, catalog.document_results(spark, small).collect()))
+    finally:
+        spark.conf.set(setting, before)

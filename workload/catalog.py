@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkproof.functions import text
 from inkproof.functions.checks import amount_check, date_check
 from inkproof.functions.ratio import gestalt_ratio as ratio_of
 from inkproof.operators import grounding, json_schema, pages, quality, reporting, requests, responses, resume
 from inkproof.plans.document_flow import document_results as flow
+from inkproof.sources import bucketed
 from inkproof.sources import files as file_source
 from inkproof.sources import results as result_store
 from inkproof.sources.shared import shared_folder
@@ -346,18 +346,24 @@ def schema_recursive(spark, sf):
     return _checked(frames.nested_lines(frames.invoices(spark, sf)), NESTED)
 
 
-RECEIPT = T.StructType(
-    [
-        T.StructField("store_name", T.StringType()),
-        T.StructField("store_address", T.StringType()),
-        T.StructField("date", T.StringType()),
-        T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("subtotal", T.DoubleType()),
-        T.StructField("tax", T.DoubleType()),
-        T.StructField("total", T.DoubleType()),
-        T.StructField("payment_method", T.StringType()),
-    ]
-)
+#: As a model class gives it: nothing is strict yet.
+RECEIPT_SCHEMA = {
+    "title": "Receipt",
+    "type": "object",
+    "properties": {
+        "store_name": {"$ref": "#/$defs/Text"},
+        "store_address": {"$ref": "#/$defs/Text"},
+        "date": {"$ref": "#/$defs/Text", "description": "as printed"},
+        "items": _or_null({"type": "array", "items": {"$ref": "#/$defs/Text"}}),
+        "subtotal": _or_null(_NUMBER),
+        "tax": {"type": ["number", "null"], "default": None},
+        "total": _or_null(_NUMBER),
+        "payment_method": {"$ref": "#/$defs/Text"},
+    },
+    "required": ["store_name", "total"],
+    "$defs": {"Text": _or_null(_TEXT)},
+}
+RECEIPT = json_schema.record_type(json_schema.strict_form(RECEIPT_SCHEMA))
 
 
 @_query
@@ -644,9 +650,12 @@ def export_json(spark, sf):
 # -- everything together --------------------------------------------------------------
 
 
-def _flow(spark, sf, answers=frames.bodies, **options) -> DataFrame:
-    """The flow over all invoices; some have no text, an unreadable one, no answer, or no judge row."""
-    docs, key = frames.invoices(spark, sf), F.col("doc_id")
+def _flow_inputs(spark, sf, answers) -> dict[str, DataFrame]:
+    """Files, texts, answers and judge rows of all invoices; some have no text, an unreadable one, no answer, or no judge row."""
+    path, key = shared_folder(spark, "invoices"), F.col("doc_id")
+    # texts and answers are both made of them
+    frames.invoices(spark, sf).write.parquet(path)
+    docs = spark.read.parquet(path)
     orders = frames.table(spark, sf, "orders").withColumn("doc_id", F.col("o_orderkey"))
     suffix = F.when(F.pmod(key, F.lit(2)) == 1, ".pdf").otherwise(".png")
     found = orders.select(
@@ -669,7 +678,11 @@ def _flow(spark, sf, answers=frames.bodies, **options) -> DataFrame:
         F.when(late, "timed out").alias("error"),
         F.concat(F.lit("why "), F.col("metric")).alias("reason"),
     )
-    return flow(found, ocr, answered, judge, use_direct_pdf=True, **options)
+    return {"files": found, "texts": ocr, "answers": answered, "judge": judge}
+
+
+def _flow(spark, sf, answers=frames.bodies, **options) -> DataFrame:
+    return flow(*_flow_inputs(spark, sf, answers).values(), use_direct_pdf=True, **options)
 
 
 def _field_columns(names: list[str]) -> list[Column]:
@@ -681,13 +694,17 @@ def _field_columns(names: list[str]) -> list[Column]:
 
 @_query
 def document_results(spark, sf):
+    return _result_columns(_flow(spark, sf))
+
+
+def _result_columns(results: DataFrame) -> DataFrame:
     fields = [f.name for f in grounding.DEFAULT_FIELDS] + [grounding.ITEMS_FIELD]
     metrics = [
         F.try_element_at(F.col("evaluation.ai_metrics"), F.lit(m))[part].alias(f"{m}_{part}")
         for m in requests.JUDGE_METRICS
         for part in ("score", "error", "result", "reason")
     ]
-    return _flow(spark, sf).select(
+    return results.select(
         "doc_id",
         "mode",
         F.col("file_info.name").alias("name"),
@@ -710,6 +727,25 @@ def document_results(spark, sf):
     )
 
 
+@_query
+def bucketed_results(spark, sf):
+    """The same from inputs that are laid out by the document, with no shuffle after that."""
+    tables = []
+    for name, frame in _flow_inputs(spark, sf, frames.bodies).items():
+        path = shared_folder(spark, name)
+        table = f"{name}_{path.rsplit('-', 1)[1]}"
+        tables.append(bucketed.write_bucketed(frame, table, path, buckets=16))
+    return _result_columns(flow(*tables, use_direct_pdf=True))
+
+
+@_query
+def result_export(spark, sf):
+    """The nested results written, scanned again, and compared as they are without the way over the files."""
+    path = shared_folder(spark, "results")
+    result_store.write_results(_flow(spark, sf), path)
+    return _result_columns(result_store.scan_results(spark, path))
+
+
 RECEIPT_FIELDS = [
     grounding.Field("store_name", "store_name"),
     grounding.Field("date", "date"),

@@ -826,5 +826,7 @@ select doc_id, field,
             when overall_confidence >= 0.7 then 'fair' else 'poor' end overall_band
 from comparison join confident using (doc_id)"""
     sql["document_results"] = flow()
+    sql["result_export"] = flow()
+    sql["bucketed_results"] = flow()
     sql["custom_flow"] = custom_flow()
     return sql
