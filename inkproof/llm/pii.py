@@ -1,9 +1,9 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over the ASCII-lower-cased text finds the anchors: at-signs, address
-schemes and identifier cues.  A deterministic local parser expands each anchor to the boundaries of
-an email, an address or an account and validates it.  Kinds that have no anchor string (ip, card,
-phone) are digit runs, read by their pattern and validated.
+schemes, identifier cues, digits and plus signs.  A deterministic local parser expands each anchor to the boundaries of
+an email, an address (url, ip), an account (also a card) or a phone number and validates it.  A parser starts no further left than
+where the last one of its kind ended, so each kind reads a character a bounded number of times.
 
 ``find_spans`` returns spans as (kind, start, end) in code points, end exclusive.  The base kinds
 email, ip, card and phone are exactly the leftmost non-overlapping matches of their patterns that
@@ -13,8 +13,9 @@ validate (a failing match is dropped, without a retry).  Anchors add:
 * ``account``: after an identifier cue (iban, account, acct, ssn, passport), an IBAN that passes
   its check, a US social-security number, or 6 to 18 letters and digits with at least five digits.
 
-A null text is empty and has no spans; texts are searched whole, in time linear in their length;
-rows are independent and an empty table gives an empty table.
+A null text is empty and has no spans; texts are searched whole, in time linear in their length; spans of the
+same start are listed by kind, then end.  Rows are independent, so repeated rows have equal results.  ``redact`` replaces ``text``
+and ``n_chars`` and keeps all other columns under whatever names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ _ORDER = {kind: n for n, kind in enumerate(KINDS)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
-_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIALLED = re.compile(r"\+[0-9]([\x20().0-9-]+)")
 _DIGITS = re.compile(r"[0-9]")
-_LOGIN = re.compile(r"://[^\s/?#@<>\"']*:[^\s/?#@<>\"']*@[^\s<>\"']+")
+_LOGIN = re.compile(r"://[^\s/?#@<>\"':]*:[^\s/?#@<>\"']*@[^\s<>\"']+")
 _AFTER_SCHEME = re.compile(r"[A-Za-z0-9._%+@()-]+")
 _CUE_GAP = re.compile(r"(?:\s?(?:no|number|nr|id)\b)?[\s.:#=]{0,4}", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -56,6 +57,8 @@ _ANCHORS = {
     "acct": "cue",
     "ssn": "cue",
     "passport": "cue",
+    "+": "plus",
+    **{digit: "digit" for digit in "0123456789"},
 }
 
 
@@ -108,36 +111,64 @@ def _account(text: str, end: int) -> tuple[int, int] | None:
     return m.span() if m and len(_DIGITS.findall(m.group())) >= 5 else None
 
 
+def _addresses(text: str, chain: re.Match) -> Iterator[tuple[int, int]]:
+    """The ips in numbers joined by dots: each four of them, from the left."""
+    at, parts = chain.start(), chain.group().split(".")
+    for n in range(0, len(parts) - 3, 4):
+        four = parts[n : n + 4]
+        end = at + sum(map(len, four)) + 3
+        # without their zeros: int() refuses more than 4,300 digits
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in four)):
+            yield at, end
+        at = end + 1
+
+
+def _card(found: re.Match) -> bool:
+    digits = found.group().replace(" ", "").replace("-", "")
+    return 14 <= len(digits) <= 19 and luhn(digits)
+
+
+def _phone(text: str, at: int) -> tuple[int, int] | None:
+    """The number dialled from the plus sign on: up to its last digit, with one character at least before that."""
+    found = _DIALLED.match(text, at)
+    if not found:
+        return None
+    number = found.group().rstrip(" ().-")
+    return (at, at + len(number)) if len(number) > 3 and 10 <= len(_DIGITS.findall(number)) <= 15 else None
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """Every span, by start, then kind, then end."""
     found = set()
-    after = 0
+    after = after_url = after_chain = after_card = 0
     for last, (anchor, size) in _anchors().iter(lower(text)):
         end = last + 1
-        if anchor == "at":
+        if anchor == "digit":
+            if last >= after_chain:
+                chain = _CHAIN.match(text, last)
+                after_chain = chain.end()
+                found.update(("ip", *span) for span in _addresses(text, chain))
+            if last >= after_card:
+                card = _CARD.match(text, last)
+                after_card = card.end() if card else end
+                if card and _card(card):
+                    found.add(("card", *card.span()))
+        elif anchor == "at":
             if last >= after and (span := _email(text, last, after)):
                 found.add(("email", *span))
                 after = span[1]
+        elif anchor == "plus":
+            if span := _phone(text, last):
+                found.add(("phone", *span))
         elif anchor == "scheme":
-            if m := _LOGIN.match(text, end - size):
+            if end - size >= after_url and (m := _LOGIN.match(text, end - size)):
                 found.add(("url", *m.span()))
+                after_url = m.end()
         elif anchor == "direct":
             if m := _AFTER_SCHEME.match(text, end):
                 found.add(("url", *m.span()))
         elif span := _account(text, end):
             found.add(("account", *span))
-    for m in _IP.finditer(text):
-        # without their zeros: int() refuses more than 4,300 digits
-        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (p.lstrip("0") for p in m.group().split("."))):
-            found.add(("ip", *m.span()))
-    for m in _CARD.finditer(text):
-        digits = m.group().replace(" ", "").replace("-", "")
-        if 14 <= len(digits) <= 19 and luhn(digits):
-            found.add(("card", *m.span()))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 10 <= len(_DIGITS.findall(m.group())) <= 15:
-                found.add(("phone", *m.span()))
     return sorted(found, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -90,3 +91,13 @@ def test_ip_parts_of_many_zeros(spark):
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found if s.kind == "ip"] for r in rows.select("doc_id", pii.spans(F.col("text")).alias("found")).collect()}
     assert got == {0: [("ip", 3, 5009)], 1: [("ip", 0, 5009)], 2: [], 3: [("ip", 0, 10)]}
+
+
+def test_every_parser_is_linear():
+    grows = ["://a:", "a:", "://a:b@", "1.", "1 ", "1-", "+1", "+1(", "0", "@a", "a@", "a.", "iban ", "account:", "tel:", "mailto:a@", "ssn 1-", "GB82", "x" * 20, "://", "1.1.1.1.", "+"]
+    for start in ("", "://", "iban ", "+1", "a@", "mailto:", "1.1.1."):
+        for piece in grows:
+            text = start + piece * (300_000 // len(piece))
+            began = time.perf_counter()
+            pii.find_spans(text)
+            assert time.perf_counter() - began < 4, (start, piece)
