@@ -99,12 +99,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-    docs = _table(spark, sf_dir, "documents")
-    counted = docs.select(
-        "doc_id",
-        F.octet_length(binary_text()).cast("long").alias("n_bytes"),
-        token_count.token_count(F.col("text"), *where).alias("n_tokens"),
-    )
+    counted = token_count.count_tokens(_table(spark, sf_dir, "documents"), *where)
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 

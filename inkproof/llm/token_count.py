@@ -1,30 +1,34 @@
-"""Token counts without ids.
+"""Token counts without ids: pieces once per distinct pre-token, joined to the frequencies of each document.
 
-Per batch of rows: each text becomes the frequencies of its pre-tokens; the pieces of each
-distinct pre-token are counted once by the vocabulary's own merges; the counts are joined back to
-the frequencies by position and summed.  The join stays inside a task on purpose: pre-token
-frequencies of all documents are larger than the texts they come from, so shuffling them would
-cost more than counting a frequent pre-token once in every task.
+1. Every text becomes its pre-tokens; tasks send the distinct ones of a batch with their number, so a frequent one is a few rows.
+2. The pieces of each distinct pre-token of the whole corpus are counted once, by the vocabulary's own merges.
+3. The texts are read again and each becomes its pre-token frequencies, which are joined to the pieces and summed.  The join of
+   the ``frequent`` pre-tokens that occur most is done in place, from a table of bounded size (each of at most ``_LONGEST`` bytes);
+   a document's other frequencies are stored and joined by a shuffle.  Both give the same numbers.
 
-A null text is empty: no bytes, no tokens.  Texts are counted whole, rows are independent (ties,
-repeated rows, extra columns have no effect), and an empty table gives an empty table.
+Ids are never made.  Special strings are one token wherever they stand, the library's default.  A null text is empty: no bytes,
+no tokens.  Texts are counted whole, rows are independent (ties and repeated rows give a row each, keys may be null), other columns
+are not read, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Distinct pre-tokens a task remembers before it starts anew; changes its speed only.
-_REMEMBERED = 300_000
+from inkproof.llm.shared import binary_text, fresh, stored
+
+#: Distinct pre-tokens that a task holds before it sends them on; changes the speed only.
+_HELD = 200_000
+_FREQUENT = 1 << 16
+_LONGEST = 64
 
 
 def _letters() -> dict[int, int]:
@@ -38,7 +42,7 @@ _LETTERS = _letters()
 
 
 class PieceCounter:
-    """Counts the tokens of texts under a byte-level vocabulary file."""
+    """Pre-tokens of texts, and their pieces under a byte-level vocabulary file."""
 
     def __init__(self, path: str, pattern: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,7 +52,6 @@ class PieceCounter:
         )
         self.bounds = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.find = regex.compile(pattern).findall
-        self.pieces: dict[str, int] = {}
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Pre-token frequencies, and how many special strings stand between them."""
@@ -59,24 +62,8 @@ class PieceCounter:
             found.update(self.find(part))
         return found, len(parts) - 1
 
-    def learn(self, tokens: set[str]) -> None:
-        """Count the pieces of the pre-tokens that have none yet."""
-        merge, pieces = self.tokenizer.model.tokenize, self.pieces
-        for token in tokens.difference(pieces):
-            pieces[token] = len(merge(token.encode().decode("latin-1").translate(_LETTERS)))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        rows = [self.frequencies(t) for t in texts]
-        if len(self.pieces) > _REMEMBERED:
-            self.pieces.clear()
-        self.learn(set().union(*[f for f, _ in rows]))
-        lengths = np.array([len(f) for f, _ in rows], np.int64)
-        get = self.pieces.__getitem__
-        each = np.fromiter((get(t) for f, _ in rows for t in f), np.int64, lengths.sum())
-        each *= np.fromiter((n for f, _ in rows for n in f.values()), np.int64, lengths.sum())
-        total = np.concatenate([[0], np.cumsum(each)])
-        ends = np.cumsum(lengths)
-        return (total[ends] - total[ends - lengths] + [s for _, s in rows]).tolist()
+    def pieces(self, token: str) -> int:
+        return len(self.tokenizer.model.tokenize(token.encode().decode("latin-1").translate(_LETTERS)))
 
 
 @lru_cache(maxsize=2)
@@ -85,14 +72,77 @@ def counter(path: str, pattern: str) -> PieceCounter:
     return PieceCounter(path, pattern)
 
 
-def token_count(text: Column, path: str, pattern: str) -> Column:
-    """Tokens of each whole text under the ``.json`` vocabulary at ``path``, split by ``pattern``."""
+_PAIR = pa.schema([("token", pa.string()), ("times", pa.int64())])
+
+
+def _distinct(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The stored (token, times, pieces) of every distinct pre-token."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        count = counter(path, pattern).counts
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequencies, held = counter(path, pattern).frequencies, Counter()
         for batch in batches:
-            done = [n for at in range(0, len(batch), 256) for n in count(batch[at : at + 256].to_pylist())]
-            yield pa.array(done, pa.int64())
+            for at in range(0, batch.num_rows, 64):
+                for text in batch.column(0).slice(at, 64).to_pylist():
+                    held.update(frequencies(text)[0])
+                if len(held) > _HELD:
+                    yield pa.RecordBatch.from_arrays([list(held), list(held.values())], schema=_PAIR)
+                    held = Counter()
+        yield pa.RecordBatch.from_arrays([list(held), list(held.values())], schema=_PAIR)
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = counter(path, pattern).pieces
+        for batch in batches:
+            yield pa.array([pieces(t) for t in batch.to_pylist()], pa.int64())
+
+    count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    seen = docs.select(F.coalesce("text", F.lit(""))).mapInArrow(split, "token string, times bigint")
+    each = seen.groupBy("token").agg(F.sum("times").alias("times"))
+    return stored(each.select("token", "times", F.arrow_udf(count, "bigint")(F.col("token")).alias("pieces")), "pre-tokens")
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "bigint")(F.coalesce(text, F.lit("")))
+
+_SETTLED = "struct<tokens:bigint,rest:array<struct<token:string,times:bigint>>>"
+_SETTLED_TYPE = pa.struct(
+    [("tokens", pa.int64()), ("rest", pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())])))]
+)
+
+
+def count_tokens(
+    docs: DataFrame, path: str, pattern: str, *, keys: Sequence[str] = ("doc_id",), frequent: int = _FREQUENT
+) -> DataFrame:
+    """``keys``, ``n_bytes`` and ``n_tokens`` of each whole ``text`` under the ``.json`` vocabulary at ``path``, split by ``pattern``."""
+    known = _distinct(docs, path, pattern)
+    some = known.where(F.octet_length("token") <= _LONGEST).orderBy(F.desc("times"), "token").limit(frequent)
+    # at most ``frequent`` rows of at most ``_LONGEST`` bytes
+    settled = docs.sparkSession.sparkContext.broadcast({r.token: r.pieces for r in some.select("token", "pieces").collect()})
+
+    def settle(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        frequencies, get = counter(path, pattern).frequencies, settled.value.get
+        for batch in batches:
+            done = []
+            for at in range(0, len(batch), 64):
+                for text in batch[at : at + 64].to_pylist():
+                    found, total = frequencies(text)
+                    rest = []
+                    for token, times in found.items():
+                        pieces = get(token)
+                        if pieces is None:
+                            rest.append({"token": token, "times": times})
+                        else:
+                            total += pieces * times
+                    done.append({"tokens": total, "rest": rest})
+            yield pa.array(done, _SETTLED_TYPE)
+
+    settle.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    row, found = fresh(docs, "row"), fresh(docs, "found")
+    read = docs.select(
+        *keys,
+        F.monotonically_increasing_id().alias(row),
+        F.octet_length(binary_text()).cast("long").alias("n_bytes"),
+        F.arrow_udf(settle, _SETTLED)(F.coalesce("text", F.lit(""))).alias(found),
+    )
+    read = stored(read, "token-counts")
+    rest = read.select(F.col(row).alias("of"), F.explode(f"{found}.rest").alias("each"))
+    summed = rest.join(known, F.col("each.token") == F.col("token")).groupBy("of")
+    summed = summed.agg(F.sum(F.col("each.times") * F.col("pieces")).alias("more"))
+    total = F.col(f"{found}.tokens") + F.coalesce("more", F.lit(0))
+    return read.join(summed, F.col(row) == F.col("of"), "left").select(*keys, "n_bytes", total.alias("n_tokens"))

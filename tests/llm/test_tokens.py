@@ -72,11 +72,27 @@ def test_query_bpe(spark, library):
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
 
 
-def test_counts_as_the_library():
+def test_counts_as_the_library(spark):
     tokenizer, counter = Tokenizer.from_file(JSON), token_count.PieceCounter(JSON, PATTERN)
-    texts = [*_random_texts(2000), *[t or "" for t in ODD], "x <|endoftext|> <|endoftext|", "<|endoftext|>"]
-    assert counter.counts(texts) == [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert counter.counts([]) == [] and counter.counts([""]) == [0]
+    texts = [*_random_texts(2000), *ODD, *ODD, "x <|endoftext|> <|endoftext|", "<|endoftext|>", "y" * 200_000, "ab " * 100_000]
+    want = [len(e) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for text, many in zip(texts, want):
+        found, special = counter.frequencies(text or "")
+        assert special + sum(n * counter.pieces(t) for t, n in found.items()) == many
+    rows = [(None if n == 7 else n, t, "x") for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    want = sorted((-1 if key is None else key, len((t or "").encode()), many) for (key, t, _), many in zip(rows, want))
+    for frequent in (1 << 16, 50, 0):
+        got = token_count.count_tokens(docs.repartition(5), JSON, PATTERN, frequent=frequent).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+
+
+def test_pre_tokens_are_counted_once_and_joined(spark):
+    docs = spark.createDataFrame([(1, "a b a b zzz"), (2, "b")], "doc_id long, text string")
+    known = {r.token: (r.times, r.pieces) for r in token_count._distinct(docs, JSON, PATTERN).collect()}
+    assert known["a"] == (1, 1) and known[" b"] == (2, 1) and known[" zzz"][0] == 1
+    plan = token_count.count_tokens(docs, JSON, PATTERN)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (each" in plan and "token" in plan and "Generate explode" in plan
 
 
 def test_query_token_count(spark):
@@ -92,4 +108,4 @@ def test_query_token_count(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert empty.select(bpe.encode_ids(F.col("text"), RANKS, PATTERN)).collect() == []
-    assert empty.select(token_count.token_count(F.col("text"), JSON, PATTERN)).collect() == []
+    assert token_count.count_tokens(empty, JSON, PATTERN).collect() == []
