@@ -16,6 +16,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import compress
+from math import sumprod
+from operator import not_
 
 import pyarrow as pa
 import regex
@@ -27,8 +30,8 @@ from inkproof.llm.shared import binary_text, fresh, stored
 
 #: Distinct pre-tokens that a task holds before it sends them on; changes the speed only.
 _HELD = 200_000
-_FREQUENT = 1 << 16
-_LONGEST = 64
+_FREQUENT = 1 << 18
+_LONGEST = 32
 
 
 def _letters() -> dict[int, int]:
@@ -53,14 +56,12 @@ class PieceCounter:
         self.bounds = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.find = regex.compile(pattern).findall
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Pre-token frequencies, and how many special strings stand between them."""
+    def tokens(self, text: str) -> tuple[list[str], int]:
+        """Pre-tokens in order, and how many special strings stand between them."""
         if self.bounds is None or not self.bounds.search(text):
-            return Counter(self.find(text)), 0
-        found, parts = Counter(), self.bounds.split(text)
-        for part in parts:
-            found.update(self.find(part))
-        return found, len(parts) - 1
+            return self.find(text), 0
+        parts = self.bounds.split(text)
+        return [t for part in parts for t in self.find(part)], len(parts) - 1
 
     def pieces(self, token: str) -> int:
         return len(self.tokenizer.model.tokenize(token.encode().decode("latin-1").translate(_LETTERS)))
@@ -79,11 +80,11 @@ def _distinct(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The stored (token, times, pieces) of every distinct pre-token."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequencies, held = counter(path, pattern).frequencies, Counter()
+        tokens, held = counter(path, pattern).tokens, Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for text in batch.column(0).slice(at, 64).to_pylist():
-                    held.update(frequencies(text)[0])
+                    held.update(tokens(text)[0])
                 if len(held) > _HELD:
                     yield pa.RecordBatch.from_arrays([list(held), list(held.values())], schema=_PAIR)
                     held = Counter()
@@ -100,10 +101,32 @@ def _distinct(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return stored(each.select("token", "times", F.arrow_udf(count, "bigint")(F.col("token")).alias("pieces")), "pre-tokens")
 
 
+def _most_frequent(known: DataFrame, frequent: int) -> dict[str, int]:
+    """Pieces of the pre-tokens that occur most: as many powers of two of their number as ``frequent`` rows allow."""
+    short = known.where(F.octet_length("token") <= _LONGEST).withColumn("power", F.floor(F.log2("times")).cast("int"))
+    taken, least = 0, None
+    # at most 64 rows
+    for row in sorted(short.groupBy("power").count().collect(), reverse=True):
+        taken += row["count"]
+        if taken > frequent:
+            break
+        least = row["power"]
+    if least is None:
+        return {}
+    # at most ``frequent`` rows of at most ``_LONGEST`` bytes
+    return {r.token: r.pieces for r in short.where(F.col("power") >= least).select("token", "pieces").collect()}
+
+
+class _Settled(dict):
+    """Pieces by pre-token; 0, which no pre-token has, where they are not known."""
+
+    def __missing__(self, token: str) -> int:
+        return 0
+
+
 _SETTLED = "struct<tokens:bigint,rest:array<struct<token:string,times:bigint>>>"
-_SETTLED_TYPE = pa.struct(
-    [("tokens", pa.int64()), ("rest", pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())])))]
-)
+_REST_TYPE = pa.struct([("token", pa.string()), ("times", pa.int64())])
+_SETTLED_TYPE = pa.struct([("tokens", pa.int64()), ("rest", pa.list_(_REST_TYPE))])
 
 
 def count_tokens(
@@ -111,26 +134,25 @@ def count_tokens(
 ) -> DataFrame:
     """``keys``, ``n_bytes`` and ``n_tokens`` of each whole ``text`` under the ``.json`` vocabulary at ``path``, split by ``pattern``."""
     known = _distinct(docs, path, pattern)
-    some = known.where(F.octet_length("token") <= _LONGEST).orderBy(F.desc("times"), "token").limit(frequent)
-    # at most ``frequent`` rows of at most ``_LONGEST`` bytes
-    settled = docs.sparkSession.sparkContext.broadcast({r.token: r.pieces for r in some.select("token", "pieces").collect()})
+    settled = docs.sparkSession.sparkContext.broadcast(_most_frequent(known, frequent))
 
     def settle(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        frequencies, get = counter(path, pattern).frequencies, settled.value.get
+        tokens, get = counter(path, pattern).tokens, _Settled(settled.value).__getitem__
         for batch in batches:
-            done = []
+            totals, offsets, rest, times = [], [0], [], []
             for at in range(0, len(batch), 64):
                 for text in batch[at : at + 64].to_pylist():
-                    found, total = frequencies(text)
-                    rest = []
-                    for token, times in found.items():
-                        pieces = get(token)
-                        if pieces is None:
-                            rest.append({"token": token, "times": times})
-                        else:
-                            total += pieces * times
-                    done.append({"tokens": total, "rest": rest})
-            yield pa.array(done, _SETTLED_TYPE)
+                    found, special = tokens(text)
+                    found = Counter(found)
+                    pieces = list(map(get, found))
+                    totals.append(special + sumprod(pieces, found.values()))
+                    some = list(compress(found, map(not_, pieces)))
+                    rest += some
+                    times += map(found.__getitem__, some)
+                    offsets.append(len(rest))
+            left = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(times, pa.int64())], fields=list(_REST_TYPE))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), left)
+            yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), lists], fields=list(_SETTLED_TYPE))
 
     settle.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     row, found = fresh(docs, "row"), fresh(docs, "found")
