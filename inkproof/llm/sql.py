@@ -109,12 +109,36 @@ from dw left join items using (doc_id) left join many using (doc_id)
 """
 
 # the plain form of the interpolated models: each order's counts, contexts and shares, from the shortest up
-OP7 = """
+def _op7(order: int = 5, support: int = 4) -> str:
+    """Variable-order models by one table per width of grams, widest first; probabilities narrowest first."""
+    tables = [
+        f"g{order + 1} as (select substr(t, i, {order + 1}) as g, count(*) filter (learned = 'allow') as a, "
+        "count(*) filter (learned = 'block') as r from place group by 1)"
+    ]
+    tables += [
+        f"g{w} as (select substr(g, 2) as g, sum(a)::bigint as a, sum(r)::bigint as r from g{w + 1} group by 1)" for w in range(order, 0, -1)
+    ]
+    tables.append("letters as (select greatest(count(*), 1) as v from g1)")
+    for w in range(1, order + 2):
+        tables.append(
+            f"c{w} as (select substr(g, 1, {w - 1}) as c, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ka, "
+            f"count(*) filter (r > 0) as kr from g{w} group by 1)"
+        )
+        below = ("(1.0::double / v)", "(1.0::double / v)") if w == 1 else ("pa", "pr")
+        held = "true" if w == 1 else f"na + nr >= {support}"
+        joined = "letters" if w == 1 else f"p{w - 1} p on p.g = substr(n.g, 2)"
+        link = "," if w == 1 else "join"
+        tables.append(
+            f"p{w} as (select n.g, case when {held} and na > 0 then (a + ka * {below[0]}) / (na + ka) else {below[0]} end as pa, "
+            f"case when {held} and nr > 0 then (r + kr * {below[1]}) / (nr + kr) else {below[1]} end as pr "
+            f"from g{w} n join c{w} c on c.c = substr(n.g, 1, {w - 1}) {link} {joined})"
+        )
+    return f"""
 with u as (
   select page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path,
-    '^^' || regexp_replace(regexp_replace(lower(coalesce(url, '')), '[^a-z0-9./\\-_?=&%#:]', '~', 'g'), '[0-9]', '0', 'g') || '$' as t
+    repeat(chr(2), {order}) || coalesce(url, '') || chr(3) as t, left(md5(coalesce(url, '')), 1) in ('0', '1', '2') as held
   from pages),
 ruled as (
   select *, case when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
@@ -125,34 +149,16 @@ ruled as (
   from u),
 known as (
   select *, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as decided from ruled),
-place as (select page_id, url, decided, t, unnest(range(1, length(t) - 1)) as i from known),
-g3 as (
-  select substr(t, i, 3) as g, count(*) filter (decided = 'allow') as a, count(*) filter (decided = 'block') as r from place group by 1),
-g2 as (select substr(g, 2) as g, sum(a)::bigint as a, sum(r)::bigint as r from g3 group by 1),
-g1 as (select substr(g, 2) as g, sum(a)::bigint as a, sum(r)::bigint as r from g2 group by 1),
-c1 as (select sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ka, count(*) filter (r > 0) as kr from g1),
-c2 as (select substr(g, 1, 1) as c, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ka, count(*) filter (r > 0) as kr from g2 group by 1),
-c3 as (select substr(g, 1, 2) as c, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ka, count(*) filter (r > 0) as kr from g3 group by 1),
-p1 as (
-  select g, case when na > 0 then (a + ka * (1.0::double / 40)) / (na + ka) else 1.0::double / 40 end as pa,
-    case when nr > 0 then (r + kr * (1.0::double / 40)) / (nr + kr) else 1.0::double / 40 end as pr from g1, c1),
-p2 as (
-  select g2.g, case when na > 0 then (a + ka * pa) / (na + ka) else pa end as pa,
-    case when nr > 0 then (r + kr * pr) / (nr + kr) else pr end as pr
-  from g2 join c2 on c2.c = substr(g2.g, 1, 1) join p1 on p1.g = substr(g2.g, 2)),
-p3 as (
-  select g3.g, case when na > 0 then (a + ka * pa) / (na + ka) else pa end as pa,
-    case when nr > 0 then (r + kr * pr) / (nr + kr) else pr end as pr
-  from g3 join c3 on c3.c = substr(g3.g, 1, 2) join p2 on p2.g = substr(g3.g, 2)),
+place as (select t, case when not held then decided end as learned, unnest(range(1, length(t) - {order} + 1)) as i from known),
+{", ".join(tables)},
 scored as (
-  select page_id, url, sum(round((ln(pa) - ln(pr)) * 1000000)::bigint)::bigint as total, count(*)::bigint as many
-  from place join p3 on p3.g = substr(place.t, place.i, 3) group by 1, 2),
+  select t, sum(round((ln(pa) - ln(pr)) * 1000000)::bigint)::bigint as total, count(*)::bigint as many
+  from (select distinct t, unnest(range(1, length(t) - {order} + 1)) as i from known) x join p{order + 1} p on p.g = substr(t, i, {order + 1}) group by 1),
 judged as (select *, (total - total % many) // many as score from scored),
 bins as (
   select greatest(-2000, least(2000, floor(score / 1000.0::double)))::bigint as bin,
     count(*) filter (decided = 'allow') as allow, count(*) filter (decided = 'block') as block
-  from known k join judged j on j.page_id is not distinct from k.page_id and j.url is not distinct from k.url
-  where decided is not null group by 1),
+  from known join judged using (t) where held and decided is not null group by 1),
 edges as (
   select bin, coalesce(sum(allow) over before, 0) as allow, coalesce(sum(block) over before, 0) as block from bins
   window before as (order by bin rows between unbounded preceding and 1 preceding)
@@ -160,10 +166,13 @@ edges as (
 best as (
   select case when min(n.allow) > 0 and min(n.block) > 0 then 1000 * arg_max(bin, [e.block / n.block - e.allow / n.allow, -abs(bin), bin]) else 0 end as least_score
   from edges e, (select sum(allow)::double as allow, sum(block)::double as block from bins) n)
-select k.page_id, host, path, rule, coalesce(decided, case when score >= coalesce(least_score, 0) then 'allow' else 'block' end) as verdict, score
-from known k join judged j on j.page_id is not distinct from k.page_id and j.url is not distinct from k.url, best
+select page_id, host, path, rule, coalesce(decided, case when score >= coalesce(least_score, 0) then 'allow' else 'block' end) as verdict, score
+from known join judged using (t), best
 """
 
+
+OP7 = _op7()
+
 # crc32 by its table of 256 entries; the repair keeps, per row and state, the cheapest way with the ASCII-least letters
 OP11 = """
 with recursive

@@ -5,18 +5,19 @@ fits, two smoothed variable-order Markov models decide, one of the accepted and
 rejected URLs (those that the rules allow and block): the difference of the log-likelihoods, divided by
 the length, is compared with a calibrated threshold.
 
-* **Letters.** Characters are folded into 40 letters (a-z, digits as one, ten marks, any other, start,
-  end), so a model of order 2 has at most 64,000 rows whatever the corpus.  Tables within that bound are
-  broadcast; a longer order joins without a hint.
-* **Smoothing.** Witten-Bell: each order's estimate is interpolated with the next shorter one's, down to
-  the uniform one, so no gram has zero probability.
+* **Letters** are the characters of the URL as they are, between starts and an end; nothing is folded.
+* **Variable order.**  A letter is predicted from the longest context of up to ``order`` letters that the learned URLs hold at least
+  ``support`` times, so contexts grow where counts support them, and the tables grow with the input.
+* **Smoothing.** Witten-Bell: each context's estimate is interpolated with the next shorter one's, down to
+  the uniform one over the letters that occur, so no letter has zero probability.
 * **Scores** are whole numbers of micro-nats, so sums don't depend on the order of rows.
-* **Calibration.** The threshold has the best balanced accuracy over the URLs that the rules decide, in
-  ``bins`` steps of a thousandth of a nat per letter (wider scores count in the last step); of equals, the
-  nearest to zero.  Without URLs of both classes it is zero.
+* **Calibration.** A fold of the URLs, by the digest, is held out of the models.  The threshold has the best balanced accuracy over
+  those of it that the rules decide, in ``bins`` steps of a thousandth of a nat per letter (wider scores count in the last step); of
+  equals, the nearest to zero.  Without held-out URLs of both classes it is zero.
 
-DataFrame functions only.  A null URL, or one without ``://``, has an empty host and path; its letters are
-still judged.  Rows that repeat an id and URL are scored once and return as often as they came.  Very
+Equal URLs are one row with a number from the start.  Grams and URLs meet in joins without a hint: only a URL's number and the
+gram are shuffled.  DataFrame functions only.  A null URL, or one without ``://``, has an empty host and path; its letters are
+still judged.  Rows that repeat an id and URL return as often as they came.  Very
 long URLs count whole, extra columns are not read, and an empty table gives an empty table.
 """
 
@@ -27,12 +28,11 @@ from pyspark.sql import functions as F
 
 from inkproof.llm.shared import stored
 
-_MARKS = "./-_?=&%#:"
-_START, _END, _OTHER = "^", "$", "~"
-LETTERS = 26 + 1 + len(_MARKS) + 3
-#: Tables of at most so many rows are broadcast.
-_BROADCAST_ROWS = 100_000
+_START, _END = "\x02", "\x03"
 _MICRO = 1_000_000
+#: First hexadecimal digits of the digest of URLs that are held out: 3 of 16.
+_HELD_OUT = ("0", "1", "2")
+_CLASSES = ("accepted", "rejected")
 
 
 def host(url: Column) -> Column:
@@ -59,82 +59,80 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def letters(url: Column, order: int) -> Column:
-    """The URL in the models' letters, padded by starts and closed by an end."""
-    plain = F.lower(F.coalesce(url, F.lit("")))
-    folded = F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9./\-_?=&%#:]", _OTHER), "[0-9]", "0")
-    return F.concat(F.lit(_START * order), folded, F.lit(_END))
+def held_out(url: Column) -> Column:
+    """Whether a URL is calibrated on instead of learned from."""
+    return F.substring(F.md5(F.coalesce(url, F.lit("")).cast("binary")), 1, 1).isin(*_HELD_OUT)
 
 
 def _grams(url: Column, order: int) -> Column:
     """All grams of ``order`` letters and the one after them.
 
-    The letters are split once and bound by a one-element transform; places are looked up in that array, so the
+    The letters are split once and bound by a one-element transform; grams are slices of that array, so the
     work is linear in the URL.
     """
+    padded = F.concat(F.lit(_START * order), F.coalesce(url, F.lit("")), F.lit(_END))
 
     def grams(each: Column) -> Column:
-        gram = lambda n: F.concat(*[F.get(each, n + k) for k in range(order + 1)])
-        return F.transform(F.sequence(F.lit(0), F.size(each) - order - 1), gram)
+        gram = lambda n: F.array_join(F.slice(each, n, order + 1), "")
+        return F.transform(F.sequence(F.lit(1), F.size(each) - order), gram)
 
-    return F.get(F.transform(F.array(F.split(letters(url, order), "")), grams), F.lit(0))
+    return F.get(F.transform(F.array(F.split(padded, "")), grams), F.lit(0))
 
 
-def _bounded(frame: DataFrame, width: int) -> DataFrame:
-    """A broadcast hint where the number of grams of that width is proven small."""
-    return F.broadcast(frame) if LETTERS**width <= _BROADCAST_ROWS else frame
-
-
-def _table(counts: DataFrame, order: int) -> DataFrame:
+def _table(counts: DataFrame, order: int, support: int) -> DataFrame:
     """(gram, score): micro-nats by which the accepted model finds the last letter likelier than the rejected one."""
-    levels = [counts.select("gram", "accepted", "rejected")]
-    for _ in range(order):
-        shorter = F.substring("gram", 2, order + 1).alias("gram")
-        levels.append(levels[-1].groupBy(shorter).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")))
+    levels = [counts.select("gram", *_CLASSES)]
+    for width in range(order, 0, -1):
+        # the last letters, one fewer each time
+        shorter = F.substring("gram", 2, width).alias("gram")
+        levels.append(levels[-1].groupBy(shorter).agg(*[F.sum(c).alias(c) for c in _CLASSES]))
+    # of all URLs, so that every letter has its share
+    alphabet = max(levels[-1].count(), 1)
     models = None
     for width, level in enumerate(reversed(levels), 1):
-        seen = [F.sum(c).alias(f"{c}_all") for c in ("accepted", "rejected")]
-        seen += [F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_kinds") for c in ("accepted", "rejected")]
+        seen = [F.sum(c).alias(f"{c}_all") for c in _CLASSES]
+        seen += [F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_kinds") for c in _CLASSES]
         context = F.substring("gram", 1, width - 1)
         totals = level.groupBy(context.alias("context")).agg(*seen)
-        known = level.join(_bounded(totals, width - 1), context == F.col("context"))
+        known = level.join(totals, context == F.col("context"))
+        held = F.lit(True)
         if models is None:
-            below = {c: F.lit(1.0 / LETTERS) for c in ("accepted", "rejected")}
+            below = {c: F.lit(1.0 / alphabet) for c in _CLASSES}
         else:
-            known = known.join(_bounded(models, width - 1), F.substring("gram", 2, width) == F.col("tail"))
-            below = {c: F.col(f"{c}_tail") for c in ("accepted", "rejected")}
+            known = known.join(models, F.substring("gram", 2, width) == F.col("tail"))
+            below = {c: F.col(f"{c}_tail") for c in _CLASSES}
+            held = F.col("accepted_all") + F.col("rejected_all") >= support
         share = {
             c: F.when(
-                F.col(f"{c}_all") > 0,
+                held & (F.col(f"{c}_all") > 0),
                 (F.col(c) + F.col(f"{c}_kinds") * below[c]) / (F.col(f"{c}_all") + F.col(f"{c}_kinds")),
             ).otherwise(below[c])
-            for c in ("accepted", "rejected")
+            for c in _CLASSES
         }
-        known = known.select("gram", *[share[c].alias(f"{c}_p") for c in share])
-        models = known.select(
-            F.col("gram").alias("tail"), F.col("accepted_p").alias("accepted_tail"), F.col("rejected_p").alias("rejected_tail")
-        )
+        known = known.select("gram", *[share[c].alias(f"{c}_p") for c in _CLASSES])
+        models = known.select(F.col("gram").alias("tail"), *[F.col(f"{c}_p").alias(f"{c}_tail") for c in _CLASSES])
     ratio = F.log("accepted_p") - F.log("rejected_p")
     return known.select("gram", F.round(ratio * _MICRO).cast("bigint").alias("score"))
 
 
-def train(decided: DataFrame, order: int = 2) -> DataFrame:
-    """The stored (gram, score) table from all URLs (url, verdict or null); it covers every gram that occurs."""
-    each = decided.select(F.explode(_grams(F.col("url"), order)).alias("gram"), "verdict")
-    counts = each.groupBy("gram").agg(
-        F.count_if(F.col("verdict") == "allow").alias("accepted"), F.count_if(F.col("verdict") == "block").alias("rejected")
-    )
-    return stored(_table(stored(counts, "url-grams"), order), "url-model")
+def train(urls: DataFrame, order: int = 5, support: int = 4) -> DataFrame:
+    """The stored (gram, score) table from (url, copies, verdict); it covers every gram that occurs.
+
+    URLs with a null verdict are not learned from, but their grams are in the table.
+    """
+    if order < 1 or support < 1:
+        raise ValueError("order and support must be positive")
+    each = urls.select(F.explode(_grams(F.col("url"), order)).alias("gram"), "copies", "verdict")
+    of = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, F.col("copies")).otherwise(0))
+    counts = each.groupBy("gram").agg(of("allow").alias("accepted"), of("block").alias("rejected"))
+    return stored(_table(stored(counts, "url-grams"), order, support), "url-model")
 
 
-def score(urls: DataFrame, model: DataFrame, order: int = 2) -> DataFrame:
-    """Distinct (page_id, url) with ``copies`` and ``score``: micro-nats per letter in favour of accepting."""
-    each = urls.select("page_id", "url", F.posexplode(_grams(F.col("url"), order)).alias("place", "gram"))
-    # rows that repeat an id and a URL double the sum and the number alike
-    total = each.join(_bounded(model, order + 1), "gram").groupBy("page_id", "url").agg(
-        F.sum("score").alias("total"), F.count("*").alias("many"), F.count_if(F.col("place") == 0).alias("copies")
-    )
-    return total.select("page_id", "url", "copies", F.expr("total div many").alias("score"))
+def score(urls: DataFrame, model: DataFrame, order: int = 5) -> DataFrame:
+    """(number, score) of (number, url): micro-nats per letter in favour of accepting."""
+    each = urls.select("number", F.explode(_grams(F.col("url"), order)).alias("gram"))
+    total = each.join(model, "gram").groupBy("number").agg(F.sum("score").alias("total"), F.count("*").alias("many"))
+    return total.select("number", F.expr("total div many").alias("score"))
 
 
 def threshold(scored: DataFrame, bins: int = 2000) -> int:
@@ -161,22 +159,31 @@ def threshold(scored: DataFrame, bins: int = 2000) -> int:
     return best[2] * 1000
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], order: int = 2, bins: int = 2000) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: list[tuple[str, str]], order: int = 5, support: int = 4, bins: int = 2000
+) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, score) of every page."""
-    urls = pages.select("page_id", "url")
-    decide = lambda frame: fitting_rule(host(frame["url"]), path(frame["url"]), rules)
-    model = train(urls.select("url", decide(urls)["verdict"].alias("verdict")), order)
-    scored = stored(score(urls, model, order), "url-scores")
-    scored = scored.withColumn("fit", decide(scored))
-    least = threshold(scored.select("score", "copies", F.col("fit.verdict").alias("verdict")), bins)
+    decided = fitting_rule(host(F.col("url")), path(F.col("url")), rules)
+    urls = stored(
+        pages.groupBy("url")
+        .agg(F.count("*").alias("copies"))
+        .select("url", "copies", decided.alias("fit"), held_out(F.col("url")).alias("held"))
+        .withColumn("number", F.monotonically_increasing_id()),
+        "urls",
+    )
+    learned = F.when(~F.col("held"), F.col("fit.verdict")).alias("verdict")
+    model = train(urls.select("url", "copies", learned), order, support)
+    scored = stored(urls.join(score(urls, model, order), "number"), "url-scores")
+    least = threshold(scored.where("held").select("score", "copies", F.col("fit.verdict").alias("verdict")), bins)
     own = F.when(F.col("score") >= least, "allow").otherwise("block")
-    return scored.select(
+    judged = scored.select(F.col("url").alias("of"), "fit", F.coalesce("fit.verdict", own).alias("verdict"), "score")
+    each = pages.select("page_id", "url").join(judged, F.col("url").eqNullSafe(F.col("of")))
+    return each.select(
         "page_id",
         "url",
         host(F.col("url")).alias("host"),
         path(F.col("url")).alias("path"),
         F.col("fit.rule").alias("rule"),
-        F.coalesce("fit.verdict", own).alias("verdict"),
+        "verdict",
         "score",
-        F.explode(F.sequence(F.lit(1), "copies")).alias("__copy"),
-    ).drop("__copy")
+    )

@@ -1,5 +1,6 @@
 """URL filters against a plain Markov model."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -49,56 +50,80 @@ def plain_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def plain_letters(url, order):
-    marks = set("abcdefghijklmnopqrstuvwxyz./-_?=&%#:")
-    folded = "".join("0" if c in "0123456789" else c if c in marks else "~" for c in (url or "").lower())
-    return "^" * order + folded + "$"
+def plain_held(url):
+    return hashlib.md5((url or "").encode()).hexdigest()[0] in "012"
 
 
 class Plain:
-    def __init__(self, urls, order):
-        self.order, self.counts = order, defaultdict(Counter)
-        for url in urls:
-            text = plain_letters(url, order)
+    def __init__(self, rows, order, support, letters):
+        self.order, self.support, self.letters = order, support, letters
+        self.counts = {v: defaultdict(Counter) for v in ("allow", "block")}
+        for url, verdict in rows:
+            text = padded(url, order)
             for i in range(order, len(text)):
                 for k in range(order + 1):
-                    self.counts[text[i - k : i]][text[i]] += 1
+                    self.counts[verdict][text[i - k : i]][text[i]] += 1
 
-    def p(self, context, letter):
-        below = self.p(context[1:], letter) if context else 1 / U.LETTERS
-        seen = self.counts.get(context)
-        return (seen[letter] + len(seen) * below) / (sum(seen.values()) + len(seen)) if seen else below
+    def p(self, verdict, context, letter):
+        below = self.p(verdict, context[1:], letter) if context else 1 / self.letters
+        seen = self.counts[verdict].get(context)
+        held = sum(sum(c[context].values()) for c in self.counts.values() if context in c) >= self.support or not context
+        return (seen[letter] + len(seen) * below) / (sum(seen.values()) + len(seen)) if seen and held else below
+
+    def score(self, url):
+        text, total = padded(url, self.order), 0
+        for i in range(self.order, len(text)):
+            good, bad = (self.p(v, text[i - self.order : i], text[i]) for v in ("allow", "block"))
+            total += round(1e6 * (math.log(good) - math.log(bad)))
+        return int(total / (len(text) - self.order))
+
+
+def padded(url, order):
+    return "\x02" * order + (url or "") + "\x03"
+
+
+def plain_threshold(scored):
+    """From (score, verdict): the edge of best balanced accuracy, nearest to zero."""
+    bins = [(max(-2000, min(2000, s // 1000)), v) for s, v in scored]
+    allow, block = ([b for b, v in bins if v == w] for w in ("allow", "block"))
+    if not (allow and block):
+        return 0
+    edges = sorted({b for b, _ in bins})
+    edges.append(edges[-1] + 1)
+    return max((sum(b < e for b in block) / len(block) - sum(b < e for b in allow) / len(allow), -abs(e), e) for e in edges)[2] * 1000
 
 
 def test_against_plain_model(spark):
-    rows = ROWS + [(100 + n, f"http://good{n % 7}.org/a{n}") for n in range(30)] + [(200 + n, f"http://bad.com/de/x-{n % 5}") for n in range(20)]
-    got = U.judge(_pages(spark, rows), URL_RULES).collect()
-    assert len(got) == len(rows)
-    fits = [plain_rule(*plain_split(u)) for _, u in rows]
-    good, bad = (Plain([u for (_, u), f in zip(rows, fits) if f[1] == v], 2) for v in ("allow", "block"))
-    wanted = {}
-    for page, url in rows:
-        text = plain_letters(url, 2)
-        each = [round(1e6 * (math.log(good.p(text[i - 2 : i], text[i])) - math.log(bad.p(text[i - 2 : i], text[i])))) for i in range(2, len(text))]
-        wanted[page, url] = int(sum(each) / len(each))
-    by = {(r.page_id, r.url): r for r in got}
-    for key, score in wanted.items():
-        row = by[key]
-        assert (row.host, row.path) == plain_split(key[1])
-        rule, verdict = plain_rule(row.host, row.path)
-        assert row.rule == rule and (verdict is None or row.verdict == verdict)
-        assert abs(row.score - score) <= 2
-    free = [r for r in got if r.rule is None]
-    least = min((r.score for r in free if r.verdict == "allow"), default=None)
-    assert all((r.verdict == "allow") == (least is not None and r.score >= least) for r in free)
+    rows = ROWS + [(100 + n, f"http://good{n % 7}.org/a{n}") for n in range(60)] + [(200 + n, f"http://bad.com/de/x-{n % 25}") for n in range(50)]
+    rows += [(300 + n, f"http://some.net/{p}") for n, p in enumerate(["a1", "a2", "x-1", "1/%D0%91", "2/%D0%92", "я", "б", "de/x-", "good"])]
+    for order, support in ((5, 4), (2, 1), (3, 30)):
+        got = U.judge(_pages(spark, rows), URL_RULES, order, support).collect()
+        assert len(got) == len(rows)
+        fits = [plain_rule(*plain_split(u)) for _, u in rows]
+        letters = {c for _, u in rows for c in padded(u, 0)}
+        model = Plain([(u, f[1]) for (_, u), f in zip(rows, fits) if f[1] and not plain_held(u)], order, support, len(letters))
+        score = {u: model.score(u) for _, u in rows}
+        least = plain_threshold([(score[u], f[1]) for (_, u), f in zip(rows, fits) if f[1] and plain_held(u)])
+        by = {(r.page_id, r.url): r for r in got}
+        for key, (rule, verdict) in zip(rows, fits):
+            row = by[key]
+            assert (row.host, row.path, row.rule) == (*plain_split(key[1]), rule)
+            assert abs(row.score - score[key[1]]) <= 2
+            assert row.verdict == (verdict or ("allow" if row.score >= least else "block"))
+        one = {r.url: r.score for r in got}
+        assert order != 5 or (one["http://some.net/1/%D0%91"] != one["http://some.net/2/%D0%92"] and one["http://some.net/a1"] != one["http://some.net/a2"])
+
+
+def test_tables_grow_with_the_input(spark):
+    def grams(many):
+        rows = [(f"http://{n}.example.org/{n * 7}", 1, "allow") for n in range(many)]
+        return U.train(spark.createDataFrame(rows, "url string, copies long, verdict string")).count()
+
+    assert grams(4000) > 4 * grams(400)
+    assert "ResolvedHint" not in U.score(spark.range(1).selectExpr("id as number", "'x' as url"), spark.createDataFrame([("x", 1)], "gram string, score long"))._jdf.queryExecution().analyzed().toString()
 
 
 def test_one_class_or_none(spark):
     for rows in ([(1, "http://x.net/"), (2, "http://y.net/")], [(1, "http://x.org/")], []):
         got = U.judge(_pages(spark, rows), URL_RULES).collect()
         assert len(got) == len(rows) and all(r.verdict in ("allow", "block") for r in got)
-
-
-def test_longer_order_needs_no_hint(spark):
-    got = {(r.page_id, r.url): r.verdict for r in U.judge(_pages(spark, ROWS), URL_RULES, order=3).collect()}
-    assert got[(1, ROWS[0][1])] == "block"
