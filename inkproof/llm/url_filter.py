@@ -85,7 +85,9 @@ def _table(counts: DataFrame, order: int, support: int) -> DataFrame:
     for width in range(order, 0, -1):
         # the last letters, one fewer each time
         shorter = F.substring("gram", 2, width).alias("gram")
-        levels.append(levels[-1].groupBy(shorter).agg(*[F.sum(c).alias(c) for c in _CLASSES]))
+        level = levels[-1].groupBy(shorter).agg(*[F.sum(c).alias(c) for c in _CLASSES])
+        # each is read three times below
+        levels.append(stored(level, f"url-grams-{width}"))
     # of all URLs, so that every letter has its share
     alphabet = max(levels[-1].count(), 1)
     models = None
