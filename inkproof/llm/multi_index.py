@@ -1,8 +1,11 @@
 """Embedding near-duplicates with an inverted multi-index.
 
+* **Classes.** Equal vectors are one, with a count, so a group of copies costs as much as one vector.  Vectors of each length have
+  an index of their own.
 * **Grid.** A codebook of ``codes`` centroids for each half of the vectors, learned apart on unit vectors;
-  a pair of codes is a cell, so the grid has ``codes**2`` cells.  The codebooks are fitted on at most
-  ``sample`` rows (the documented bound, those of the smallest hash of their id); every row is indexed.
+  a pair of codes is a cell, so the grid has ``codes**2`` cells.  Their number grows with that of the classes (about
+  ``_RESIDENTS`` in a cell, until the sample allows no more codes).  The codebooks are fitted on at most
+  ``sample`` classes (the documented bound, those of the smallest hash of their id); every one is indexed.
 * **Traversal.** A vector visits the cells nearest to it in the order of the multi-sequence
   algorithm (ascending sum of its halves' distances to the cell's two centroids).  How many is calibrated:
   partners of sampled vectors at exactly the threshold similarity, the hardest case, must be
@@ -13,9 +16,9 @@
 * **Counts.** A link that only one of its two vectors finds counts for both: a square counts it for the
   visitor, and for the resident unless that visits the visitor's own cell, where it is the visitor.
 
-Vectors that are null, zero, hold null or non-finite components, or differ from the commonest length of
-the sample link with nothing; so do rows without an id.  Rows that repeat an id are one vector if
-they are equal, and never partners of their own id otherwise.  Extra columns are not read; an empty table
+Vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows without an id, and
+vectors of different lengths.  Rows that repeat an id are one vector if they are equal, and never partners of their own id
+otherwise.  Vectors are told equal by two 64-bit hashes.  Extra columns are not read; an empty table
 gives an empty table.
 """
 
@@ -33,6 +36,11 @@ from inkproof.llm.graph import components
 from inkproof.llm.shared import stored
 
 
+#: Classes in a cell, about, that the number of codes is chosen for; and rows of the sample behind each centroid at least.
+_RESIDENTS, _BEHIND = 50, 20
+_SAMPLE = 20_000
+
+
 class Index(NamedTuple):
     first: np.ndarray  # centroids of the first half
     second: np.ndarray
@@ -100,21 +108,45 @@ def valid(frame: DataFrame) -> DataFrame:
     return frame.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & sound & some)
 
 
-def fit(vectors: DataFrame, least: float, codes: int = 32, sample: int = 20_000, target_recall: float = 0.9) -> Index | None:
-    """Codebooks and visits from a bounded sample of valid rows; None without any."""
+def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, embedding, copies) of each class of equal vectors, named by its smallest id, and (vec_id, class, copies) of its members.
+
+    An id that comes with different vectors is in no class with others: it has one of its own for each vector.
+    """
+    hashes = [F.xxhash64("embedding").alias("one"), F.xxhash64(F.lit(1), "embedding").alias("two")]
+    each = vectors.select("vec_id", "embedding", *hashes)
+    ids = stored(each.select("vec_id", "one", "two").distinct(), "vector-ids")
+    several = ids.groupBy(F.col("vec_id").alias("of")).count().where("count > 1").select("of")
+    own = F.coalesce(F.col("of").cast("string"), F.lit("")).alias("own")
+    members = stored(ids.join(several, F.col("vec_id") == F.col("of"), "left").select("vec_id", "one", "two", own), "vector-members")
+    groups = members.groupBy("one", "two", "own").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
+    groups = stored(groups, "vector-classes")
+    kinds = each.groupBy("one", "two").agg(F.first("embedding").alias("embedding"))
+    named = groups.join(kinds, ["one", "two"]).select(F.col("class").alias("vec_id"), "embedding", "copies")
+    return stored(named, "vectors"), members.join(groups, ["one", "two", "own"]).select("vec_id", "class", "copies")
+
+
+def grid_codes(many: int, sample: int = _SAMPLE) -> int:
+    """Codes for each half, given the number of vectors."""
+    return max(4, min(sample // _BEHIND, int(np.ceil(np.sqrt(many / _RESIDENTS)))))
+
+
+def fit(
+    vectors: DataFrame, least: float, codes: int | None = None, sample: int = _SAMPLE, target_recall: float = 0.9, many: int | None = None
+) -> Index | None:
+    """Codebooks and visits from a bounded sample of valid rows of one length, ``many`` in all; None without any."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()["embedding"].to_pylist()
     if not rows:
         return None
-    lengths = np.bincount([len(r) for r in rows])
-    size = int(lengths.argmax())
-    matrix = unit(np.array([r for r in rows if len(r) == size], np.float64))
-    half = (size + 1) // 2
+    codes = codes or grid_codes(len(rows) if many is None else many, sample)
+    matrix = unit(np.array(rows, np.float64))
+    half = (matrix.shape[1] + 1) // 2
     index = Index(codebook(matrix[:, :half], codes), codebook(matrix[:, half:], codes), 1)
     return index._replace(visits=_calibrated(index, matrix[:2000], least, target_recall))
 
 
 def _visits(vectors: DataFrame, index: Index) -> DataFrame:
-    """(vec_id, vector, cell, place, home, visited) of each cell a vector visits; it resides in ``home``, that of place 0, whose row has all cells visited."""
+    """(vec_id, copies, vector, cell, place, home, visited) of each cell a vector visits; it resides in ``home``, that of place 0, whose row has all cells visited."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,17 +160,17 @@ def _visits(vectors: DataFrame, index: Index) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(part["vec_id"].to_numpy(), many)),
+                        pa.array(np.repeat(part["copies"].to_numpy(), many)),
                         pa.array([r for r in raw for _ in range(many)], pa.binary()),
                         pa.array(cells.ravel().astype(np.int32)),
                         pa.array(np.tile(np.arange(many, dtype=np.int32), part.num_rows)),
                         pa.array(np.repeat(cells[:, 0], many).astype(np.int32)),
                         pa.array([r if n == 0 else None for r in all_cells for n in range(many)], pa.binary()),
                     ],
-                    ["vec_id", "vector", "cell", "place", "home", "visited"],
+                    ["vec_id", "copies", "vector", "cell", "place", "home", "visited"],
                 )
 
-    fitting = vectors.where(F.size("embedding") == index.size)
-    return fitting.mapInArrow(visit, "vec_id bigint, vector binary, cell int, place int, home int, visited binary")
+    return vectors.select("vec_id", "embedding", "copies").mapInArrow(visit, "vec_id bigint, copies bigint, vector binary, cell int, place int, home int, visited binary")
 
 
 def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -174,6 +206,7 @@ def _squares(visits: DataFrame, block: int) -> DataFrame:
         F.explode(spread(columns)).alias("column"),
         F.lit(False).alias("resident"),
         "vec_id",
+        "copies",
         "vector",
         "home",
         F.lit(None).cast("binary").alias("visited"),
@@ -184,6 +217,7 @@ def _squares(visits: DataFrame, block: int) -> DataFrame:
         F.pmod(F.xxhash64("vec_id"), columns).cast("int").alias("column"),
         F.lit(True).alias("resident"),
         "vec_id",
+        "copies",
         "vector",
         "home",
         "visited",
@@ -202,8 +236,11 @@ def visits_home(homes: np.ndarray, visited: list[bytes]) -> np.ndarray:
     return there[place]
 
 
-def links(vectors: DataFrame, index: Index, least: float, block: int = 2048) -> DataFrame:
-    """(a, b, many): a vector and how many links of a square count for it (b null), or a link of a forest (many null)."""
+def links(vectors: DataFrame, index: Index, least: float, block: int = 512) -> DataFrame:
+    """(a, b, many): a vector and how many links of a square count for it (b null), or a link of a forest (many null).
+
+    A link to a vector counts as often as it has ``copies`` (once without that column).
+    """
 
     def compare(table: pa.Table) -> pa.Table:
         resident = table["resident"].to_numpy()
@@ -215,8 +252,8 @@ def links(vectors: DataFrame, index: Index, least: float, block: int = 2048) ->
         # a resident that visits the visitor's home counts the link there
         visited = table["visited"].take(there).to_pylist()
         unseen = linked & ~visits_home(table["home"].to_numpy()[visitors], visited)
-        each = np.concatenate([visitors, there])
-        many = np.concatenate([linked.sum(1), unseen.sum(0)])
+        each, copies = np.concatenate([visitors, there]), table["copies"].to_numpy()
+        many = np.concatenate([linked @ copies[there], copies[visitors] @ unseen])
         found = np.flatnonzero(many)
         forest = spanning_forest(linked)
         a = [*ids[each[found]].tolist(), *[int(ids[visitors[i]]) for i, _ in forest]]
@@ -224,28 +261,36 @@ def links(vectors: DataFrame, index: Index, least: float, block: int = 2048) ->
         n = [*many[found].tolist(), *[None] * len(forest)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "many": pa.array(n, pa.int64())})
 
-    visits = stored(_visits(vectors, index), "visits")
+    weighted = vectors if "copies" in vectors.columns else vectors.withColumn("copies", F.lit(1).cast("long"))
+    visits = stored(_visits(weighted, index), "visits")
     return _squares(visits, block).groupBy("cell", "row", "column").applyInArrow(compare, "a bigint, b bigint, many bigint")
 
 
-def near_duplicates(frame: DataFrame, least: float = 0.95, **options) -> DataFrame:
+def near_duplicates(frame: DataFrame, least: float = 0.95, block: int = 512, **options) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding), one row per row."""
-    block = options.pop("block", 2048)
-    vectors = valid(frame).distinct()
-    index = fit(vectors, least, **options)
-    rows = frame.select("vec_id")
-    if index is None:
-        return rows.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
-        )
-    found = stored(links(vectors, index, least, block), "links")
-    many = found.where("b is null").groupBy("a").agg(F.sum("many").alias("n_links")).withColumnRenamed("a", "vec_id")
-    groups = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "vec_id")
-    out = rows.join(many, "vec_id", "left").join(groups, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    vectors, members = classes(valid(frame))
+    found = frame.sparkSession.createDataFrame([], "a bigint, b bigint, many bigint")
+    # a row per length of vectors
+    for size, many in sorted(vectors.groupBy(F.size("embedding")).count().collect()):
+        if many > 1:
+            alike = vectors.where(F.size("embedding") == size)
+            found = found.unionAll(links(alike, fit(alike, least, many=many, **options), least, block))
+    found = stored(found, "links")
+    many = found.where("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("many").alias("many"))
+    groups = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "in")
+    # of an id with several vectors, each class has the same name and the same links
+    own = members.select("vec_id", "class", "copies").distinct()
+    told = own.join(many, F.col("class") == F.col("of"), "left").join(groups, F.col("class") == F.col("in"), "left")
+    told = told.select(
+        F.col("vec_id").alias("of_id"),
+        (F.coalesce("many", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "class").alias("component_id"),
+    )
+    out = frame.select("vec_id").join(told, F.col("vec_id") == F.col("of_id"), "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )

@@ -78,6 +78,31 @@ def test_groups_nulls_and_blocks(spark):
     assert M.near_duplicates(frame.where("vec_id >= 900 and vec_id <> 904")).where("n_links > 0").count() == 0
 
 
+def test_every_length_has_an_index(spark):
+    rng = np.random.default_rng(6)
+    rows = [(n, rng.standard_normal(4).tolist()) for n in range(60)]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 3.0]), (102, [2.0, 4.0, 6.1]), (103, [3.0]), (104, [5.0]), (105, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[n] for n in range(100, 106)] == [(2, 100), (2, 100), (2, 100), (1, 103), (1, 103), (0, 105)]
+
+
+def test_copies_are_one_class(spark):
+    rng = np.random.default_rng(7)
+    some = rng.standard_normal((50, 8))
+    rows = [(n, some[0].tolist()) for n in range(3000)] + [(5000 + n, v.tolist()) for n, v in enumerate(some)]
+    rows += [(7000, (some[0] * 2 + 0.01).tolist()), (8000, some[0].tolist()), (8000, some[1].tolist()), (8000, some[0].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors, _ = M.classes(M.valid(frame))
+    # the copies, the others, the near one, and the id with two vectors
+    assert vectors.count() == 1 + 49 + 1 + 2
+    by = {r.vec_id: r for r in M.near_duplicates(frame).collect()}
+    linked = brute(np.array([v for _, v in rows[3000:]]))
+    others = int(linked[0, 1:50].sum())
+    assert others == 0 and by[0].n_links == 3000 + 1 + 1 and by[2999].component_id == 0 and not by[5000].kept
+    assert by[7000].n_links == 3000 + 1 + 1 and by[8000].n_links == 3001 + 1 + 1
+    assert M.grid_codes(51_200) == 32 and M.grid_codes(10**12) == 1000 and M.grid_codes(1) == 4
+
+
 def test_links_found_one_way_count_for_both(spark):
     """Each vector visits one cell or two; what either of a pair finds is a link of both."""
     rng = np.random.default_rng(4)
