@@ -5,29 +5,38 @@ form a generalised suffix automaton.  A document's words stream through it, and
 tracks the longest stretch ending at each word that occurs in an item.  Where that length reaches
 ``window`` words, those words are hit; an item shorter than a window is hit where it occurs whole.
 
-The items are dealt into blocks of about ``block_words`` words, each automaton is built in a task of
-its own, and a worker loads one block's automaton at a time, so memory is bounded by a block (or one
-item, if that is longer) however many items there are.  Only the packed automata are broadcast: the
-test items are the stated query set, in blocks, against all documents.
+The items are dealt by id and text into blocks of about ``block_words`` words, each automaton is built in a task of
+its own and written to the shared folder, and a worker loads one block's automaton at a time, so memory is bounded by a block (or
+one item, if that is longer) however many items there are and however many share an id.  Nothing of them passes the driver but the
+names of the files, and nothing is broadcast.  With several blocks, a task reads each once per ``_CHUNK`` bytes of texts.  The
+shared folder must be one that pyarrow opens too (a mounted path, hdfs, s3, gs).
 
 Null and wordless texts have no words and no hits; items that are null, wordless or without an id
-are left out; repeated items count once; an empty item table hits nothing.  Documents are read whole,
-rows are independent, extra columns are kept.
+are left out; repeated items count once; items of equal text are all hit, listed by id; an empty item table hits nothing.
+Documents are read whole, rows are independent, so repeated rows have equal results.  Extra columns are kept under whatever
+names; ``with_overlap`` replaces a column ``overlap``, and ``decontaminate`` changes ``text`` and ``n_chars`` only.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkproof.llm.shared import binary_text, fresh
+from inkproof.llm.shared import binary_text, fresh, shared_dir
+
+#: Bytes of texts that are held while the blocks are read one after the other; changes the speed only.
+_CHUNK = 32 << 20
 
 #: UTF-8 form of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -153,8 +162,8 @@ def matches(automaton: Automaton, document: list[bytes]) -> tuple[list[tuple[int
     return [(a, b) for a, b in spans], hit
 
 
-def automata(items: DataFrame, window: int, block_words: int) -> list:
-    """Broadcasts of the packed automaton of each block of items (item_id, text)."""
+def automata(items: DataFrame, window: int, block_words: int) -> list[str]:
+    """Files of the shared folder with the packed automaton of each block of items (item_id, text)."""
     if block_words < 1 or window < 1:
         raise ValueError("window and block_words must be positive")
     kept = items.select("item_id", binary_text().alias("text")).where("item_id is not null").distinct()
@@ -168,10 +177,21 @@ def automata(items: DataFrame, window: int, block_words: int) -> list:
             by_item[(int(key), n)] = words(bytes(text))
         return pd.DataFrame({"automaton": [pickle.dumps(_renamed(build(by_item, window)))]})
 
-    dealt = kept.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
+    # by the text too: an id may come with any number of texts
+    dealt = kept.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
     packed = dealt.applyInPandas(pack, "automaton binary")
-    context = items.sparkSession.sparkContext
-    return [context.broadcast(bytes(row.automaton)) for row in packed.toLocalIterator()]
+    path = f"{shared_dir(items.sparkSession)}/automata-{uuid.uuid4().hex}"
+    packed.write.option("maxRecordsPerFile", 1).parquet(path)
+    return sorted(items.sparkSession.read.schema("automaton binary").parquet(path).inputFiles())
+
+
+@lru_cache(maxsize=1)
+def _loaded(file: str) -> Automaton | None:
+    """One per Python worker: the automaton of a file, none in an empty one."""
+    where, path = pa.fs.FileSystem.from_uri(file.replace("s3a://", "s3://", 1))
+    with where.open_input_file(path) as source:
+        rows = pq.read_table(source)["automaton"]
+    return pickle.loads(rows[0].as_py()) if len(rows) else None
 
 
 def _renamed(automaton: Automaton) -> Automaton:
@@ -218,33 +238,48 @@ def _places(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def overlap(text: Column, blocks: list) -> Column:
+def _chunks(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+    """Batches gathered to about ``_CHUNK`` bytes, a batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def overlap(text: Column, blocks: list[str]) -> Column:
     """Per whole text (binary): words, hit words, ids of the items hit, and the spans hit in code points."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        loaded = pickle.loads(blocks[0].value) if len(blocks) == 1 else None
-        for batch in batches:
-            found = [(0, [], set()) for _ in range(len(batch))]
+        # with one block there is nothing to gather texts for
+        for chunk in _chunks(batches) if len(blocks) > 1 else ([b] for b in batches):
+            found = [[(0, [], set())] * len(batch) for batch in chunk]
             for block in blocks:
-                automaton = loaded or pickle.loads(block.value)
-                for at in range(0, len(batch), 64):
-                    for n, value in enumerate(batch[at : at + 64].to_pylist(), at):
-                        document = words(value)
-                        spans, hit = matches(automaton, document)
-                        _, before, items = found[n]
-                        found[n] = (len(document), before + spans, items | hit)
-            done = []
-            for n, (many, spans, items) in enumerate(found):
-                spans = _merged(spans)
-                done.append(
-                    {
-                        "n_words": many if blocks else len(words(batch[n].as_py())),
-                        "n_hit": sum(b - a for a, b in spans),
-                        "item_ids": sorted(items),
-                        "spans": _places(batch[n].as_py(), spans) if spans else [],
-                    }
-                )
-            yield pa.array(done, _RESULT_TYPE)
+                automaton = _loaded(block)
+                for batch, mine in zip(chunk, found) if automaton else ():
+                    for at in range(0, len(batch), 64):
+                        for n, value in enumerate(batch[at : at + 64].to_pylist(), at):
+                            document = words(value)
+                            spans, hit = matches(automaton, document)
+                            _, before, items = mine[n]
+                            mine[n] = (len(document), before + spans, items | hit)
+            for batch, mine in zip(chunk, found):
+                done = []
+                for n, (many, spans, items) in enumerate(mine):
+                    spans = _merged(spans)
+                    done.append(
+                        {
+                            "n_words": many or len(words(batch[n].as_py())),
+                            "n_hit": sum(b - a for a, b in spans),
+                            "item_ids": sorted(items),
+                            "spans": _places(batch[n].as_py(), spans) if spans else [],
+                        }
+                    )
+                yield pa.array(done, _RESULT_TYPE)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, _RESULT)(text)

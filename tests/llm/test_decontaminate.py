@@ -65,3 +65,22 @@ def test_cut(spark):
     empty = D.decontaminate(docs.drop("overlap"), items.limit(0), window=3)
     assert empty.count() == len(ROWS)
     assert D.decontaminate(docs.limit(0), items, window=3).count() == 0
+
+
+def test_an_item_id_with_most_texts_is_dealt_over_the_blocks(spark):
+    rows = [(1, f"w{n} w{n + 1} w{n + 2} w{n + 3}") for n in range(400)] + [(2, "w5 w6 w7 x")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    files = D.automata(items, 3, 100)
+    sizes = [sum(len(v) > 0 for v in a.items.values()) for a in map(D._loaded, files) if a]
+    assert len(sizes) > 5 and max(sizes) < 200
+    docs = spark.createDataFrame([(n, f"a w{n} w{n + 1} w{n + 2} w{n + 3} b", "x") for n in range(40)], "doc_id long, text string, found string")
+    one = {(r.doc_id, str(r.overlap)) for r in D.with_overlap(docs, items, window=3).collect()}
+    many = {(r.doc_id, str(r.overlap)) for r in D.with_overlap(docs, items, window=3, block_words=100).collect()}
+    assert one == many and all("n_hit=4" in text for _, text in one)
+
+
+def test_very_long_text(spark):
+    text = "filler words here " * 200_000 + "one two three four"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = D.with_overlap(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), window=3).collect()
+    assert (row.overlap.n_words, row.overlap.n_hit, row.overlap.item_ids) == (600_004, 4, [10])
