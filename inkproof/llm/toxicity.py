@@ -13,17 +13,21 @@
   ``1 - exp(-K n exp(-lambda s))``.  ``lambda`` solves the Karlin-Altschul equation over the scores of clean
   tokens (where toxic ones imply a larger share of a score by their odds, that share counts), ``K`` is
   fitted to the clean documents.  Segments of an expected count of at most
-  ``max_expected`` are significant; a document's evidence is minus the log of the expected count of
-  its best segment, and a logistic curve over it gives the score.
+  ``max_expected`` are significant.  A document's evidence aggregates all its segments by the law of their sums: the
+  ``r`` best ones, whose normalised scores ``lambda s - ln(K n)`` add up to ``T``, are found by chance with probability
+  ``exp(-T) T**(r-1) / (r! (r-1)!)``; minus the log of that, for the ``r`` at which it is largest, is the evidence.  A
+  logistic curve over it gives the score.
 
 The model is fitted on at most ``train_docs`` labelled documents (the documented bound; those
 with the smallest hash of their id, half of them of each class as far as there are so many), weighted
 to the classes' true shares.  Everything else covers all rows and whole texts.
 
-Null and empty texts have no tokens; they get the score of no evidence.  Training labels that are
+Null and empty texts have no tokens; they get the score of no evidence and are never rejected.  Segments of equal score count
+alike, the shortest, then first, is told.  Training labels that are
 null don't count, repeated labels of a document count once (toxic if any row says so).  Without
 training documents of both classes there is no model: every score is the share of toxic labels (0
-without any).  Rows are independent; an empty table gives an empty table.
+without any).  Rows are independent, so repeated rows score alike; other columns are kept, whatever their names, and an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ _PREFIXES = (3, 4, 5, 6)
 #: Distinct tokens a task remembers before it starts anew; changes its speed only.
 _REMEMBERED = 100_000
 #: Evidence is binned so finely when the curve is fitted.
+#: Evidence beyond this makes no difference.
+_MOST = 200.0
 _BINS_PER_UNIT = 8
 #: Token scores up to 25 in steps of a quarter.
 _SCORE_BINS = 101
@@ -132,11 +138,17 @@ def maximal_segments(scores: list[float]) -> list[Segment]:
     return [Segment(s[0], s[1], s[3] - s[2]) for s in stack]
 
 
-def evidence(model: Model, best: float, many: int) -> float:
-    """Minus the log of how many segments of that score clean text of that length is expected to hold."""
-    if best <= 0 or not many:
+def evidence(model: Model, scores: list[float], many: int) -> float:
+    """Minus the log of the chance that clean text of that length holds segments of such scores, at most ``_MOST``."""
+    if not many:
         return 0.0
-    return max(0.0, model.decay * best - math.log(model.scale * many))
+    expected = math.log(model.scale * many)
+    each = sorted((v for v in (model.decay * s - expected for s in scores) if v > 0), reverse=True)
+    best = total = 0.0
+    for r, value in enumerate(each, 1):
+        total += value
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+    return min(best, _MOST)
 
 
 def score_of(model: Model, value: float) -> float:
@@ -260,16 +272,12 @@ def fit(
     model = untrained._replace(counts=counts, totals=totals)
     shipped = _shipped(train, model)
     model = model._replace(decay=_decay(_histogram(train, shipped), gap_cost))
-    best = train.withColumn("scored", _scored(F.col("text"), shipped)).select(
-        "toxic", "scored.n_tokens", "scored.best"
-    )
+    best = stored(train.select("toxic", _segments(F.col("text"), shipped).alias("found")).select("toxic", "found.*"), "toxic-segments")
     # clean documents: K = documents / sum(n exp(-lambda s))
-    null = F.col("n_tokens") * F.exp(-F.lit(model.decay) * F.col("best"))
+    null = F.col("n_tokens") * F.exp(-F.lit(model.decay) * F.coalesce(F.array_max("scores"), F.lit(0.0)))
     total = best.where("toxic = 0 and n_tokens > 0").agg(F.count("*").alias("n"), F.sum(null).alias("s")).first()
     model = model._replace(scale=total.n / total.s if total.n and total.s else 1.0)
-    value = F.greatest(F.lit(0.0), F.lit(model.decay) * F.col("best") - F.log(F.lit(model.scale) * F.col("n_tokens")))
-    x = F.when((F.col("best") > 0) & (F.col("n_tokens") > 0), F.least(value, F.lit(200.0))).otherwise(0.0)
-    bins = best.groupBy(F.round(x * _BINS_PER_UNIT).cast("long").alias("x")).agg(
+    bins = best.groupBy(F.round(_evidence(F.col("scores"), F.col("n_tokens"), model) * _BINS_PER_UNIT).cast("long").alias("x")).agg(
         F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")
     )
     bins = bins.toArrow()
@@ -318,7 +326,7 @@ def judge(model: Model, weights: Weights, text: bytes) -> dict:
     scores = weights.of(document)
     segments = maximal_segments(scores) if max(scores) > 0 else []
     best = max((s.score for s in segments), default=0.0)
-    value = evidence(model, best, many)
+    value = evidence(model, [s.score for s in segments], many)
     limit = -math.log(model.max_expected)
     strong = [s for s in segments if model.decay * s.score - math.log(model.scale * many) >= limit]
     return {
@@ -329,6 +337,38 @@ def judge(model: Model, weights: Weights, text: bytes) -> dict:
     }
 
 
+_SEGMENTS = "struct<n_tokens:bigint,scores:array<double>>"
+_SEGMENTS_TYPE = pa.struct([("n_tokens", pa.int64()), ("scores", pa.list_(pa.float64()))])
+
+
+def _segments(text: Column, shipped) -> Column:
+    """Tokens and the scores of the segments of each text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = Weights(pickle.loads(shipped.value))
+        for batch in batches:
+            done = []
+            for at in range(0, len(batch), 64):
+                for document in map(tokens, batch[at : at + 64].to_pylist()):
+                    scores = weights.of(document)
+                    done.append({"n_tokens": len(document), "scores": [s.score for s in maximal_segments(scores)] if scores and max(scores) > 0 else []})
+            yield pa.array(done, _SEGMENTS_TYPE)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, _SEGMENTS)(text)
+
+
+def _evidence(scores: Column, many: Column, model: Model) -> Column:
+    small = model._replace(counts=None)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([evidence(small, *row) for row in zip(*(c.to_pylist() for c in batch))], pa.float64())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(scores, many)
+
+
 def _scored(text: Column, shipped) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = pickle.loads(shipped.value)
@@ -347,7 +387,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with their columns as they were."""
+    """The documents that score below the threshold or have no tokens, with their columns as they were."""
     found = fresh(docs, "found")
     judged = docs.withColumn(found, _scored(binary_text(), _shipped(docs, model)))
-    return judged.where(F.col(found)["score"] < threshold).select(docs.columns)
+    return judged.where((F.col(found)["score"] < threshold) | (F.col(found)["n_tokens"] == 0)).select(docs.columns)
