@@ -7,8 +7,9 @@
 5. tokens: byte-level BPE ids of each text, and their number
 
 A stage returns the columns of ``documents``; the last adds nothing but its own result. Nulls, empty and
-repeated rows, and empty tables are treated as the operators' docstrings say: rows without
-text pass every stage.
+repeated rows, ties and empty tables are treated as the operators' docstrings say: rows without
+text pass every stage, of repeated rows of a kept document all stay.  Texts are read whole, however long.  Columns of other
+names, also those that operators use inside, are left out by the first stage.
 """
 
 from __future__ import annotations
