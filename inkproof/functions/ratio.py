@@ -1,19 +1,18 @@
 """Gestalt (Ratcliff-Obershelp) similarity as Arrow functions.
 
 The ratio is recursive, so it has no built-in expression.  Everything around it
-(normalising, splitting, pruning, folding) is done by Spark; these functions
-only see what is left and run the standard library's matcher on it.
+(normalising, splitting, folding) is done by Spark; these functions
+only see what is left and run the matcher of ``gestalt`` on it.
 
-Both are iterator functions: the memo of already compared pairs lives as long
+All are iterator functions: the memo of already compared pairs lives as long
 as the task does.  They reference nothing of this package, so workers need no
 copy of it.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +20,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkproof.functions.gestalt import matcher
+
 _MEMO_ENTRIES = 1 << 17
 _LETTER_BUCKETS = 64  # letters sharing a bucket only loosen the bound
 _FEW_PAIRS = 512  # below this the arrays cost more than they save
 _BLOCK_WORDS = 1 << 15  # text words looked at together, which bounds the memory
+_INDEX_FROM = 128  # words sought from which listing the text's words by letters pays
 
 
 def gestalt_ratio(a: Column, b: Column) -> Column:
     """Ratio of two texts, in that order; null in gives null out."""
+    matched = matcher()
 
     def ratio_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        ratio = lru_cache(_MEMO_ENTRIES)(lambda x, y: SequenceMatcher(None, x, y).ratio())
+        ratio = lru_cache(_MEMO_ENTRIES)(matched)
         for left, right in batches:
             pairs = zip(left.to_pylist(), right.to_pylist())
             yield pa.array(
@@ -41,25 +44,24 @@ def gestalt_ratio(a: Column, b: Column) -> Column:
     return F.arrow_udf(ratio_batches, T.DoubleType())(a, b)
 
 
-def judge_values(
-    values: Column, text_words: Column, threshold: float, prune: bool = True
-) -> Column:
-    """Verdict struct<found, raw> of each value (its words) against the words of its own row's text.
-
-    The result has the places of ``values``: null for null, so nothing has to be looked up
-    by key afterwards.  A word that occurs in the text counts 1, any other its best ratio if that reaches
-    the threshold.  Two lossless bounds keep the matcher away from hopeless words: one from the
-    lengths, one from the letters both sides share.  ``prune=False`` compares
-    every pair, for tests.
+def best_ratios(
+    threshold: float, prune: bool = True, index_from: int = _INDEX_FROM
+) -> Callable[[], Callable[[Sequence[str], Sequence[str]], list[float]]]:
+    """A factory, to be called once per task, of the function (words, others) -> best ratio of each word against the others.
 
-    Declared non-deterministic, which it is not, as a barrier: otherwise any
-    filter on a score is pushed below it, with the whole scoring inlined.
+    Best ratios of ``threshold`` or more are exact, lower ones may be lower still.  Nothing that could reach the threshold is
+    passed over: a ratio r of words of a and b letters needs r * (a + b) / 2 letters matched in order, so at most
+    ``lost`` letters of the word and ``gained`` of the other aren't.  An unmatched letter of the word breaks two of its
+    letter pairs, one of the other word breaks one.  So any ``lost + 1`` letters of the word hold one, and any
+    ``2 * lost + gained + 1`` pairs hold one, that the other word has too.  The index lists the text's words
+    by letter and by pair (counting repeats within a word); the rarest ones of a word give its candidates, which two more
+    bounds, of the lengths and of the letters shared, thin out before the matcher sees them.  Fewer words than ``index_from``
+    are held against those two bounds alone, as one pass over the text costs less than an index of it.
     """
-    buckets, block, few, memo = _LETTER_BUCKETS, _BLOCK_WORDS, _FEW_PAIRS, _MEMO_ENTRIES
-    verdict_type = pa.list_(pa.struct([("found", pa.bool_()), ("raw", pa.float64())]))
+    buckets, block, few, memo, matched = _LETTER_BUCKETS, _BLOCK_WORDS, _FEW_PAIRS, _MEMO_ENTRIES, matcher()
 
-    def judge_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        ratio = lru_cache(_MEMO_ENTRIES)(lambda x, y: SequenceMatcher(None, x, y).ratio())
+    def make():
+        ratio = lru_cache(memo)(matched)
 
         def letter_counts(words, lengths):
             letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32) % buckets
@@ -87,6 +89,59 @@ def judge_values(
                     top = max(top, ratio(word, other))
             return top
 
+        def grams(words, lengths, size):
+            """Codes of the words' letters (size 1) or pairs (size 2), numbered within a word, and their words."""
+            letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            owners = np.repeat(np.arange(len(words)), lengths)
+            if size == 2:
+                inside = owners[:-1] == owners[1:]
+                letters = (letters[:-1] << 21 | letters[1:])[inside]
+                owners = owners[:-1][inside]
+            order = np.lexsort((letters, owners))
+            letters, owners = letters[order], owners[order]
+            starts = np.ones(len(letters), dtype=bool)
+            starts[1:] = (letters[1:] != letters[:-1]) | (owners[1:] != owners[:-1])
+            places = np.arange(len(letters))
+            repeat = places - np.maximum.accumulate(np.where(starts, places, 0))
+            # a word of more equal letters than there are numbers would only share the last one, which hides nothing it needs
+            return letters << 20 | np.minimum(repeat, (1 << 20) - 1), owners
+
+        def listed(words, lengths, size):
+            codes, owners = grams(words, lengths, size)
+            order = np.argsort(codes, kind="stable")
+            return codes[order], owners[order]
+
+        def rarest(index, codes, many):
+            """What the index lists under the ``many`` rarest codes, and how much; None if the word has fewer."""
+            if many > len(codes):
+                return None
+            starts, ends = np.searchsorted(index[0], codes), np.searchsorted(index[0], codes, "right")
+            chosen = np.argsort(ends - starts, kind="stable")[:many]
+            return int((ends - starts)[chosen].sum()), [index[1][starts[c] : ends[c]] for c in chosen]
+
+        def candidates(word, lengths, indexes):
+            """Places (among words ordered by length) that may reach the threshold by their length, letters and pairs."""
+            if threshold <= 0:
+                return slice(0, len(lengths))
+            size = len(word)
+            # 2 * min / (a + b) must be able to reach it
+            low = np.searchsorted(lengths, size * threshold / (2 - threshold) - 1e-6)
+            high = np.searchsorted(lengths, size * (2 - threshold) / threshold + 1e-6, "right")
+            if low == high or not indexes:
+                return slice(low, high)
+            sizes = np.unique(lengths[low:high])
+            needed = np.ceil(threshold * (size + sizes) / 2 - 1e-6).astype(int)
+            lost, gained = np.maximum(size - needed, 0), np.maximum(sizes - needed, 0)
+            ways = [
+                rarest(index, grams([word], [size], n + 1)[0], int(many.max()))
+                for n, (index, many) in enumerate(zip(indexes, (lost + 1, 2 * lost + gained + 1)))
+            ]
+            _, lists = min((way for way in ways if way), key=lambda way: way[0], default=(0, None))
+            if lists is None:
+                return slice(low, high)
+            places = np.unique(np.concatenate(lists))
+            return places[(places >= low) & (places < high)]
+
         def best_of(words, others):
             if not prune:
                 return [max((ratio(w, o) for o in others), default=0.0) for w in words]
@@ -100,24 +155,41 @@ def judge_values(
                 part = others[start : start + block]
                 lengths = np.array([len(o) for o in part])
                 theirs = letter_counts(part, lengths)
+                indexes = [listed(part, lengths, size) for size in (1, 2)] if len(words) >= index_from else None
                 for i, word in enumerate(words):
-                    low, high = 0, len(part)
-                    if threshold > 0:  # 2 * min / (a + b) must be able to reach it
-                        low = np.searchsorted(
-                            lengths, sizes[i] * threshold / (2 - threshold) - 1e-6
-                        )
-                        high = np.searchsorted(
-                            lengths, sizes[i] * (2 - threshold) / threshold + 1e-6, "right"
-                        )
-                    shared = np.minimum(theirs[low:high], mine[i]).sum(axis=1)
-                    bounds = 2.0 * shared / (lengths[low:high] + sizes[i])
+                    places = candidates(word, lengths, indexes)
+                    shared = np.minimum(theirs[places], mine[i]).sum(axis=1)
+                    bounds = 2.0 * shared / (lengths[places] + sizes[i])
                     hopeful = np.flatnonzero((bounds >= threshold) & (bounds > top[i]))
                     for j in hopeful[np.argsort(-bounds[hopeful], kind="stable")]:
                         if bounds[j] <= top[i]:
                             break
-                        top[i] = max(top[i], ratio(word, part[low + j]))
+                        top[i] = max(top[i], ratio(word, part[places.start + j if isinstance(places, slice) else places[j]]))
             return top
 
+        return best_of
+
+    return make
+
+
+def judge_values(
+    values: Column, text_words: Column, threshold: float, prune: bool = True
+) -> Column:
+    """Verdict struct<found, raw> of each value (its words) against the words of its own row's text.
+
+    The result has the places of ``values``: null for null, so nothing has to be looked up
+    by key afterwards.  A word that occurs in the text counts 1, any other its best ratio if that reaches
+    the threshold (``best_ratios``).  ``prune=False`` compares every pair, for tests.
+
+    Declared non-deterministic, which it is not, as a barrier: otherwise any
+    filter on a score is pushed below it, with the whole scoring inlined.
+    """
+    make = best_ratios(threshold, prune)
+    verdict_type = pa.list_(pa.struct([("found", pa.bool_()), ("raw", pa.float64())]))
+
+    def judge_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        best_of = make()
+
         def verdict(value, best):
             if not value:
                 return {"found": True, "raw": 1.0}

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from inkproof.functions import ratio
 from inkproof.operators import grounding
 from inkproof.operators.responses import DEFAULT_RECORD
 from tests.plain import plain_find
@@ -237,3 +239,20 @@ def test_an_order_of_many_lines_is_one_invoice(spark, small, tmp_path):
     assert text.count("\n| ") == 450 and text.count("# INVOICE") == 1
     scored = grounding.ground(built).select(F.size("item_scores").alias("n")).collect()
     assert [s.n for s in scored] == [450]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.8, 0.95, 1.0])
+def test_word_index_passes_nothing_over(threshold):
+    r = random.Random(3)
+
+    def some(n, letters):
+        return list(dict.fromkeys("".join(r.choices(letters, k=r.randint(1, 14))) for _ in range(n)))
+
+    for letters in ("ab", "abcdé𝔘", "abcdefghijklmnopqrstuvwxyz"):
+        words = some(40, letters)
+        others = some(600, letters) + [w[:2] + r.choice(letters) + w[3:] for w in words] + [w * 2 for w in words]
+        others = list(dict.fromkeys(others))
+        every = ratio.best_ratios(threshold, prune=False)()(words, others)
+        for index_from in (1, 1000):
+            found = ratio.best_ratios(threshold, index_from=index_from)()(words, others)
+            assert [x * (x >= threshold) for x in found] == [x * (x >= threshold) for x in every]
