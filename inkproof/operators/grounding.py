@@ -109,7 +109,7 @@ def found_exactly(value_text: Column, normalized_value: Column, normalized_text:
     )
 
 
-def _missed(value: Column, normalized_value: Column, normalized_text: Column) -> Column:
+def missed(value: Column, normalized_value: Column, normalized_text: Column) -> Column:
     return ~F.coalesce(found_exactly(value, normalized_value, normalized_text), F.lit(True))
 
 
@@ -214,13 +214,13 @@ def ground(
     source = F.col("_text")
     sought_fields = [
         # the text of an amount is already in normal form
-        F.when(_missed(F.col(v), F.col(v) if f.is_amount else normalize(F.col(v)), source), F.col(v))
+        F.when(missed(F.col(v), F.col(v) if f.is_amount else normalize(F.col(v)), source), F.col(v))
         for f, v in zip(fields, values)
     ]
     sought = F.concat(
         F.array(*sought_fields) if sought_fields else none,
-        F.transform("_descriptions", lambda d: F.when(_missed(d, normalize(d), source), d)),
-        F.transform("_totals", lambda t: F.when(_missed(t, t, source), t)),
+        F.transform("_descriptions", lambda d: F.when(missed(d, normalize(d), source), d)),
+        F.transform("_totals", lambda t: F.when(missed(t, t, source), t)),
     )
     judged = _judged(prepared.withColumn("_sought", sought), "_text", threshold, prune)
     verdicts = F.col("_verdicts")
@@ -281,7 +281,7 @@ def find_values(
     The confidence is not rounded here.
     """
     prepared = docs.select(*keys, F.col(values).alias("_values"), normalize(F.col(text)).alias("_text"))
-    sought = F.transform("_values", lambda v: F.when(_missed(v, normalize(v), F.col("_text")), v))
+    sought = F.transform("_values", lambda v: F.when(missed(v, normalize(v), F.col("_text")), v))
     judged = _judged(prepared.withColumn("_sought", sought), "_text", threshold, prune)
     placed = F.transform(
         "_values", lambda v, i: F.struct(v.alias("value"), F.get("_verdicts", i).alias("verdict"))

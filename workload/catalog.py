@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkproof.functions import text
 from inkproof.functions.checks import amount_check, date_check
 from inkproof.functions.ratio import gestalt_ratio as ratio_of
-from inkproof.operators import grounding, json_schema, pages, quality, reporting, requests, responses, resume
+from inkproof.operators import grounding, json_schema, pages, quality, reporting, requests, responses, resume, spread
 from inkproof.plans.document_flow import document_results as flow
 from inkproof.sources import bucketed
 from inkproof.sources import files as file_source
@@ -438,15 +438,24 @@ def find_fuzzy_t07(spark, sf):
     return _raw_finds(spark, sf, grounding.LENIENT_THRESHOLD)
 
 
-@_query
-def find_fuzzy_documents(spark, sf):
+def _first_lines(spark, sf) -> DataFrame:
     first_line = F.element_at(F.split("text", "\n"), 1)
-    docs = frames.documents(spark, sf).select(
+    return frames.documents(spark, sf).select(
         "doc_id", "text", F.array(F.translate(first_line, "e", "c")).alias("values")
     )
-    return grounding.find_values(docs, "values", keys=["doc_id"], text="text").select(
-        "doc_id", "found", "confidence"
-    )
+
+
+@_query
+def find_fuzzy_documents(spark, sf):
+    found = grounding.find_values(_first_lines(spark, sf), "values", keys=["doc_id"], text="text")
+    return found.select("doc_id", "found", "confidence")
+
+
+@_query
+def find_fuzzy_spread(spark, sf):
+    """The same with the words of each text dealt over all tasks."""
+    found = spread.find_values_spread(_first_lines(spark, sf), "values", keys=["doc_id"], text="text", text_block=512)
+    return found.select("doc_id", "found", "confidence")
 
 
 @_query

@@ -729,6 +729,7 @@ line_values as (
   select doc_id, 0 item, 'line' field, replace(string_split(text, chr(10))[1], 'e', 'c') value from documents),
 {grounded('texts', 'line_values')}
 select doc_id, found, raw confidence from scored"""
+    sql["find_fuzzy_spread"] = sql["find_fuzzy_documents"]
     sql["field_scores"] = f"with recursive {ground} select * from comparison"
     sql["line_item_scores"] = f"""with recursive {ground}
 select doc_id, item::int item, description_confidence, total_confidence, confidence from item_score"""
