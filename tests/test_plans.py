@@ -26,6 +26,10 @@ def test_grounding_is_row_local(spark, small, tmp_path_factory):
     assert "ocr_head" not in _plan(grounded)
 
 
+def test_no_filter_takes_in_the_scoring(spark, small):
+    assert len(catalog.confidence_report(spark, small)._jdf.queryExecution().optimizedPlan().toString()) < 500_000
+
+
 def test_no_cross_joins_and_no_python_rows(spark, small):
     for name, query in catalog.QUERIES.items():
         plan = _plan(query(spark, small))

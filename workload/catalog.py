@@ -482,8 +482,9 @@ def doc_confidence_weighted(spark, sf):
 def confidence_report(spark, sf):
     """The whole report, a row per field."""
     report = grounding.confidence_report(_grounded(spark, sf))
-    each = report.select("doc_id", "overall_confidence", "method", "summary", F.explode("fields").alias("name", "f"))
-    return each.select("doc_id", "overall_confidence", "method", "name", "f.*", "summary.*")
+    # outer, as in field_scores: else a filter on the map's size takes in the whole scoring, several times over
+    each = report.select("doc_id", "overall_confidence", "method", "summary", F.explode_outer("fields").alias("name", "f"))
+    return each.where(F.col("name").isNotNull()).select("doc_id", "overall_confidence", "method", "name", "f.*", "summary.*")
 
 
 @_query
