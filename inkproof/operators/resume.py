@@ -82,7 +82,8 @@ def apply_resumable(
     asked = store.pending(requests.select(F.col(request).alias("request")), attempts)
     # written once: what is sent doesn't change while the answers come in
     wave = F.pmod(F.xxhash64("request_id"), F.lit(waves)).cast("int").alias("wave")
-    asked.select("*", wave).repartition(waves, "wave").write.partitionBy("wave").parquet(todo)
+    # from the tasks that they are in, by request: dealt by wave, one task would hold a whole wave
+    asked.select("*", wave).write.partitionBy("wave").parquet(todo)
     open_ones = spark.read.schema(asked.select("*", wave).schema).parquet(todo)
     counts = {row["wave"]: row["count"] for row in open_ones.groupBy("wave").count().collect()}
     for number, many in sorted(counts.items()):

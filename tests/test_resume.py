@@ -75,6 +75,21 @@ def test_a_wave_recorded_twice_counts_once(spark, tmp_path):
     assert [tuple(r) for r in store.answers().collect()] == [("x", "X", None, "run1", 1)]
 
 
+def test_no_task_writes_a_whole_wave(spark, tmp_path):
+    store = ResponseStore(spark, f"file://{tmp_path}/store")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "5"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        run(spark, [(n, f"r{n}") for n in range(60)], store, tmp_path / "1")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for wave in (0, 1):
+        assert len(list(tmp_path.glob(f"store/todo/*/wave={wave}/*.parquet"))) > 1
+
+
 def test_shared_folder(spark):
     one, two = (shared.shared_folder(spark, "x") for _ in range(2))
     assert one != two and one.startswith("file:")
