@@ -2,8 +2,10 @@
 
 ``check_schema`` compiles a schema into expressions over variants: references are followed, the branches of a union are tried one
 by one.  That needs no shuffle.  Where a schema refers to itself, the expressions stop, and what is below is a work item
-of the next level: levels are worked down, each by one job over all documents, until no item is left, and the problems are gathered
-upwards, a union by its branches.  So depth has no limit but that of the JSON parser.
+of the next level.  Levels are worked down inside the row, in a fold over as many steps as the text can be deep, and nothing is stored or
+shuffled.  Only a row in which several branches of a union stay open above work items is taken out: those rows are worked down by
+jobs, one for each level, and the problems are gathered upwards, a union by its branches.  So depth has no limit but that of the
+JSON parser.
 
 Read: $ref (within the document), anyOf, oneOf, allOf, type (also a list), properties, required, additionalProperties,
 items, minItems, maxItems, enum, const, minLength, maxLength, pattern (Java's dialect), minimum, maximum and their exclusive
@@ -27,6 +29,7 @@ KINDS = ("missing_keys", "extra_keys", "wrong_types", "wrong_values", "no_branch
 _BELOW, _ANY, _ONE = "below", "any", "one"
 _FOUND = "array<struct<kind:string,path:string,node:int,value:variant>>"
 _PROBLEMS = "array<struct<kind:string,path:string>>"
+_STATE = f"struct<open:{_FOUND},problems:{_PROBLEMS},waits:boolean>"
 _NOTES = {
     "title", "description", "default", "examples", "example", "format", "$schema", "$id", "$defs", "definitions", "$comment",
     "deprecated", "readOnly", "writeOnly", "discriminator",
@@ -125,6 +128,23 @@ class Schema:
         if not self.stops and self._size(self.root, {}) > _MOST_NODES:
             self.stops = targets
 
+    def may_wait(self) -> bool:
+        """Whether some value may leave several branches of a union open, with work items below."""
+        unions = [[self._fitting(b) for b in self.nodes[n].branches] for n in self.stops if self.nodes[n].kind == "any"]
+        return any(one & other for kinds in unions for i, one in enumerate(kinds) for other in kinds[:i])
+
+    def _fitting(self, node: Node) -> set[str]:
+        """Types of values that the expressions don't call a misfit of a node; all, where they stop before they look."""
+        node = self.resolve(node)
+        every = {"object", "array", "string", "number", "boolean", "null"}
+        if node.kind in every:
+            return {node.kind}
+        if node.kind == "integer":
+            return {"number"}
+        if node.kind == "any" and node.number in self.stops:
+            return set().union(*(self._fitting(b) for b in node.branches))
+        return every
+
     def _size(self, node: Node, known: dict) -> int:
         """Nodes that the expressions pass, references written out."""
         node = self.resolve(node)
@@ -433,7 +453,16 @@ def check_schema(
     schema = schema if isinstance(schema, Schema) else Schema(schema)
     value = F.try_parse_json(F.col(body)).alias("_value")
     if schema.stops:
-        problems = _by_levels(responses.select(*keys, value), schema, keys)
+        # a level that doesn't go deeper in the text is one of a reference, and those can't lead back to themselves
+        brackets = F.length(body) - F.length(F.translate(body, "{[", ""))
+        steps = (brackets + 1) * (len(schema.stops) + 1)
+        worked = responses.select(*keys, value, steps.alias("_steps")).select(
+            *keys, "_value", F.when(F.col("_value").isNotNull(), _in_row(F.col("_value"), F.col("_steps"), schema)).alias("_state")
+        )
+        if schema.may_wait():
+            problems = _with_levels(worked, schema, keys)
+        else:
+            problems = worked.select(*keys, F.col("_value").isNotNull().alias("well_formed"), _told_in_row().alias("_problems"))
     else:
         found = _Compiler(schema).found(F.col("_value"), schema.root, F.lit(""), top=True)
         parsed = responses.select(*keys, value)
@@ -452,9 +481,44 @@ def _plain(found: Column) -> Column:
     return F.transform(found, lambda p: F.struct(p["kind"].alias("kind"), p["path"].alias("path")))
 
 
-def _by_levels(parsed: DataFrame, schema: Schema, keys: Sequence[str]) -> DataFrame:
-    """``keys``, ``well_formed`` and ``_problems`` by work items, a level after the other."""
-    spark = parsed.sparkSession
+def _judged(compiler: _Compiler, numbers: Sequence[int], node: Column, value: Column, path: Column) -> Column:
+    """What is found at a work item, by the number of its node."""
+    judged = F.lit(None).cast(_FOUND)
+    for number in numbers:
+        found = compiler.found(value, compiler.schema.nodes[number], path, top=True)
+        judged = F.when(node == number, found).otherwise(judged)
+    return judged
+
+
+def _in_row(value: Column, steps: Column, schema: Schema) -> Column:
+    """The state after all levels: no open work item, the problems, and whether a union waits for its branches (it stops there)."""
+    compiler = _Compiler(schema)
+    root = schema.resolve(schema.root).number
+    numbers = sorted({root, *schema.stops})
+
+    def level(state: Column, _: Column) -> Column:
+        each = F.transform(state["open"], lambda i: _judged(compiler, numbers, i["node"], i["value"], i["path"]))
+
+        def after(found: Column) -> Column:
+            waits = F.exists(found, lambda p: p["kind"].isin(_ANY, _ONE))
+            more = F.when(waits, _none()).otherwise(F.filter(found, lambda p: p["node"] >= 0))
+            known = F.concat(state["problems"], _plain(F.filter(found, lambda p: p["node"] < 0)))
+            return F.struct(more.alias("open"), known.alias("problems"), waits.alias("waits")).cast(_STATE)
+
+        return F.when(F.size(state["open"]) == 0, state).otherwise(_bound(F.flatten(each), after))
+
+    first = F.array(_entry(_BELOW, F.lit(""), root, value))
+    start = F.struct(first.alias("open"), F.array().cast(_PROBLEMS).alias("problems"), F.lit(False).alias("waits")).cast(_STATE)
+    return F.aggregate(F.sequence(F.lit(1), steps), start, level)
+
+
+def _told_in_row() -> Column:
+    return F.coalesce("_state.problems", F.array().cast(_PROBLEMS))
+
+
+def _with_levels(worked: DataFrame, schema: Schema, keys: Sequence[str]) -> DataFrame:
+    """``keys``, ``well_formed`` and ``_problems``; rows whose unions wait are worked down by jobs, a level after the other."""
+    spark = worked.sparkSession
     folder = shared_folder(spark, "levels")
 
     def stored(frame: DataFrame, name: str) -> DataFrame:
@@ -463,21 +527,29 @@ def _by_levels(parsed: DataFrame, schema: Schema, keys: Sequence[str]) -> DataFr
 
     compiler = _Compiler(schema)
     root = schema.resolve(schema.root).number
-    documents = stored(parsed.select(F.monotonically_increasing_id().alias("_row"), *keys, F.col("_value").isNotNull().alias("well_formed"), "_value"), "documents")
-    level = documents.where("well_formed").select(
+    waits = F.coalesce("_state.waits", F.lit(False))
+    documents = stored(
+        worked.select(
+            F.monotonically_increasing_id().alias("_row"),
+            *keys,
+            F.col("_value").isNotNull().alias("well_formed"),
+            F.when(~waits, _told_in_row()).alias("_problems"),
+            F.when(waits, F.col("_value")).alias("_value"),
+        ),
+        "documents",
+    )
+    if documents.where(F.col("_value").isNotNull()).isEmpty():
+        return documents.select(*keys, "well_formed", "_problems")
+    level = documents.where(F.col("_value").isNotNull()).select(
         F.col("_row").cast("string").alias("item"),
         F.lit(None).cast("string").alias("parent"),
         F.lit(root).alias("node"),
         F.lit("").alias("path"),
         F.col("_value").alias("value"),
     )
-    reached, levels, compiled = {root}, [], {}
+    reached, levels = {root}, []
     while reached:
-        judged = F.lit(None).cast(_FOUND)
-        for number in sorted(reached):
-            if number not in compiled:
-                compiled[number] = compiler.found(F.col("value"), schema.nodes[number], F.col("path"), top=True)
-            judged = F.when(F.col("node") == number, compiled[number]).otherwise(judged)
+        judged = _judged(compiler, sorted(reached), F.col("node"), F.col("value"), F.col("path"))
         done = level.select("item", "parent", "node", "path", judged.alias("found"))
         done = done.select(
             "item",
@@ -504,8 +576,7 @@ def _by_levels(parsed: DataFrame, schema: Schema, keys: Sequence[str]) -> DataFr
     for depth in range(len(levels) - 1, -1, -1):
         answers = stored(_gathered(levels[depth], answers), f"answer-{depth}")
     told_of = answers.select(F.col("item").cast("long").alias("_row"), "problems")
-    none = F.array().cast(_PROBLEMS)
-    return documents.join(told_of, "_row", "left").select(*keys, "well_formed", F.coalesce("problems", none).alias("_problems"))
+    return documents.join(told_of, "_row", "left").select(*keys, "well_formed", F.coalesce("problems", "_problems").alias("_problems"))
 
 
 def _gathered(level: DataFrame, answers: DataFrame | None) -> DataFrame:

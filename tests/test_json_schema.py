@@ -169,6 +169,28 @@ def test_recursive_unions(spark):
     agree(spark, TREE, values)
 
 
+def test_recursion_without_open_unions_stores_nothing(spark, monkeypatch):
+    from inkproof.operators import json_schema
+
+    def none(*_):
+        raise AssertionError("a level was stored")
+
+    monkeypatch.setattr(json_schema, "shared_folder", none)
+    deep = '{"n":' * 300 + '"x"' + "}" * 300
+    rows = [(1, deep), (1, deep), (None, '{"n":{"n":1,"m":[{"n":"y"},2]}}'), (2, None), (3, "{"), (4, '{"m":[]}')]
+    schema = {
+        "type": "object", "properties": {"n": {"anyOf": [{"type": "number"}, {"$ref": "#"}]}, "m": {"type": "array", "items": {"$ref": "#"}}},
+        "required": ["n"], "additionalProperties": False,
+    }
+    checked = check_schema(spark.createDataFrame(rows, "doc_id int, body string"), schema).collect()
+    told = sorted((r.doc_id or 0, r.well_formed, r.missing_keys, r.wrong_types, r.no_branch) for r in checked)
+    at = ".".join("n" * 300)
+    assert told == [
+        (0, True, [], ["n.m[]"], ["n.m[].n"]), (1, True, [], [], [at]), (1, True, [], [], [at]),
+        (2, False, [], [], []), (3, False, [], [], []), (4, True, ["n"], [], []),
+    ]
+
+
 def test_bodies_that_are_no_json(spark):
     frame = spark.createDataFrame([(1, "{"), (2, None), (3, "1"), (3, "1"), (4, "")], "doc_id long, body string")
     for schema in (TREE, {"type": "integer"}):
