@@ -14,19 +14,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkproof.functions.ratio import best_ratios
+from inkproof.functions.ratio import best_ratios, row_lists
 from inkproof.functions.text import normalize, words
 from inkproof.operators import grounding
 
 
 def _best_of_block(wanted: Column, source: Column, threshold: float) -> Column:
-    make = best_ratios(threshold)
+    make, parts_of = best_ratios(threshold), row_lists()
 
     def best_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         best_of = make()
         for wanted_batch, source_batch in batches:
-            rows = zip(wanted_batch.to_pylist(), source_batch.to_pylist())
-            yield pa.array([best_of(sought, block) for sought, block in rows], pa.list_(pa.float64()))
+            done = [pa.array([], pa.list_(pa.float64()))]
+            for part in parts_of(wanted_batch, source_batch):
+                done.append(pa.array([best_of(sought, block) for sought, block in part], pa.list_(pa.float64())))
+            yield pa.concat_arrays(done)
 
     return F.arrow_udf(best_batches, "array<double>")(wanted, source)
 

@@ -48,3 +48,19 @@ def test_one_long_text_is_dealt_over_all_tasks(spark):
     pairs = rows.select("_row", F.posexplode(spread._blocks("_source", 512)).alias("_t", "_source")).withColumn("_w", F.lit(0))
     busy = pairs.repartition(16, "_row", "_t", "_w").select(F.spark_partition_id().alias("p")).groupBy("p").count()
     assert busy.count() >= 14
+
+
+def test_rows_are_made_some_at_a_time():
+    import pyarrow as pa
+
+    from inkproof.functions.ratio import row_lists
+
+    r = random.Random(13)
+    words = [None if n % 7 == 3 else ["".join(r.choices("ab\u00e9", k=3)) for _ in range(r.randint(0, 4))] for n in range(1100)]
+    values = [None if n % 5 == 2 else [r.choice([None, [], ["x", "yz"]]) for _ in range(r.randint(0, 3))] for n in range(1100)]
+    for start, size in ((0, 1100), (13, 700), (0, 0)):
+        text = pa.array(words, pa.list_(pa.string())).slice(start, size)
+        nested = pa.array(values, pa.list_(pa.list_(pa.string()))).slice(start, size)
+        parts = list(row_lists()(nested, text))
+        assert max(map(len, parts), default=0) < 500
+        assert [row for part in parts for row in part] == list(zip(values, words))[start : start + size]
