@@ -54,3 +54,11 @@ def test_bucketed_inputs_are_not_shuffled(spark, small):
         assert sorted(map(str, frame.collect())) == sorted(map(str, catalog.document_results(spark, small).collect()))
     finally:
         spark.conf.set(setting, before)
+
+
+def _optimized(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spread_search_normalises_the_text_once(spark, small):
+    assert _optimized(catalog.find_fuzzy_spread(spark, small)).count("lower(coalesce(text#") == 1
