@@ -6,6 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+ROWS_A_BUCKET = 100_000
+
+
+def bucket_count(rows: int, least: int = 16) -> int:
+    """Buckets for a table of so many rows: a bucket is a task, so it must not grow with the table."""
+    return max(least, -(-rows // ROWS_A_BUCKET))
+
 
 def write_bucketed(frame: DataFrame, table: str, path: str, *, key: str = "doc_id", buckets: int = 200) -> DataFrame:
     """The frame as a table of ``buckets`` by the hash of ``key``, a sorted file each, below ``path``; and the table read again.

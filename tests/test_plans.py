@@ -62,3 +62,17 @@ def _optimized(frame) -> str:
 
 def test_spread_search_normalises_the_text_once(spark, small):
     assert _optimized(catalog.find_fuzzy_spread(spark, small)).count("lower(coalesce(text#") == 1
+
+
+def test_checks_of_a_record_are_made_in_one_place(spark, small):
+    from inkproof.functions.checks import INVALID_DATE
+
+    # with an amount and without one
+    assert _optimized(catalog.document_results(spark, small)).count(INVALID_DATE) == 2
+
+
+def test_buckets_do_not_grow_with_the_table():
+    from inkproof.sources.bucketed import ROWS_A_BUCKET, bucket_count
+
+    assert bucket_count(0) == bucket_count(16 * ROWS_A_BUCKET) == 16
+    assert bucket_count(16 * ROWS_A_BUCKET + 1) == 17
