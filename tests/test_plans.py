@@ -76,3 +76,23 @@ def test_buckets_do_not_grow_with_the_table():
 
     assert bucket_count(0) == bucket_count(16 * ROWS_A_BUCKET) == 16
     assert bucket_count(16 * ROWS_A_BUCKET + 1) == 17
+
+
+def test_methods_are_small_enough_to_be_compiled(spark, small, tmp_path_factory, capsys):
+    import re
+
+    from inkproof.operators import grounding, reporting
+
+    grounded = grounding.ground(_prepared(spark, small, tmp_path_factory))
+    scores = reporting.field_quality(grounding.field_scores(grounded))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    # the JVM leaves methods of more than 8000 bytes uncompiled
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in (grounding.doc_confidence(grounded), scores):
+            capsys.readouterr()
+            frame.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000, sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
