@@ -96,3 +96,18 @@ def test_methods_are_small_enough_to_be_compiled(spark, small, tmp_path_factory,
             assert sizes and max(sizes) < 8000, sizes
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_lines_are_not_shuffled_by_the_customer(spark, small):
+    import re
+
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        plan = _plan(frames.invoices(spark, small))
+    finally:
+        spark.conf.set(setting, before)
+    joins = re.findall(r"SortMergeJoin \[(\w+)#", plan)
+    # from the top
+    assert len(joins) == 4 and joins.index("o_custkey") == 1

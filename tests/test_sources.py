@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from inkproof.operators import quality, requests, responses
 from inkproof.sources import files, results
+from inkproof.sources.shared import shuffles_removed
 from inkproof.streaming import scoring
 from workload import catalog, frames
 
@@ -191,3 +192,56 @@ def test_streaming_equals_batch(spark, small, tmp_path):
     want = catalog.field_scores(spark, small)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
+def _in_waves(spark, small, tmp_path, monkeypatch, query):
+    """The folders that the query makes, by name; its rows are those of the flow without waves."""
+    made = []
+
+    def folder(spark, name):
+        made.append(f"file://{tmp_path}/{name}-{len(made)}")
+        return made[-1]
+
+    want = sorted(map(str, catalog.document_results(spark, small).collect()))
+    monkeypatch.setattr(catalog, "shared_folder", folder)
+    monkeypatch.setattr(catalog, "DOCS_A_WAVE", 800)
+    assert sorted(map(str, query(spark, small).collect())) == want
+    paths = {p.name.split("-")[0]: p for p in tmp_path.iterdir()}
+    # the last wave's only
+    assert 0 < spark.read.parquet(str(paths["invoices"])).count() < 1000 < len(want)
+    return paths
+
+
+def test_export_in_waves(spark, small, tmp_path, monkeypatch):
+    paths = _in_waves(spark, small, tmp_path, monkeypatch, catalog.result_export)
+    assert {p.suffix for p in paths["results"].glob("part-*")} == {".gz"}
+
+
+def test_a_key_is_in_one_wave(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "DOCS_A_WAVE", 7)
+    keys = spark.range(-50, 50).union(spark.sql("select cast(null as bigint)"))
+    for bucket, buckets in ((catalog._slice_of, catalog._SLICES),):
+        waves = catalog._waves(100, bucket, buckets)
+        assert len(waves) == 15 and catalog._waves(7, bucket, buckets) == catalog._waves(0, bucket, buckets) == [None]
+        within = F.array(*[F.coalesce(some(F.col("id")), F.lit(False)).cast("int") for some in waves])
+        assert {sum(r[0]) for r in keys.select(within).collect()} == {1}
+
+
+def test_shuffle_files_are_removed_after_the_write(spark, tmp_path):
+    import time
+
+    def shuffles():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, before = spark.conf.get(setting), shuffles()
+    with shuffles_removed(spark):
+        spark.range(1000).repartition(4, "id").write.parquet(str(tmp_path / "kept"))
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before and spark.conf.get(setting) == held
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 1000
