@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkproof.operators import quality, requests, responses
-from inkproof.sources import files, results
+from inkproof.sources import bucketed, files, results
 from inkproof.sources.shared import shuffles_removed
 from inkproof.streaming import scoring
 from workload import catalog, frames
@@ -217,10 +217,17 @@ def test_export_in_waves(spark, small, tmp_path, monkeypatch):
     assert {p.suffix for p in paths["results"].glob("part-*")} == {".gz"}
 
 
+def test_bucketed_in_waves(spark, small, tmp_path, monkeypatch):
+    paths = _in_waves(spark, small, tmp_path, monkeypatch, catalog.bucketed_results)
+    for name in ("files", "texts", "answers", "judge"):
+        buckets = [p.name.split("_")[1].split(".")[0] for p in paths[name].glob("part-*")]
+        assert len(set(buckets)) == len(buckets) == 16, name
+
+
 def test_a_key_is_in_one_wave(spark, monkeypatch):
     monkeypatch.setattr(catalog, "DOCS_A_WAVE", 7)
     keys = spark.range(-50, 50).union(spark.sql("select cast(null as bigint)"))
-    for bucket, buckets in ((catalog._slice_of, catalog._SLICES),):
+    for bucket, buckets in ((lambda key: bucketed.bucket_of(key, 16), 16), (catalog._slice_of, catalog._SLICES)):
         waves = catalog._waves(100, bucket, buckets)
         assert len(waves) == 15 and catalog._waves(7, bucket, buckets) == catalog._waves(0, bucket, buckets) == [None]
         within = F.array(*[F.coalesce(some(F.col("id")), F.lit(False)).cast("int") for some in waves])
